@@ -8,7 +8,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, hmm_lm, quality, simhash, toxicity
+from lodestone.llm import bpe, chat, decontaminate, hmm_lm, license_scan, quality, simhash, token_rollup, toxicity, warc
+from lodestone.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.replayed(table(spark, sf_dir, "documents"), new_path(spark, "token-ledger"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return made.select(F.col("source_id").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", F.octet_length("block").alias("content_length"), F.decode("block", "utf-8").alias("block"))
+
+
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.measure(table(spark, sf_dir, "documents")))
 
@@ -56,13 +74,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_token_rollup": op2_token_rollup,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc_derivatives": op5_warc_derivatives,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_hidden_markov_lm": op7_hidden_markov_lm,
     "op8_toxicity": op8_toxicity,
+    "op9_perspective_rotation": op9_perspective_rotation,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_token_rollup": token_rollup.REPLAYED_SQL,
+    "op9_perspective_rotation": chat.ROTATE_SQL,
     "op4_quality_rules": quality.ledger_sql(),
 }
