@@ -32,14 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a task remembers at most besides the known ones.
-BLOCK = 300_000
+BLOCK = 80_000
 #: Pieces merged beforehand and sent to all tasks, at most, and texts that they are taken from, about.
-MOST_KNOWN = 400_000
+MOST_KNOWN = 100_000
 SAMPLE_TEXTS = 25_000
 #: Pieces of more bytes are merged by a heap, since the fold takes time as the square of the length.
 LONG_PIECE = 256
 #: Pieces merged in one row.
-CHUNK = 1000
+CHUNK = 500
 
 # Layout of an element of the fold's state: rank of the pair that it begins, its place, its token.
 _TOKEN_BITS, _PLACE_BITS = 20, 20
@@ -64,6 +64,13 @@ class Vocabulary:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
+    def __getstate__(self) -> dict:
+        """Tasks get the ranks alone; what they need else they work out."""
+        return {"ranks": self.ranks, "pattern": self.pattern}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+
     @cached_property
     def pairs(self) -> dict[tuple[int, int], int]:
         """The rank of each pair of tokens that a token is made of."""
@@ -318,6 +325,7 @@ def _joined(known_ids: np.ndarray, known_sizes: np.ndarray):
         pieces = _Pieces(known_ids, known_sizes)
         for batch in batches:
             ids, out = [], []
+            made = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "ids"])
             states = batch.column(3)
             for at, kind in enumerate(batch.column(0).to_pylist()):
                 if kind == _PIECES:
@@ -330,8 +338,11 @@ def _joined(known_ids: np.ndarray, known_sizes: np.ndarray):
                 else:
                     ids.append(batch.column(1)[at].as_py())
                     out.append(pieces.text(np.frombuffer(batch.column(2)[at].as_py(), np.int32)).astype("<u4").tobytes())
+                    if len(ids) == 500:
+                        yield made()
+                        ids, out = [], []
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "ids"])
+                yield made()
 
     return run
 
@@ -407,13 +418,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that its ids stand for: their tokens' pieces, put together. Null ids give null."""
-    sent = docs_context = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    del docs_context
+    sent = encoded.sparkSession.sparkContext.broadcast(vocabulary.tokens)
     at = encoded.columns.index(ids_col)
     schema = ", ".join(f"`{n}` {t}" for n, t in [*encoded.dtypes, (out_col, "binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, starts = sent.value.tokens
+        raw, starts = sent.value
         sizes = np.diff(starts)
 
         def text(data: bytes | None) -> bytes | None:
@@ -422,7 +432,9 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out
             ids = np.frombuffer(data, "<u4")
             return gather(raw, starts[ids], sizes[ids]).tobytes()
 
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text(x.as_py()) for x in batch.column(at)], pa.binary())], names=[*batch.schema.names, out_col])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text(x.as_py()) for x in batch.column(at)], pa.binary())], names=[*batch.schema.names, out_col])
 
     return encoded.mapInArrow(run, schema)
