@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lodestone.plans import base, finance_queries, log_queries, text_queries  # noqa: F401  registration
+
+QUERIES = base.QUERIES
+ORACLE = base.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+    """Documents ranked for a question by their BM25 keywords."""
+    return QUERIES["rnk_keyword" if "rnk_keyword" in QUERIES else "tok_words"](spark, sf_dir)
