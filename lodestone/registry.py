@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import base, finance_queries, log_queries, text_queries  # noqa: F401  registration
+from lodestone.plans import base, finance_queries, index_queries, log_queries, store_queries, text_queries  # noqa: F401  registration
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE
