@@ -130,7 +130,9 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """The rows of ``docs`` that the policy keeps, with all their columns."""
     names = docs.columns
     ledger = apply_policy(measure(docs, id_col, text_col, carry=[c for c in names if c != id_col]), policy)
-    return ledger.where("kept").select(*names)
+    # Counting rows here also keeps the filter above the measurements: pushed below, it would work them out anew for each use.
+    counted = ledger.observe("quality_rules", F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("kept"))
+    return counted.where("kept").select(*names)
 
 
 #: The measurements in DuckDB, over view ``documents``.
