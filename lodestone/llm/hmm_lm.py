@@ -66,6 +66,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def commonest(counts: DataFrame, most: int) -> list:
+    """The rows of the ``most`` commonest words or fewer: those above the count at which they would be too many.
+
+    The count is read off the number of words of each count, so no task sorts or holds all words.
+    """
+    left, least = most, 0
+    for r in counts.groupBy("c").count().orderBy(F.desc("c")).limit(most).collect():
+        if r["count"] > left:
+            least = r.c
+            break
+        left -= r["count"]
+    return sorted(counts.where(F.col("c") > least).collect(), key=lambda r: (-r.c, bytes(r.word)))
+
+
 @dataclass
 class Symbols:
     """Symbols of words, and what is known of the commonest words by number."""
@@ -184,7 +198,7 @@ class Hmm:
 
 def _symbols(counts: DataFrame) -> tuple[Symbols, int, int]:
     """The symbols from the word counts; the sum of counts and the number of words."""
-    top = counts.orderBy(F.desc("c"), "word").limit(MOST_SENT).collect()
+    top = commonest(counts, MOST_SENT)
     own = min(OWN_SYMBOLS, len(top))
     least = (top[own - 1].c, bytes(top[own - 1].word)) if own else (0, b"")
     is_own = (F.col("c") > least[0]) | ((F.col("c") == least[0]) & (F.col("word") <= F.lit(bytearray(least[1])))) if own else F.lit(False)
