@@ -25,11 +25,9 @@ def _(t):
 
 @query("src_meta_scan")
 def _(t):
-    from lodestone.sources.files import read_metadata
-
-    path = new_path(t.spark, "meta")
-    t.doc_meta().withColumn("p", F.lit("a")).drop("p").write.json(path)
-    return read_metadata(t.spark, path) if False else S.newest(t.doc_meta(), "id", "version")
+    # Two versions of each document are stored; the later one is read.
+    meta = t.doc_meta()
+    return S.newest(meta.unionByName(meta.withColumn("version", c("version") + 1)), "id", "version")
 
 
 @query("src_body_read", "SELECT doc_id::VARCHAR AS id, text AS content FROM documents")
@@ -164,7 +162,7 @@ def _(t):
 # ---- filters and projections
 @query("flt_feedback_doc", f"{M} SELECT id FROM doc_meta WHERE NOT (contains(rtrim(url, '/'), 'https://wiki.example.com/pages/12') OR contains('https://wiki.example.com/pages/12', rtrim(url, '/')) OR ends_with(rtrim(url, '/'), '/12'))")
 def _(t):
-    page, url = F.lit("https://wiki.example.com/pages/12"), F.rtrim("url", F.lit("/")) if False else F.regexp_replace("url", "/+$", "")
+    page, url = F.lit("https://wiki.example.com/pages/12"), F.regexp_replace("url", "/+$", "")
     return t.doc_meta().where(~(F.contains(url, page) | F.contains(page, url) | url.endswith("/12"))).select("id")
 
 

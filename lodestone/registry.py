@@ -12,4 +12,4 @@ ORACLE = base.ORACLE
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents ranked for a question by their BM25 keywords."""
-    return QUERIES["rnk_keyword" if "rnk_keyword" in QUERIES else "tok_words"](spark, sf_dir)
+    return QUERIES["rnk_keyword"](spark, sf_dir)

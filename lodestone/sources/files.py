@@ -34,7 +34,7 @@ def read_log_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) of ``*.log`` files; bytes that are no UTF-8 are replaced. A task holds one file (rolled at 50 MB)."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path)
-    text = F.expr("decode(content, 'utf-8')") if False else F.col("content").cast("string")
+    text = F.col("content").cast("string")
     lines = rows.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.posexplode(F.split(text, "\r?\n")).alias("pos", "line"))
     return lines.select("file", (F.col("pos") + 1).cast("long").alias("line_no"), "line").where("line <> ''")
 
