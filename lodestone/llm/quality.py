@@ -128,11 +128,12 @@ def ablations(ledger: DataFrame, policy: Policy = POLICIES[DEFAULT]) -> DataFram
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: Policy = POLICIES[DEFAULT]) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with all their columns."""
-    names = docs.columns
-    ledger = apply_policy(measure(docs, id_col, text_col, carry=[c for c in names if c != id_col]), policy)
+    # The row goes along as one value, so that none of its columns clashes with a measurement.
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("__row"), F.col(id_col).alias("__given_id"), F.col(text_col).alias("__given_text"))
+    ledger = apply_policy(measure(rows, "__given_id", "__given_text", carry=["__row"]), policy)
     # Counting rows here also keeps the filter above the measurements: pushed below, it would work them out anew for each use.
     counted = ledger.observe("quality_rules", F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("kept"))
-    return counted.where("kept").select(*names)
+    return counted.where("kept").select("__row.*")
 
 
 #: The measurements in DuckDB, over view ``documents``.
