@@ -306,6 +306,46 @@ def test_simhash_by_brute_force(spark, hot):
     assert got == brute_components(rows, 3, 3)
 
 
+@pytest.mark.parametrize("hot", [1, 1024])
+def test_links_of_seven_by_brute_force(spark, hot):
+    rng = np.random.default_rng(9)
+    fps = list({int(b) ^ sum(1 << int(p) for p in rng.choice(64, rng.integers(0, 6), replace=False)) for b in rng.integers(0, 1 << 62, 12) for _ in range(12)})
+    rows = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    got = {(r.u & (1 << 64) - 1, r.v & (1 << 64) - 1) for r in simhash.links_of_seven(rows, hot).collect()}
+
+    def classes(pairs):
+        root = {f: f for f in fps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        return {frozenset(f for f in fps if find(f) == r) for r in map(find, fps)}
+
+    every = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 7]
+    assert all((a ^ b).bit_count() <= 7 for a, b in got) and classes(got) == classes(every)
+
+
+def test_dedup_finds_near_copies(spark):
+    rng = np.random.default_rng(10)
+    text = lambda: [f"w{x}" for x in rng.integers(0, 4000, 300)]
+    rows = []
+    for i in range(30):
+        words = text()
+        rows.append((10 * i, " ".join(words)))
+        for j in range(3):
+            near = list(words)
+            for p in rng.choice(300, 3, replace=False):
+                near[p] = "edit"
+            rows.append((10 * i + 1 + j, " ".join(near)))
+    rows += [(1000 + i, " ".join(text())) for i in range(50)] + [(2000, rows[0][1]), (None, rows[0][1])]
+    kept = Counter(r.doc_id for r in simhash.dedup(docs_of(spark, rows)).collect())
+    assert kept == Counter([*range(0, 300, 10), *range(1000, 1050), None])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "u long, v long")
     got = dict(map(tuple, simhash.components(edges).collect()))
