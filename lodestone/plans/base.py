@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.sources.tables import read_table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,6 +20,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in ("documents", "pages"):  # long rows
+            return read_table(self.spark, self.sf_dir, name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def doc_meta(self) -> DataFrame:

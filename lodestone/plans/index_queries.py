@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 from lodestone.functions import text as X
 from lodestone.operators import index as I
 from lodestone.plans.base import DOC_META_SQL, query
-from lodestone.plans.text_queries import _CAMEL, _SKIP, WORDS_SQL
+from lodestone.plans.text_queries import WORDS_SQL
+from lodestone.scratch import keep
 
 c = F.col
 #: The question of the ranking queries.
@@ -30,6 +31,11 @@ def _tf(t):
     return I.frequencies(_grams(t))
 
 
+def _tf_written(t):
+    """Written once, since documents, grams, lengths and the corpus are all counted from it."""
+    return keep(_tf(t), "tf")
+
+
 @query("tok_ngrams", f"WITH {_GRAMS} SELECT doc_id, n, pos, gram FROM grams")
 def _(t):
     return _grams(t)
@@ -75,24 +81,24 @@ def _(t):
 
 @query("jn_tf_df", f"WITH {_TF} SELECT doc_id, gram, tf, df FROM tf JOIN df USING (gram)")
 def _(t):
-    tf = _tf(t)
+    tf = _tf_written(t)
     return tf.join(I.document_frequencies(tf), "gram").select("doc_id", "gram", "tf", "df")
 
 
 @query("rnk_bm25_weight", f"WITH {_BM} SELECT doc_id, gram, score FROM bm")
 def _(t):
-    return I.bm25(t.documents, _tf(t)).select("doc_id", "gram", "score")
+    return I.bm25(t.documents, _tf_written(t)).select("doc_id", "gram", "score")
 
 
 @query("win_topn_per_doc", f"WITH {_BM} SELECT doc_id, gram, score, rank FROM top")
 def _(t):
-    return I.top_grams(I.bm25(t.documents, _tf(t))).select("doc_id", "gram", "score", "rank")
+    return I.top_grams(I.bm25(t.documents, _tf_written(t))).select("doc_id", "gram", "score", "rank")
 
 
 @query("flow_bm25_refresh", f"WITH {_BM} SELECT doc_id, gram, score FROM top WHERE doc_id % 10 = 3")
 def _(t):
     # The corpus is all documents; only the refreshed ones are scored and written.
-    tf = _tf(t)
+    tf = _tf_written(t)
     some = t.documents.where("doc_id % 10 = 3").select("doc_id")
     mine = tf.join(some, "doc_id", "left_semi")
     lengths = mine.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
@@ -120,7 +126,7 @@ _KWS = f"WITH {_BM}, {_BPOST}, {_ASK}, {_KWT}, kws AS (SELECT doc_id, category,
 
 
 def _posts(t):
-    return I.postings(I.top_grams(I.bm25(t.documents, _tf(t))), "bm25")
+    return I.postings(I.top_grams(I.bm25(t.documents, _tf_written(t))), "bm25")
 
 
 @query("jn_postings_query", f"WITH {_BM}, {_BPOST}, {_ASK} SELECT doc_id, gram, token, tf, round(mult, 6) AS mult FROM bpost JOIN ask USING (gram, token)")
