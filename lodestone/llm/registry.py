@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, chat, decontaminate, hmm_lm, license_scan, quality, simhash, token_rollup, toxicity, warc
 from lodestone.scratch import new_path
+from lodestone.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 @cache
