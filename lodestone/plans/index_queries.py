@@ -107,7 +107,6 @@ def _(t):
     return I.top_grams(rows).select("doc_id", "gram", "score")
 
 
-_POS = "SELECT doc_id, w, list_sort(list(round(pos::DOUBLE / n, 4))) AS positions FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM words) GROUP BY doc_id, w"
 
 
 @query("agg_positions")
@@ -299,9 +298,6 @@ def _dictionary(t):
 _DICT = f"WITH {WORDS_SQL}, dict AS (SELECT DISTINCT w FROM words), suf AS (SELECT unnest([{', '.join(repr(x) for x in SUFFIXES)}]) AS suffix)"
 
 
-def _suffixes(t):
-    return F.broadcast(t.spark.createDataFrame([(x,) for x in SUFFIXES], "suffix string"))
-
 
 @query("syn_append", _DICT + " SELECT d.w, suffix, d.w || suffix AS synonym FROM dict d, suf WHERE d.w || suffix IN (SELECT w FROM dict)")
 def _(t):
