@@ -28,7 +28,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces that a task remembers at most besides the known ones.
@@ -41,6 +41,9 @@ LONG_PIECE = 256
 #: Pieces merged in one row.
 CHUNK = 500
 
+#: Characters of a plan's text that the driver keeps.
+PLAN_TEXT = 50_000
+
 # Layout of an element of the fold's state: rank of the pair that it begins, its place, its token.
 _TOKEN_BITS, _PLACE_BITS = 20, 20
 _RANK_AT = _TOKEN_BITS + _PLACE_BITS
@@ -71,16 +74,17 @@ class Vocabulary:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
 
-    @cached_property
-    def pairs(self) -> dict[tuple[int, int], int]:
-        """The rank of each pair of tokens that a token is made of."""
-        out = {}
+    def _every_pair(self) -> Iterator[tuple[int, int, int]]:
+        """Each pair of tokens that a token is made of, with its rank."""
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if left is not None and right is not None:
-                    out[left, right] = rank
-        return out
+                    yield left, right, rank
+
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        return {(left, right): rank for left, right, rank in self._every_pair()}
 
     @cached_property
     def byte_ids(self) -> np.ndarray:
@@ -100,8 +104,9 @@ class Vocabulary:
         """(factor, shift of each group, pair and rank of each slot): the perfect hash of ``pairs``."""
         if max(self.ranks.values()) >= _EDGE:
             raise ValueError("too many tokens for the pairs' numbers")
-        keys = [((left << _ID_BITS) + right, rank) for (left, right), rank in self.pairs.items()]
-        factor = next(f for f in _FACTORS if len({k * f >> _SLOT_AT & ((1 << 34) - 1) for k, _ in keys}) == len(keys))
+        keys = [((left << _ID_BITS) + right, rank) for left, right, rank in self._every_pair()]
+        numbers = np.array([k for k, _ in keys], np.int64)
+        factor = next(f for f in _FACTORS if len(np.unique(numbers * f >> _SLOT_AT & ((1 << 34) - 1))) == len(keys))
         groups = defaultdict(list)
         for k, rank in keys:
             groups[(k * factor >> _GROUP_AT) & _GROUP].append(((k * factor >> _SLOT_AT) & _SLOT, k << _TOKEN_BITS | rank))
@@ -391,6 +396,12 @@ def known_pieces(texts: DataFrame, vocabulary: Vocabulary, most: int = MOST_KNOW
     return numbers, ids, sizes
 
 
+def short_plans(spark: SparkSession) -> None:
+    """Cuts the texts of plans that the driver keeps for each query: the literal map alone has millions of characters."""
+    if int(spark.conf.get("spark.sql.maxPlanStringLength", str(PLAN_TEXT + 1))) > PLAN_TEXT:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+
+
 class _Sent:
     """A function made on the executors from a broadcast value."""
 
@@ -407,6 +418,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     A null text counts as empty and has no ids. One row is made for each row given, null and
     repeated ids included. Only the two named columns are read.
     """
+    short_plans(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known, ids, sizes = known_pieces(texts, vocabulary)
