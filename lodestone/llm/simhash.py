@@ -27,8 +27,8 @@ RADIUS = 3
 SHINGLE = 3
 #: Fingerprints that share a segment value before the value is split by the other segment.
 HOT_KEY = 1024
-#: Wide fingerprints: at a similarity of 0.8 of five-word shingles 39 of 256 bits differ on average, with a deviation of 6.
-WIDE_PARTS, WIDE_RADIUS = 4, 44
+#: Near copies: the least similarity of shingle sets, and bands of minima by which they meet. A pair at 0.8 meets with a chance of 1 - (1 - 0.8 ** 5) ** 20, 0.9996.
+SIMILARITY, BANDS, ROWS = 0.8, 20, 5
 #: XXH64 seed of the shingle hashes.
 SEED = 42
 
@@ -213,29 +213,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def mixed(hashes: np.ndarray, which: int) -> np.ndarray:
-    """Other hashes of the same shingles, one family for each number."""
-    z = hashes + np.uint64((which * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, parts: int = 4) -> DataFrame:
-    """(id, f): a fingerprint of ``parts`` times 64 bits for each whole text, as for ``fingerprints``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for t in batch.column(1):
-                hashes = shingle_hashes((t.as_py() or b"").lower().split(), shingle)
-                made.append(np.array([simhash(mixed(hashes, k)) for k in range(parts)], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "f"])
-
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return given.mapInArrow(run, "id long, f array<long>").select(F.col("id").alias(id_col), "f")
-
-
 def links_of_seven(fps: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """As ``links``, for seven bits: two fingerprints within them agree up to one bit in one of four segments.
 
@@ -254,32 +231,163 @@ def links_of_seven(fps: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     return _verified_links(plain.unionByName(split.select("fp", F.xxhash64("s", "at", "s2", "at2").alias("key"))), 7)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, parts: int = WIDE_PARTS, most_bits: int = WIDE_RADIUS) -> DataFrame:
+def set_digest(members: np.ndarray) -> bytes:
+    """Names a set of shingle hashes, given sorted and without repeats."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(members.tobytes())
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes((text or b"").lower().split(), shingle))
+
+
+def band_keys(members: np.ndarray, bands: int, rows: int) -> list[int]:
+    """One signed key for each band of ``rows`` minima over the set; none for an empty set."""
+    from xxhash import xxh64_digest
+
+    if not len(members):
+        return []
+    rng = np.random.default_rng(SEED)
+    flip, factor = rng.integers(0, 1 << 64, (2, bands * rows), np.uint64)
+    factor |= np.uint64(1)
+    least = np.min([((members[at : at + 512, None] ^ flip) * factor).min(axis=0) for at in range(0, len(members), 512)], axis=0)
+    return [int.from_bytes(xxh64_digest(least[k * rows : (k + 1) * rows].tobytes(), k), "big", signed=True) for k in range(bands)]
+
+
+def set_keys(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(id, d, keys): the digest of each whole text's shingle set and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
+            digests = pa.array(map(set_digest, sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array([band_keys(s, bands, rows) for s in sets], pa.list_(pa.int64()))], names=["id", "d", "keys"])
+
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return given.mapInArrow(run, "id long, d binary, keys array<long>")
+
+
+def _similar_pairs(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) of those rows (u, v, tu, tv) whose texts have the similarity, by their whole shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, head = None, np.zeros(0, np.uint64)  # many pairs share a head
+        for batch in batches:
+            keep_row = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                if (text := a.as_py()) != last:
+                    last, head = text, shingle_set(text, shingle)
+                other = shingle_set(b.as_py(), shingle)
+                both = len(np.intersect1d(head, other, assume_unique=True))
+                keep_row.append(both >= similarity * (len(head) + len(other) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep_row, pa.bool_()))
+
+    return pairs.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+
+
+def _links_in_cell(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join whatever is similar among members of different roots; all such pairs are held against each other unless a link already joins them."""
+    names, group = np.unique(roots, return_inverse=True)
+    sizes = np.bincount(group)
+    lengths = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    label, out = group.copy(), []
+    mark = np.zeros(codes.max() + 1 if len(codes) else 0, bool)
+    for x in np.flatnonzero(group != sizes.argmax()):  # a pair across roots has a member outside the largest
+        if (label == label[x]).all():
+            break
+        own = codes[starts[x] : starts[x + 1]]
+        mark[own] = True
+        both = np.bincount(owner[mark[codes]], minlength=len(sets))
+        mark[own] = False
+        hit = (both >= similarity * (lengths + lengths[x] - both)) & (label != label[x])
+        for other in np.unique(label[hit]).tolist():
+            y = int(np.flatnonzero(hit & (label == other))[0])
+            out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+            label[label == other] = label[x]
+    return out
+
+
+def _similar_in_cells(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) links of each cell of rows (cell, id, root, text)."""
+
+    def links_of(ids: list, roots: list, texts: list) -> list[tuple[int, int]]:
+        return _links_in_cell(np.array(ids), np.array(roots), [shingle_set(t, shingle) for t in texts], similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, ([], [], [])
+        for batch in batches:
+            found = []
+            for now, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if now != cell and held[0]:
+                    found += links_of(*held)
+                    held = ([], [], [])
+                cell = now
+                for column, x in zip(held, row):
+                    column.append(x)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+        if held[0] and (found := links_of(*held)):
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+
+    return rows.select("cell", "id", "root", "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long").distinct()
+
+
+def _cells(entries: DataFrame, hot_key: int) -> DataFrame:
+    """(cell, id, root) for (key, id, root): every two members of a key with different roots meet in a cell.
+
+    The largest root's members are dealt into chunks and all others into blocks of about
+    ``hot_key``; every block meets every chunk and every other block, so no task gets an
+    unbounded group and members that are linked already aren't sent to meet each other.
+    """
+    by_root = entries.groupBy("key", "root").count()
+    most = keep(by_root.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1"), "near-open")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(hot_key))).cast("int")
+    dealt = entries.join(most, "key").select("key", "id", "root", (F.col("root") == F.col("main")).alias("inner"), parts(F.col("n_main")).alias("chunks"), parts(F.col("n") - F.col("n_main")).alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("inner"), F.col("chunks")).otherwise(F.col("blocks"))).cast("int")
+    cell = lambda kind, a, b: F.xxhash64("key", F.lit(kind), a, b)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    to_blocks = F.transform(upto("blocks"), lambda i: cell(0, i, F.col("own")))
+    to_chunks = F.transform(upto("chunks"), lambda j: cell(0, F.col("own"), j))
+    to_others = F.when(F.col("blocks") > 1, F.transform(upto("blocks"), lambda j: cell(1, F.least(F.col("own"), j), F.greatest(F.col("own"), j)))).otherwise(F.array().cast("array<long>"))
+    sent = F.when(F.col("inner"), to_blocks).otherwise(F.concat(to_chunks, to_others))
+    return dealt.withColumn("own", own).select(F.explode(sent).alias("cell"), "id", "root")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hot_key: int = HOT_KEY) -> DataFrame:
     """(node, root): ids of texts with near copies, and the smallest id that each reaches.
 
-    Made for texts whose shingles have a similarity of 0.8 or more, of which a 64-bit
-    fingerprint within three bits finds few. Each text gets four fingerprints; texts within
-    seven bits in one of them are candidates, and all 256 bits are compared to verify.
+    Near copies are texts whose sets of shingles have the similarity (size of the
+    intersection over that of the union), always computed on the whole sets. Texts that
+    agree in the minima of one band are candidates. Each is first held against the head of
+    each key; keys that then still hold members without a chain of verified links between
+    them are gone through member by member, so no link is left out for one that fails.
     Texts with the same id count as one document; rows without id are left out.
     """
-    marked = wide_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, parts).withColumnRenamed(id_col, "id")
-    written = keep(marked, "simhash-wide")
-    classes = keep(written.groupBy("f").agg(F.min("id").alias("rep")), "simhash-classes")
-    copies = written.join(classes, "f").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    every = None
-    for k in range(parts):
-        own = classes.select(F.get("f", F.lit(k)).alias("fp"), "rep")
-        heads = keep(own.groupBy("fp").agg(F.min("rep").alias("head")), "simhash-heads")
-        near = links_of_seven(heads.select("fp"))
-        near = near.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
-        same = own.join(heads, "fp").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-        found = keep(near.select("a", "b").unionByName(same), "simhash-near")
-        every = found if every is None else every.unionByName(found)
-    pairs = every.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct()
-    side = lambda n: classes.select(F.col("rep").alias(n), F.col("f").alias(f"f{n}"))
-    bits = F.aggregate(F.zip_with("fu", "fv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    verified = pairs.join(side("u"), "u").join(side("v"), "v").where(bits <= most_bits).select("u", "v")
-    return components(verified.unionByName(copies.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct())
+    named = docs.where(F.col(id_col).isNotNull())
+    written = keep(set_keys(named, id_col, text_col, shingle, bands, rows), "near-keys")
+    # A class is one set of shingles; it goes by its smallest id, which may have other texts too.
+    classes = keep(written.groupBy("d").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "near-classes")
+    copies = written.join(classes.select("d", "rep"), "d").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    entries = classes.select("rep", F.explode("keys").alias("key")).distinct()
+    # Keys with the same members count once: near copies mostly share many.
+    met = entries.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("sum")).where("n > 1")
+    groups = keep(met.groupBy("head", "n", "sum").agg(F.min("key").alias("key")).select("key", "head"), "near-groups")
+    shared = keep(entries.join(groups, "key").select("key", "head", F.col("rep").alias("id")), "near-entries")
+    given = named.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    texts = keep(given.join(shared.select("id").distinct(), "id", "left_semi").distinct(), "near-texts")
+    side = lambda n: texts.select(F.col("id").alias(n), F.col("text").alias(f"t{n}"))
+    pairs = shared.where("head <> id").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
+    near = _similar_pairs(pairs.join(side("v"), "v").join(side("u"), "u"), shingle, similarity)
+    sure = keep(near.unionByName(copies).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-links")
+    roots = components(sure)
+    rooted = shared.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    cells = keep(_cells(keep(rooted, "near-rooted"), hot_key), "near-cells")
+    more = keep(_similar_in_cells(cells.join(texts, "id"), shingle, similarity), "near-more")
+    return roots if more.isEmpty() else components(sure.unionByName(more))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

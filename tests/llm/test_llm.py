@@ -346,6 +346,43 @@ def test_dedup_finds_near_copies(spark):
     assert kept == Counter([*range(0, 300, 10), *range(1000, 1050), None])
 
 
+def edited(rng, words, share):
+    """A copy whose shingle set has about the similarity ``share`` to that of the words: single words changed far apart."""
+    n, out = len(words), list(words)
+    for p in rng.choice(np.arange(5, n - 5, 6), round((n - 4) * (1 - share) / (1 + share) / 5), replace=False):
+        out[p] = "e" + str(rng.integers(1 << 40))
+    return out
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_hashes(t.encode().split(), 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("hot", [3, 1024])
+def test_near_copies_by_brute_force(spark, hot):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(3):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, 200)]
+        texts += [" ".join(edited(rng, base, rng.choice([0.83, 0.87, 0.92]))) for _ in range(40)]
+    rows = list(enumerate(texts))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in root[:]:
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.node: r.root for r in simhash.near_copies(docs_of(spark, rows), hot_key=hot).collect()}
+    assert 3 < len(set(map(find, root))) < len(rows) / 2  # some copies stay alone
+    assert [got.get(i, i) for i in range(len(rows))] == [find(i) for i in range(len(rows))]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "u long, v long")
     got = dict(map(tuple, simhash.components(edges).collect()))
