@@ -383,6 +383,16 @@ def test_near_copies_by_brute_force(spark, hot):
     assert [got.get(i, i) for i in range(len(rows))] == [find(i) for i in range(len(rows))]
 
 
+def test_near_copies_at_the_similarity(spark):
+    rng = np.random.default_rng(12)
+    pairs = [(" ".join(w), " ".join(edited(rng, w, share))) for share in (0.72, 0.79, 0.81, 0.85) for w in ([f"w{x}" for x in rng.integers(0, 1 << 40, 300)] for _ in range(40))]
+    rows = [(2 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    got = {r.node: r.root for r in simhash.near_copies(docs_of(spark, rows)).collect()}
+    alike = [jaccard(*pair) >= 0.8 for pair in pairs]
+    assert 70 < sum(alike) < 90
+    assert [got.get(2 * i + 1) == 2 * i for i in range(len(pairs))] == alike
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "u long, v long")
     got = dict(map(tuple, simhash.components(edges).collect()))
