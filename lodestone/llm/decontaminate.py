@@ -188,20 +188,31 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns.
 
-    Rows are tested by their own text, those without id too.
+    Rows are tested by their own text, those without id too, whatever the number of items:
+    more than ``items_at_once`` are taken in parts, and the texts that hold an item of any
+    part are named by their digest.
     """
-    names = docs.columns
-    rows = [(r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").distinct().collect()] if items.count() <= ITEMS_AT_ONCE else None
-    if rows is None:
-        hit = contaminated(docs, items, id_col, text_col, **options).select(id_col).distinct()
-        return docs.join(hit, id_col, "left_anti").select(*names)
-    sent = docs.sparkSession.sparkContext.broadcast(sorted(rows, key=lambda r: (r[0], r[1] or "")))
-    threshold = options.get("threshold", THRESHOLD)
-    at = names.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(sent.value, options.get("shingle", SHINGLE), options.get("radius", RADIUS), options.get("blocks", BLOCKS))
-        for batch in batches:
-            yield batch.filter(pa.array([not index.matches(t.as_py(), threshold) for t in batch.column(at)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    at_once, threshold = options.get("items_at_once", ITEMS_AT_ONCE), options.get("threshold", THRESHOLD)
+    parts = max(1, -(-items.count() // at_once))
+    given = items.select(F.col(options.get("item_col", "item_id")).cast("long").alias("i"), F.col(options.get("item_text", "text")).cast("string").alias("t")).where("i is not null")
+
+    def tested(rows: DataFrame, part: int, at: int, wanted: bool) -> DataFrame:
+        found = [(r.i, r.t) for r in given.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).distinct().collect()]
+        sent = docs.sparkSession.sparkContext.broadcast(sorted(found, key=lambda r: (r[0], r[1] or "")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(sent.value, options.get("shingle", SHINGLE), options.get("radius", RADIUS), options.get("blocks", BLOCKS))
+            for batch in batches:
+                yield batch.filter(pa.array([bool(index.matches(t.as_py(), threshold)) == wanted for t in batch.column(at)], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    if parts == 1:
+        return tested(docs, 0, docs.columns.index(text_col), False)
+    digest = F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
+    texts = docs.select(digest.alias("__held"), F.col(text_col).cast("string").alias("text"))
+    held = None
+    for part in range(parts):
+        hit = tested(texts, part, 1, True).select("__held")
+        held = hit if held is None else held.unionByName(hit)
+    return docs.join(held.distinct(), digest == F.col("__held"), "left_anti").select(*docs.columns)

@@ -143,6 +143,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs_of(spark, rows), items.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 2, 20_000])
+def test_rows_are_tested_by_their_text(spark, monkeypatch, at_once):
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", at_once)
+    items = spark.createDataFrame([(i, " ".join(f"i{i}x{j}" for j in range(30))) for i in range(4)], "item_id long, text string")
+    held = [r.text for r in items.orderBy("item_id").collect()]
+    rows = [(1, "clean one"), (1, "x " + held[0]), (None, held[1] + " y"), (None, "clean two"), (2, held[3]), (2, None), (3, "clean three"), (3, "clean three")]
+    kept = Counter(tuple(r) for r in decontaminate.without_contaminated(docs_of(spark, rows), items).collect())
+    assert kept == Counter([(1, "clean one"), (None, "clean two"), (2, None), (3, "clean three"), (3, "clean three")])
+
+
 def test_decontamination_by_brute_force():
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(40)]
