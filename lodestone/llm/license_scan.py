@@ -48,7 +48,8 @@ RULES = [
     ("BSD", ("bsd-redist",), 0),
 ]
 
-_END = re.compile(r"(?<=[.!?;])[ \t]+|\n+")
+_END = re.compile(r"(?<=[.!?;])[ \t]+")
+_FIRST = re.compile(r"[^a-z0-9]*(?:(?:rem|dnl)\b[^a-z0-9]*)?([a-z0-9]+)", re.I)
 _OTHER = re.compile(r"[^a-z0-9]+")
 
 
@@ -58,16 +59,54 @@ def normalised(sentence: str) -> str:
 
 
 KNOWN = {normalised(s): name for name, forms in SENTENCES.items() for s in forms}
-_LEAST = min(map(len, KNOWN))
-_MOST = 3 * max(len(s) for forms in SENTENCES.values() for s in forms)
+#: What known sentences begin with: their first words, and all runs of words from the first.
+_BEGINS = {k.split()[0] for k in KNOWN}
+_PREFIXES = {" ".join(k.split()[:n]) for k in KNOWN for n in range(1, len(k.split()))}
 
 
-def recognised(text: str | None) -> list[tuple[int, str]]:
-    """(sentence number, identifier) of the known sentences of a text, in order."""
-    found = []
-    for i, s in enumerate(_END.split(text or "")):
-        if _LEAST <= len(s) <= _MOST and (name := KNOWN.get(normalised(s))):
-            found.append((i, name))
+def pieces(text: str) -> list[tuple[str, int, int, bool]]:
+    """(piece, sentence, paragraph, whether a line begins with it) of a text, cut at line ends and after punctuation.
+
+    A line goes on with the sentence of the line before unless that ended with punctuation.
+    Lines of comment marks only count as blank; blank lines end sentences and paragraphs.
+    """
+    out, sentence, paragraph, ended = [], -1, 0, True
+    for line in text.splitlines():
+        cut = [x for x in _END.split(line) if any(map(str.isalnum, x))]
+        if not cut:
+            paragraph, ended = paragraph + 1, True
+        for n, x in enumerate(cut):
+            sentence += ended or n > 0
+            out.append((x, sentence, paragraph, n == 0))
+            ended = x.rstrip().endswith((".", "!", "?", ";"))
+    return out
+
+
+def recognised(text: str | None) -> list[tuple[int, int, str]]:
+    """(first sentence, last sentence, identifier) of the known sentences of a text, in order.
+
+    A known sentence is one piece of the text or several in one paragraph, so it may be
+    wrapped over lines, with comment marks, and have a semicolon in it.
+    """
+    found, at = [], 0
+    given = pieces(text or "")
+    while at < len(given):
+        first, best, end = _FIRST.match(given[at][0]), None, at
+        if first and first[1].lower() in _BEGINS:
+            have = ""
+            for i in range(at, len(given)):
+                x, _, paragraph, starts = given[i]
+                x = x[m.start(1) :] if starts and (m := _FIRST.match(x)) else x
+                have = f"{have} {normalised(x)}".strip()
+                if paragraph != given[at][2]:
+                    break
+                if have in KNOWN:
+                    best, end = KNOWN[have], i
+                if have not in _PREFIXES:
+                    break
+        if best:
+            found.append((given[at][1], given[end][1], best))
+        at = end + 1
     return found
 
 
@@ -77,8 +116,8 @@ def licences(text: str | None, rules=RULES) -> list[tuple[str, int, int, list[st
     while at < len(found):
         for name, wanted, gap in rules:
             part = found[at : at + len(wanted)]
-            if tuple(x for _, x in part) == wanted and all(b[0] - a[0] <= gap + 1 for a, b in zip(part, part[1:])):
-                out.append((name, part[0][0], part[-1][0], [x for _, x in part]))
+            if tuple(x for _, _, x in part) == wanted and all(b[0] - a[1] <= gap + 1 for a, b in zip(part, part[1:])):
+                out.append((name, part[0][0], part[-1][1], [x for _, _, x in part]))
                 at += len(wanted)
                 break
         else:

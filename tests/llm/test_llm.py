@@ -76,6 +76,21 @@ def test_licences(spark):
     assert license_scan.scan(docs_of(spark, ODD)).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", ";; ", "REM "])
+@pytest.mark.parametrize("width", [40, 72, 10_000])
+def test_wrapped_licences(mark, width):
+    import textwrap
+
+    for rule in license_scan.RULES:
+        for form in range(max(len(license_scan.SENTENCES[x]) for x in rule[1])):
+            forms = [license_scan.SENTENCES[x] for x in rule[1]]
+            parts = [f[min(form, len(f) - 1)] for f in forms]
+            notice = " ".join(x if x.endswith(":") else x + "." for x in parts[:1]) if len(parts) == 1 else ".\n".join(parts) + "."
+            lines = [mark + x for y in notice.split("\n") for x in textwrap.wrap(y, width, break_on_hyphens=False)]
+            text = "\n".join(["int x;", mark.rstrip(), *lines, mark.rstrip(), mark + "Other words."])
+            assert [(m[0], m[3]) for m in license_scan.licences(text)] == [(rule[0], list(rule[1]))], text
+
+
 # ---- 4
 def brute_quality(text):
     words = [w for w in (text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
