@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -32,9 +32,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces that a task remembers at most besides the known ones.
-BLOCK = 80_000
+BLOCK = 150_000
 #: Pieces merged beforehand and sent to all tasks, at most, and texts that they are taken from, about.
-MOST_KNOWN = 100_000
+MOST_KNOWN = 200_000
 SAMPLE_TEXTS = 25_000
 #: Pieces of more bytes are merged by a heap, since the fold takes time as the square of the length.
 LONG_PIECE = 256
@@ -53,6 +53,8 @@ _NO_RANK = 1 << 20
 _ID_BITS, _FACTORS = 17, range(331_804_471, 0, -2)
 _SLOT_AT, _SLOT, _GROUP_AT, _GROUP = 24, (1 << 18) - 1, 42, (1 << 16) - 1
 _EDGE = (1 << _ID_BITS) - 1  # a token that no pair has: it stands at both ends of the state
+_LAST = (1 << _PLACE_BITS) - 1  # place of the edge at the end, so that both edges differ
+_FREE = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -104,22 +106,24 @@ class Vocabulary:
         """(factor, shift of each group, pair and rank of each slot): the perfect hash of ``pairs``."""
         if max(self.ranks.values()) >= _EDGE:
             raise ValueError("too many tokens for the pairs' numbers")
-        keys = [((left << _ID_BITS) + right, rank) for left, right, rank in self._every_pair()]
-        numbers = np.array([k for k, _ in keys], np.int64)
-        factor = next(f for f in _FACTORS if len(np.unique(numbers * f >> _SLOT_AT & ((1 << 34) - 1))) == len(keys))
-        groups = defaultdict(list)
-        for k, rank in keys:
-            groups[(k * factor >> _GROUP_AT) & _GROUP].append(((k * factor >> _SLOT_AT) & _SLOT, k << _TOKEN_BITS | rank))
-        shifts, slots = np.zeros(_GROUP + 1, np.int64), {}
-        for group, held in sorted(groups.items(), key=lambda g: -len(g[1])):
-            shift = 0
-            while any(s + shift in slots for s, _ in held):
+        numbers, ranks = np.array([((left << _ID_BITS) + right, rank) for left, right, rank in self._every_pair()], np.int64).T
+        factor = next(f for f in _FACTORS if len(np.unique(numbers * f >> _SLOT_AT & ((1 << 34) - 1))) == len(numbers))
+        groups, slots = numbers * factor >> _GROUP_AT & _GROUP, numbers * factor >> _SLOT_AT & _SLOT
+        sizes = np.bincount(groups, minlength=_GROUP + 1)
+        order = np.lexsort((groups, -sizes[groups]))  # the largest groups choose their slots first
+        slots, values = slots[order], (numbers << _TOKEN_BITS | ranks)[order]
+        ends = np.cumsum(np.sort(sizes)[::-1])
+        shifts, taken, at = np.zeros(_GROUP + 1, np.int64), bytearray(2 * (_SLOT + 1)), 0
+        for end in ends[ends > np.r_[0, ends[:-1]]].tolist():
+            own, shift = slots[at:end].tolist(), 0
+            while any(taken[s + shift] for s in own):
                 shift += 1
-            shifts[group] = shift
-            slots.update((s + shift, v) for s, v in held)
-        table = np.full(_SLOT + int(shifts.max()) + 2, 1 << 62, np.int64)
-        for s, v in slots.items():
-            table[s] = v
+            shifts[groups[order[at]]] = shift
+            for s in own:
+                taken[s + shift] = 1
+            at = end
+        table = np.full(_SLOT + int(shifts.max()) + 2, _FREE, np.int64)
+        table[slots + shifts[groups[order]]] = values
         return factor, shifts, table
 
     @cached_property
@@ -131,14 +135,19 @@ class Vocabulary:
             starts[rank + 1] = len(token)
         return np.frombuffer(b"".join(t for t, _ in names), np.uint8), np.cumsum(starts)
 
-    def state(self, piece: bytes) -> np.ndarray:
-        """The fold's first state: the bytes' tokens with the ranks of their pairs, between two edges."""
-        raw = np.frombuffer(piece, np.uint8)
-        out = np.full(len(raw) + 2, _NO_RANK << _RANK_AT | _EDGE, np.int64)
+    def states(self, pieces: list[bytes]) -> pa.ListArray:
+        """The fold's first state of each piece: the bytes' tokens with the ranks of their pairs, between two edges."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw, ends, number = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes), np.arange(len(pieces))
         rank = np.full(len(raw), _NO_RANK, np.int64)
         rank[:-1] = self.byte_pairs[raw[:-1], raw[1:]]
-        out[1:-1] = rank << _RANK_AT | np.arange(len(raw)) << _TOKEN_BITS | self.byte_ids[raw]
-        return out
+        rank[ends[sizes > 0] - 1] = _NO_RANK
+        place = np.arange(len(raw)) - np.repeat(ends - sizes, sizes) + 1
+        offsets = np.r_[0, ends + 2 * (number + 1)]
+        out = np.full(len(raw) + 2 * len(pieces), _NO_RANK << _RANK_AT | _EDGE, np.int64)
+        out[offsets[1:] - 1] |= _LAST << _TOKEN_BITS
+        out[np.arange(len(raw)) + np.repeat(2 * number + 1, sizes)] = rank << _RANK_AT | place << _TOKEN_BITS | self.byte_ids[raw]
+        return pa.ListArray.from_arrays(offsets.astype(np.int32), out)
 
     def merged_by_heap(self, piece: bytes) -> list[int]:
         """The ids of one long piece: the same merges in the same order, by a heap of pairs."""
@@ -184,8 +193,20 @@ class Splitter:
 
 
 def _literal(values: np.ndarray) -> Column:
-    """A literal array; the optimizer folds the text into the array once."""
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
+    """A literal array, handed to the JVM as one block of longs.
+
+    Written as text, which the optimizer can fold into the same literal, the rank map would
+    stand with millions of characters in each description of a plan that the driver keeps.
+    """
+    from pyspark.sql.classic.column import Column as Classic
+
+    context = SparkSession.active().sparkContext
+    jvm = context._jvm
+    held = context._gateway.new_array(jvm.long, len(values))
+    jvm.java.nio.ByteBuffer.wrap(values.astype(">i8").tobytes()).asLongBuffer().get(held)
+    types, catalyst = jvm.org.apache.spark.sql.types.DataTypes, jvm.org.apache.spark.sql.catalyst.expressions
+    literal = catalyst.Literal(catalyst.UnsafeArrayData.fromPrimitiveArray(held), types.createArrayType(types.LongType, False))
+    return Classic(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
 
 
 def _let(value: Column, then) -> Column:
@@ -204,11 +225,11 @@ def fold_merges(state: Column, vocabulary: Vocabulary) -> Column:
     token = lambda e: e.bitwiseAND(_TOKEN)
 
     def merge(s: Column, m: Column, p: Column) -> Column:
-        new = F.shiftright(m, _RANK_AT)
-        before, after = F.get(s, p - 2), F.get(s, p + 1)
-        ranks = F.transform(F.array(F.shiftleft(token(before), _ID_BITS) + new, F.shiftleft(new, _ID_BITS) + token(after)), rank)
-        kept = F.array(before.bitwiseAND(_LOW), m.bitwiseAND(_LOW - _TOKEN) + new)
-        return F.concat(F.slice(s, F.lit(1), p - 2), F.zip_with(ranks, kept, lambda r, x: F.shiftleft(r, _RANK_AT) + x), F.slice(s, p + 2, F.size(s)))
+        new, before = F.shiftright(m, _RANK_AT), F.get(s, p - 2)
+        left = F.shiftleft(rank(F.shiftleft(token(before), _ID_BITS) + new), _RANK_AT) + before.bitwiseAND(_LOW)
+        right = F.shiftleft(rank(F.shiftleft(new, _ID_BITS) + token(F.get(s, p + 1))), _RANK_AT) + m.bitwiseAND(_LOW - _TOKEN) + new
+        rest = F.array_remove(F.array_remove(F.array_remove(s, F.get(s, p)), m), before)
+        return F.array_insert(F.array_insert(rest, p - 1, right), p - 1, left)
 
     def step(s: Column, _: Column) -> Column:
         return _let(F.array_min(s), lambda m: F.when(m >= _NO_RANK << _RANK_AT, s).otherwise(_let(F.array_position(s, m).cast("int"), lambda p: merge(s, m, p))))
@@ -220,19 +241,11 @@ _PIECES, _TEXT, _ANEW, _LONG = range(4)
 _ROW = "kind int, id long, data binary, states array<array<bigint>>"
 
 
-def _row(kind: int, id_: int | None = None, data: bytes | None = None, states: pa.ListArray | None = None) -> tuple:
-    return kind, id_, data, states
-
-
-def _states(vocabulary: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
-    return [vocabulary.state(p) for p in pieces]
-
-
 class _Numbers(dict):
     """Numbers of pieces in the order in which they come up."""
 
-    def __init__(self, known: dict[str, int]) -> None:
-        super().__init__(known)
+    def __init__(self, known: list[str]) -> None:
+        super().__init__(zip(known, range(len(known))))
         self.new: list[str] = []
 
     def __missing__(self, piece: str) -> int:
@@ -241,12 +254,30 @@ class _Numbers(dict):
         return n
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds, ids, data, states = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int64()), pa.array(data, pa.binary()), pa.array(states, pa.list_(pa.list_(pa.int64())))], names=["kind", "id", "data", "states"])
+class _Rows:
+    """Rows of ``_ROW`` for one batch; states stand in it piece by piece."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.held: list[bytes] = []
+        self.ends = [0]
+
+    def add(self, kind: int, id_: int | None = None, data: bytes | None = None) -> None:
+        self.rows.append((kind, id_, data))
+        self.ends.append(len(self.held))
+
+    def pieces(self, pieces: list[bytes]) -> None:
+        for at in range(0, len(pieces), CHUNK):
+            self.held += pieces[at : at + CHUNK]
+            self.add(_PIECES)
+
+    def batch(self, vocabulary: Vocabulary) -> pa.RecordBatch:
+        kinds, ids, data = zip(*self.rows)
+        states = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), vocabulary.states(self.held))
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int64()), pa.array(data, pa.binary()), states], names=["kind", "id", "data", "states"])
 
 
-def _numbered(vocabulary: Vocabulary, known: dict[str, int]):
+def _numbered(vocabulary: Vocabulary, known: list[str]):
     """Texts to rows: states of new pieces ahead of the texts as numbers of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,29 +285,26 @@ def _numbered(vocabulary: Vocabulary, known: dict[str, int]):
         numbers = _Numbers(known)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part, texts = batch.slice(at, 500), []
-                rows: list[tuple] = []
-                for id_, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    data = np.array(list(map(numbers.__getitem__, split(text or ""))), np.int32).tobytes()
-                    texts.append(_row(_TEXT, id_, data))
-                held: list[np.ndarray] = []
+                part, texts, rows = batch.slice(at, 500), [], _Rows()
+                for id_, text in zip(part.column(0), part.column(1)):
+                    found = split(text.as_py() or "")
+                    texts.append((id_.as_py(), np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)).tobytes()))
+                held: list[bytes] = []
                 for piece in map(str.encode, numbers.new):
-                    if len(piece) > LONG_PIECE or len(held) == CHUNK:
-                        if held:
-                            rows.append(_row(_PIECES, states=held))
-                            held = []
-                    if len(piece) > LONG_PIECE:
-                        rows.append(_row(_LONG, data=np.array(vocabulary.merged_by_heap(piece), np.uint32).tobytes()))
-                    else:
-                        held.append(vocabulary.state(piece))
-                if held:
-                    rows.append(_row(_PIECES, states=held))
+                    if len(piece) <= LONG_PIECE:
+                        held.append(piece)
+                        continue
+                    rows.pieces(held)
+                    held = []
+                    rows.add(_LONG, data=np.array(vocabulary.merged_by_heap(piece), np.uint32).tobytes())
+                rows.pieces(held)
                 numbers.new = []
-                rows += texts
+                for id_, data in texts:
+                    rows.add(_TEXT, id_, data)
                 if len(numbers) - len(known) > BLOCK:
                     numbers = _Numbers(known)
-                    rows.append(_row(_ANEW))
-                yield _batch(rows)
+                    rows.add(_ANEW)
+                yield rows.batch(vocabulary)
 
     return run
 
@@ -356,8 +384,8 @@ def _folded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return rows.select("kind", "id", "data", F.transform("states", lambda s: fold_merges(s, vocabulary)).alias("states"))
 
 
-def known_pieces(texts: DataFrame, vocabulary: Vocabulary, most: int = MOST_KNOWN, sample: int = SAMPLE_TEXTS) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """The commonest pieces of a sample of texts, numbered, with their ids: a bounded table that saves merges."""
+def known_pieces(texts: DataFrame, vocabulary: Vocabulary, most: int = MOST_KNOWN, sample: int = SAMPLE_TEXTS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The commonest pieces of a sample of texts with their ids: a bounded table that saves merges."""
     parts = max(1, texts.count() // sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,10 +405,11 @@ def known_pieces(texts: DataFrame, vocabulary: Vocabulary, most: int = MOST_KNOW
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = batch.column(0).to_pylist()
-            for at in range(0, len(pieces), CHUNK):
-                some = pieces[at : at + CHUNK]
-                yield pa.RecordBatch.from_arrays([pa.array([some], pa.list_(pa.string())), pa.array([[vocabulary.state(p.encode()) for p in some]], pa.list_(pa.list_(pa.int64())))], names=["pieces", "states"])
+            for at in range(0, batch.num_rows, CHUNK):
+                some = batch.column(0).slice(at, CHUNK)
+                whole = pa.array([0, len(some)], pa.int32())
+                held = vocabulary.states([p.as_py().encode() for p in some])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(whole, some), pa.ListArray.from_arrays(whole, held)], names=["pieces", "states"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,12 +417,11 @@ def known_pieces(texts: DataFrame, vocabulary: Vocabulary, most: int = MOST_KNOW
                 ids, sizes = _ids_of(state.values)
                 yield pa.RecordBatch.from_arrays([pa.array([pieces.as_py()], pa.list_(pa.string())), pa.array([ids.tobytes()]), pa.array([sizes.astype(np.int64).tobytes()])], names=["pieces", "ids", "sizes"])
 
-    rows = top.repartition(F.xxhash64("piece")).mapInArrow(states, "pieces array<string>, states array<array<bigint>>")
+    rows = top.repartition(max(8, texts.sparkSession.sparkContext.defaultParallelism), F.xxhash64("piece")).mapInArrow(states, "pieces array<string>, states array<array<bigint>>")
     rows = rows.select("pieces", F.transform("states", lambda s: fold_merges(s, vocabulary)).alias("states"))
     got = rows.mapInArrow(packed, "pieces array<string>, ids binary, sizes binary").collect()
-    numbers = {p: n for n, p in enumerate(p for r in got for p in r.pieces)}
     ids, sizes = (np.frombuffer(b"".join(bytes(r[c]) for r in got), kind) for c, kind in (("ids", np.uint32), ("sizes", np.int64)))
-    return numbers, ids, sizes
+    return [p for r in got for p in r.pieces], ids, sizes
 
 
 def short_plans(spark: SparkSession) -> None:
