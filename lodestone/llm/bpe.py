@@ -32,17 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces that a task remembers at most besides the known ones.
-BLOCK = 150_000
+BLOCK = 100_000
 #: Pieces merged beforehand and sent to all tasks, at most, and texts that they are taken from, about.
-MOST_KNOWN = 200_000
+MOST_KNOWN = 150_000
 SAMPLE_TEXTS = 25_000
 #: Pieces of more bytes are merged by a heap, since the fold takes time as the square of the length.
 LONG_PIECE = 256
-#: Pieces merged in one row.
-CHUNK = 500
-
-#: Characters of a plan's text that the driver keeps.
-PLAN_TEXT = 50_000
+#: Pieces merged in one row, and texts in one batch that a task hands on.
+CHUNK, PART = 500, 250
 
 # Layout of an element of the fold's state: rank of the pair that it begins, its place, its token.
 _TOKEN_BITS, _PLACE_BITS = 20, 20
@@ -284,8 +281,8 @@ def _numbered(vocabulary: Vocabulary, known: list[str]):
         split = Splitter(vocabulary.pattern)
         numbers = _Numbers(known)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, texts, rows = batch.slice(at, 500), [], _Rows()
+            for at in range(0, batch.num_rows, PART):
+                part, texts, rows = batch.slice(at, PART), [], _Rows()
                 for id_, text in zip(part.column(0), part.column(1)):
                     found = split(text.as_py() or "")
                     texts.append((id_.as_py(), np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)).tobytes()))
@@ -351,14 +348,25 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
 
-def _joined(known_ids: np.ndarray, known_sizes: np.ndarray):
-    """Rows with folded states to (id, ids)."""
+def _decoded(data: bytes, raw: np.ndarray, starts: np.ndarray) -> bytes:
+    """The tokens' binary pieces of little-endian ids, put together."""
+    ids = np.frombuffer(data, "<u4")
+    return gather(raw, starts[ids], np.diff(starts)[ids]).tobytes()
+
+
+def _joined(known_ids: np.ndarray, known_sizes: np.ndarray, tokens: tuple[np.ndarray, np.ndarray] | None = None):
+    """Rows with folded states to (id, ids), and what the ids decode to if ``tokens`` are given."""
+    names = ["id", "ids", "decoded"][: 3 if tokens else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _Pieces(known_ids, known_sizes)
         for batch in batches:
             ids, out = [], []
-            made = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "ids"])
+
+            def made() -> pa.RecordBatch:
+                columns = [pa.array(ids, pa.int64()), pa.array(out, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns + ([pa.array([_decoded(x, *tokens) for x in out], pa.binary())] if tokens else []), names=names)
+
             states = batch.column(3)
             for at, kind in enumerate(batch.column(0).to_pylist()):
                 if kind == _PIECES:
@@ -371,7 +379,7 @@ def _joined(known_ids: np.ndarray, known_sizes: np.ndarray):
                 else:
                     ids.append(batch.column(1)[at].as_py())
                     out.append(pieces.text(np.frombuffer(batch.column(2)[at].as_py(), np.int32)).astype("<u4").tobytes())
-                    if len(ids) == 500:
+                    if len(ids) == PART:
                         yield made()
                         ids, out = [], []
             if ids:
@@ -386,7 +394,9 @@ def _folded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def known_pieces(texts: DataFrame, vocabulary: Vocabulary, most: int = MOST_KNOWN, sample: int = SAMPLE_TEXTS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The commonest pieces of a sample of texts with their ids: a bounded table that saves merges."""
-    parts = max(1, texts.count() // sample)
+    parts = texts.count() // sample
+    if parts < 2:  # a sample would be all texts: each task merges its own
+        return [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, count = Splitter(vocabulary.pattern), Counter()
@@ -424,12 +434,6 @@ def known_pieces(texts: DataFrame, vocabulary: Vocabulary, most: int = MOST_KNOW
     return [p for r in got for p in r.pieces], ids, sizes
 
 
-def short_plans(spark: SparkSession) -> None:
-    """Cuts the texts of plans that the driver keeps for each query: the literal map alone has millions of characters."""
-    if int(spark.conf.get("spark.sql.maxPlanStringLength", str(PLAN_TEXT + 1))) > PLAN_TEXT:
-        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
-
-
 class _Sent:
     """A function made on the executors from a broadcast value."""
 
@@ -440,20 +444,21 @@ class _Sent:
         return self.make(*self.sent.value)(batches)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids, n_tokens): the ids of each whole text, without special tokens.
 
     A null text counts as empty and has no ids. One row is made for each row given, null and
-    repeated ids included. Only the two named columns are read.
+    repeated ids included; an empty table gives none. Only the two named columns are read.
+    With ``decoded`` there is a column of that name with what ``decode`` makes of the ids,
+    worked out where they are put together.
     """
-    short_plans(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known, ids, sizes = known_pieces(texts, vocabulary)
     first = _Sent(context.broadcast((vocabulary, known)), _numbered)
-    last = _Sent(context.broadcast((ids, sizes)), _joined)
-    encoded = _folded(texts.mapInArrow(first, _ROW), vocabulary).mapInArrow(last, "id long, ids binary")
-    return encoded.select(F.col("id").alias(id_col), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
+    last = _Sent(context.broadcast((ids, sizes, vocabulary.tokens if decoded else None)), _joined)
+    encoded = _folded(texts.mapInArrow(first, _ROW), vocabulary).mapInArrow(last, "id long, ids binary" + (", decoded binary" if decoded else ""))
+    return encoded.select(F.col("id").alias(id_col), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *(["decoded"] if decoded else []))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -463,18 +468,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out
     schema = ", ".join(f"`{n}` {t}" for n, t in [*encoded.dtypes, (out_col, "binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, starts = sent.value
-        sizes = np.diff(starts)
-
-        def text(data: bytes | None) -> bytes | None:
-            if data is None:
-                return None
-            ids = np.frombuffer(data, "<u4")
-            return gather(raw, starts[ids], sizes[ids]).tobytes()
-
         for whole in batches:
-            for first in range(0, whole.num_rows, 500):
-                batch = whole.slice(first, 500)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text(x.as_py()) for x in batch.column(at)], pa.binary())], names=[*batch.schema.names, out_col])
+            for first in range(0, whole.num_rows, PART):
+                batch = whole.slice(first, PART)
+                texts = [None if x is None else _decoded(x, *sent.value) for x in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out_col])
 
     return encoded.mapInArrow(run, schema)

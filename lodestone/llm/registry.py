@@ -28,9 +28,8 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> bpe.Vocabulary:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
-    decoded = bpe.decode(encoded, vocabulary())
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), decoded=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
