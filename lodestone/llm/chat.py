@@ -17,6 +17,16 @@ BLOCK = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def escaped(text: Column) -> Column:
+    """Text that can't open or close a turn: a space parts the signs with which every mark begins."""
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
+def _named(speaker: Column) -> Column:
+    """A speaker's name on one line of its own."""
+    return escaped(F.translate(F.coalesce(speaker.cast("string"), F.lit("unknown")), "\n\r", "  "))
+
+
 def _header(name: Column, as_role: Column) -> Column:
     return F.when(as_role == "user", F.concat(F.lit(f"{OPEN}user name="), name, F.lit("\n"))).otherwise(F.concat(F.lit(OPEN), as_role, F.lit("\n")))
 
@@ -27,7 +37,8 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     ``segment`` is the rendered turn; ``start`` and ``end`` are its places in the whole
     rendering, in characters. The text and closing mark of the perspective's own turns are
     trained on: there ``is_target`` holds and ``train_start`` to ``train_end`` is the span,
-    which is empty elsewhere. Null texts are empty, null speakers are called ``unknown``, a
+    which is empty elsewhere. In texts and names ``<|`` becomes ``< |``, so that neither can
+    forge a turn; line ends in names become spaces. Null texts are empty, null speakers are called ``unknown``, a
     null conversation is one of its own. Turns go by number, nulls first, and of turns with
     the same number by speaker and text; repeated rows are all rendered. A conversation
     without participants has no perspective and gives no row.
@@ -38,8 +49,8 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     base = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        _named(F.col(speaker_col)).alias("speaker"),
+        escaped(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"),
     ).withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
     speakers = base.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     mark = lambda c: c.select(*[F.col(x).alias("of" if x == "conv_id" else x) for x in c.columns])
@@ -81,7 +92,7 @@ def rendered(rotated: DataFrame) -> DataFrame:
 
 
 ROTATE_SQL = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, replace(translate(coalesce(role, 'unknown'), chr(10) || chr(13), '  '), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{SYSTEM}'),
 r AS (SELECT t.*, p.perspective, CASE WHEN speaker = '{SYSTEM}' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS as_role FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 h AS (SELECT *, CASE WHEN as_role = 'user' THEN '{OPEN}user name=' || speaker || chr(10) ELSE '{OPEN}' || as_role || chr(10) END AS header FROM r),

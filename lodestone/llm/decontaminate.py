@@ -160,7 +160,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     The best window is given, the first of equals. Null or empty texts and items match nothing;
     items without id are left out. Rows that repeat a document give repeated rows. A document
-    shorter than an item can't hold it. The items are sent to every task in parts of
+    shorter than an item is held against it as one window. The items are sent to every task in parts of
     ``items_at_once``, whatever their number.
     """
     parts = max(1, -(-items.count() // items_at_once))

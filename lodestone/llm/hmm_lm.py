@@ -8,9 +8,11 @@ never sent whole; only the ``MOST_SENT`` commonest words are broadcast.
 
 Baum-Welch runs over all training texts in each round: every task adds up its expected
 counts, which are summed across partitions by entry; the driver gets one number an entry, as
-many as the model has. For training, texts are cut into runs of ``RUN`` symbols, and a run
-that doesn't begin a text starts from a distribution of its own. Scores come from the scaled
-forward recursion over whole texts, uncut.
+many as the model has. Texts are never cut: the forward pass remembers what it has reached
+every ``RUN`` symbols, and the backward pass works from there, so that a text of any length
+needs the memory of one run. Expected counts are added up as whole numbers of 1/65536, so the
+model doesn't depend on the order of tasks. Scores come from the scaled forward recursion
+over whole texts; they are sums of doubles, whose last digits may differ between runs.
 """
 
 from __future__ import annotations
@@ -34,7 +36,10 @@ CLASSES = 128
 #: Commonest words whose counts are broadcast, at most; other words are joined.
 MOST_SENT = 200_000
 ROUNDS = 5
-RUN = 128
+#: Symbols between two places that the forward pass remembers, and texts that step together.
+RUN, TOGETHER = 64, 2000
+#: Expected counts are added up in these parts of one.
+_PARTS = 1 << 16
 #: Words that a task counts before it passes the counts on.
 FLUSH = 300_000
 _SMOOTH = 0.1
@@ -119,7 +124,6 @@ class Symbols:
 @dataclass
 class Hmm:
     start: np.ndarray
-    inner: np.ndarray
     move: np.ndarray
     emit: np.ndarray
 
@@ -129,12 +133,11 @@ class Hmm:
         draw = np.random.default_rng(7)
         emit = (unigram + _SMOOTH) * draw.lognormal(0.0, 2.0, (states, len(unigram)))
         move = draw.uniform(0.5, 1.5, (states, states)) + states * np.eye(states)
-        even = np.full(states, 1.0 / states)
-        return cls(even, even, move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        return cls(np.full(states, 1.0 / states), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
     @property
     def shapes(self) -> list[tuple[int, ...]]:
-        return [x.shape for x in (self.start, self.inner, self.move, self.emit)]
+        return [x.shape for x in (self.start, self.move, self.emit)]
 
     def updated(self, flat: np.ndarray) -> Hmm:
         parts, at = [], 0
@@ -145,34 +148,54 @@ class Hmm:
             at += n
         return Hmm(*parts)
 
-    def expected(self, runs: np.ndarray, lengths: np.ndarray, is_first: np.ndarray) -> np.ndarray:
-        """Expected counts of start, inner start, moves and emissions, by scaled forward and backward passes.
+    def expected(self, texts: list[np.ndarray], run: int = RUN) -> np.ndarray:
+        """Expected counts of starts, moves and emissions over whole texts, by scaled forward and backward passes.
 
-        ``runs`` (runs x time) is padded by a symbol past the last, which every state emits surely.
+        All texts step together, the longest first, so those that go on are a prefix. The
+        forward pass keeps its state at the border of each run; the backward pass takes the
+        runs from the last to the first and steps forward through each anew.
         """
-        n, time = runs.shape
-        emit = np.concatenate((self.emit.T, np.ones((1, len(self.start)))))
-        seen = emit[runs.T]
-        alpha, scale = np.empty_like(seen), np.empty((time, n, 1))
-        now = np.where(is_first[:, None], self.start, self.inner) * seen[0]
-        for t in range(time):
-            if t:
-                now = (alpha[t - 1] @ self.move) * seen[t]
-            scale[t] = now.sum(1, keepdims=True)
-            alpha[t] = now / scale[t]
-        ahead = np.empty_like(seen)  # what is still to come, weighed by the emission, over the scale
-        beta = np.ones_like(now)
-        gamma = np.empty_like(seen)
-        for t in range(time - 1, -1, -1):
-            gamma[t] = alpha[t] * beta
-            ahead[t] = seen[t] * beta / scale[t]
-            beta = ahead[t] @ self.move.T
-        inside = np.arange(time)[:, None] < lengths[None, :]
-        ahead *= inside[:, :, None]
-        moves = self.move * (alpha[:-1].reshape(-1, len(self.start)).T @ ahead[1:].reshape(-1, len(self.start)))
-        flat = runs.T.reshape(-1)
-        emits = np.stack([np.bincount(flat, gamma[:, :, k].reshape(-1), minlength=emit.shape[0])[:-1] for k in range(len(self.start))])
-        return np.concatenate((gamma[0][is_first].sum(0), gamma[0][~is_first].sum(0), moves.reshape(-1), emits.reshape(-1)))
+        texts = sorted(texts, key=len, reverse=True)
+        states, pad = len(self.start), self.emit.shape[1]
+        lengths = np.array([len(x) for x in texts], np.int64)
+        offsets, flat = np.cumsum(lengths) - lengths, np.concatenate(texts).astype(np.int64)
+        emit = np.concatenate((self.emit.T, np.ones((1, states))))  # past its end a text shows a symbol that every state emits surely
+        moves, emits = np.zeros((states, states)), np.zeros((pad, states))
+
+        def symbols(at: int) -> np.ndarray:
+            n, time = int((lengths > at).sum()), np.arange(at, min(at + run, int(lengths[0])))[:, None]
+            return np.where(time < lengths[:n], flat[np.minimum(offsets[:n] + time, len(flat) - 1)], pad)
+
+        def forward(seen: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            alpha, scale = np.empty_like(seen), np.empty((*seen.shape[:2], 1))
+            for t in range(len(seen)):
+                before = (self.start if before is None else before @ self.move) * seen[t]
+                scale[t] = before.sum(1, keepdims=True)
+                alpha[t] = before = before / scale[t]
+            return alpha, scale
+
+        borders: list[np.ndarray | None] = [None]
+        for at in range(0, int(lengths[0]) - run, run):
+            alpha, _ = forward(emit[symbols(at)], borders[-1])
+            borders.append(alpha[-1][: int((lengths > at + run).sum())])
+        beta = np.ones((0, states))
+        for at in range((len(borders) - 1) * run, -1, -run):
+            before, shown = borders.pop(), symbols(at)
+            seen = emit[shown]
+            alpha, scale = forward(seen, before)
+            beta = np.concatenate((beta, np.ones((shown.shape[1] - len(beta), states))))
+            gamma, ahead = np.empty_like(seen), np.empty_like(seen)  # ahead: what is to come, weighed by the emission, over the scale
+            for t in range(len(seen) - 1, -1, -1):
+                gamma[t] = alpha[t] * beta
+                ahead[t] = seen[t] * beta / scale[t]
+                beta = ahead[t] @ self.move.T
+            inside = (shown != pad)[:, :, None]
+            moves += alpha[:-1].reshape(-1, states).T @ (ahead * inside)[1:].reshape(-1, states)
+            if before is not None:
+                moves += before.T @ ahead[0]
+            for k in range(states):
+                emits[:, k] += np.bincount(shown.reshape(-1), gamma[:, :, k].reshape(-1), minlength=pad + 1)[:-1]
+        return np.concatenate((gamma[0].sum(0), (self.move * moves).reshape(-1), emits.T.reshape(-1)))
 
     def log10_likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
         """Exact log10 probabilities of whole symbol sequences: all texts step together, the longest first."""
@@ -245,28 +268,20 @@ def _round(observed: DataFrame, model: Hmm) -> Hmm:
     sent = observed.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, pad = sent.value, model_size
+        m = sent.value
         total = np.zeros(sum(int(np.prod(s)) for s in m.shapes))
         for batch in batches:
-            runs = []
-            for data in batch.column(0).to_pylist():
-                x = np.frombuffer(data, np.uint16)
-                runs += [(x[at : at + RUN], at == 0) for at in range(0, len(x), RUN)]
-            runs.sort(key=lambda r: len(r[0]))
-            for at in range(0, len(runs), 2000):
-                some = runs[at : at + 2000]
-                lengths = np.array([len(x) for x, _ in some])
-                padded = np.full((len(some), int(lengths.max())), pad, np.int64)
-                padded[np.arange(padded.shape[1])[None, :] < lengths[:, None]] = np.concatenate([x for x, _ in some])
-                total += m.expected(padded, lengths, np.array([f for _, f in some]))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["entry", "n"])
-
-    model_size = model.emit.shape[1]
-    counts = observed.where("not held_out").select("symbols").mapInArrow(run, "entry int, n double").groupBy("entry").agg(F.sum("n").alias("n")).collect()
+            texts = sorted((np.frombuffer(x, np.uint16) for x in batch.column(0).to_pylist()), key=len)
+            for at in range(0, len(texts), TOGETHER):
+                total += m.expected(texts[at : at + TOGETHER])
+        parts = np.rint(total * _PARTS).astype(np.int64)
+        at = np.flatnonzero(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(parts[at])], names=["entry", "n"])
+
+    counts = observed.where("not held_out").select("symbols").mapInArrow(run, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(sum(int(np.prod(s)) for s in model.shapes))
     for r in counts:
-        flat[r.entry] = r.n
+        flat[r.entry] = r.n / _PARTS
     return model.updated(flat)
 
 

@@ -16,36 +16,142 @@ from pyspark.sql import functions as F
 
 # Sentences of public licences and notices, by identifier.
 SENTENCES = {
-    "mit-released": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License"],
+    "mit-released": ["Released under the MIT License", "Licensed under the MIT License", "Licensed under the MIT license", "This project is licensed under the MIT License", "This software is released under the MIT License", "MIT License", "The MIT License (MIT)", "SPDX-License-Identifier: MIT"],
     "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
-    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
-    "apache-short": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")"],
+    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"],
+    "mit-0-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"],
+    "isc-released": ["Licensed under the ISC License", "Released under the ISC License", "ISC License", "SPDX-License-Identifier: ISC"],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "0bsd-released": ["Licensed under the Zero-Clause BSD license", "SPDX-License-Identifier: 0BSD"],
+    "apache-short": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")", "Licensed under the Apache License 2.0", "Released under the Apache License 2.0", "This project is licensed under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "apache-header": ["Apache License Version 2.0, January 2004"],
     "apache-comply": ["you may not use this file except in compliance with the License"],
-    "apache-copy": ["You may obtain a copy of the License at"],
-    "gpl3-short": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0"],
+    "apache-copy": ["You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-as-is": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
+    "apache-specific": ["See the License for the specific language governing permissions and limitations under the License"],
+    "gpl3-short": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0", "Released under the GNU General Public License v3.0", "SPDX-License-Identifier: GPL-3.0-only"],
+    "gpl3-short-later": ["Licensed under the GNU General Public License v3.0 or later", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl3-header": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl3-only-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"],
+    "gpl2-short": ["Licensed under the GNU General Public License v2.0", "Licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"],
+    "gpl2-short-later": ["Licensed under the GNU General Public License v2.0 or later", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "gpl2-header": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "gpl2-only-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
-    "cc-by-nc-4": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc-by-4": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-sa-4": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "gpl-details": ["See the GNU General Public License for more details"],
+    "gpl-received": ["You should have received a copy of the GNU General Public License along with this program"],
+    "lgpl3-short": ["Licensed under the GNU Lesser General Public License v3.0", "Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "lgpl3-free": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "lgpl21-short": ["Licensed under the GNU Lesser General Public License v2.1", "Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "lgpl21-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "lgpl-hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
+    "lgpl-details": ["See the GNU Lesser General Public License for more details"],
+    "agpl-short": ["Licensed under the GNU Affero General Public License v3.0", "Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "agpl-details": ["See the GNU Affero General Public License for more details"],
+    "mpl2-short": ["Licensed under the Mozilla Public License 2.0", "Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "mpl2-form": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
+    "epl2-short": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution", "Licensed under the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "bsd-released-3": ["Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License", "BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
+    "bsd-released-2": ["Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License", "BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
     "bsd-redist": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
-    "as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"],
+    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
+    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-advert": ["All advertising materials mentioning features or use of this software must display the following acknowledgement:"],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain"],
+    "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "unlicense-short": ["Released under the Unlicense", "Licensed under the Unlicense", "SPDX-License-Identifier: Unlicense"],
+    "boost-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "boost-short": ["Distributed under the Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003", "SPDX-License-Identifier: BSL-1.0"],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-liable": ["In no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "wtfpl": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "SPDX-License-Identifier: WTFPL"],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "This work is dedicated to the public domain under CC0 1.0", "Licensed under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
+    "cc-by-4": ["Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "This work is licensed under the Creative Commons Attribution 4.0 International License"],
+    "cc-by-3": ["Licensed under CC BY 3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License"],
+    "cc-by-sa-4": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc-by-sa-3": ["Licensed under CC BY-SA 3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License", "Text is available under the Creative Commons Attribution-ShareAlike License 3.0"],
+    "cc-by-nc-4": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-nc-sa-4": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "cc-by-nd-4": ["Licensed under CC BY-ND 4.0", "This work is licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc-by-nc-nd-4": ["Licensed under CC BY-NC-ND 4.0", "This work is licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "all-rights": ["All rights reserved"],
+    "as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
 }
 
 #: Ordered rules: a licence, the identifiers that follow one another, and how many other sentences may lie between two.
 RULES = [
     ("MIT", ("mit-grant", "mit-notice"), 1),
     ("MIT", ("mit-grant",), 0),
+    ("MIT-0", ("mit-0-grant",), 0),
     ("MIT", ("mit-released",), 0),
+    ("BSL-1.0", ("boost-short", "boost-grant"), 1),
+    ("BSL-1.0", ("boost-grant",), 0),
+    ("BSL-1.0", ("boost-short",), 0),
+    ("ISC", ("isc-grant",), 0),
+    ("ISC", ("isc-released",), 0),
+    ("0BSD", ("0bsd-grant",), 0),
+    ("0BSD", ("0bsd-released",), 0),
+    ("Apache-2.0", ("apache-short", "apache-comply", "apache-copy", "apache-as-is", "apache-specific"), 1),
     ("Apache-2.0", ("apache-short", "apache-comply", "apache-copy"), 1),
     ("Apache-2.0", ("apache-short",), 0),
+    ("Apache-2.0", ("apache-header",), 0),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope", "agpl-details"), 1),
+    ("AGPL-3.0-or-later", ("agpl-free",), 0),
+    ("AGPL-3.0-only", ("agpl-short",), 0),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "lgpl-hope", "lgpl-details"), 1),
+    ("LGPL-3.0-or-later", ("lgpl3-free",), 0),
+    ("LGPL-3.0-only", ("lgpl3-short",), 0),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-details"), 1),
+    ("LGPL-2.1-or-later", ("lgpl21-free",), 0),
+    ("LGPL-2.1-only", ("lgpl21-short",), 0),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details"), 1),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope"), 1),
     ("GPL-3.0-or-later", ("gpl-free",), 0),
+    ("GPL-3.0-or-later", ("gpl3-short-later",), 0),
+    ("GPL-3.0-only", ("gpl3-only-free", "gpl-hope"), 1),
+    ("GPL-3.0-only", ("gpl3-only-free",), 0),
     ("GPL-3.0-only", ("gpl3-short",), 0),
+    ("GPL-3.0-only", ("gpl3-header",), 0),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-details"), 1),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope"), 1),
+    ("GPL-2.0-or-later", ("gpl2-free",), 0),
+    ("GPL-2.0-or-later", ("gpl2-short-later",), 0),
+    ("GPL-2.0-only", ("gpl2-only-free", "gpl-hope"), 1),
+    ("GPL-2.0-only", ("gpl2-only-free",), 0),
+    ("GPL-2.0-only", ("gpl2-short",), 0),
+    ("GPL-2.0-only", ("gpl2-header",), 0),
+    ("MPL-2.0", ("mpl2-form", "mpl2-copy"), 1),
+    ("MPL-2.0", ("mpl2-form",), 0),
+    ("MPL-2.0", ("mpl2-short",), 0),
+    ("EPL-2.0", ("epl2-short",), 0),
+    ("BSD-4-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"), 1),
+    ("BSD-3-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse"), 1),
+    ("BSD-2-Clause", ("bsd-redist", "bsd-source", "bsd-binary"), 1),
+    ("BSD", ("bsd-redist",), 0),
+    ("BSD-3-Clause", ("bsd-released-3",), 0),
+    ("BSD-2-Clause", ("bsd-released-2",), 0),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone"), 1),
+    ("Unlicense", ("unlicense-free",), 0),
+    ("Unlicense", ("unlicense-short",), 0),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant"), 1),
+    ("Zlib", ("zlib-grant",), 0),
+    ("WTFPL", ("wtfpl",), 0),
+    ("CC0-1.0", ("cc0",), 0),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4",), 0),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4",), 0),
     ("CC-BY-NC-4.0", ("cc-by-nc-4",), 0),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4",), 0),
     ("CC-BY-SA-4.0", ("cc-by-sa-4",), 0),
+    ("CC-BY-SA-3.0", ("cc-by-sa-3",), 0),
     ("CC-BY-4.0", ("cc-by-4",), 0),
-    ("BSD", ("bsd-redist",), 0),
+    ("CC-BY-3.0", ("cc-by-3",), 0),
 ]
 
 _END = re.compile(r"(?<=[.!?;])[ \t]+")
@@ -129,7 +235,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, n_match, licence, first_sentence, last_sentence, sentences): one row for each match in a text.
 
     Null and empty texts have no match and give no row; rows that repeat a document give
-    repeated rows. Whole texts are read; a task holds one batch of them.
+    repeated rows, rows without id rows without id, an empty table none. Other columns aren't
+    read, whatever their names. Whole texts are read; a task holds one batch of them.
     """
     schema = "id long, n_match int, licence string, first_sentence int, last_sentence int, sentences array<string>"
     kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))

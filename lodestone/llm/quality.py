@@ -9,6 +9,7 @@ ledger, what each rule rejects alone and what dropping it would bring back.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -114,15 +115,18 @@ def apply_policy(ledger: DataFrame, policy: Policy = POLICIES[DEFAULT]) -> DataF
 
 
 def ablations(ledger: DataFrame, policy: Policy = POLICIES[DEFAULT]) -> DataFrame:
-    """For each hard rule: rows it fails, rows that it alone rejects (kept again without it), and all rows.
+    """For each hard or soft rule: rows that fail it, rows kept again if the policy dropped it alone, and all rows.
 
-    One pass with a fixed set of sums over bits; an empty ledger gives zeros.
+    A row comes back only if the rest of the policy keeps it: no other hard rule fails and few
+    enough soft ones do. One pass with a fixed set of sums over bits; an empty ledger gives zeros.
     """
-    hard = [(name, BIT[name]) for name, _ in RULES if policy.hard & BIT[name]]
-    masked = F.col("failed_bits").bitwiseAND(F.lit(policy.hard).cast("long"))
-    sums = [F.count_if(masked.bitwiseAND(F.lit(b).cast("long")) != 0).alias(f"f{i}") for i, (_, b) in enumerate(hard)] + [F.count_if(masked == b).alias(f"a{i}") for i, (_, b) in enumerate(hard)]
-    one = ledger.agg(F.count(F.lit(1)).alias("n"), F.bit_or(masked).alias("any_bits"), *sums)
-    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"f{i}").alias("n_failed"), F.col(f"a{i}").alias("n_only"), F.col("n").alias("n_rows")) for i, (name, _) in enumerate(hard)]))
+    used = [(name, BIT[name]) for name, _ in RULES if (policy.hard | policy.soft) & BIT[name]]
+    bits = F.col("failed_bits")
+    passes = lambda bits, p: (bits.bitwiseAND(F.lit(p.hard).cast("long")) == 0) & (F.bit_count(bits.bitwiseAND(F.lit(p.soft).cast("long"))) <= p.most_soft)
+    back = lambda b: ~passes(bits, policy) & passes(bits.bitwiseAND(F.lit(~b).cast("long")), policy)
+    sums = [F.count_if(bits.bitwiseAND(F.lit(b).cast("long")) != 0).alias(f"f{i}") for i, (_, b) in enumerate(used)] + [F.count_if(back(b)).alias(f"a{i}") for i, (_, b) in enumerate(used)]
+    one = ledger.agg(F.count(F.lit(1)).alias("n"), *sums)
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"f{i}").alias("n_failed"), F.col(f"a{i}").alias("n_only"), F.col("n").alias("n_rows")) for i, (name, _) in enumerate(used)]))
     return one.select(rows.alias("r")).select("r.*")
 
 
@@ -132,7 +136,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("__row"), F.col(id_col).alias("__given_id"), F.col(text_col).alias("__given_text"))
     ledger = apply_policy(measure(rows, "__given_id", "__given_text", carry=["__row"]), policy)
     # Counting rows here also keeps the filter above the measurements: pushed below, it would work them out anew for each use.
-    counted = ledger.observe("quality_rules", F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("kept"))
+    counted = ledger.observe(f"quality_rules_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("kept"))
     return counted.where("kept").select("__row.*")
 
 

@@ -2,33 +2,50 @@
 
 A batch of changes is turned into signed deltas: an insert adds a document's counts, a delete
 takes them back, a revision does both. A commit adds a batch up by source, language and
-tokenizer version and writes that as one folder named after the batch, so a batch committed
+tokenizer version, writes that to a folder of its own and then enters the folder in a
+manifest, by one rename that fails if the batch is there already. Only folders in the
+manifest are read, so a lost attempt leaves nothing behind that counts, and a batch committed
 again changes nothing. Totals are sums over the committed folders, whatever their order.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import bpe
+from lodestone.scratch import keep
+
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_chars"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
 
-#: Tokenizer versions: a name and the pattern whose matches are counted, valid in Java's and RE2's syntax.
+#: Tokenizer versions that a pattern's matches make, valid in Java's and RE2's syntax.
 TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "words-2": r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
 
 
-def counts(docs: DataFrame, tokenizer: str, pattern: str | None = None, text_col: str = "text") -> DataFrame:
+def counts(docs: DataFrame, tokenizer: str, n_tokens: Column | None = None, text_col: str = "text") -> DataFrame:
     """The columns of a delta for each row of ``docs``: keys, one document, its tokens and characters.
 
-    Null texts count as empty. Null sources and languages stay null and form groups of their own.
+    ``n_tokens`` counts a row's tokens; without it the named pattern does. Null texts count as
+    empty. Null sources and languages stay null and form groups of their own. Rows that repeat
+    a document, and those without id, count each; other columns than source, lang and the
+    text aren't read. Whole texts are counted, however long.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    n = F.regexp_count(text, F.lit(pattern or TOKENIZERS[tokenizer])).cast("long")
-    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), F.lit(1).cast("long").alias("n_docs"), n.alias("n_tokens"), F.length(text).cast("long").alias("n_chars"))
+    n = F.regexp_count(text, F.lit(TOKENIZERS[tokenizer])) if n_tokens is None else F.coalesce(n_tokens, F.lit(0))
+    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), F.lit(1).cast("long").alias("n_docs"), n.cast("long").alias("n_tokens"), F.length(text).cast("long").alias("n_chars"))
+
+
+def bpe_counts(docs: DataFrame, vocabulary: bpe.Vocabulary, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """As ``counts``, under a byte-level BPE vocabulary: its name is the tokenizer version."""
+    rows = keep(docs.select(F.monotonically_increasing_id().alias("row"), "source", "lang", F.col(text_col).cast("string").alias("text")), "ledger-rows")
+    encoded = bpe.encode(rows, vocabulary, "row").select("row", "n_tokens")
+    return counts(rows.join(encoded, "row"), tokenizer, F.col("n_tokens"))
 
 
 def signed(delta: DataFrame, sign: int) -> DataFrame:
@@ -45,33 +62,81 @@ def rolled_up(delta: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """Committed batches under a folder, one folder each."""
+    """Committed batches under a folder: data in folders of their own, named by a manifest of one file a batch."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def _at(self, path: str):
+        return self._jvm.org.apache.hadoop.fs.Path(path)
 
-    def committed(self, batch: str) -> bool:
-        """A batch counts once its folder has the mark that Spark's writer leaves when it is whole."""
-        return self._exists(f"{self.path}/batch={batch}/_SUCCESS")
+    def _files(self, path: str):
+        return self._at(path).getFileSystem(self._conf)
 
-    def commit(self, batch: str, delta: DataFrame) -> bool:
-        """Write a batch unless it was committed before; what a lost attempt left is replaced."""
+    def _entry(self, batch: str) -> str:
         if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
             raise ValueError("a batch's name has letters, digits, dots, dashes and underscores")
-        if self.committed(batch):
+        return f"{self.path}/manifest/{batch}.json"
+
+    def _read(self, path: str) -> dict:
+        stream = self._files(path).open(self._at(path))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _enter(self, batch: str, entry: dict) -> bool:
+        """The manifest's file is written aside and renamed; false if another writer was first."""
+        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
+        stream = self._files(aside).create(self._at(aside), True)
+        stream.write(bytearray(json.dumps(entry).encode()))
+        stream.close()
+        place = self._at(self._entry(batch))
+        self._files(aside).mkdirs(place.getParent())
+        names = self._jvm.org.apache.hadoop.fs
+        none = self.spark.sparkContext._gateway.new_array(names.Options.Rename, 1)
+        none[0] = names.Options.Rename.NONE
+        try:
+            names.FileContext.getFileContext(self._at(aside).toUri(), self._conf).rename(self._at(aside), place, none)
+        except Exception:
+            if not self.committed(batch):
+                raise
             return False
-        rolled_up(delta).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         return True
 
+    def committed(self, batch: str) -> bool:
+        return self._files(self.path).exists(self._at(self._entry(batch)))
+
+    def commit(self, batch: str, delta: DataFrame) -> bool:
+        """Write a batch unless it was committed before.
+
+        A batch sent again must have the same sums: others under its name are an error. Of two
+        writers at once one enters its folder; the other's is not read.
+        """
+        place = f"{self.path}/data/{batch}-{uuid.uuid4().hex}"
+        self._entry(batch)
+        rolled_up(delta).write.parquet(place)
+        sums = F.sum(F.xxhash64(*KEYS, *SUMS).cast("decimal(38,0)"))
+        digest = str(self.spark.read.schema(SCHEMA).parquet(place).agg(sums.alias("x")).first().x)
+        fresh = not self.committed(batch) and self._enter(batch, {"folder": place, "digest": digest})
+        if not fresh:
+            self._files(place).delete(self._at(place), True)
+            if self._read(self._entry(batch))["digest"] != digest:
+                raise ValueError(f"batch {batch} was committed with other sums")
+        return fresh
+
+    def folders(self) -> list[str]:
+        """The data folders of all committed batches, by name: one line of a manifest each, no data."""
+        top = f"{self.path}/manifest"
+        files = self._files(top)
+        if not files.exists(self._at(top)):
+            return []
+        return [self._read(p)["folder"] for p in sorted(str(x.getPath()) for x in files.listStatus(self._at(top)))]
+
     def batches(self) -> DataFrame:
-        if not self._exists(self.path):
-            return self.spark.createDataFrame([], SCHEMA + ", batch string")
-        return self.spark.read.schema(SCHEMA + ", batch string").parquet(self.path)
+        found = self.folders()
+        return self.spark.read.schema(SCHEMA).parquet(*found) if found else self.spark.createDataFrame([], SCHEMA)
 
     def totals(self) -> DataFrame:
         """Totals by source, language and tokenizer; groups without documents left are not listed."""

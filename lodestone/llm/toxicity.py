@@ -9,7 +9,7 @@ from labelled texts (a stem is itself a two-state machine: its letters, then any
 clause weights of a text are turned into a probability by a logistic fit.
 
 The fit and the stems come from a bounded sample of labelled rows (``MOST_LABELLED``), taken
-by hash; all texts are scored whole.
+by hash; equal texts with equal labels count once in it. All texts are scored whole.
 """
 
 from __future__ import annotations
@@ -168,25 +168,14 @@ def is_held_out(id_: Column) -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """(text, y): a bounded sample of labelled training texts, one of each kind of copies."""
-    from xxhash import xxh64_intdigest
+    """(text, y): a bounded sample of labelled training texts; equal texts count once for each label.
 
+    An id has one text, the least by name where ``docs`` repeats it, so there are ``most`` rows at most.
+    """
     some = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(~is_held_out(F.col("id")))
     some = some.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = []
-            for t in batch.column(0).to_pylist():
-                words = t.lower().encode("utf-8", "surrogatepass").split()
-                least.append(min((xxh64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0) >> 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64())], names=["text", "y", "least"])
-
-    # Texts with the same least shingle are copies of one another for the most part: one is enough.
-    # The sample may lie in few files: it is dealt out before Python reads it.
-    marked = texts.select("text", "y").repartition(F.xxhash64("text")).mapInArrow(run, "text string, y int, least long")
-    return marked.groupBy("least", "y").agg(F.min("text").alias("text")).select("text", "y")
+    return texts.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y").distinct()
 
 
 def _counted(texts: DataFrame, wanted: set[str] | None) -> DataFrame:

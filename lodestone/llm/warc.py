@@ -3,13 +3,20 @@
 Each response gives a conversion record, its text, and a metadata record, its title, links and
 headers. Both keep the target, date and digests of the response and refer to it by its record
 id. Records can be written as WARC 1.1 and read again.
+
+A record's ``headers`` are all its WARC fields that have no column of their own, under the
+names that they have in the file; the values of a field that repeats are parted by line ends.
+A derived record names its source's fields ``X-Source-...`` and its HTTP fields
+``X-Source-HTTP-...``.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -28,6 +35,7 @@ _TAG = re.compile(r"(?s)<[a-zA-Z/!?][^>]*>")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
 _LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
+_CHARSET = re.compile(r"""(?i)charset\s*=\s*["']?([A-Za-z0-9._:-]+)""")
 
 
 def digest(data: bytes) -> str:
@@ -54,6 +62,15 @@ def page_metadata(page: str | None) -> list[tuple[str, str]]:
     return out + [("outlink", html.unescape(next(x for x in m if x) if any(m) else "").strip()) for m in _LINK.findall(page or "")]
 
 
+def charset_of(content_type: str, payload: bytes) -> str:
+    """The character set that the HTTP header names, else the page itself in its first 1024 bytes, else UTF-8."""
+    named = _CHARSET.search(content_type) or _CHARSET.search(payload[:1024].decode("latin-1"))
+    try:
+        return codecs.lookup(named[1]).name if named else "utf-8"
+    except LookupError:
+        return "utf-8"
+
+
 def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
     """The headers and the payload of an HTTP response; without a status line all is payload."""
     if not block.startswith(b"HTTP/"):
@@ -67,11 +84,11 @@ def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
 def derived(response: dict) -> list[dict]:
     """The conversion and the metadata record of a response."""
     block = response.get("block") or b""
-    headers, payload = http_parts(block)
-    page = payload.decode("utf-8", "replace")
-    source = dict(response.get("headers") or ()) | {f"http-{k.lstrip(':')}": v for k, v in headers.items()}
+    http, payload = http_parts(block)
+    page = payload.decode(charset_of(http.get("content-type", ""), payload), "replace")
+    source = {f"X-Source-{k}": v for k, v in dict(response.get("headers") or ()).items()} | {f"X-Source-HTTP-{k.lstrip(':')}": v for k, v in http.items()}
     shared = {"refers_to": response["record_id"], "target_uri": response.get("target_uri"), "date": response.get("date"), "payload_digest": digest(payload)}
-    fields = [*page_metadata(page), *((f"source-{k}", v) for k, v in sorted(source.items())), ("source-block-digest", response.get("block_digest") or digest(block))]
+    fields = [*page_metadata(page), *((k.removeprefix("X-").lower(), x) for k, v in sorted(source.items()) for x in v.split("\n")), ("source-block-digest", response.get("block_digest") or digest(block))]
     blocks = {"conversion": ("text/plain; charset=utf-8", plain_text(page)), "metadata": ("application/warc-fields", "".join(f"{k}: {_BLANKS.sub(' ', v.replace(chr(10), ' '))}\r\n" for k, v in fields))}
     out = []
     for kind, (content_type, text) in blocks.items():
@@ -81,7 +98,12 @@ def derived(response: dict) -> list[dict]:
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id") -> DataFrame:
-    """Response records of stored pages (id, url, html). Null pages are empty; null ids and urls are kept as empty names."""
+    """Response records of stored pages (id, url, html).
+
+    Null pages are empty. A record's id is made of the page's id, address and content, so
+    pages without id or address have ids of their own and a page that repeats has one id.
+    Other columns aren't read; an empty table gives no record.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +111,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
             for id_, url, page in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = (page or "").encode("utf-8", "replace")
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-                rows.append({"source_id": id_, "warc_type": "response", "record_id": record_id(str(id_), url or ""), "target_uri": url, "date": date, "content_type": "application/http; msgtype=response", "payload_digest": digest(payload), "block_digest": digest(block), "headers": {}, "block": block})
+                rows.append({"source_id": id_, "warc_type": "response", "record_id": record_id(repr(id_), repr(url), digest(payload)), "target_uri": url, "date": date, "content_type": "application/http; msgtype=response", "payload_digest": digest(payload), "block_digest": digest(block), "headers": {}, "block": block})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("source_id", pa.int64()), *_TYPE]))
 
     given = pages.select(F.col(id_col).cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
@@ -97,7 +119,10 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
 
 
 def derivatives(records: DataFrame, carry: str | None = "source_id") -> DataFrame:
-    """Two records for each response of ``records`` that has an id; other records give none. ``carry`` names a long column kept."""
+    """Two records for each response of ``records`` that has an id; other records give none. ``carry`` names a long column kept.
+
+    Null blocks are empty; records that repeat give repeated records; whole pages are read.
+    """
     lead = [(carry, pa.int64())] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,49 +135,100 @@ def derivatives(records: DataFrame, carry: str | None = "source_id") -> DataFram
     return wanted.mapInArrow(run, (f"`{carry}` long, " if carry else "") + RECORD)
 
 
+#: What each record begins with, up to the digit of its version.
+_MARK = b"WARC/1."
+_LINE = re.compile(r"[\r\n]+")
 _FIELDS = {"WARC-Type": "warc_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri", "WARC-Date": "date", "Content-Type": "content_type", "WARC-Payload-Digest": "payload_digest", "WARC-Block-Digest": "block_digest"}
 
 
 def to_warc(record: dict) -> bytes:
-    """A record as WARC 1.1."""
+    """A record as WARC 1.1, its block byte for byte."""
     block = record.get("block") or b""
     named = [(k, record[c]) for k, c in _FIELDS.items() if record.get(c) is not None]
-    extra = sorted((f"X-Source-{k}", v) for k, v in dict(record.get("headers") or ()).items())
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*named, *extra, ("Content-Length", len(block))]).encode() + b"\r\n" + block + b"\r\n\r\n"
-
-
-def from_warc(data: bytes) -> list[dict]:
-    """The records of an uncompressed WARC file; a record cut short ends the list."""
-    out, at = [], 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0 and data.startswith(b"WARC/", at):
-        fields = dict(line.split(": ", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        size = int(fields.get("Content-Length", 0))
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            break
-        out.append({c: fields.get(k) for k, c in _FIELDS.items()} | {"headers": {k[9:]: v for k, v in fields.items() if k.startswith("X-Source-")}, "block": block})
-        at = end + 4 + size + 4
-    return out
+    extra = [(k, x) for k, v in sorted(dict(record.get("headers") or ()).items()) for x in (v or "").split("\n")]
+    lines = "".join(f"{k}: {_LINE.sub(' ', str(v))}\r\n" for k, v in [*named, *extra, ("Content-Length", len(block))])
+    return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def record_of(part: bytes) -> tuple[dict, int] | None:
+    """(record, bytes that its block lacks) of what follows a version mark; null if that is no record.
+
+    Names of fields go without regard to case. A block that is shorter than stated is kept as
+    it is and the record marked as truncated, if it isn't already.
+    """
+    head, found, rest = part.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not found or not re.fullmatch("[0-9]", lines[0]):
+        return None
+    fields: dict[str, list[str]] = {}
+    for name, colon, value in (line.partition(":") for line in lines[1:]):
+        if colon:
+            fields.setdefault(name.strip(), []).append(value.strip())
+    known = {k.lower(): c for k, c in _FIELDS.items()}
+    out: dict = dict.fromkeys(known.values()) | {"headers": {}}
+    size = None
+    for name, values in fields.items():
+        if name.lower() in known:
+            out[known[name.lower()]] = values[0]
+        elif name.lower() == "content-length":
+            size = int(values[0]) if values[0].isdigit() else None
+        else:
+            out["headers"][name] = "\n".join(values)
+    if out["warc_type"] is None:
+        return None
+    lacks = max(0, (size or 0) - len(rest))
+    if lacks:
+        out["headers"].setdefault("WARC-Truncated", "unspecified")
+    return out | {"block": rest[:size] if size is not None else rest.removesuffix(b"\r\n\r\n")}, lacks
+
+
+def records_in(parts: Iterator[bytes]) -> Iterator[dict]:
+    """The records of a file given as what lies between its version marks, in order.
+
+    A mark inside a block parts the block; it is put together again by the block's stated length.
+    """
+    held, lacks = b"", 0
+    for part in parts:
+        if held and (not lacks or len(part) + len(_MARK) > lacks + 4):
+            yield record_of(held)[0]
+            held = b""
+        whole = held + _MARK + part if held else part
+        found = record_of(whole)
+        held, lacks = (whole, found[1]) if found else (held, lacks)
+    if held:
+        yield record_of(held)[0]
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """Records of uncompressed or gzip-compressed WARC files, read by Spark's own reader. A task holds one file."""
-    import gzip
+    """Records of uncompressed or gzip-compressed WARC files, by Spark's own reader.
+
+    Files are parted at version marks, so tasks share an uncompressed file and no task holds
+    more of a file than a batch of records. A record whose block holds a mark and that lies
+    across the border of two tasks' parts comes out truncated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                data = content.as_py()
-                yield pa.RecordBatch.from_pylist(from_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data), _TYPE)
+        rows = ((place, part) for batch in batches for place, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        held: list[dict] = []
+        for _, of_file in itertools.groupby(rows, lambda r: r[0]):
+            for record in records_in(part for _, part in of_file):
+                held.append(record)
+                if len(held) == 200:
+                    yield pa.RecordBatch.from_pylist(held, _TYPE)
+                    held = []
+        yield pa.RecordBatch.from_pylist(held, _TYPE)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    place = F.concat_ws(":", "_metadata.file_path", "_metadata.file_block_start")
+    parts = spark.read.option("lineSep", _MARK.decode()).text(path).select(place, F.col("value").cast("binary"))
+    return parts.mapInArrow(run, RECORD)
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """One WARC file for each partition, by Spark's text writer."""
+    """One WARC file for each partition, by Spark's text writer, which passes bytes on as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([to_warc(r).decode("utf-8", "replace") for r in batch.to_pylist()])], names=["value"])
+            for at in range(0, batch.num_rows, 200):
+                yield pa.RecordBatch.from_arrays([pa.array([to_warc(r) for r in batch.slice(at, 200).to_pylist()], pa.binary())], names=["value"])
 
-    records.select(*NAMES).mapInArrow(run, "value string").write.option("lineSep", "").text(path)
+    records.select(*NAMES).mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "").text(path)
