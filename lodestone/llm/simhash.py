@@ -213,24 +213,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def links_of_seven(fps: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
-    """As ``links``, for seven bits: two fingerprints within them agree up to one bit in one of four segments.
-
-    Members of a hot key agree up to two bits in one of the other three segments: both enter
-    the whole ball of radius one there and so meet.
-    """
-    cut = F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col("fp"), s, 16).alias("value")) for s in range(4)])
-    segments = fps.select("fp", F.explode(cut).alias("c")).select("fp", "c.s", "c.value")
-    hot = segments.groupBy("s", "value").count().where(F.col("count") > hot_key)
-    ball = lambda v: F.concat(F.array(v), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: v.bitwiseXOR(F.pow(F.lit(2.0), i).cast("long"))))
-    hot = keep(hot.select("s", F.explode(ball(F.col("value"))).alias("at")).distinct(), "simhash-hot").withColumn("is_hot", F.lit(True))
-    entries = segments.select("fp", "s", F.explode(_keys(F.col("value"), 16)).alias("at")).join(hot, ["s", "at"], "left")
-    plain = entries.where("is_hot is null").select("fp", F.xxhash64("s", "at").alias("key"))
-    others = F.filter(cut, lambda c: c["s"] != F.col("s"))
-    split = entries.where("is_hot").select("fp", "s", "at", F.explode(others).alias("o")).select("fp", "s", "at", F.col("o.s").alias("s2"), F.explode(ball(F.col("o.value"))).alias("at2"))
-    return _verified_links(plain.unionByName(split.select("fp", F.xxhash64("s", "at", "s2", "at2").alias("key"))), 7)
-
-
 def set_digest(members: np.ndarray) -> bytes:
     """Names a set of shingle hashes, given sorted and without repeats."""
     from xxhash import xxh3_128_digest
@@ -390,13 +372,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return roots if more.isEmpty() else components(sure.unionByName(more))
 
 
+def one_of_each_id(docs: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id no other row has, and of those that repeat an id the least as JSON; null ids are left out."""
+    named = docs.where(F.col(id_col).isNotNull())
+    twice = keep(named.groupBy(F.col(id_col).alias("__twice")).count().where("count > 1").select("__twice"), "repeated-ids")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = named.select(F.col(id_col).alias("__id"), whole.alias("__row"))
+    single = rows.join(twice, F.col("__id") == F.col("__twice"), "left_anti")
+    again = rows.join(twice, F.col("__id") == F.col("__twice"), "left_semi").groupBy("__id").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    return single.unionByName(again).select("__row.*")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the one with the smallest id stays.
 
-    Rows without id can't be named and are kept as they are. Of rows that repeat an id one
-    stays. All columns of ``docs`` are kept.
+    Rows without id can't be named and are kept as they are. Of rows that repeat an id the
+    least one, written as JSON, stays. All columns of ``docs`` are kept, whatever their names;
+    an empty table stays empty, and empty texts are copies of no other.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    gone = keep(near_copies(named, id_col, text_col, shingle).where("node <> root").select(F.col("node").alias("__gone")), "simhash-gone")
-    kept = named.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    gone = keep(near_copies(docs, id_col, text_col, shingle).where("node <> root").select(F.col("node").alias("__node")), "simhash-gone")
+    kept = one_of_each_id(docs, id_col)
+    rows = kept.select(F.col(id_col).cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    left = rows.join(gone, F.col("__id") == F.col("__node"), "left_anti").select("__row.*")
+    return left.unionByName(docs.where(F.col(id_col).isNull()))

@@ -218,8 +218,8 @@ def read_warc(spark, path: str) -> DataFrame:
                     held = []
         yield pa.RecordBatch.from_pylist(held, _TYPE)
 
-    place = F.concat_ws(":", "_metadata.file_path", "_metadata.file_block_start")
-    parts = spark.read.option("lineSep", _MARK.decode()).text(path).select(place, F.col("value").cast("binary"))
+    place = F.concat_ws(":", "_metadata.file_path", "_metadata.file_block_start").alias("place")
+    parts = spark.read.option("lineSep", _MARK.decode()).text(path).select(place, F.col("value").cast("binary").alias("part"))
     return parts.mapInArrow(run, RECORD)
 
 
