@@ -224,11 +224,11 @@ def read_warc(spark, path: str) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """One WARC file for each partition, by Spark's text writer, which passes bytes on as they are."""
+    """One WARC file for each partition, by Spark's text writer, which passes bytes on as they are and ends each record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                yield pa.RecordBatch.from_arrays([pa.array([to_warc(r) for r in batch.slice(at, 200).to_pylist()], pa.binary())], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([to_warc(r)[:-4] for r in batch.slice(at, 200).to_pylist()], pa.binary())], names=["value"])
 
-    records.select(*NAMES).mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "").text(path)
+    records.select(*NAMES).mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").text(path)
