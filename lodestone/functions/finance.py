@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ISIN = "^[A-Z]{2}[A-Z0-9]{9}[0-9]$"
@@ -34,36 +34,42 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, d(1) - tail).otherwise(tail)
 
 
-def greeks(s: Column, k: Column, r: Column, sigma: Column, years: float, is_call: Column) -> dict[str, Column]:
-    """Black-Scholes price and sensitivities. Theta of a put uses the call's formula, as does its intrinsic value."""
-    root = sigma * d(math.sqrt(years))
-    d1 = (F.log(s / k) + (r + d(0.5) * sigma * sigma) * d(years)) / root
-    d2 = d1 - root
-    paid = k * F.exp(-r * d(years))
-    call, put = s * normal_cdf(d1) - paid * normal_cdf(d2), paid * normal_cdf(-d2) - s * normal_cdf(-d1)
-    price, intrinsic = F.when(is_call, call).otherwise(put), F.greatest(d(0), s - k)
-    return {
-        "price": price,
-        "delta": F.when(is_call, normal_cdf(d1)).otherwise(normal_cdf(d1) - 1),
-        "gamma": normal_pdf(d1) / (s * root),
-        "theta": (-s * normal_pdf(d1) * sigma / d(2 * math.sqrt(years)) - r * paid * normal_cdf(d2)) / d(365),
-        "vega": s * normal_pdf(d1) * d(math.sqrt(years)) / d(100),
-        "rho": F.when(is_call, paid * d(years) * normal_cdf(d2) / d(100)).otherwise(-paid * d(years) * normal_cdf(-d2) / d(100)),
-        "intrinsic": intrinsic,
-        "time_value": price - intrinsic,
-    }
-
-
-def option_price(s: Column, k: Column, r: Column, sigma: Column, is_call: Column) -> dict[str, Column]:
+def with_greeks(rows: DataFrame, years: float) -> DataFrame:
+    """``rows`` (s, k, r, sigma, is_call and others) with the Black-Scholes price and sensitivities.
+
+    Theta of a put uses the call's formula, as does its intrinsic value. What several results
+    share is a column of a step of its own, so that it is worked out once and the generated
+    code stays small. Without a spot or a volatility all results are null.
+    """
+    c = F.col
+    steps = rows.withColumns({"root": c("sigma") * d(math.sqrt(years)), "paid": c("k") * F.exp(-c("r") * d(years))})
+    steps = steps.withColumn("d1", (F.log(c("s") / c("k")) + (c("r") + d(0.5) * c("sigma") * c("sigma")) * d(years)) / c("root"))
+    steps = steps.withColumns({"n1": normal_cdf(c("d1")), "n2": normal_cdf(c("d1") - c("root")), "p1": normal_pdf(c("d1"))})
+    steps = steps.withColumns({"m1": normal_cdf(-c("d1")), "m2": normal_cdf(-(c("d1") - c("root")))})
+    by_kind = lambda call, put: F.when(c("is_call"), call).otherwise(put)
+    out = steps.withColumns({
+        "price": by_kind(c("s") * c("n1") - c("paid") * c("n2"), c("paid") * c("m2") - c("s") * c("m1")),
+        "delta": by_kind(c("n1"), c("n1") - 1),
+        "gamma": c("p1") / (c("s") * c("root")),
+        "theta": (-c("s") * c("p1") * c("sigma") / d(2 * math.sqrt(years)) - c("r") * c("paid") * c("n2")) / d(365),
+        "vega": c("s") * c("p1") * d(math.sqrt(years)) / d(100),
+        "rho": by_kind(c("paid") * d(years) * c("n2") / d(100), -c("paid") * d(years) * c("m2") / d(100)),
+        "intrinsic": F.when(c("s").isNotNull() & c("sigma").isNotNull(), F.greatest(d(0), c("s") - c("k"))),
+    })
+    return out.withColumn("time_value", c("price") - c("intrinsic")).drop("root", "paid", "d1", "n1", "n2", "m1", "m2", "p1")
+
+
+def option_price(rows: DataFrame) -> DataFrame:
     """One year's greeks; null without a price or with a volatility outside 0.01 to 2."""
-    ok = (s > 0) & sigma.between(0.01, 2.0)
-    return {n: F.when(ok, c) for n, c in greeks(s, k, r, sigma, 1.0, is_call).items()}
+    ok = (F.col("s") > 0) & F.col("sigma").between(0.01, 2.0)
+    return with_greeks(rows.withColumn("sigma", F.when(ok, F.col("sigma"))), 1.0)
 
 
-def trade_greeks(price: Column, k: Column, vol: Column, is_call: Column) -> dict[str, Column]:
+def trade_greeks(rows: DataFrame) -> DataFrame:
     """Half a year's greeks at the fixed rate, with a spot of 1.02 strikes and a volatility of 0.2 where none is given."""
-    s, sigma = F.when(price > 0, price).otherwise(k * d(1.02)), F.when(vol > 0, vol).otherwise(d(0.20))
-    return {n: c for n, c in greeks(s, k, d(RISK_FREE), sigma, 0.5, is_call).items() if n not in ("price", "intrinsic", "time_value")}
+    spot = F.when(F.col("s") > 0, F.col("s")).otherwise(F.col("k") * d(1.02))
+    given = rows.withColumns({"s": spot, "sigma": F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(d(0.20)), "r": d(RISK_FREE)})
+    return with_greeks(given, 0.5).drop("price", "intrinsic", "time_value")
 
 
 def yield_to_maturity(price: Column, face: Column, coupon_pct: Column, periods: Column) -> Column:

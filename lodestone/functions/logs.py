@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 #: A rolled file's name: component, then seventeen digits.
 FILE = r"^(.+)-([0-9]{17})\.log$"
+#: An entry: time to the second, level, thread and logger; milliseconds may be there or not, and the message isn't read.
+ENTRY = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})[.\d]*\s+(\w+)\s+\[[^\]]+\]\s+([\w$.]+)"
 STAMP = r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3})"
 
 
@@ -18,10 +20,22 @@ def line_time(line: Column) -> Column:
 
 
 def line_parts(line: Column) -> dict[str, Column]:
-    """Time to the second, upper-cased level and simple class name; the message is not kept."""
-    form = r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})\.[0-9]{3} +([A-Za-z]+) +\[[^\]]*\] +([A-Za-z0-9_.$]+) +-"
-    part = lambda n: F.nullif(F.regexp_extract(line, form, n), F.lit(""))
-    return {"time": F.concat(F.replace(part(1), F.lit(" "), F.lit("T")), F.lit("Z")), "level": F.upper(part(2)), "class_name": F.element_at(F.split(part(3), r"\."), -1)}
+    """Time to the second, upper-cased level and simple class name; the message is not kept.
+
+    All are null for a line that is no entry or has a date that there is not.
+    """
+    part = lambda n: F.regexp_extract(line, ENTRY, n)
+    entry = F.try_to_timestamp(F.nullif(part(1), F.lit("")), F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()
+    return {
+        "time": F.when(entry, F.concat(F.replace(part(1), F.lit(" "), F.lit("T")), F.lit("Z"))),
+        "level": F.when(entry, F.upper(part(2))),
+        "class_name": F.when(entry, F.substring_index(part(3), ".", -1)),
+    }
+
+
+def entries(lines: DataFrame, *others: str) -> DataFrame:
+    """``others`` and the parts of the lines that are entries; all other lines are left out."""
+    return lines.select(*others, *[x.alias(n) for n, x in line_parts(F.col("line")).items()]).where("time IS NOT NULL")
 
 
 def hhmm(value: str) -> str:
@@ -32,6 +46,12 @@ def hhmm(value: str) -> str:
     return f"{int(m[1]):02d}:{m[2]}"
 
 
+def hhmm_of(value: Column) -> Column:
+    """The same as a column; null where it is no time of day."""
+    hour, minute = (F.regexp_extract(value, r"^([0-9]{1,2}):([0-9]{2})$", n).try_cast("int") for n in (1, 2))
+    return F.when((hour <= 23) & (minute <= 59), F.format_string("%02d:%02d", hour, minute))
+
+
 def with_carried_time(lines: DataFrame) -> DataFrame:
     """``at``: the line's time, or that of the last line before it in the file that has one."""
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -64,7 +84,7 @@ def folded(hits: DataFrame, keys: list[str], order: str) -> DataFrame:
     same = F.lag("level").over(w).eqNullSafe(F.col("level")) & F.lag("class_name").over(w).eqNullSafe(F.col("class_name")) & (F.row_number().over(w) > 1)
     runs = hits.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("__new").over(w))
     out = runs.groupBy(*keys, "run").agg(F.min_by("time", order).alias("time"), F.first("level").alias("level"), F.first("class_name").alias("class_name"), F.count(F.lit(1)).alias("n"))
-    event = F.concat_ws(" ", "time", "level", "class_name")
+    event = F.concat("time", F.lit(" ["), "level", F.lit("]["), "class_name", F.lit("]"))
     return out.withColumn("event", F.when(F.col("n") > 1, F.concat(event, F.format_string(" (x%d times)", F.col("n")))).otherwise(event))
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
 
 class _Markdown(HTMLParser):
     """Headings, paragraphs, lists, links, images, bold, emphasis and code."""
@@ -92,18 +93,112 @@ def balanced_json(text: str | None) -> str | None:
     return None
 
 
+# The longest run of words taken from a heading of each level.
 _GRAMS = {1: 4, 2: 3, 3: 2, 4: 2, 5: 1, 6: 1}
+_COMPOUND, _WORD, _DIGITS = (re.compile(p) for p in (X.COMPOUND, X.WORD, X.DIGITS))
+_SKIP = frozenset(X.SKIP_WORDS)
+_HUMPS = re.compile("([a-z0-9])([A-Z])"), re.compile("([A-Z]+)([A-Z][a-z])")
+# What counts as an identifier in running text.
+_CAMEL = re.compile("[A-Za-z][a-z]+(?:[A-Z][a-z]+)+")
+_CAPS = re.compile(r"\b[A-Z][A-Z0-9]{1,}(?:_[A-Z0-9]+)*\b", re.A)
+_SNAKE = re.compile(r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+){1,}\b", re.A)
+_NAMES = re.compile(r"""(?:^|[\s\[({>'"\-])([A-Z][\w]*(?:[\s\-]+[A-Z][\w]*)+)""", re.A)
+_SINGLE = re.compile(r"""(?:^|[\s\[({>'"\-])([A-Z0-9_]{2,})(?=$|[\s\])}<'".,?!\-])""", re.A)
+_SPAN = re.compile(r"^[a-zA-Z][a-zA-Z0-9_.-]{1,63}$")
+_FENCE = re.compile(r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\Z)")
+_HEADING = re.compile(r"(?m)^ {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$|^(?! {0,3}#)([^\n]+)\n {0,3}(=+|-+)[ \t]*$")
+_INLINE = re.compile(r"(?s)\*\*(?=\S)(.+?)(?<=\S)\*\*|(?<!\w)__(?=\S)(.+?)(?<=\S)__(?!\w)|(`+)(?!`)(.+?)(?<!`)\3(?!`)")
+
+
+def _valid(word: str) -> bool:
+    return 2 <= len(word) <= 64 and word not in _SKIP and re.search("[a-z]", word) is not None
+
+
+def _parts(word: str) -> list[str]:
+    """A word as tokens: its humps if it has any, else itself."""
+    if re.search("[A-Z]", word) and re.search("[a-z]", word):
+        return [w for w in _HUMPS[1].sub(r"\1 \2", _HUMPS[0].sub(r"\1 \2", word)).lower().split() if _valid(w)]
+    return [w for w in word.lower().split("_") if w and _valid(w)]
+
+
+def words_of(text: str) -> list[str]:
+    """As ``text.words`` does for columns: compounds with their parts, words, digits."""
+    out = []
+    for compound in _COMPOUND.findall(text):
+        out.append(compound.lower())
+        if re.fullmatch(r"[0-9]+\.[0-9]+", compound):
+            continue
+        for part in filter(None, re.split("[-_.+/]", compound)):
+            out += ([part] if 2 <= len(part) <= 64 else []) if re.fullmatch("[0-9]+", part) else _parts(part)
+    for word in _WORD.findall(text):
+        out += _parts(word)
+    return out + _DIGITS.findall(text)
+
+
+def runs(words: list[str], least: int, most: int) -> list[str]:
+    return [" ".join(words[i : i + n]) for n in range(least, min(most, len(words)) + 1) for i in range(len(words) - n + 1)]
+
+
+def identifiers(text: str) -> Iterator[str]:
+    """Keywords from compounds, camel case, capitals, snake case and names of several capitalised words."""
+    for compound in _COMPOUND.findall(text):
+        yield compound.lower()
+        parts: list[str] = []
+        for part in filter(None, re.split("[-_.+/]", compound)):
+            if re.fullmatch("[0-9]+", part):
+                parts += [part] if len(part) >= 2 else []
+            else:
+                parts += [w for w in dict.fromkeys(words_of(part)) if w not in parts]
+        yield from runs(parts, 1, 4)
+    for word in _CAMEL.findall(text):
+        yield from runs(words_of(word), 1, 3)
+    for found, always in ((_CAPS, True), (_SNAKE, False)):
+        for word in found.findall(text):
+            if always:
+                yield word.lower()
+            if "_" in word:
+                yield from runs([w for w in word.lower().split("_") if len(w) >= 2 and w not in _SKIP], 1, 3)
+    for name in dict.fromkeys(x.strip() for found in (_NAMES, _SINGLE) for x in found.findall(text)):
+        words = words_of(name)
+        yield from runs(words, 2, 4) if len(words) > 1 else words
 
 
 def keywords_of(markdown: str | None) -> list[str]:
-    """Words of headings (longer runs the higher the heading), bold text and code, first come first."""
+    """Distinct keywords by what marks them, in order: headings (longer runs the higher), bold text, code, and identifiers anywhere."""
+    text = (markdown or "").replace("\r\n", "\n")
     out: dict[str, None] = {}
-    found = [(_GRAMS[len(h)], t) for h, t in re.findall(r"(?m)^(#{1,6})\s+(.+)$", markdown or "")] + [(3, t) for t in re.findall(r"\*\*(.+?)\*\*", markdown or "")] + [(1, t) for t in re.findall(r"`([^`]+)`", markdown or "")]
-    for most, text in found:
-        words = re.findall(r"[A-Za-z][A-Za-z0-9_]+", text.lower())
-        for n in range(1, most + 1):
-            out.update(dict.fromkeys(" ".join(words[i : i + n]) for i in range(len(words) - n + 1)))
-    return list(out)
+
+    def marked(piece: str, most: int | None) -> None:
+        out.update(dict.fromkeys(runs(words_of(piece), 1, most) if most else []))
+        out.update(dict.fromkeys(identifiers(piece)))
+
+    def inline(piece: str) -> None:
+        for bold, under, _, code in _INLINE.findall(piece):
+            if code:
+                marked(code, None)
+                if _SPAN.match(code.strip()):
+                    out[code.strip().lower()] = None
+            else:
+                marked(bold or under, 3)
+
+    def prose(piece: str) -> None:
+        at = 0
+        for h in _HEADING.finditer(piece):
+            inline(piece[at : h.start()])
+            title, level = (h[2] or "", len(h[1])) if h[1] else (h[3], 1 if h[4][0] == "=" else 2)
+            marked(re.sub(r"!?\[([^\]]*)\]\([^)]*\)|[*`]", r"\1", title), _GRAMS[level])
+            inline(title)
+            at = h.end()
+        inline(piece[at:])
+
+    at = 0
+    for fence in _FENCE.finditer(text):
+        prose(text[at : fence.start()])
+        marked(fence[2], None)
+        at = fence.end()
+    prose(text[at:])
+    out.update(dict.fromkeys(identifiers(text)))
+    return [k for k in out if len(k) >= 2]
 
 
 def _mapped(df: DataFrame, id_col: str, text_col: str, out_col: str, kind: pa.DataType, ddl: str, f) -> DataFrame:

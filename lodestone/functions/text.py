@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that are no tokens.
@@ -40,6 +40,10 @@ PATTERNS = [
 URL = r"https?://(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b[-a-zA-Z0-9()@:%_+.~#?&/=]*"
 PHONE = r"\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\b"
 
+#: What makes a keyword look like a pattern, and the separators that give a token a structure.
+PATTERN_LIKE = r"\[.*\]|\\[A-Za-z0-9_]|\(\?|\{[0-9]"
+SEPARATORS = r"[-_+=$/]"
+
 COMPOUND = r"[A-Za-z0-9]+(?:[-_.+/][A-Za-z0-9]+)+"
 WORD = r"[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*"
 # Java's word boundary knows other letters than ASCII's; the pattern spells the boundary out.
@@ -59,6 +63,15 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def each(rows: DataFrame, array: Column, *kept: str) -> DataFrame:
+    """(kept, pos, x): a row for each element of an array.
+
+    The array is exploded as if rows without elements were wanted, and those are left out
+    afterwards: else the optimizer would work the array out a second time, for a filter.
+    """
+    return rows.select(*kept, F.posexplode_outer(array).alias("pos", "x")).where("pos IS NOT NULL")
+
+
 def camel_parts(c: Column) -> Column:
     """Lower-cased parts of a camel-case word."""
     spaced = F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
@@ -119,8 +132,11 @@ def gram_slot_index(c: Column) -> Column:
 
 
 def gram_slot_synonym(c: Column) -> Column:
-    """As for stored keywords, but a decimal number and anything that looks like a pattern count as one."""
-    return F.when(c.rlike(r"^[0-9]+\.[0-9]+$") | c.rlike(r"[\\^$*?()\[\]{}|]"), 1).otherwise(gram_slot_index(c))
+    """As for stored keywords, but a decimal number is one; of a pattern, dashes and slashes outside its classes and escapes part the units."""
+    words = F.size(F.split(F.trim(c), " +"))
+    outside = F.regexp_replace(F.regexp_replace(c, r"\\.", ""), r"\[[^\]]*\]?", "")
+    units = F.length(outside) - F.length(F.translate(outside, "-/", "")) + 1
+    return F.when(words > 1, F.least(words, F.lit(4))).when(c.rlike(PATTERN_LIKE), F.least(units, F.lit(4))).when(c.rlike(r"^[0-9]+\.[0-9]+$"), 1).otherwise(gram_slot_index(c))
 
 
 def length_multiplier(c: Column) -> Column:
@@ -136,12 +152,31 @@ def pattern_names(c: Column) -> Column:
 
 
 def structural_pattern(c: Column) -> Column:
-    """Runs of letters, digits and separators as a pattern, for example ``[A-Z]{2}-[0-9]{4}``."""
+    """Runs of one kind of character as a pattern: upper and lower case are kinds of their own but are written alike."""
     runs = F.regexp_extract_all(text_of(c), F.lit("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0))
-    kind = lambda r: F.when(r.rlike("^[A-Z]"), "[A-Z]").when(r.rlike("^[a-z]"), "[a-z]").when(r.rlike("^[0-9]"), r"\d").otherwise(F.regexp_replace(F.left(r, F.lit(1)), r"([\\.^$|?*+()\[\]{}])", r"\\$1"))
+    kind = lambda r: F.when(r.rlike("^[A-Za-z]"), "[A-Za-z]").when(r.rlike("^[0-9]"), r"\d").otherwise(F.regexp_replace(F.left(r, F.lit(1)), r"([\\.^$|?*+()\[\]{}])", r"\\$1"))
     return F.array_join(F.transform(runs, lambda r: F.concat(kind(r), F.when(F.length(r) > 1, F.format_string("{%d}", F.length(r))).otherwise(""))), "")
 
 
+def pattern_synonyms(c: Column) -> Column:
+    """Other forms of one keyword: rounded numbers, its structure, names of patterns, dashed spellings; repeats included."""
+    none = F.array().cast("array<string>")
+    only = lambda when, *forms: F.when(when, F.array(*forms)).otherwise(none)
+    decimals = F.length(F.regexp_extract(c, r"^[0-9]+\.([0-9]{2,})$", 1))
+    fixed = lambda n: F.round(c.try_cast("decimal(38,18)"), n).cast("string")
+    digits = F.length(F.regexp_replace(c, "[^0-9]", ""))
+    names = F.flatten(F.transform(pattern_names(c), lambda p: F.when(F.contains(p, F.lit("DATE")), F.array(F.lower(p), F.replace(c, F.lit("/"), F.lit("-")))).otherwise(F.array(F.lower(p)))))
+    return F.concat(
+        only(decimals >= 2, F.regexp_extract(c, "^[0-9]+", 0), fixed(1), fixed(2)),
+        only(decimals >= 3, fixed(3)),
+        only((digits >= 3) | c.rlike(SEPARATORS), structural_pattern(c)),
+        names,
+        only(c.rlike("[A-Z][a-z]+(?:[A-Z][a-z]+)+"), F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1-$2"))),
+        only(c.rlike("[a-z0-9]+(?:_[a-z0-9]+)+"), F.replace(c, F.lit("_"), F.lit("-"))),
+        only(c.rlike(PHONE), F.replace(c, F.lit("."), F.lit("-"))),
+    )
+
+
 def truncated(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most)), F.lit("..."))).otherwise(c)
 

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
+from lodestone.scratch import keep
 
 K1, B, TOP = 1.2, 0.75, 30
+#: A gram in one document of so many, or in more, is common.
+COMMON = 100
+#: Parts into which stored keywords are dealt by token.
+BUCKETS = 64
 CATEGORIES = ["title", "structural", "semantic", "bm25", "kg"]
 # Weights of the layers; keyword weights by number of words.
 WHOLE = {"id": 50, "title": 35, "keywords": 8, "tags": 6, "type": 4, "referenced_exact": 40, "referenced_partial": 20}
@@ -21,34 +26,52 @@ CUT, MOST = 0.3, 5
 c = F.col
 
 
-def word_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(c(id_col).alias("doc_id"), X.words(c(text_col)).alias("words"))
-
 
 def gram_arrays(words: Column, most: int = 4) -> Column:
-    """(pos, n, gram) for 1 to ``most`` words, by n, then by place; repeats included."""
-    made = lambda n: F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda w, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("gram")))
-    return F.concat(*[made(n) for n in range(1, most + 1)])
+    """(n, pos, gram) for 1 to ``most`` words, by n, then by place; repeats included."""
+
+    def made(w: Column, n: int) -> Column:
+        starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("gram")))
+
+    # The words are a variable of a lambda, so that they are worked out once for each text.
+    return F.get(F.transform(F.array(words), lambda w: F.concat(*[made(w, n) for n in range(1, most + 1)])), F.lit(0))
 
 
 def grams(docs: DataFrame, id_col: str, text_col: str, most: int = 4) -> DataFrame:
     """(doc_id, n, pos, gram): a row for each gram of each text, without a shuffle."""
-    return word_arrays(docs, id_col, text_col).select("doc_id", F.explode(gram_arrays(c("words"), most)).alias("g")).select("doc_id", "g.n", "g.pos", "g.gram")
+    rows = docs.select(c(id_col).alias("doc_id"), gram_arrays(X.words(c(text_col)), most).alias("g"))
+    return X.each(rows, c("g"), "doc_id").select("doc_id", "x.n", "x.pos", "x.gram")
+
 
+def frequencies(docs: DataFrame, id_col: str, text_col: str, most: int = 4) -> DataFrame:
+    """(doc_id, gram, n, tf, dl): how often each text has each gram, and all its grams.
 
-def frequencies(rows: DataFrame) -> DataFrame:
-    """(doc_id, gram, n, tf, first): the place is that among grams of all sizes."""
-    return rows.groupBy("doc_id", "gram").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("tf"))
+    Grams are counted within the row: sorted, equal ones are neighbours. Nothing is shuffled.
+    """
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def counted(g: Column) -> Column:
+        starts = F.filter(F.transform(g, lambda x, i: F.when((i == 0) | (x != F.get(g, i - 1)), i)), lambda i: i.isNotNull())
+        runs = lambda s: F.transform(s, lambda p, k: F.struct(F.get(g, p).alias("gram"), (F.coalesce(F.get(s, k + 1), F.size(g)) - p).cast("long").alias("tf"), F.size(g).cast("long").alias("dl")))
+        return let(starts, runs)
+
+    sorted_ = F.array_sort(F.transform(gram_arrays(X.words(c(text_col)), most), lambda g: g["gram"]))
+    rows = docs.select(c(id_col).alias("doc_id"), let(sorted_, counted).alias("runs"))
+    each = X.each(rows, c("runs"), "doc_id").select("doc_id", "x.gram", "x.tf", "x.dl")
+    return each.select("doc_id", "gram", (F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) + 1).alias("n"), "tf", "dl")
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus(docs: DataFrame, tf: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row: documents and average number of grams, 1 if there are none."""
-    total = tf.agg(F.sum("tf").alias("total"))
-    return docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(total).select("n_docs", F.coalesce(F.nullif(c("total") / c("n_docs"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+def corpus(docs: DataFrame, text_col: str = "text", most: int = 4) -> DataFrame:
+    """One row: documents and average number of grams, 1 if there are none. Read off the numbers of words."""
+    n = F.size(X.words(c(text_col))).cast("long")
+    words = docs.select(n.alias("w"))
+    grams_of = sum((F.greatest(c("w") - k, F.lit(0)) for k in range(most)), F.lit(0))
+    return words.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(grams_of).alias("total")).select("n_docs", F.coalesce(F.nullif(c("total") / c("n_docs"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -59,11 +82,23 @@ def bm25_weight(tf: Column, dl: Column, avgdl: Column, weight: Column, k1: float
     return weight * (tf * F.lit(k1 + 1)) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / avgdl))
 
 
-def bm25(docs: DataFrame, tf: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, gram, n, tf, score) of all grams. Common grams skew the join by gram; adaptive execution splits them."""
-    lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    scored = tf.join(document_frequencies(tf), "gram").join(lengths, "doc_id").crossJoin(F.broadcast(corpus(docs, tf, id_col)))
-    return scored.select("doc_id", "gram", "n", "tf", F.round(bm25_weight(c("tf"), c("dl"), c("avgdl"), idf(c("n_docs"), c("df"))), 6).alias("score"))
+def bm25(tf: DataFrame, totals: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(doc_id, gram, n, tf, score) of all grams, or of those of the documents in ``targets`` (doc_id).
+
+    ``tf`` is the written table of ``frequencies``, ``totals`` the row of ``corpus``. Grams in
+    one of ``COMMON`` documents or more are joined by broadcast, all others by gram: there are
+    ``COMMON`` times as many common grams as a document has distinct ones at most, whatever
+    the number of documents, so what is sent has a bound and no common gram fills one task.
+    """
+    known = written(document_frequencies(tf), "df")
+    sized = known.crossJoin(F.broadcast(totals))
+    common = sized.where(c("df") * COMMON >= c("n_docs")).select("gram", c("df").alias("common_df"))
+    mine = tf if targets is None else tf.join(targets.select("doc_id").distinct(), "doc_id", "left_semi")
+    marked = mine.join(F.broadcast(common), "gram", "left")
+    rare = sized.where(c("df") * COMMON < c("n_docs")).select("gram", "df")
+    met = marked.where("common_df IS NOT NULL").withColumnRenamed("common_df", "df").unionByName(marked.where("common_df IS NULL").drop("common_df").join(rare, "gram"))
+    score = bm25_weight(c("tf"), c("dl"), c("avgdl"), idf(c("n_docs"), c("df")))
+    return met.crossJoin(F.broadcast(totals)).select("doc_id", "gram", "n", "tf", F.round(score, 6).alias("score"))
 
 
 def top_grams(scored: DataFrame, most: int = TOP) -> DataFrame:
@@ -78,15 +113,38 @@ def postings(rows: DataFrame, category: str) -> DataFrame:
 
 
 def title_postings(docs: DataFrame, id_col: str = "doc_id", title_col: str = "title") -> DataFrame:
-    tf = frequencies(grams(docs, id_col, title_col))
-    stored = postings(tf, "title")
+    """Titles' distinct grams; each counts once."""
+    stored = postings(frequencies(docs, id_col, title_col).withColumn("tf", F.lit(1)), "title")
     return stored.where((F.length("token") >= 2) & ~((c("gram") == 1) & c("token").isin(X.SKIP_WORDS)))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    return keep(df, name)
+
+
+def bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def store_postings(posts: DataFrame, path: str) -> None:
+    """Postings written by bucket of token, so that a question reads its own tokens' buckets only."""
+    dealt = posts.withColumn("bucket", bucket(c("token"))).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    dealt.sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def stored_postings(spark, path: str, tokens: list[str] | None = None) -> DataFrame:
+    """Stored postings; those of the tokens of a question are read by bucket, and the tokens go into the scan."""
+    posts = spark.read.parquet(path)
+    if tokens is None:
+        return posts.drop("bucket")
+    buckets = [r.b for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(bucket(c("t")).alias("b")).distinct().collect()]
+    return posts.where(c("bucket").isin(buckets) & c("token").isin(tokens)).drop("bucket")
+
+
 def query_grams(spark, text: str) -> DataFrame:
     """(gram, token, mult): the distinct grams of a question in the slots in which they are looked up."""
     one = spark.createDataFrame([(0, text)], "id int, text string")
-    found = grams(one, "id", "text").select(c("gram").alias("token")).distinct()
+    found = frequencies(one, "id", "text").select(c("gram").alias("token")).distinct()
     return found.select(X.gram_slot_query(c("token")).alias("gram"), F.lower("token").alias("token"), X.length_multiplier(c("token")).alias("mult"))
 
 
@@ -104,27 +162,34 @@ def keyword_layer(posts: DataFrame, asked: DataFrame, weights: dict[str, list[in
     return met.groupBy("doc_id", "category", "gram").agg(F.sum(c("tf") * c("mult") * c("weight")).alias("contribution"))
 
 
-def whole_query_layer(meta: DataFrame, text: str) -> Column:
+def whole_query_layer(text: str) -> Column:
+    """The whole question against id, title, type, tags and the questions that refer to the document."""
     q = F.lit(text.lower())
     has = lambda x: F.contains(F.lower(X.text_of(x)), q)
     tags = F.exists("tags", lambda t: F.contains(F.lower(t), q))
     hit = lambda cond, w: F.when(cond, F.lit(float(w))).otherwise(F.lit(0.0))
-    return hit(has(c("id")), WHOLE["id"]) + hit(has(c("title")), WHOLE["title"]) + hit(has(c("type")), WHOLE["type"]) + hit(tags, WHOLE["tags"])
+    exact = F.exists("referenced", lambda r: F.lower(r) == q)
+    partial = F.exists("referenced", lambda r: F.contains(F.lower(r), q) | F.contains(q, F.lower(r)))
+    return (
+        hit(has(c("id")), WHOLE["id"]) + hit(has(c("title")), WHOLE["title"]) + hit(has(c("type")), WHOLE["type"]) + hit(tags, WHOLE["tags"])
+        + hit(exact, WHOLE["referenced_exact"]) + hit(partial, WHOLE["referenced_partial"])
+    )
 
 
 def term_layer(terms: list[str]) -> Column:
-    """id, title, type and tags that contain a word of the question, each times the word's multiplier."""
+    """id, title, type, tags and referring questions that contain a word of the question, each times the word's multiplier."""
     total = F.lit(0.0)
     for term in terms:
         t, mult = F.lit(term), F.lit(1.0 + (len(term) - 6) * 0.1 if len(term) >= 7 else 1.0)
         for column in ("id", "title", "type"):
             total = total + F.when(F.contains(F.lower(X.text_of(c(column))), t), F.lit(float(TERM[column])) * mult).otherwise(F.lit(0.0))
-        total = total + F.when(_any_tag(term), F.lit(float(TERM["tags"])) * mult).otherwise(F.lit(0.0))
+        total = total + F.when(_any(term, "tags"), F.lit(float(TERM["tags"])) * mult).otherwise(F.lit(0.0))
+        total = total + F.when(_any(term, "referenced"), F.lit(float(TERM["referenced"])) * mult).otherwise(F.lit(0.0))
     return total
 
 
-def _any_tag(term: str) -> Column:
-    return F.exists("tags", lambda x: F.contains(F.lower(x), F.lit(term)))
+def _any(term: str, column: str) -> Column:
+    return F.exists(column, lambda x: F.contains(F.lower(x), F.lit(term)))
 
 
 def tag_pinned(text: str) -> Column:
@@ -133,14 +198,18 @@ def tag_pinned(text: str) -> Column:
 
 
 def scored(meta: DataFrame, posts: DataFrame, text: str) -> DataFrame:
-    """(id, score, pinned) over all layers; pinned documents that score nothing stay with zero."""
+    """(id, score, pinned) over all layers; pinned documents that score nothing stay with zero.
+
+    ``meta`` has id, title, type, tags and referenced; ``posts`` the stored keywords of the
+    question's tokens and of the whole question, if it is a keyword.
+    """
     spark = meta.sparkSession
     terms, asked = query_terms(spark, text), query_grams(spark, text)
     layers = keyword_layer(posts, asked).groupBy("doc_id").agg(F.sum("contribution").alias("kw"))
     wanted = spark.createDataFrame([(t, 1.0 + (len(t) - 6) * 0.1 if len(t) >= 7 else 1.0) for t in terms], "token string, mult double")
     once = posts.select("doc_id", "token").distinct().join(F.broadcast(wanted), "token").groupBy("doc_id").agg(F.sum(c("mult") * TERM["keywords"]).alias("kt"))
     exact = posts.where(c("token") == text.lower()).select("doc_id").distinct().withColumn("kq", F.lit(float(WHOLE["keywords"])))
-    base = meta.select("id", (whole_query_layer(meta, text) + term_layer(terms)).alias("m"), tag_pinned(text).alias("pinned"))
+    base = meta.select("id", (whole_query_layer(text) + term_layer(terms)).alias("m"), tag_pinned(text).alias("pinned"))
     zero = lambda x: F.coalesce(c(x), F.lit(0.0))
     met = base.join(layers.withColumnRenamed("doc_id", "id"), "id", "left").join(once.withColumnRenamed("doc_id", "id"), "id", "left").join(exact.withColumnRenamed("doc_id", "id"), "id", "left")
     return met.select("id", F.round(c("m") + zero("kw") + zero("kt") + zero("kq"), 6).alias("score"), "pinned").where("score > 0 OR pinned")

@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from lodestone.scratch import keep
 
 c = F.col
+# Characters of a partial content, the note after it, and characters of an issue that is quoted.
+PARTIAL, QUOTED = 600, 800
+PARTIAL_NOTE = "[Note]: This is partial content. If the partial content is likely related to the user query, MUST read full content using mode 'id_2_content' with the same doc ID."
 
 
 def upsert(store: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -21,8 +24,8 @@ def without(store: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 def newest(rows: DataFrame, key: str, priority: str) -> DataFrame:
-    """One row for each key, that of the highest priority."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(priority)))
+    """One row for each key, that of the highest priority; of equals the greatest as JSON."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(priority), F.desc(F.to_json(F.struct(*[c(f"`{x}`") for x in rows.columns])))))
     return rows.withColumn("__n", n).where("__n = 1").drop("__n")
 
 
@@ -59,14 +62,57 @@ def related(targets: DataFrame, store: DataFrame) -> DataFrame:
     return targets.select("id", F.lit(False).alias("traversed")).unionByName(store.select("id").join(linked, "id", "left_semi").select("id", F.lit(True).alias("traversed")))
 
 
-def reached(roots: DataFrame, links: DataFrame, most: int = 50) -> DataFrame:
-    """(id, depth) of a hierarchy, breadth first; each level is written, so lineage stays short."""
-    seen = keep(roots.select("id", F.lit(0).alias("depth")).distinct(), "bfs")
-    front = seen
-    for depth in range(1, most + 1):
+def expanded(keys: DataFrame, store: DataFrame) -> DataFrame:
+    """Keys (doc_id, key) with the document that each means: by issue key, by a title that begins with it, or by id.
+
+    Three joins by equality; of several documents the one with the least id is quoted.
+    """
+    upper = lambda x: F.upper(F.coalesce(x, F.lit("")))
+    named = [upper(c("issue_key")), F.when(F.contains("title", F.lit(":")), F.substring_index(upper(c("title")), ":", 1)), upper(c("id"))]
+    arms = store.select("id", "title", "content", F.explode(F.array_compact(F.array_distinct(F.array(*named)))).alias("key"))
+    found = arms.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min_by(F.struct("title", "content"), "id").alias("d"))
+    quoted = F.concat(F.lit("["), "key", F.lit("] "), F.coalesce("d.title", F.lit("")), F.lit("\n"), F.left(F.coalesce("d.content", F.lit("")), F.lit(QUOTED)))
+    return keys.distinct().join(found, "key").select("doc_id", "key", quoted.alias("content"))
+
+
+def resolved(asked: DataFrame, store: DataFrame) -> DataFrame:
+    """``asked`` (doc_id, asked, link) with ``found``: the document by id or issue key, else by the page id in the link."""
+    arms = store.select("id", F.explode(F.array_compact(F.array_distinct(F.array(c("id"), F.upper("issue_key"))))).alias("name")).groupBy("name").agg(F.min("id").alias("by_name"))
+    pages = store.select(c("id").alias("by_link"))
+    page = F.nullif(F.regexp_extract(F.coalesce("link", F.lit("")), r"[?&]pageId=([0-9]+)", 1), F.lit(""))
+    met = asked.join(arms, F.upper("asked") == c("name"), "left").withColumn("page", page).join(pages, c("page") == c("by_link"), "left")
+    return met.select("doc_id", F.coalesce("by_name", "by_link").alias("found"))
+
+
+def checked(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """(mode, id, part): what each of the five modes of a document check says of the documents asked for.
+
+    ``store`` has id, title, type, tags, summary, url, related and content. The last mode adds
+    pages one link away. Parts are rows, joined by the caller only if they are few.
+    """
+    asked = store.join(ids.distinct(), "id", "left_semi")
+    head = F.concat(F.lit("### ["), "title", F.lit("] (ID: "), "id", F.lit(")\n"))
+    partial = F.when(F.length("content") > PARTIAL, F.concat(F.left("content", F.lit(PARTIAL)), F.lit(f"...\n{PARTIAL_NOTE}"))).otherwise(c("content"))
+    short = ["id", "title", "summary", "tags", "type", "url"]
+    near = related(asked.select("id", "related"), store)
+    graph = store.join(near, "id").select("id", F.to_json(F.struct(*short, F.lit("").alias("knowledgeGraph"), c("related").alias("relatedPages"), c("traversed").alias("_traversed"))).alias("part"))
+    mode = lambda name, rows, part: rows.select(F.lit(name).alias("mode"), "id", part.alias("part"))
+    return (
+        mode("id_2_content", asked, F.concat(head, "content"))
+        .unionByName(mode("id_2_metadata", asked, F.to_json(F.struct("id", "title", "type", "tags", "summary", "url", "related"))))
+        .unionByName(mode("id_2_content_partial", asked.where("content <> ''"), F.concat(head, partial)))
+        .unionByName(mode("id_2_metadata_4_summary", asked, F.to_json(F.struct(*short))))
+        .unionByName(mode("id_2_metadata_4_summary_kg", graph, c("part")))
+    )
+
+
+def reached(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, depth) of a hierarchy, breadth first, until nothing new is found; each level is written, so lineage stays short."""
+    seen = front = keep(roots.select("id", F.lit(0).alias("depth")).distinct(), "bfs")
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
         found = front.select(c("id").alias("parent")).join(links, "parent").select(c("child").alias("id")).distinct()
         front = keep(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth")), "bfs")
-        if front.isEmpty():
-            break
         seen = keep(seen.unionByName(front), "bfs")
     return seen

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from lodestone.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The question of the ranking queries.
+ASKED = "ci der die und les src7"
 
 
 class Tables:
@@ -25,7 +27,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def doc_meta(self) -> DataFrame:
-        """Documents as stored metadata: id, title (start of the first line), type, tags, summary, last_updated, version."""
+        """Documents as stored metadata: id, title (start of the first line), type, tags, summary, last_updated, version, url, referring questions."""
         first = F.substring_index("text", "\n", 1)
         return self.documents.select(
             F.col("doc_id").cast("string").alias("id"),
@@ -36,6 +38,11 @@ class Tables:
             F.format_string("2024-%02d-%02d", F.pmod("doc_id", F.lit(12)) + 1, F.pmod("doc_id", F.lit(28)) + 1).alias("last_updated"),
             (F.pmod("doc_id", F.lit(5)) + 1).cast("int").alias("version"),
             F.concat(F.lit("https://wiki.example.com/pages/"), F.col("doc_id").cast("string")).alias("url"),
+            F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(ASKED)))
+            .when(F.col("doc_id") % 4 == 1, F.array(F.lit("Die und"), "lang"))
+            .when(F.col("doc_id") % 4 == 2, F.array(F.concat("source", F.lit(" how"))))
+            .otherwise(F.array().cast("array<string>"))
+            .alias("referenced"),
         )
 
     def log_lines(self) -> DataFrame:
@@ -50,8 +57,9 @@ class Tables:
 
 
 #: The same views in DuckDB.
-DOC_META_SQL = """doc_meta AS (SELECT doc_id::VARCHAR AS id, left(string_split(text, chr(10))[1], 60) AS title, source AS type, [lang, source] AS tags, left(text, 200) AS summary,
- printf('2024-%02d-%02d', (doc_id % 12) + 1, (doc_id % 28) + 1) AS last_updated, (doc_id % 5 + 1)::INT AS version, 'https://wiki.example.com/pages/' || doc_id AS url FROM documents)"""
+DOC_META_SQL = f"""doc_meta AS (SELECT doc_id::VARCHAR AS id, left(string_split(text, chr(10))[1], 60) AS title, source AS type, [lang, source] AS tags, left(text, 200) AS summary,
+ printf('2024-%02d-%02d', (doc_id % 12) + 1, (doc_id % 28) + 1) AS last_updated, (doc_id % 5 + 1)::INT AS version, 'https://wiki.example.com/pages/' || doc_id AS url,
+ CASE doc_id % 4 WHEN 0 THEN ['{ASKED}'] WHEN 1 THEN ['Die und', lang] WHEN 2 THEN [source || ' how'] ELSE []::VARCHAR[] END AS referenced FROM documents)"""
 LOG_LINES_SQL = """log_lines AS (SELECT 'app' AS component, 'app-' || strftime(ts, '%Y%m%d') || '000000000.log' AS file, row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d') ORDER BY ts, event_id) AS line_no,
  CASE WHEN event_id % 7 = 3 THEN '  at com.app.' || upper(event_type[1]) || event_type[2:] || '.handle'
  ELSE printf('%s %-5s [t-%d] com.app.%s - v=%d', strftime(ts, '%Y-%m-%d %H:%M:%S.%g'), CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END, user_id, upper(event_type[1]) || event_type[2:], floor(value)::BIGINT) END AS line FROM events)"""

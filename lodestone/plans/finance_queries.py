@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import finance as N
 from lodestone.functions.finance import d
 from lodestone.plans.base import query
+from lodestone.scratch import keep
 
 c = F.col
 
@@ -63,7 +64,8 @@ x AS (SELECT * FROM x0 WHERE s > 0 AND sigma BETWEEN 0.01 AND 2), {_bs(1.0, [])}
 SELECT x0.p_partkey, {', '.join(f'round(o.{n}, 6) AS {n}' for n in ('price', 'delta', 'gamma', 'theta', 'vega', 'rho', 'intrinsic'))}, round(o.price - o.intrinsic, 6) AS time_value FROM x0 LEFT JOIN o USING (p_partkey)""")
 def _(t):
     p = t.part.select("p_partkey", c("p_retailprice").alias("s"), (c("p_retailprice") * (d(0.8) + (c("p_partkey") % 5) * d(0.1))).alias("k"), ((c("p_partkey") % 60) / d(25)).alias("sigma"))
-    return rounded(p, ["p_partkey"], **N.option_price(c("s"), c("k"), d(0.03), c("sigma"), c("p_partkey") % 2 == 0))
+    priced = N.option_price(p.withColumns({"r": d(0.03), "is_call": c("p_partkey") % 2 == 0}))
+    return rounded(priced, ["p_partkey"], **{n: c(n) for n in ("price", "delta", "gamma", "theta", "vega", "rho", "intrinsic", "time_value")})
 
 
 @query("fin_bs_greeks", f"""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice * 1.02::DOUBLE ELSE p_retailprice * 0.9::DOUBLE END AS s, p_retailprice AS k, 0.045::DOUBLE AS r, CASE WHEN p_partkey % 4 = 0 THEN 0.20::DOUBLE ELSE (p_partkey % 4) / 10.0::DOUBLE END AS sigma, p_partkey % 2 = 0 AS is_call FROM part), {_bs(0.5, [])}
@@ -71,7 +73,8 @@ SELECT p_partkey, {', '.join(f'round({n}, 6) AS {n}' for n in ('delta', 'gamma',
 def _(t):
     k = c("p_retailprice")
     price = F.when(c("p_partkey") % 3 == 0, d(0)).otherwise(k * d(0.9))
-    return rounded(t.part, ["p_partkey"], **N.trade_greeks(price, k, (c("p_partkey") % 4) / d(10), c("p_partkey") % 2 == 0))
+    given = t.part.select("p_partkey", price.alias("s"), k.alias("k"), ((c("p_partkey") % 4) / d(10)).alias("sigma"), (c("p_partkey") % 2 == 0).alias("is_call"))
+    return rounded(N.trade_greeks(given), ["p_partkey"], **{n: c(n) for n in ("delta", "gamma", "theta", "vega", "rho")})
 
 
 def _bond(t):
@@ -262,17 +265,17 @@ def _(t):
 @query("fin_seq_id", "SELECT c_custkey, printf('ORD-2024-%05d', row_number() OVER (ORDER BY c_custkey)) AS id FROM customer")
 def _(t):
     # Numbers without one task for all rows: places within ranges, then the ranges' sizes before.
-    ranged = t.customer.select("c_custkey").repartitionByRange("c_custkey").withColumn("part", F.spark_partition_id())
+    ranged = keep(t.customer.select("c_custkey").repartitionByRange("c_custkey").withColumn("part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("part").count()
     before = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     placed = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("c_custkey")))
     return placed.join(before, "part").select("c_custkey", F.format_string("ORD-2024-%05d", c("n") + c("before")).alias("id"))
 
 
-@query("flt_order_valid", "SELECT o_orderkey, CASE WHEN trim(s) = '' THEN 'symbol' WHEN o_totalprice < 5000 THEN 'price' END AS reason FROM (SELECT *, CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE o_orderpriority END AS s FROM orders)")
+@query("flt_order_valid", "SELECT o_orderkey, CASE WHEN trim(s) = '' THEN 'symbol' WHEN price < 0 THEN 'price' END AS reason FROM (SELECT *, o_totalprice - 5000 AS price, CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE o_orderpriority END AS s FROM orders)")
 def _(t):
     symbol = F.when(c("o_orderkey") % 17 == 0, " ").otherwise(c("o_orderpriority"))
-    return t.orders.select("o_orderkey", F.when(F.trim(symbol) == "", "symbol").when(c("o_totalprice") < 5000, "price").alias("reason"))
+    return t.orders.select("o_orderkey", F.when(F.trim(symbol) == "", "symbol").when(c("o_totalprice") - 5000 < 0, "price").alias("reason"))
 
 
 @query("flt_by_trade_id", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 7")

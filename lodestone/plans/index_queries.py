@@ -1,4 +1,4 @@
-"""Queries of the keyword index and the ranker, over all documents."""
+"""Queries of the keyword index, its keywords and the ranker, over all documents."""
 
 from __future__ import annotations
 
@@ -7,14 +7,13 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
 from lodestone.operators import index as I
-from lodestone.plans.base import DOC_META_SQL, query
-from lodestone.plans.text_queries import WORDS_SQL
-from lodestone.scratch import keep
+from lodestone.operators import keywords as K
+from lodestone.plans.base import ASKED, DOC_META_SQL, query
+from lodestone.plans.text_queries import PATTERNS_SQL, SKIP_SQL, STRUCTURE_SQL, WORDS_SQL, words_sql
+from lodestone.scratch import keep, new_path
 
 c = F.col
-#: The question of the ranking queries.
-ASKED = "ci der die und les src7"
-TERMS = ["ci", "der", "die", "und", "les", "src7"]
+TERMS = ASKED.split()
 
 _GRAMS = f"""{WORDS_SQL},
 ng AS (SELECT doc_id, pos, w, w || ' ' || lead(w, 1) OVER o AS w2, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS w3, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS w4 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
@@ -28,14 +27,18 @@ def _grams(t):
 
 
 def _tf(t):
-    return I.frequencies(_grams(t))
+    return I.frequencies(t.documents, "doc_id", "text")
 
 
 def _tf_written(t):
-    """Written once, since documents, grams, lengths and the corpus are all counted from it."""
+    """Written once, since documents and grams are both counted from it."""
     return keep(_tf(t), "tf")
 
 
+def _scored_grams(t):
+    return I.bm25(_tf_written(t), I.corpus(t.documents))
+
+
 @query("tok_ngrams", f"WITH {_GRAMS} SELECT doc_id, n, pos, gram FROM grams")
 def _(t):
     return _grams(t)
@@ -44,23 +47,25 @@ def _(t):
 @query("win_ngrams", f"WITH {WORDS_SQL} SELECT doc_id, pos, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)")
 def _(t):
     w = Window.partitionBy("doc_id").orderBy("pos")
-    words = t.documents.select("doc_id", F.posexplode(X.words(c("text"))).alias("pos", "w"))
+    words = X.each(t.documents, X.words(c("text")), "doc_id").withColumnRenamed("x", "w")
     return words.select("doc_id", "pos", "w", F.lead("w").over(w).alias("w2"), F.lead("w", 2).over(w).alias("w3"))
 
 
 @query("tok_unique_ngrams", f"WITH {_GRAMS} SELECT doc_id, gram, min(n) AS n FROM grams GROUP BY ALL")
 def _(t):
-    return _grams(t).groupBy("doc_id", "gram").agg(F.min("n").alias("n"))
+    return _tf(t).select("doc_id", "gram", "n")
 
 
 @query("tok_bm25", f"WITH {_GRAMS} SELECT doc_id, n, count(*) AS grams FROM grams GROUP BY ALL")
 def _(t):
-    return _grams(t).groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("grams"))
+    words = t.documents.select("doc_id", F.size(X.words(c("text"))).cast("long").alias("w"))
+    sizes = F.filter(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.struct(n.alias("n"), (c("w") - n + 1).alias("grams"))), lambda x: x["grams"] > 0)
+    return words.select("doc_id", F.explode(sizes).alias("x")).select("doc_id", "x.n", "x.grams")
 
 
 @query("agg_tf", f"WITH {_TF} SELECT doc_id, gram, n, tf FROM tf")
 def _(t):
-    return _tf(t)
+    return _tf(t).drop("dl")
 
 
 @query("agg_df", f"WITH {_TF} SELECT gram, df FROM df")
@@ -70,7 +75,7 @@ def _(t):
 
 @query("agg_doclen_avg", f"WITH {_TF} SELECT n_docs, round(avgdl, 6) AS avgdl FROM st")
 def _(t):
-    return I.corpus(t.documents, _tf(t)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return I.corpus(t.documents).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("agg_idf", f"WITH {_TF} SELECT gram, round(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1), 6) AS idf FROM df, st")
@@ -87,51 +92,75 @@ def _(t):
 
 @query("rnk_bm25_weight", f"WITH {_BM} SELECT doc_id, gram, score FROM bm")
 def _(t):
-    return I.bm25(t.documents, _tf_written(t)).select("doc_id", "gram", "score")
+    return _scored_grams(t).select("doc_id", "gram", "score")
 
 
 @query("win_topn_per_doc", f"WITH {_BM} SELECT doc_id, gram, score, rank FROM top")
 def _(t):
-    return I.top_grams(I.bm25(t.documents, _tf_written(t))).select("doc_id", "gram", "score", "rank")
+    return I.top_grams(_scored_grams(t)).select("doc_id", "gram", "score", "rank")
+
+
+#: Where the index over a folder's tables lies, by application: built by the first question or by a refresh.
+_INDEXES: dict[tuple[str, str], str] = {}
+
 
+def _refreshed(t) -> str:
+    """Best grams and titles of all documents, written as the stored keywords that questions read."""
+    path = new_path(t.spark, "postings")
+    best = I.top_grams(_scored_grams(t))
+    grams = I.postings(best, "bm25").select("*", F.lit(None).cast("double").alias("score"))
+    scores = best.select("doc_id", c("gram").alias("token"), "score")
+    grams = grams.drop("score").join(scores, ["doc_id", "token"])
+    titles = I.title_postings(t.doc_meta().withColumn("id", c("id").cast("long")), "id").withColumn("score", F.lit(None).cast("double"))
+    I.store_postings(grams.unionByName(titles), path)
+    _INDEXES[t.spark.sparkContext.applicationId, t.sf_dir] = path
+    return path
 
-@query("flow_bm25_refresh", f"WITH {_BM} SELECT doc_id, gram, score FROM top WHERE doc_id % 10 = 3")
+
+@query("flow_bm25_refresh", f"WITH {_BM} SELECT doc_id, gram, score FROM top")
 def _(t):
-    # The corpus is all documents; only the refreshed ones are scored and written.
-    tf = _tf_written(t)
-    some = t.documents.where("doc_id % 10 = 3").select("doc_id")
-    mine = tf.join(some, "doc_id", "left_semi")
-    lengths = mine.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    met = mine.join(I.document_frequencies(tf), "gram").join(lengths, "doc_id").crossJoin(F.broadcast(I.corpus(t.documents, tf)))
-    rows = met.select("doc_id", "gram", F.round(I.bm25_weight(c("tf"), c("dl"), c("avgdl"), I.idf(c("n_docs"), c("df"))), 6).alias("score"))
-    return I.top_grams(rows).select("doc_id", "gram", "score")
+    stored = I.stored_postings(t.spark, _refreshed(t))
+    return stored.where("category = 'bm25'").select("doc_id", c("token").alias("gram"), "score")
+
 
+def _with_positions(x: str, i: str, total: str) -> str:
+    return f"list((({i}) * 20000 + {total}) // (2 * {total}) / 10000.0::DOUBLE ORDER BY {i}) AS positions"
 
 
+_SLOT_OF = "least(CASE WHEN len(string_split_regex(trim({0}), ' +')) > 1 THEN len(string_split_regex(trim({0}), ' +')) ELSE greatest(len(list_filter(string_split_regex({0}, '[-_.+/]'), lambda x: x <> '')), 1) END, 4)"
 
-@query("agg_positions")
+
+@query("agg_positions", f"""WITH {_GRAMS}, g AS (SELECT doc_id, gram AS token, row_number() OVER (PARTITION BY doc_id ORDER BY n, pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS total, {_SLOT_OF.format('gram')} AS slot FROM grams)
+SELECT doc_id, slot AS gram, token, {_with_positions('token', 'i', 'total')} FROM g WHERE len(token) >= 2 AND NOT (slot = 1 AND token IN ({SKIP_SQL})) GROUP BY doc_id, slot, token""")
 def _(t):
-    arrays = I.word_arrays(t.documents, "doc_id", "text")
-    words = arrays.select("doc_id", F.size("words").alias("n"), F.posexplode("words").alias("pos", "w"))
-    return words.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list(F.round(c("pos") / c("n"), 4))).alias("positions"))
+    return K.categorised(t.documents, "text", F.transform(I.gram_arrays(X.words(c("text"))), lambda g: g["gram"])).drop("category")
 
 
 # ---- ranking over the BM25 postings
 _SLOT = "least(CASE WHEN len(string_split(gram, ' ')) > 1 THEN len(string_split(gram, ' ')) ELSE greatest(len(list_filter(string_split_regex(gram, '[-_.+/]'), lambda x: x <> '')), 1) END, 4)"
-_BPOST = f"bpost AS (SELECT doc_id, 'bm25' AS category, {_SLOT} AS gram, gram AS token, tf FROM top)"
+_TITLE = f"""{DOC_META_SQL}, {words_sql('doc_meta', 'id::BIGINT', 'title', 't_')},
+t_grams AS (SELECT doc_id, w AS gram FROM t_words UNION SELECT doc_id, g FROM (SELECT doc_id, w || ' ' || lead(w, 1) OVER o AS g FROM t_words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE g IS NOT NULL
+  UNION SELECT doc_id, g FROM (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS g FROM t_words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE g IS NOT NULL
+  UNION SELECT doc_id, g FROM (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS g FROM t_words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE g IS NOT NULL),
+t_post AS (SELECT doc_id, 'title' AS category, {_SLOT} AS gram, gram AS token, 1 AS tf FROM t_grams)"""
+_BPOST = f"{_TITLE}, bpost AS (SELECT doc_id, 'bm25' AS category, {_SLOT} AS gram, gram AS token, tf FROM top UNION ALL SELECT * FROM t_post WHERE len(token) >= 2 AND NOT (gram = 1 AND token IN ({SKIP_SQL})))"
 _ASK = "ask AS (SELECT DISTINCT n AS gram, g AS token, CASE WHEN len(replace(g, ' ', '')) >= 7 THEN 1.0::DOUBLE + (len(replace(g, ' ', '')) - 6) * 0.1::DOUBLE ELSE 1.0::DOUBLE END AS mult FROM (VALUES " + ", ".join(f"({n}, '{' '.join(TERMS[i:i + n])}')" for n in range(1, 5) for i in range(len(TERMS) - n + 1)) + ") v(n, g))"
 _KWT = "kwt AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {n + 1}, {x}::DOUBLE)" for k, xs in I.KEYWORD.items() for n, x in enumerate(xs)) + ") v(category, gram, weight))"
 _KWS = f"WITH {_BM}, {_BPOST}, {_ASK}, {_KWT}, kws AS (SELECT doc_id, category, gram, sum(tf * mult * weight) AS contribution FROM bpost JOIN ask USING (gram, token) JOIN kwt USING (category, gram) GROUP BY ALL)"
 
 
 def _posts(t):
-    return I.postings(I.top_grams(I.bm25(t.documents, _tf_written(t))), "bm25")
+    """Stored keywords that the question can meet: its grams, read by bucket, and the question itself."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    path = _INDEXES.get(key) or _refreshed(t)
+    tokens = [" ".join(TERMS[i : i + n]) for n in range(1, 5) for i in range(len(TERMS) - n + 1)]
+    return I.stored_postings(t.spark, path, [*tokens, ASKED]).drop("score")
 
 
-@query("jn_postings_query", f"WITH {_BM}, {_BPOST}, {_ASK} SELECT doc_id, gram, token, tf, round(mult, 6) AS mult FROM bpost JOIN ask USING (gram, token)")
+@query("jn_postings_query", f"WITH {_BM}, {_BPOST}, {_ASK} SELECT doc_id, category, gram, token, tf, round(mult, 6) AS mult FROM bpost JOIN ask USING (gram, token)")
 def _(t):
     met = _posts(t).join(F.broadcast(I.query_grams(t.spark, ASKED)), ["gram", "token"])
-    return met.select("doc_id", "gram", "token", "tf", F.round("mult", 6).alias("mult"))
+    return met.select("doc_id", "category", "gram", "token", "tf", F.round("mult", 6).alias("mult"))
 
 
 @query("rnk_keyword", _KWS + " SELECT doc_id, round(sum(contribution), 6) AS score FROM kws GROUP BY doc_id")
@@ -146,10 +175,12 @@ def _(t):
     return layer.select("doc_id", "category", "gram", F.round("contribution", 6).alias("contribution"), F.round(F.sum("contribution").over(Window.partitionBy("doc_id")), 6).alias("score"))
 
 
-@query("rnk_synonym", "SELECT doc_id, 0.0::DOUBLE AS score FROM documents")
+@query("rnk_synonym", _KWS.replace("JOIN kwt USING (category, gram)", "JOIN (VALUES (1, 1.0::DOUBLE), (2, 2.0::DOUBLE), (3, 3.0::DOUBLE), (4, 4.0::DOUBLE)) v(gram, weight) USING (gram)") + " SELECT doc_id, round(sum(contribution), 6) AS score FROM kws GROUP BY doc_id")
 def _(t):
-    # With the shipped settings the layer's weights are zero.
-    return t.documents.select("doc_id", F.lit(float(sum(I.SYNONYM))).alias("score"))
+    # The shipped settings weigh the layer with nothing (``I.SYNONYM``); here the stored keywords stand in for synonyms, with weights.
+    posts = _posts(t).withColumn("category", F.lit("synonyms"))
+    asked = I.query_grams(t.spark, ASKED)
+    return I.keyword_layer(posts, asked, {"synonyms": [1, 2, 3, 4]}).groupBy("doc_id").agg(F.round(F.sum("contribution"), 6).alias("score"))
 
 
 @query("rnk_tag_pin", f"WITH {DOC_META_SQL} SELECT id, len(list_filter(tags, lambda x: trim(lower(x)) <> '' AND contains('{ASKED}', trim(lower(x))))) > 0 AS pinned FROM doc_meta")
@@ -157,19 +188,19 @@ def _(t):
     return t.doc_meta().select("id", I.tag_pinned(ASKED).alias("pinned"))
 
 
-_WQ = "(CASE WHEN contains(lower(id), 'src7') THEN 50 ELSE 0 END + CASE WHEN contains(lower(title), 'src7') THEN 35 ELSE 0 END + CASE WHEN contains(lower(type), 'src7') THEN 4 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda x: contains(lower(x), 'src7'))) > 0 THEN 6 ELSE 0 END)::DOUBLE"
+_REFERRED = "CASE WHEN len(list_filter(referenced, lambda x: lower(x) = '{0}')) > 0 THEN 40 ELSE 0 END + CASE WHEN len(list_filter(referenced, lambda x: contains(lower(x), '{0}') OR contains('{0}', lower(x)))) > 0 THEN 20 ELSE 0 END"
+_WQ = "(" + _REFERRED.format("src7") + " + CASE WHEN contains(lower(id), 'src7') THEN 50 ELSE 0 END + CASE WHEN contains(lower(title), 'src7') THEN 35 ELSE 0 END + CASE WHEN contains(lower(type), 'src7') THEN 4 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda x: contains(lower(x), 'src7'))) > 0 THEN 6 ELSE 0 END)::DOUBLE"
 
 
 @query("rnk_whole_query", f"WITH {DOC_META_SQL} SELECT id, {_WQ} AS score FROM doc_meta")
 def _(t):
-    meta = t.doc_meta()
-    return meta.select("id", I.whole_query_layer(meta, "src7").alias("score"))
+    return t.doc_meta().select("id", I.whole_query_layer("src7").alias("score"))
 
 
 def _term_sql(term: str) -> str:
     mult = f"{1.0 + (len(term) - 6) * 0.1 if len(term) >= 7 else 1.0!r}::DOUBLE"
     parts = [f"CASE WHEN contains(lower({k}), '{term}') THEN {I.TERM[k]} * {mult} ELSE 0 END" for k in ("id", "title", "type")]
-    return " + ".join([*parts, f"CASE WHEN len(list_filter(tags, lambda x: contains(lower(x), '{term}'))) > 0 THEN {I.TERM['tags']} * {mult} ELSE 0 END"])
+    return " + ".join([*parts, f"CASE WHEN len(list_filter(tags, lambda x: contains(lower(x), '{term}'))) > 0 THEN {I.TERM['tags']} * {mult} ELSE 0 END", f"CASE WHEN len(list_filter(referenced, lambda x: contains(lower(x), '{term}'))) > 0 THEN {I.TERM['referenced']} * {mult} ELSE 0 END"])
 
 
 _TERMS = " + ".join(_term_sql(x) for x in TERMS)
@@ -180,10 +211,10 @@ def _(t):
     return t.doc_meta().select("id", F.round(I.term_layer(TERMS), 6).alias("score"))
 
 
-_RANK = f"""{_KWS}, {DOC_META_SQL}, kw1 AS (SELECT doc_id::VARCHAR AS id, sum(contribution) AS kw FROM kws GROUP BY 1),
+_RANK = f"""{_KWS}, kw1 AS (SELECT doc_id::VARCHAR AS id, sum(contribution) AS kw FROM kws GROUP BY 1),
 once AS (SELECT doc_id::VARCHAR AS id, count(DISTINCT token)::DOUBLE AS kt FROM bpost WHERE token IN ({', '.join(f"'{x}'" for x in TERMS)}) GROUP BY 1),
 whole AS (SELECT DISTINCT doc_id::VARCHAR AS id, 8.0::DOUBLE AS kq FROM bpost WHERE token = '{ASKED}'),
-scored AS (SELECT m.id, round((CASE WHEN contains(lower(m.id), '{ASKED}') THEN 50 ELSE 0 END + CASE WHEN contains(lower(title), '{ASKED}') THEN 35 ELSE 0 END + {_TERMS} + coalesce(kw, 0) + coalesce(kt, 0) + coalesce(kq, 0))::DOUBLE, 6) AS score,
+scored AS (SELECT m.id, round((CASE WHEN contains(lower(m.id), '{ASKED}') THEN 50 ELSE 0 END + CASE WHEN contains(lower(title), '{ASKED}') THEN 35 ELSE 0 END + {_REFERRED.format(ASKED)} + {_TERMS} + coalesce(kw, 0) + coalesce(kt, 0) + coalesce(kq, 0))::DOUBLE, 6) AS score,
  len(list_filter(tags, lambda x: contains('{ASKED}', trim(lower(x))))) > 0 AS pinned FROM doc_meta m LEFT JOIN kw1 USING (id) LEFT JOIN once USING (id) LEFT JOIN whole USING (id))"""
 _KEPT = "kept AS (SELECT id, score, pinned FROM scored WHERE (score > 0 OR pinned) AND (score >= 0.3::DOUBLE * (SELECT max(score) FROM scored) OR pinned OR (SELECT max(score) FROM scored) <= 0))"
 
@@ -224,61 +255,105 @@ def _(t):
 
 
 # ---- keyword lists
-@query("kw_clean", "WITH s AS (SELECT doc_id, unnest(string_split_regex(title, '[,;|\\n ]+')) AS k, unnest(range(len(string_split_regex(title, '[,;|\\n ]+')))) AS i FROM (SELECT doc_id, left(text, 400) AS title FROM documents)), f AS (SELECT doc_id, trim(k) AS k, i, row_number() OVER (PARTITION BY doc_id, lower(trim(k)) ORDER BY i) AS n FROM s WHERE len(trim(k)) >= 2) SELECT doc_id, i AS pos, k AS keyword FROM f WHERE n = 1")
-def _(t):
-    parts = t.documents.select("doc_id", F.posexplode(F.split(F.left("text", F.lit(400)), "[,;|\n ]+")).alias("pos", "k")).withColumn("k", F.trim("k")).where(F.length("k") >= 2)
-    n = F.row_number().over(Window.partitionBy("doc_id", F.lower("k")).orderBy("pos"))
-    return parts.withColumn("n", n).where("n = 1").select("doc_id", "pos", c("k").alias("keyword"))
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-@query("kw_input", "SELECT p_partkey, list_filter(string_split_regex(p_name, '[,;|\\n ]+'), lambda x: len(x) >= 2) AS keywords FROM part")
+def _given(x: str) -> str:
+    return f"list_filter(list_transform(string_split_regex({x}, '[,;|\\n]+'), lambda k: trim(k, {_WS})), lambda k: k <> '')"
+
+
+def _cleaned(source: str, most: int = 1 << 40) -> str:
+    """``kept`` (doc_id, k, i, total) from rows (doc_id, ks) of ``source``."""
+    return f"""p AS (SELECT doc_id, unnest(ks) AS k, unnest(range(len(ks))) AS i FROM ({source})),
+f AS (SELECT doc_id, k, i FROM p WHERE len(k) >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, lower(k) ORDER BY i) = 1),
+n AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS j FROM f),
+kept AS (SELECT doc_id, k, j AS i, count(*) OVER (PARTITION BY doc_id) AS total FROM n WHERE j < {most})"""
+
+
+def _stored(source: str, category: str) -> str:
+    """Stored keywords from rows (doc_id, k, i, total)."""
+    token = f"lower(trim(k, {_WS}))"
+    return f"""SELECT doc_id, '{category}' AS category, gram, token, {_with_positions('token', 'i', 'total')} FROM (SELECT doc_id, i, total, {token} AS token, {_SLOT_OF.format(token)} AS gram FROM {source})
+WHERE len(token) >= 2 AND NOT (gram = 1 AND token IN ({SKIP_SQL})) GROUP BY doc_id, gram, token"""
+
+
+_TEXT_LIST = f"SELECT doc_id, {_given('text')} AS ks FROM documents"
+
+
+@query("kw_clean", f"WITH {_cleaned(_TEXT_LIST)} SELECT doc_id, i AS pos, k AS keyword FROM kept")
 def _(t):
-    return t.part.select("p_partkey", F.filter(F.split("p_name", "[,;|\n ]+"), lambda w: F.length(w) >= 2).alias("keywords"))
+    return t.documents.select("doc_id", F.posexplode(K.cleaned(K.given(c("text")))).alias("pos", "keyword"))
 
 
-@query("agg_distinct_kw", f"WITH {WORDS_SQL} SELECT w, count(DISTINCT doc_id) AS docs FROM words GROUP BY w")
+@query("kw_input", f"SELECT p_partkey, {_given("p_name || ', ' || p_brand || ';;| ' || p_type || chr(10)")} AS keywords FROM part")
 def _(t):
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(X.words(c("text")))).alias("w"))
-    return words.groupBy("w").agg(F.count(F.lit(1)).alias("docs"))
+    typed = F.concat("p_name", F.lit(", "), "p_brand", F.lit(";;| "), "p_type", F.lit("\n"))
+    return t.part.select("p_partkey", K.given(typed).alias("keywords"))
 
 
-def _two(t):
-    meta = t.doc_meta().select("id", X.words(c("title")).alias("a"), F.slice(X.words(c("summary")), 1, 8).alias("b"))
-    return meta
+@query("kw_merge_semantic", f"WITH {_cleaned(_TEXT_LIST, 100)} {_stored('kept', 'semantic')}")
+def _(t):
+    return K.categorised(t.documents, "semantic", K.cleaned(K.given(c("text")), 100))
 
 
-@query("kw_merge_semantic")
+@query("kw_merge_signals", f"WITH {_cleaned(f"SELECT doc_id, list_concat({_given('text')}, [lang, source]) AS ks FROM documents", 100)} {_stored('kept', 'structural')}")
 def _(t):
-    return _two(t).select("id", F.slice(F.array_distinct(F.concat("a", "b")), 1, 200).alias("semantic"))
+    return K.categorised(t.documents, "structural", K.cleaned(F.concat(K.given(c("text")), F.array("lang", "source")), 100))
 
 
-@query("kw_merge_signals")
+@query("kw_append", f"WITH {_cleaned(f"SELECT doc_id, list_concat({_given('text')}, [source, lang]) AS ks FROM documents", 100)} SELECT doc_id, list(k ORDER BY i) AS keywords FROM kept GROUP BY doc_id")
 def _(t):
-    return _two(t).select("id", F.array_union("a", "b").alias("signals"))
+    old, new = K.cleaned(K.given(c("text"))), K.cleaned(F.array("source", "lang"))
+    return t.documents.select("doc_id", K.cleaned(F.concat(old, new), 100).alias("keywords"))
+
+
+def _tokens_sql(p: str, text: str) -> str:
+    """``{p}list`` (doc_id, k, i, total): the distinct grams of a column of doc_meta in the order of their size and place."""
+    gram = lambda n: " || ' ' || ".join(["w", *[f"lead(w, {k}) OVER o" for k in range(1, n)]])
+    every = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, pos, g FROM (SELECT doc_id, pos, {gram(n)} AS g FROM {p}words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE g IS NOT NULL" for n in range(1, 5))
+    return f"""{words_sql('doc_meta', 'id::BIGINT', text, p)},
+{p}first AS (SELECT doc_id, g AS k, min(n) AS n, min(pos) AS pos FROM ({every}) GROUP BY doc_id, g),
+{p}list AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY n, pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS total FROM {p}first)"""
+
+
+_TWO = f"""{DOC_META_SQL}, {_tokens_sql('a_', 'title')}, {_tokens_sql('b_', 'summary')},
+stored AS ({_stored('a_list', 'title')} UNION ALL {_stored('b_list', 'semantic')}),
+firsts AS (SELECT doc_id, token, min(struct_pack(c := CASE category WHEN 'title' THEN 0 ELSE 2 END, g := gram, w := CASE WHEN regexp_full_match(token, '0|[1-9][0-9]{{0,9}}') AND try_cast(token AS BIGINT) < 4294967295 THEN 0 ELSE 1 END,
+  v := CASE WHEN regexp_full_match(token, '0|[1-9][0-9]{{0,9}}') AND try_cast(token AS BIGINT) < 4294967295 THEN token::BIGINT ELSE 0 END, p := positions[1], t := token)) AS key FROM stored GROUP BY doc_id, token),
+flat AS (SELECT doc_id, list(token ORDER BY key) AS keywords FROM firsts GROUP BY doc_id)"""
 
 
-@query("kw_append")
+def _two(t):
+    meta = t.doc_meta().select(c("id").cast("long").alias("doc_id"), "title", "summary")
+    return K.categorised(meta, "title", K.tokens(c("title"))).unionByName(K.categorised(meta, "semantic", K.tokens(c("summary"))))
+
+
+@query("agg_distinct_kw", f"WITH {_TWO} SELECT doc_id, keywords FROM flat")
 def _(t):
-    return _two(t).select("id", F.concat("a", F.array_except("b", "a")).alias("keywords"))
+    return K.flattened(_two(t))
 
 
-@query("kw_index_text")
+@query("kw_index_text", f"WITH {_TWO} SELECT doc_id, array_to_string(list_concat(keywords, m.tags), ' ') AS index_text FROM flat JOIN doc_meta m ON m.id::BIGINT = doc_id")
 def _(t):
-    return _two(t).select("id", F.array_join(F.array_union("a", "b"), " ").alias("index_text"))
+    tags = t.doc_meta().select(c("id").cast("long").alias("doc_id"), "tags")
+    return K.flattened(_two(t)).join(tags, "doc_id").select("doc_id", F.array_join(F.concat("keywords", "tags"), " ").alias("index_text"))
+
+
+def _described(t):
+    """Documents as they are indexed: title, summary, whole content, a small graph and a keyword kept from before."""
+    meta = t.doc_meta().select(c("id").cast("long").alias("doc_id"), "title", "summary", F.concat(F.lit('graph TD\n A["'), "title", F.lit('"] --> OrderBook[Order Flow]')).alias("graph"), F.array("type").alias("semantic"))
+    return meta.join(t.documents.select("doc_id", c("text").alias("content")), "doc_id")
 
 
 @query("kw_build")
 def _(t):
-    meta = t.doc_meta()
-    by = [(n, I.frequencies(I.grams(meta, "id", col))) for n, col in (("title", "title"), ("semantic", "summary"))]
-    out = None
-    for name, tf in by:
-        rows = I.postings(tf, name)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    docs = _described(t)
+    best = I.top_grams(_scored_grams(t), 400)
+    listed = best.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"]).alias("keywords"))
+    return K.build(docs, t.documents.count(), listed)
 
 
-@query("kw_migrate")
+@query("kw_migrate", "SELECT doc_id, [lang, source] AS keywords FROM documents")
 def _(t):
     stored = F.when(c("doc_id") % 3 == 0, F.to_json(F.array("lang", "source"))).when(c("doc_id") % 3 == 1, F.concat_ws(",", "lang", "source")).otherwise(F.to_json(F.create_map("lang", F.lit(2), "source", F.lit(1))))
     parsed = F.when(stored.startswith("["), F.from_json(stored, "array<string>")).when(stored.startswith("{"), F.map_keys(F.from_json(stored, "map<string,int>"))).otherwise(F.split(stored, ","))
@@ -286,66 +361,92 @@ def _(t):
 
 
 # ---- synonyms
-# Suffixes by which words are lengthened or cut.
-SUFFIXES = "s es ed ing er or ion tion ment ness ly able ible al ial ive ity ous ful less ize ise ate ance ence".split()
-
-
 def _dictionary(t):
     """Words that occur in the documents stand in for a dictionary."""
-    return t.documents.select(F.explode(F.array_distinct(X.words(c("text")))).alias("w")).distinct()
-
+    return X.each(t.documents, F.array_distinct(X.words(c("text")))).select(c("x").alias("w")).distinct()
 
-_DICT = f"WITH {WORDS_SQL}, dict AS (SELECT DISTINCT w FROM words), suf AS (SELECT unnest([{', '.join(repr(x) for x in SUFFIXES)}]) AS suffix)"
 
+_DICT = f"WITH {WORDS_SQL}, dict AS (SELECT DISTINCT w FROM words WHERE regexp_full_match(w, '[a-z]+') AND len(w) > 2), suf AS (SELECT unnest(['s', 'ment', 'tion', 'sion', 'ion', 'ant', 'ent', 'ness', 'ity', 'ism', 'ist', 'ship', 'age', 'ery', 'ory', 'able', 'ible', 'ing', 'ed', 'er', 'or', 'ly', 'al', 'ive', 'ous']) AS suffix)"
+_APPEND = _DICT + """, made AS (SELECT w, suffix, unnest(CASE
+ WHEN suffix = 'age' THEN CASE WHEN right(w, 1) IN ('k', 't') THEN [w || 'age'] END
+ WHEN suffix = 'ion' THEN CASE WHEN ends_with(w, 't') THEN [w || 'ion'] END
+ WHEN suffix = 'tion' THEN [CASE WHEN right(w, 1) IN ('c', 't') THEN w || 'tion' END, CASE WHEN ends_with(w, 'y') AND len(w) > 3 THEN w[:-2] || 'ition' END]
+ WHEN suffix = 's' THEN CASE WHEN NOT ends_with(w, 's') THEN [w || 's'] END
+ WHEN suffix IN ('ing', 'able', 'ible') THEN [w || suffix, CASE WHEN ends_with(w, 'e') AND len(w) > 3 THEN w[:-2] || suffix END]
+ WHEN suffix IN ('ed', 'er') THEN [w || suffix, CASE WHEN ends_with(w, 'e') THEN w || suffix[2] END]
+ WHEN suffix IN ('ly', 'ness') THEN [w || suffix, CASE WHEN ends_with(w, 'y') AND len(w) > 3 THEN w[:-2] || 'i' || suffix END]
+ ELSE [w || suffix] END) AS synonym FROM dict, suf) SELECT DISTINCT w, suffix, synonym FROM made WHERE synonym <> w AND synonym IN (SELECT w FROM dict)"""
+_TRIM = _DICT + """, ends AS (SELECT w, suffix, left(w, len(w) - len(suffix)) AS t FROM dict, suf WHERE ends_with(w, suffix) AND len(w) - len(suffix) > 2),
+made AS (SELECT w, suffix, unnest([t,
+ CASE WHEN suffix IN ('ing', 'able', 'ible') THEN t || 'e'
+  WHEN suffix = 'ly' AND ends_with(w, 'ily') THEN left(w, len(w) - 3) || 'y'
+  WHEN suffix = 'ness' AND ends_with(w, 'iness') THEN left(w, len(w) - 5) || 'y'
+  WHEN suffix = 'tion' AND ends_with(w, 'ition') AND len(w) > 6 THEN left(w, len(w) - 5) || 'y' END]) AS synonym FROM ends) SELECT DISTINCT w, suffix, synonym FROM made WHERE synonym <> w AND synonym IN (SELECT w FROM dict)"""
 
 
-@query("syn_append", _DICT + " SELECT d.w, suffix, d.w || suffix AS synonym FROM dict d, suf WHERE d.w || suffix IN (SELECT w FROM dict)")
+@query("syn_append", _APPEND)
 def _(t):
-    known = _dictionary(t)
-    tried = known.select("w", F.explode(F.array(*[F.lit(x) for x in SUFFIXES])).alias("suffix")).withColumn("synonym", F.concat("w", "suffix"))
-    return tried.join(known.withColumnRenamed("w", "synonym"), "synonym", "left_semi").select("w", "suffix", "synonym")
+    known = keep(_dictionary(t), "dictionary")
+    return K.related_words(known, known, K.lengthened)
 
 
-@query("syn_trim", _DICT + " SELECT d.w, suffix, left(d.w, len(d.w) - len(suffix)) AS synonym FROM dict d, suf WHERE ends_with(d.w, suffix) AND len(d.w) - len(suffix) >= 3 AND left(d.w, len(d.w) - len(suffix)) IN (SELECT w FROM dict)")
+@query("syn_trim", _TRIM)
 def _(t):
-    known = _dictionary(t)
-    tried = known.select("w", F.explode(F.array(*[F.lit(x) for x in SUFFIXES])).alias("suffix")).where(c("w").endswith(c("suffix")) & (F.length("w") - F.length("suffix") >= 3))
-    tried = tried.withColumn("synonym", F.left("w", F.length("w") - F.length("suffix")))
-    return tried.join(known.withColumnRenamed("w", "synonym"), "synonym", "left_semi").select("w", "suffix", "synonym")
+    known = keep(_dictionary(t), "dictionary")
+    return K.related_words(known, known, K.shortened)
+
+
+_NAMED = """named AS (SELECT c_custkey // 10 AS doc_id, c_custkey, unnest([c_name, c_mktsegment, printf('2024-%02d-%02d', c_custkey % 12 + 1, c_custkey % 28 + 1), printf('%02d/%02d/2024', c_custkey % 12 + 1, c_custkey % 28 + 1), (abs(c_acctbal)::DECIMAL(18, 4))::VARCHAR, 'tradeFlowId', 'TradeFlow' || chr((65 + c_custkey % 26)::INT) || 'x', 'trade_flow' || c_custkey % 7, '555-123.' || (1000 + c_custkey % 9000)]) AS kw FROM customer),
+lists AS (SELECT DISTINCT doc_id, kw FROM named)"""
 
 
-def _synonyms(t):
-    names = t.customer.select(F.explode(F.array("c_name", "c_mktsegment", F.format_string("2024/%02d/%02d", c("c_custkey") % 12 + 1, c("c_custkey") % 28 + 1), F.format_string("%.4f", c("c_acctbal")), F.lit("trade_flowId"))).alias("kw")).distinct()
-    made = F.concat(
-        F.when(c("kw").rlike(r"^-?\d+\.\d+$"), F.array(*[F.round(c("kw").cast("double"), n).cast("string") for n in (1, 2, 3)])).otherwise(F.array().cast("array<string>")),
-        F.array(X.structural_pattern(c("kw"))),
-        X.pattern_names(c("kw")),
-        F.when(c("kw").rlike("_"), F.array(F.replace("kw", F.lit("_"), F.lit("-")))).otherwise(F.array().cast("array<string>")),
-        F.when(c("kw").rlike("[a-z][A-Z]"), F.array(F.array_join(X.camel_parts(c("kw")), "-"))).otherwise(F.array().cast("array<string>")),
-        F.when(c("kw").rlike("^[0-9]+/"), F.array(F.replace("kw", F.lit("/"), F.lit("-")))).otherwise(F.array().cast("array<string>")),
-    )
-    return names.select("kw", F.posexplode(F.array_distinct(made)).alias("pos", "synonym"))
+def _lists(t):
+    k = c("c_custkey")
+    month, day = k % 12 + 1, k % 28 + 1
+    forms = ["c_name", "c_mktsegment", F.format_string("2024-%02d-%02d", month, day), F.format_string("%02d/%02d/2024", month, day), F.abs("c_acctbal").cast("decimal(18,4)").cast("string"), F.lit("tradeFlowId"), F.concat(F.lit("TradeFlow"), F.char(k % 26 + 65), F.lit("x")), F.concat(F.lit("trade_flow"), k % 7), F.concat(F.lit("555-123."), k % 9000 + 1000)]
+    named = t.customer.select(F.floor(k / 10).alias("doc_id"), F.explode(F.array(*forms)).alias("kw")).distinct()
+    return named.groupBy("doc_id").agg(F.array_sort(F.collect_list("kw")).alias("keywords"))
 
 
-@query("syn_generate")
+_MADE = f"""m0 AS (SELECT doc_id, kw AS source, row_number() OVER (PARTITION BY doc_id ORDER BY kw) AS i, list_concat(list_concat(list_concat(
+ CASE WHEN regexp_full_match(kw, '[0-9]+\\.[0-9]{{2,}}') THEN [regexp_extract(kw, '^[0-9]+'), round(try_cast(kw AS DECIMAL(38, 18)), 1)::DECIMAL(38, 1)::VARCHAR, round(try_cast(kw AS DECIMAL(38, 18)), 2)::DECIMAL(38, 2)::VARCHAR] ELSE [] END,
+ CASE WHEN regexp_full_match(kw, '[0-9]+\\.[0-9]{{3,}}') THEN [round(try_cast(kw AS DECIMAL(38, 18)), 3)::DECIMAL(38, 3)::VARCHAR] ELSE [] END),
+ list_concat(CASE WHEN len(regexp_replace(kw, '[^0-9]', '', 'g')) >= 3 OR regexp_matches(kw, '[-_+=$/]') THEN [{STRUCTURE_SQL.format('kw')}] ELSE [] END,
+ flatten(list_transform(list_filter({PATTERNS_SQL.replace('token', 'kw')}, lambda x: x IS NOT NULL), lambda x: CASE WHEN contains(x, 'DATE') THEN [lower(x), replace(kw, '/', '-')] ELSE [lower(x)] END)))),
+ list_concat(CASE WHEN regexp_matches(kw, '[A-Z][a-z]+([A-Z][a-z]+)+') THEN [lower(regexp_replace(kw, '([a-z])([A-Z])', '\\1-\\2', 'g'))] ELSE [] END,
+ list_concat(CASE WHEN regexp_matches(kw, '[a-z0-9]+(_[a-z0-9]+)+') THEN [replace(kw, '_', '-')] ELSE [] END, CASE WHEN regexp_matches(kw, '\\b[0-9]{{3}}[-.]?[0-9]{{3}}[-.]?[0-9]{{4}}\\b') THEN [replace(kw, '.', '-')] ELSE [] END))) AS ss FROM lists WHERE NOT contains(kw, ' ')),
+made AS (SELECT doc_id, source, i, unnest(ss) AS synonym, unnest(range(len(ss))) AS n FROM m0),
+pairs AS (SELECT DISTINCT doc_id, source, synonym FROM made WHERE (doc_id, synonym) NOT IN (SELECT (doc_id, kw) FROM lists))"""
+
+
+@query("syn_generate", f"WITH {_NAMED}, {_MADE} SELECT DISTINCT doc_id, source, synonym FROM made")
 def _(t):
-    return _synonyms(t)
+    single = _lists(t).select("doc_id", F.explode("keywords").alias("source")).where(~F.contains("source", F.lit(" ")))
+    return single.select("doc_id", "source", F.explode(F.array_distinct(X.pattern_synonyms(c("source")))).alias("synonym"))
 
 
-@query("set_synonym_minus")
+@query("set_synonym_minus", f"WITH {_NAMED}, {_MADE} SELECT doc_id, synonym, list_sort(list(source)) AS sources FROM pairs GROUP BY doc_id, synonym")
 def _(t):
-    rows = _synonyms(t)
-    return rows.join(rows.select(c("kw").alias("synonym")).distinct(), "synonym", "left_anti").select("kw", "synonym")
+    # Each list is small enough here for the cut of the slots not to matter.
+    rows = _lists(t)
+    made = rows.select("doc_id", F.explode("keywords").alias("source")).where(~F.contains("source", F.lit(" ")))
+    made = made.select("doc_id", "source", F.explode(F.array_distinct(X.pattern_synonyms(c("source")))).alias("synonym"))
+    held = rows.select("doc_id", F.explode("keywords").alias("synonym")).distinct()
+    return made.join(held, ["doc_id", "synonym"], "left_anti").groupBy("doc_id", "synonym").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+_OUTSIDE = "regexp_replace(regexp_replace(synonym, '\\\\.', '', 'g'), '\\[[^\\]]*\\]?', '', 'g')"
+_SYN_SLOT = f"""CASE WHEN len(string_split_regex(trim(synonym), ' +')) > 1 THEN least(len(string_split_regex(trim(synonym), ' +')), 4)
+ WHEN regexp_matches(synonym, '\\[.*\\]|\\\\[A-Za-z0-9_]|\\(\\?|\\{{[0-9]') THEN least(len({_OUTSIDE}) - len(translate({_OUTSIDE}, '-/', '')) + 1, 4)
+ WHEN regexp_full_match(synonym, '[0-9]+\\.[0-9]+') THEN 1 ELSE {_SLOT_OF.format('synonym')} END"""
 
 
-@query("lim_syn_bucket")
+@query("lim_syn_bucket", f"WITH {_NAMED}, {_MADE}, o AS (SELECT doc_id, synonym, min(i * 1000 + n) AS o FROM made WHERE (doc_id, synonym) NOT IN (SELECT (doc_id, kw) FROM lists) GROUP BY doc_id, synonym), s AS (SELECT *, {_SYN_SLOT} AS gram FROM o) SELECT doc_id, gram, synonym FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, gram ORDER BY o, synonym) <= 25")
 def _(t):
-    rows = _synonyms(t).withColumn("gram", X.gram_slot_synonym(c("synonym")))
-    n = F.row_number().over(Window.partitionBy("kw", "gram").orderBy("pos"))
-    return rows.withColumn("n", n).where("n <= 25").select("kw", "gram", "synonym")
+    return K.synonyms(_lists(t)).select("doc_id", "gram", "synonym")
 
 
 @query("syn_positions")
 def _(t):
-    words = t.doc_meta().select("id", F.posexplode(X.words(c("title"))).alias("pos", "w"), F.size(X.words(c("title"))).alias("n"))
-    return words.withColumn("synonym", F.regexp_replace("w", "s$", "")).groupBy("id", "synonym").agg(F.array_sort(F.collect_set(F.round(c("pos") / c("n"), 4))).alias("positions"))
+    stored = keep(_two(t), "keywords")
+    return K.synonym_positions(K.synonyms(K.flattened(stored), _dictionary(t)), stored)

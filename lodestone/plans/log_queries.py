@@ -11,8 +11,11 @@ from lodestone.plans.base import LOG_LINES_SQL, query
 c = F.col
 W = f"WITH {LOG_LINES_SQL}"
 _TS = r"try_strptime(nullif(regexp_extract(line, '^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3})', 1), ''), '%Y-%m-%d %H:%M:%S.%g')"
-_FORM = r"'^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})\.[0-9]{3} +([A-Za-z]+) +\[[^\]]*\] +([A-Za-z0-9_.$]+) +-'"
-_PARTS = f"replace(nullif(regexp_extract(line, {_FORM}, 1), ''), ' ', 'T') || 'Z' AS time, upper(nullif(regexp_extract(line, {_FORM}, 2), '')) AS level, string_split(nullif(regexp_extract(line, {_FORM}, 3), ''), '.')[-1] AS class_name"
+_FORM = r"'^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})[.\d]*\s+(\w+)\s+\[[^\]]+\]\s+([\w$.]+)'"
+_IS_ENTRY = f"try_strptime(nullif(regexp_extract(line, {_FORM}, 1), ''), '%Y-%m-%d %H:%M:%S') IS NOT NULL"
+_PARTS = f"strftime(try_strptime(nullif(regexp_extract(line, {_FORM}, 1), ''), '%Y-%m-%d %H:%M:%S'), '%Y-%m-%dT%H:%M:%SZ') AS time, upper(regexp_extract(line, {_FORM}, 2)) AS level, regexp_extract(regexp_extract(line, {_FORM}, 3), '[^.]*$') AS class_name"
+#: Some lines without milliseconds, without a dash after the logger, or with a month that there is not.
+_VARIED = "varied AS (SELECT file, line_no, CASE line_no % 4 WHEN 1 THEN regexp_replace(line, '\\.[0-9]{3} ', ' ') WHEN 2 THEN replace(line, ' - ', ' ') WHEN 3 THEN replace(line, '2024-01-1', '2024-13-1') ELSE line END AS line FROM log_lines)"
 _CARRIED = f"carried AS (SELECT component, file, line_no, line, last_value({_TS} IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS tm FROM log_lines)"
 _TIMED = f"{_CARRIED}, timed AS (SELECT * FROM carried WHERE tm IS NOT NULL AND strftime(tm, '%H:%M') BETWEEN '08:15' AND '17:45')"
 
@@ -27,9 +30,10 @@ def _(t):
     return L.with_carried_time(t.log_lines()).select("file", "line_no", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS").alias("carried"))
 
 
-@query("flt_hhmm_parse")
+@query("flt_hhmm_parse", "SELECT event_id, printf('%d:%02d', event_id % 26, event_id % 62) AS given, CASE WHEN event_id % 26 < 24 AND event_id % 62 < 60 THEN printf('%02d:%02d', event_id % 26, event_id % 62) END AS parsed FROM events")
 def _(t):
-    return t.spark.createDataFrame([(v, L.hhmm(v)) for v in ("8:15", "17:45", "00:00", "23:59")], "given string, parsed string")
+    given = F.format_string("%d:%02d", c("event_id") % 26, c("event_id") % 62)
+    return t.events.select("event_id", given.alias("given"), L.hhmm_of(given).alias("parsed"))
 
 
 @query("flt_include", f"{W} SELECT file, line_no FROM log_lines WHERE contains(lower(line), 'error')")
@@ -57,14 +61,19 @@ def _(t):
     return t.log_lines().select("file", "line_no", F.unix_millis(L.line_time(c("line"))).alias("ms"))
 
 
-@query("dt_log_parse", f"{W} SELECT file, line_no, {_PARTS} FROM log_lines")
+def _varied(t):
+    k, line = c("line_no") % 4, c("line")
+    return t.log_lines().withColumn("line", F.when(k == 1, F.regexp_replace(line, r"\.[0-9]{3} ", " ")).when(k == 2, F.replace(line, F.lit(" - "), F.lit(" "))).when(k == 3, F.replace(line, F.lit("2024-01-1"), F.lit("2024-13-1"))).otherwise(line))
+
+
+@query("dt_log_parse", f"{W}, {_VARIED} SELECT file, line_no, {_PARTS} FROM varied WHERE {_IS_ENTRY}")
 def _(t):
-    return t.log_lines().select("file", "line_no", *[x.alias(n) for n, x in L.line_parts(c("line")).items()])
+    return L.entries(_varied(t), "file", "line_no")
 
 
-@query("prj_privacy", f"{W} SELECT {_PARTS} FROM log_lines")
+@query("prj_privacy", f"{W}, {_VARIED} SELECT {_PARTS} FROM varied WHERE {_IS_ENTRY}")
 def _(t):
-    return t.log_lines().select(*[x.alias(n) for n, x in L.line_parts(c("line")).items()])
+    return L.entries(_varied(t))
 
 
 _NAMES = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'oms-' || strftime(ts, '%Y%m%d%H%M%S') || '123.log' WHEN 1 THEN 'oms-x-' || strftime(ts, '%Y%m%d%H%M%S') || '000.log' WHEN 2 THEN 'oms-' || strftime(ts, '%Y%m%d') || '.log.gz' ELSE 'readme.log' END AS name FROM events"
@@ -87,7 +96,7 @@ def _(t):
     return _names(t).where(c("name").startswith("oms-")).select("event_id", "name")
 
 
-@query("src_log_list")
+@query("src_log_list", f"{W} SELECT file, count(*) AS lines FROM log_lines GROUP BY file")
 def _(t):
     return t.log_lines().groupBy("file").agg(F.count(F.lit(1)).alias("lines")).orderBy("file")
 
@@ -134,7 +143,7 @@ def _(t):
     return t.events.select("event_id", *[F.unix_micros(x).alias(f"{n}_us") for n, x in w.items()])
 
 
-@query("dt_epoch_ns")
+@query("dt_epoch_ns", f"{W} SELECT file, line_no, epoch_us({_TS}) * 1000 AS ns FROM log_lines")
 def _(t):
     return t.log_lines().select("file", "line_no", (F.unix_micros(L.line_time(c("line"))) * 1000).alias("ns"))
 
@@ -150,13 +159,13 @@ def _(t):
     return L.tail(t.log_lines(), 25).select("file", "line_no", "line")
 
 
-_HITS = f"hits AS (SELECT file, line_no, {_PARTS} FROM log_lines WHERE contains(line, ' - '))"
+_HITS = f"hits AS (SELECT file, line_no, {_PARTS} FROM log_lines WHERE {_IS_ENTRY})"
 _FOLD = "runs AS (SELECT *, sum(new) OVER (PARTITION BY {k} ORDER BY line_no) AS run FROM (SELECT *, CASE WHEN lag(level) OVER w IS NOT DISTINCT FROM level AND lag(class_name) OVER w IS NOT DISTINCT FROM class_name AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM hits WINDOW w AS (PARTITION BY {k} ORDER BY line_no)))"
-_EVENT = "concat_ws(' ', min_by(time, line_no), any_value(level), any_value(class_name)) || CASE WHEN count(*) > 1 THEN ' (x' || count(*) || ' times)' ELSE '' END AS event"
+_EVENT = "min_by(time, line_no) || ' [' || any_value(level) || '][' || any_value(class_name) || ']' || CASE WHEN count(*) > 1 THEN ' (x' || count(*) || ' times)' ELSE '' END AS event"
 
 
 def _hits(t):
-    return t.log_lines().where(F.contains("line", F.lit(" - "))).select("file", "line_no", *[x.alias(n) for n, x in L.line_parts(c("line")).items()])
+    return L.entries(t.log_lines(), "file", "line_no")
 
 
 @query("agg_fold_runs", f"{W}, {_HITS}, {_FOLD.format(k='file')} SELECT file, run::BIGINT AS run, count(*) AS n, {_EVENT} FROM runs GROUP BY file, run")
@@ -183,12 +192,11 @@ def _(t):
     return met.where(F.contains(F.lower("line"), c("kw"))).select("file", "kw", "line_no")
 
 
-@query("flow_scan", f"{W}, {_TIMED}, {_TASKS}, hits AS (SELECT l.file, kw, line_no, {_PARTS} FROM timed l JOIN tasks t ON l.file = t.file AND contains(lower(line), kw)), {_FOLD.format(k='file, kw')} SELECT file, kw, run::BIGINT AS run, {_EVENT} FROM runs GROUP BY file, kw, run")
+@query("flow_scan", f"{W}, {_TIMED}, {_TASKS}, hits AS (SELECT l.file, kw, line_no, {_PARTS} FROM timed l JOIN tasks t ON l.file = t.file AND contains(lower(line), kw) AND {_IS_ENTRY}), {_FOLD.format(k='file, kw')} SELECT file, kw, run::BIGINT AS run, {_EVENT} FROM runs GROUP BY file, kw, run")
 def _(t):
     # One scan for all keywords; the message is dropped before anything is grouped.
     met = L.in_time(t.log_lines(), "8:15", "17:45").join(_tasks(t), "file").where(F.contains(F.lower("line"), c("kw")))
-    hits = met.select("file", "kw", "line_no", *[x.alias(n) for n, x in L.line_parts(c("line")).items()])
-    return L.folded(hits, ["file", "kw"], "line_no").select("file", "kw", "run", "event")
+    return L.folded(L.entries(met, "file", "kw", "line_no"), ["file", "kw"], "line_no").select("file", "kw", "run", "event")
 
 
 _CATALOG = [("prod", "logtail", "oms,fx", "https://logs/oms", 1), ("prod", "loki", "risk", "https://loki/risk", 2), ("uat", "logtail", "oms", "https://uat/oms", 3), ("prod", "logtail", "fx,bond", "https://logs/bond", 4)]
@@ -252,7 +260,7 @@ def _(t):
     return ranked.where("k <= 2000").select("file", "line_no", "line")
 
 
-@query("sink_loki_push")
+@query("sink_loki_push", f"{W} SELECT printf('{{\"job\":\"logs\",\"component\":\"%s\",\"filename\":\"%s\"}}', component, file) AS labels, (epoch_us({_TS}) * 1000)::VARCHAR AS ns, trim(line) AS line FROM log_lines WHERE trim(line) <> ''")
 def _(t):
     kept = t.log_lines().select("component", "file", F.trim("line").alias("line"), (F.unix_micros(L.line_time(c("line"))) * 1000).cast("string").alias("ns")).where("line <> ''")
-    return kept.select(F.create_map(F.lit("job"), F.lit("logs"), F.lit("component"), "component", F.lit("filename"), "file").alias("labels"), "ns", "line")
+    return kept.select(F.to_json(F.create_map(F.lit("job"), F.lit("logs"), F.lit("component"), "component", F.lit("filename"), "file")).alias("labels"), "ns", "line")

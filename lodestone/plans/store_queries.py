@@ -73,9 +73,12 @@ def _(t):
     return S.without(meta.where("type = 'src2'"), meta.where("id % 2 = 0")).select("id")
 
 
-@query("src_wiki_list", "SELECT page_id, url FROM pages WHERE lower(url) <> '' ORDER BY page_id LIMIT 25 OFFSET 50")
+@query("src_wiki_list", "WITH p AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages) SELECT page_id, url FROM p WHERE lower(title) IN (SELECT lower(title) FROM p WHERE page_id % 10 = 0) ORDER BY page_id LIMIT 25 OFFSET 5")
 def _(t):
-    return t.pages.where(F.lower("url") != "").orderBy("page_id").offset(50).limit(25).select("page_id", "url")
+    # Pages by title, without regard to case; here the titles of every tenth page are asked for.
+    pages = t.pages.select("page_id", "url", F.lower(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))).alias("title"))
+    asked = pages.where("page_id % 10 = 0").select("title").distinct()
+    return pages.join(asked, "title", "left_semi").orderBy("page_id").offset(5).limit(25).select("page_id", "url")
 
 
 @query("lim_page", "SELECT page_id FROM pages ORDER BY page_id LIMIT 20 OFFSET 10")
@@ -191,9 +194,21 @@ def _(t):
     return S.without(meta, meta.where("id % 5 = 0")).select("id")
 
 
-@query("prj_doc_modes", "SELECT doc_id, CASE WHEN len(text) > 600 THEN left(text, 600) || '...' ELSE text END AS partial FROM documents")
+_MODES = f"""{M}, r AS (SELECT id, [((id::BIGINT * 7) % 1000)::VARCHAR, (id::BIGINT + 1)::VARCHAR] AS related FROM doc_meta), d AS (SELECT m.*, r.related, t.text AS content FROM doc_meta m JOIN r USING (id) JOIN documents t ON t.doc_id::VARCHAR = m.id),
+asked AS (SELECT * FROM d WHERE id::BIGINT % 5 = 2), near AS (SELECT * FROM d WHERE id IN (SELECT unnest(related) FROM asked) AND id NOT IN (SELECT id FROM asked))
+SELECT 'id_2_content' AS mode, id, '### [' || title || '] (ID: ' || id || ')' || chr(10) || content AS part FROM asked
+UNION ALL SELECT 'id_2_metadata', id, {{"id": id, "title": title, "type": type, "tags": tags, "summary": summary, "url": url, "related": related}}::JSON::VARCHAR FROM asked
+UNION ALL SELECT 'id_2_content_partial', id, '### [' || title || '] (ID: ' || id || ')' || chr(10) || CASE WHEN len(content) > 600 THEN left(content, 600) || '...' || chr(10) || '{S.PARTIAL_NOTE.replace("'", "''")}' ELSE content END FROM asked WHERE content <> ''
+UNION ALL SELECT 'id_2_metadata_4_summary', id, {{"id": id, "title": title, "summary": summary, "tags": tags, "type": type, "url": url}}::JSON::VARCHAR FROM asked
+UNION ALL SELECT 'id_2_metadata_4_summary_kg', id, {{"id": id, "title": title, "summary": summary, "tags": tags, "type": type, "url": url, "knowledgeGraph": '', "relatedPages": related, "_traversed": traversed}}::JSON::VARCHAR FROM (SELECT *, false AS traversed FROM asked UNION ALL SELECT *, true FROM near)"""
+
+
+@query("prj_doc_modes", _MODES)
 def _(t):
-    return t.documents.select("doc_id", X.truncated(c("text"), 600).alias("partial"))
+    i = c("id").cast("long")
+    docs = t.doc_meta().join(t.documents.select(c("doc_id").cast("string").alias("id"), c("text").alias("content")), "id").withColumn("related", F.array(((i * 7) % 1000).cast("string"), (i + 1).cast("string")))
+    docs = keep(docs, "store")
+    return S.checked(docs, docs.where("id % 5 = 2").select("id"))
 
 
 @query("prj_ids_default_all", "SELECT doc_id, CASE doc_id WHEN 30 THEN 0 WHEN 10 THEN 1 WHEN 20 THEN 2 END AS n FROM documents WHERE doc_id IN (30, 10, 20)")
@@ -202,9 +217,10 @@ def _(t):
     return t.documents.select("doc_id").join(F.broadcast(asked), "doc_id")
 
 
-@query("prj_overview", f"{M} SELECT id, title, left(summary, 200) AS summary FROM doc_meta ORDER BY id LIMIT 50")
+@query("prj_overview", f"{M} SELECT id, left(title, 200) AS title, left(summary, 300) AS summary, left('graph of ' || summary || summary || summary, 500) AS graph FROM doc_meta ORDER BY id LIMIT 50")
 def _(t):
-    return t.doc_meta().orderBy("id").limit(50).select("id", "title", F.left("summary", F.lit(200)).alias("summary"))
+    graph = F.concat(F.lit("graph of "), "summary", "summary", "summary")
+    return t.doc_meta().orderBy("id").limit(50).select("id", F.left("title", F.lit(200)).alias("title"), F.left("summary", F.lit(300)).alias("summary"), F.left(graph, F.lit(500)).alias("graph"))
 
 
 @query("flt_entity_scan", "SELECT s_suppkey, s_name FROM supplier")
@@ -233,18 +249,31 @@ def _(t):
     return S.related(rows.where("id % 20 = 1"), rows)
 
 
-@query("jn_jira_expand")
+_ISSUES = "issues AS (SELECT (10000 + o_orderkey)::VARCHAR AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'OPS-' || o_orderkey END AS issue_key, CASE WHEN o_orderkey % 3 = 1 THEN 'Ops-' || o_orderkey || ': ' || o_orderpriority ELSE o_orderpriority END AS title, o_orderstatus AS content FROM orders)"
+
+
+def _issues(t):
+    k = c("o_orderkey")
+    return t.orders.select((k + 10000).cast("string").alias("id"), F.when(k % 3 == 0, F.concat(F.lit("OPS-"), k)).alias("issue_key"), F.when(k % 3 == 1, F.concat(F.lit("Ops-"), k, F.lit(": "), "o_orderpriority")).otherwise(c("o_orderpriority")).alias("title"), c("o_orderstatus").alias("content"))
+
+
+@query("jn_jira_expand", f"""WITH {_ISSUES}, k AS (SELECT DISTINCT doc_id, unnest(['OPS-' || doc_id % 50, (10000 + doc_id % 40)::VARCHAR]) AS key FROM documents),
+m AS (SELECT DISTINCT key, id, title, content FROM (SELECT DISTINCT key FROM k) JOIN issues ON upper(coalesce(issue_key, '')) = key OR starts_with(upper(title), key || ':') OR upper(id) = key),
+f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) = 1) SELECT doc_id, key, '[' || key || '] ' || title || chr(10) || left(content, 800) AS content FROM k JOIN f USING (key)""")
 def _(t):
-    text = t.documents.select("doc_id", F.explode(X.issue_keys(F.concat(F.lit("see OPS-"), c("doc_id") % 50, F.lit(" "), "text"), ["OPS-[0-9]+"])).alias("key"))
-    issues = t.orders.select(F.concat(F.lit("OPS-"), "o_orderkey").alias("key"), F.left("o_orderpriority", F.lit(800)).alias("content"))
-    return text.join(issues, "key")
+    said = F.concat(F.lit("see ops-"), c("doc_id") % 50, F.lit(" or "), c("doc_id") % 40 + 10000)
+    keys = t.documents.select("doc_id", F.explode(X.issue_keys(said, ["OPS-[0-9]+", "[0-9]{5}"])).alias("key"))
+    return S.expanded(keys, _issues(t)).select("doc_id", "key", "content")
 
 
-@query("jn_resolve_primary", f"{M}, a AS (SELECT doc_id, (doc_id % 3)::INT AS k, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR END AS by_id, CASE WHEN doc_id % 3 = 1 THEN 'https://wiki.example.com/pages/' || doc_id END AS by_url FROM documents) SELECT a.doc_id, m.id AS found FROM a LEFT JOIN doc_meta m ON m.id = coalesce(by_id, regexp_extract(by_url, '/pages/([0-9]+)', 1))")
+@query("jn_resolve_primary", f"""WITH {_ISSUES}, a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN (10000 + doc_id)::VARCHAR WHEN 1 THEN 'ops-' || doc_id WHEN 2 THEN 'nothing' END AS asked, CASE WHEN doc_id % 4 >= 2 THEN 'https://wiki.example.com/viewpage?pageId=' || (10000 + doc_id) END AS link FROM documents),
+m AS (SELECT a.doc_id, min(i.id) AS found FROM a JOIN issues i ON i.id = asked OR upper(coalesce(i.issue_key, '')) = upper(asked) GROUP BY 1),
+n AS (SELECT a.doc_id, i.id AS found FROM a JOIN issues i ON i.id = nullif(regexp_extract(link, '[?&]pageId=([0-9]+)', 1), '')) SELECT a.doc_id, coalesce(m.found, n.found) AS found FROM a LEFT JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def _(t):
-    k = c("doc_id") % 3
-    asked = t.documents.select("doc_id", F.when(k == 0, c("doc_id").cast("string")).when(k == 1, X.link_page_id(F.concat(F.lit("https://wiki.example.com/pages/"), "doc_id"))).alias("wanted"))
-    return asked.join(t.doc_meta().select(c("id").alias("found")), c("wanted") == c("found"), "left").select("doc_id", "found")
+    k = c("doc_id") % 4
+    asked = F.when(k == 0, (c("doc_id") + 10000).cast("string")).when(k == 1, F.concat(F.lit("ops-"), "doc_id")).when(k == 2, "nothing")
+    link = F.when(k >= 2, F.concat(F.lit("https://wiki.example.com/viewpage?pageId="), c("doc_id") + 10000))
+    return S.resolved(t.documents.select("doc_id", asked.alias("asked"), link.alias("link")), _issues(t)).select("doc_id", "found")
 
 
 @query("jn_feedback_target", f"{M}, f AS (SELECT conv_id, 'https://wiki.example.com/pages/' || conv_id || CASE WHEN conv_id % 2 = 0 THEN '/' ELSE '' END AS link FROM conversations WHERE turn = 0) SELECT conv_id, m.id AS target FROM f LEFT JOIN doc_meta m ON rtrim(link, '/') = m.url")

@@ -12,26 +12,31 @@ _SKIP = ", ".join(f"'{w}'" for w in X.SKIP_WORDS)
 _VALID = f"(len(p) BETWEEN 2 AND 64 AND regexp_matches(p, '[a-z]') AND p NOT IN ({_SKIP}))"
 _CAMEL = r"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), ' +'), lambda x: x <> '')"
 
-#: Words of a text in the order of three passes, as rows (doc_id, pos, w), in DuckDB.
-WORDS_SQL = rf"""
-c0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '{X.COMPOUND}')) AS m, unnest(range(len(regexp_extract_all(text, '{X.COMPOUND}')))) AS i FROM documents),
-c1 AS (SELECT doc_id, i, m, unnest(string_split_regex(m, '[-_.+/]')) AS q, unnest(range(len(string_split_regex(m, '[-_.+/]')))) AS j FROM c0 WHERE NOT regexp_full_match(m, '[0-9]+\.[0-9]+')),
-c2 AS (SELECT doc_id, i, j, CASE WHEN regexp_full_match(q, '[0-9]+') THEN [q] WHEN regexp_matches(q, '[A-Z]') AND regexp_matches(q, '[a-z]') THEN {_CAMEL.format("q")} ELSE [lower(q)] END AS ps FROM c1 WHERE q <> ''),
-c3 AS (SELECT doc_id, i, j, unnest(ps) AS p, unnest(range(len(ps))) AS k FROM c2),
-w0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '{X.WORD}')) AS m, unnest(range(len(regexp_extract_all(text, '{X.WORD}')))) AS i FROM documents),
-w1 AS (SELECT doc_id, i, CASE WHEN regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') THEN {_CAMEL.format("m")} ELSE string_split(lower(m), '_') END AS ps FROM w0),
-w2 AS (SELECT doc_id, i, unnest(ps) AS p, unnest(range(len(ps))) AS k FROM w1),
-d0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{{2,20}}\b')) AS p, unnest(range(len(regexp_extract_all(text, '\b[0-9]{{2,20}}\b')))) AS i FROM documents),
-every_word AS (SELECT doc_id, 1 AS pass, i, -1 AS j, 0 AS k, lower(m) AS p FROM c0
-  UNION ALL SELECT doc_id, 1, i, j, k, p FROM c3 WHERE (regexp_full_match(p, '[0-9]+') AND len(p) BETWEEN 2 AND 64) OR {_VALID}
-  UNION ALL SELECT doc_id, 2, i, 0, k, p FROM w2 WHERE {_VALID}
-  UNION ALL SELECT doc_id, 3, i, 0, 0, p FROM d0),
-words AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pass, i, j, k) - 1 AS pos, p AS w FROM every_word)"""
+def words_sql(source: str = "documents", id_: str = "doc_id", text: str = "text", p: str = "") -> str:
+    """Words of a text in the order of three passes, as rows (doc_id, pos, w) of ``words`` with prefix ``p``, in DuckDB."""
+    found = lambda pattern: f"unnest(regexp_extract_all({text}, '{pattern}')) AS m, unnest(range(len(regexp_extract_all({text}, '{pattern}')))) AS i FROM {source}"
+    return rf"""
+{p}c0 AS (SELECT {id_} AS doc_id, {found(X.COMPOUND)}),
+{p}c1 AS (SELECT doc_id, i, m, unnest(string_split_regex(m, '[-_.+/]')) AS q, unnest(range(len(string_split_regex(m, '[-_.+/]')))) AS j FROM {p}c0 WHERE NOT regexp_full_match(m, '[0-9]+\.[0-9]+')),
+{p}c2 AS (SELECT doc_id, i, j, CASE WHEN regexp_full_match(q, '[0-9]+') THEN [q] WHEN regexp_matches(q, '[A-Z]') AND regexp_matches(q, '[a-z]') THEN {_CAMEL.format("q")} ELSE [lower(q)] END AS ps FROM {p}c1 WHERE q <> ''),
+{p}c3 AS (SELECT doc_id, i, j, unnest(ps) AS p, unnest(range(len(ps))) AS k FROM {p}c2),
+{p}w0 AS (SELECT {id_} AS doc_id, {found(X.WORD)}),
+{p}w1 AS (SELECT doc_id, i, CASE WHEN regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') THEN {_CAMEL.format("m")} ELSE string_split(lower(m), '_') END AS ps FROM {p}w0),
+{p}w2 AS (SELECT doc_id, i, unnest(ps) AS p, unnest(range(len(ps))) AS k FROM {p}w1),
+{p}d0 AS (SELECT {id_} AS doc_id, {found(r'\b[0-9]{2,20}\b')}),
+{p}every_word AS (SELECT doc_id, 1 AS pass, i, -1 AS j, 0 AS k, lower(m) AS p FROM {p}c0
+  UNION ALL SELECT doc_id, 1, i, j, k, p FROM {p}c3 WHERE (regexp_full_match(p, '[0-9]+') AND len(p) BETWEEN 2 AND 64) OR {_VALID}
+  UNION ALL SELECT doc_id, 2, i, 0, k, p FROM {p}w2 WHERE {_VALID}
+  UNION ALL SELECT doc_id, 3, i, 0, 0, m FROM {p}d0),
+{p}words AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pass, i, j, k) - 1 AS pos, p AS w FROM {p}every_word)"""
+
+
+WORDS_SQL = words_sql()
 
 
 @query("tok_words", f"WITH {WORDS_SQL} SELECT doc_id, pos, w FROM words")
 def _(t):
-    return t.documents.select("doc_id", F.posexplode(X.words(F.col("text"))).alias("pos", "w"))
+    return X.each(t.documents, X.words(F.col("text")), "doc_id").withColumnRenamed("x", "w")
 
 
 @query("tok_camel", f"SELECT p_partkey, {_CAMEL.format("replace(p_name, ' ', '')")} AS parts FROM part")
@@ -46,7 +51,7 @@ def _(t):
 
 @query("tok_unique", f"WITH {WORDS_SQL} SELECT doc_id, w, min(pos) AS first_pos FROM words GROUP BY ALL")
 def _(t):
-    return t.documents.select("doc_id", F.posexplode(X.words(F.col("text"))).alias("pos", "w")).groupBy("doc_id", "w").agg(F.min("pos").alias("first_pos"))
+    return X.each(t.documents, X.words(F.col("text")), "doc_id").groupBy("doc_id", F.col("x").alias("w")).agg(F.min("pos").alias("first_pos"))
 
 
 @query("tok_skipwords", f"SELECT unnest([{_SKIP}]) AS word")
@@ -72,7 +77,7 @@ def _(t):
     return _tokens(t).select("token", X.gram_slot_index(F.col("token")).alias("slot"))
 
 
-@query("tok_gram_slot_syn")
+@query("tok_gram_slot_syn", _SLOTS + """SELECT token, least(CASE WHEN len(string_split_regex(trim(token), ' +')) > 1 THEN len(string_split_regex(trim(token), ' +')) WHEN regexp_full_match(token, '[0-9]+\\.[0-9]+') THEN 1 ELSE greatest(len(list_filter(string_split_regex(token, '[-_.+/]'), lambda x: x <> '')), 1) END, 4)::INT AS slot FROM s""")
 def _(t):
     return _tokens(t).select("token", X.gram_slot_synonym(F.col("token")).alias("slot"))
 
@@ -83,6 +88,9 @@ def _(t):
 
 
 _PAT = "[" + ", ".join(f"CASE WHEN regexp_matches(token, '{p if p.startswith('(?i)') else '(?i)' + p}') THEN '{n}' END" for n, p in X.PATTERNS) + "]"
+#: Names of the patterns of ``token``, and the structure of a column, in DuckDB.
+PATTERNS_SQL, SKIP_SQL = _PAT, _SKIP
+STRUCTURE_SQL = r"array_to_string(list_transform(regexp_extract_all({0}, '[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[A-Za-z]') THEN '[A-Za-z]' WHEN regexp_matches(r, '^[0-9]') THEN '\d' ELSE regexp_replace(r[1], '([\\.^$|?*+()\[\]{{}}])', '\\\1') END || CASE WHEN len(r) > 1 THEN '{{' || len(r) || '}}' ELSE '' END), '')"
 _MADE = """WITH s AS (SELECT DISTINCT unnest([c_name, c_mktsegment, c_custkey::VARCHAR, 'US' || printf('%010d', c_custkey), printf('%09d', c_custkey), printf('%d.%02d', c_custkey, c_custkey % 100),
  'https://example.com/a/' || c_custkey, 'user' || c_custkey || '@example.com', printf('2024-%02d-%02d', c_custkey % 12 + 1, c_custkey % 28 + 1), c_custkey || 'K', 'ABC' || c_custkey, printf('%d,%03d', c_custkey % 900 + 1, c_custkey % 1000)]) AS token FROM customer) """
 
@@ -103,7 +111,7 @@ def _(t):
     return t.pages.select("page_id", F.regexp_extract_all("url", F.lit(X.URL), F.lit(0)).alias("urls"), F.regexp_extract_all("html", F.lit(X.PHONE), F.lit(0)).alias("phones"))
 
 
-@query("pat_structural_regex")
+@query("pat_structural_regex", _MADE + f"SELECT token, {STRUCTURE_SQL.format('token')} AS pattern FROM s")
 def _(t):
     return _made(t).select("token", X.structural_pattern(F.col("token")).alias("pattern"))
 
