@@ -279,6 +279,20 @@ def html_entities(c: Column) -> Column:
     return out
 
 
+def meta_keywords(html: Column) -> Column:
+    """The keywords that a page's head names, parted by commas and semicolons, whatever the order of the tag's attributes."""
+    tags = F.regexp_extract_all(text_of(html), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    named = F.filter(tags, lambda m: m.rlike(r"""(?is)\bname\s*=\s*["']?keywords\b"""))
+    listed = F.transform(named, lambda m: html_entities(F.regexp_extract(m, r"""(?is)\bcontent\s*=\s*["']([^"']*)""", 1)))
+    return F.filter(F.transform(F.flatten(F.transform(listed, lambda x: F.split(x, "[,;]"))), lambda k: F.trim(k)), lambda k: k != "")
+
+
+def log_map(logs: Column) -> Column:
+    """Logs of a plan as JSON from name to place; a list of names maps each to itself. Null without any."""
+    names = F.from_json(F.when(logs.startswith("["), logs), "array<string>")
+    return F.when(logs.startswith("["), F.to_json(F.map_from_arrays(names, names))).otherwise(logs)
+
+
 def tag_text(html: Column, tag: str) -> Column:
     """The texts of a tag, without inner tags."""
     inner = F.regexp_extract_all(text_of(html), F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))

@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import logs as L
 from lodestone.plans.base import LOG_LINES_SQL, query
+from lodestone.scratch import new_path
+from lodestone.sources import files
 
 c = F.col
 W = f"WITH {LOG_LINES_SQL}"
@@ -207,9 +209,12 @@ def _catalog(t):
     return t.spark.createDataFrame(_CATALOG, "environment string, type string, tags string, base_url string, pos int")
 
 
-@query("src_log_catalog")
+@query("src_log_catalog", f"WITH {_CAT_SQL} SELECT environment, type, string_split(tags, ',') AS tags, base_url, 'logs ' || pos AS summary FROM cat")
 def _(t):
-    return _catalog(t).withColumn("tags", F.split("tags", ","))
+    # Written as a file with bars between its columns, and read as the catalogue is.
+    path = new_path(t.spark, "catalogue")
+    _catalog(t).select("environment", "type", "tags", "base_url", F.concat(F.lit("logs "), "pos").alias("summary")).write.option("sep", "|").option("header", True).csv(path)
+    return files.read_log_catalogue(t.spark, path)
 
 
 @query("flt_catalog", f"WITH {_CAT_SQL} SELECT base_url FROM cat WHERE environment = 'prod' AND type = 'logtail' AND list_contains(string_split(tags, ','), 'fx') ORDER BY pos LIMIT 1")
@@ -247,9 +252,13 @@ def _(t):
     return first.select("kw", F.row_number().over(Window.orderBy("pos")).alias("n"))
 
 
-@query("src_log_read")
+@query("src_log_read", f"{W} SELECT component, count(*) AS lines, count(*) FILTER ({_TS} IS NOT NULL) AS stamped FROM log_lines WHERE line <> '' GROUP BY component")
 def _(t):
-    return t.log_lines().select("file", "line_no", "line")
+    # Written as text in one folder for each component and read from there, whatever a file's bytes.
+    path = new_path(t.spark, "logs")
+    t.log_lines().select("component", "line").write.partitionBy("component").text(path)
+    lines = files.read_log_lines(t.spark, path)
+    return lines.groupBy("component").agg(F.count(F.lit(1)).alias("lines"), F.count(L.line_time(c("line"))).alias("stamped"))
 
 
 @query("src_loki_range", f"{W}, k AS (SELECT file, line_no, line, {_TS} AS tm FROM log_lines WHERE contains(lower(line), 'error')), n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY tm, line_no) AS k FROM k WHERE tm BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00') SELECT file, line_no, line FROM n WHERE k <= 2000")

@@ -7,10 +7,11 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
 from lodestone.functions.markup import html_to_markdown
-from lodestone.operators import index as I
+from lodestone.operators import keywords as K
 from lodestone.operators import store as S
 from lodestone.plans.base import DOC_META_SQL, query
 from lodestone.scratch import keep, new_path
+from lodestone.sources import files
 from lodestone.streaming import logs as T
 
 c = F.col
@@ -23,11 +24,15 @@ def _(t):
     return t.doc_meta().where("id = '42'").select("id", "title", "type")
 
 
-@query("src_meta_scan")
+@query("src_meta_scan", f"{M} SELECT id, title, type, tags, summary, version + 1 AS version FROM doc_meta")
 def _(t):
-    # Two versions of each document are stored; the later one is read.
-    meta = t.doc_meta()
-    return S.newest(meta.unionByName(meta.withColumn("version", c("version") + 1)), "id", "version")
+    # Two versions of each document are written as JSON with lines that are none; the later one is read.
+    path = new_path(t.spark, "metadata")
+    meta = t.doc_meta().select("id", "title", "type", "tags", "summary", "version")
+    both = meta.unionByName(meta.withColumn("version", c("version") + 1))
+    both.select(F.to_json(F.struct(*both.columns)).alias("value")).unionByName(t.region.select(F.lit("{broken").alias("value"))).write.text(path)
+    rows = files.read_metadata_lines(t.spark, path)
+    return S.newest(rows, "id", "version").select("id", "title", "type", "tags", "summary", "version")
 
 
 @query("src_body_read", "SELECT doc_id::VARCHAR AS id, text AS content FROM documents")
@@ -116,7 +121,7 @@ def _(t):
     return t.pages.select("page_id", "url").unionByName(made).withColumn("version", F.lit(1))
 
 
-@query("src_wiki_children")
+@query("src_wiki_children", "SELECT page_id, url FROM pages WHERE false")
 def _(t):
     return t.spark.createDataFrame([], "page_id long, url string")
 
@@ -137,9 +142,16 @@ def _(t):
     return t.doc_meta().select("id", F.left(F.concat_ws("\n\n", F.trim("title"), F.trim("summary")), F.lit(200)).alias("context"))
 
 
-@query("src_fixture_gen")
+# The issues that each topic's page names.
+_NAMED_ISSUES = [[1, 2], [5, 9], [7], [5], [4], [3, 11], [4, 8], [10, 12], [12], [10], [11], [12]]
+
+
+@query("src_fixture_gen", "WITH m(topic, issues) AS (VALUES (0, [1, 2]), (1, [5, 9]), (2, [7]), (3, [5]), (4, [4]), (5, [3, 11]), (6, [4, 8]), (7, [10, 12]), (8, [12]), (9, [10]), (10, [11]), (11, [12])) SELECT 'page' AS kind, (77778882 + topic)::VARCHAR AS id, 'Topic ' || topic AS title, '<h1>Topic ' || topic || '</h1><p>See ' || array_to_string(list_transform(issues, lambda x: 'PROJ-' || x), ', ') || '</p>' AS body FROM m UNION ALL SELECT 'page', '77778881', 'PROJ: Project Documentation', '<div><h1>PROJ Project Documentation</h1></div>' UNION ALL SELECT 'page', '77778800', 'Feedback Logs', '<div><h1>Feedback Logs</h1></div>' UNION ALL SELECT 'issue', (10000 + i)::VARCHAR, 'PROJ-' || i || ': Issue ' || i, '{\"summary\":\"Issue ' || i || '\"}' FROM range(1, 13) r(i)")
 def _(t):
-    return t.spark.createDataFrame([(str(77778882 + i), f"Topic {i}", f"<h1>Topic {i}</h1><p>See PROJ-{i + 1}</p>", 1) for i in range(14)], "id string, title string, body string, version int")
+    pages = [("page", str(77778882 + i), f"Topic {i}", f"<h1>Topic {i}</h1><p>See {', '.join(f'PROJ-{n}' for n in named)}</p>") for i, named in enumerate(_NAMED_ISSUES)]
+    pages += [("page", "77778881", "PROJ: Project Documentation", "<div><h1>PROJ Project Documentation</h1></div>"), ("page", "77778800", "Feedback Logs", "<div><h1>Feedback Logs</h1></div>")]
+    issues = [("issue", str(10000 + i), f"PROJ-{i}: Issue {i}", f'{{"summary":"Issue {i}"}}') for i in range(1, 13)]
+    return t.spark.createDataFrame(pages + issues, "kind string, id string, title string, body string")
 
 
 def _card(t):
@@ -156,7 +168,7 @@ def _(t):
     return _card(t).withColumn("file", F.concat(F.lit("skills/"), F.regexp_replace("file", r"\.md$", ""), F.lit("/SKILL.md")))
 
 
-@query("src_images")
+@query("src_images", "SELECT page_id, '![a](images/' || page_id || '.png) text' AS markdown FROM pages")
 def _(t):
     md = F.concat(F.lit("![a](https://img.example.com/"), c("page_id").cast("string"), F.lit(".png) text"))
     return t.pages.select("page_id", F.regexp_replace(md, r"!\[([^\]]*)\]\(https?://[^)]*?([^/)]+)\)", "![$1](images/$2)").alias("markdown"))
@@ -329,17 +341,30 @@ def _(t):
 
 
 # ---- flows
+def _indexed(docs, documents: int):
+    """(doc_id, title, summary, keywords, places): documents with how many keywords of each category their whole content gave."""
+    stored = K.build(docs, documents)
+    by = stored.groupBy("doc_id").pivot("category", K.CATEGORIES).agg(F.count(F.lit(1)))
+    return docs.select("doc_id", "title", "summary", F.length("content").alias("chars")).join(by.na.fill(0), "doc_id", "left")
+
+
 @query("flow_process_page")
 def _(t):
-    md = html_to_markdown(t.pages, "page_id", "html")
-    title = t.pages.select("page_id", F.coalesce(F.get(X.tag_text(c("html"), "title"), F.lit(0)), F.lit("")).alias("title"))
-    return title.join(md, "page_id").select("page_id", "title", X.summary(c("markdown")).alias("summary"), F.slice(F.array_distinct(X.words(c("title"))), 1, 100).alias("keywords"), F.octet_length("markdown").alias("bytes"))
+    # A page becomes a document: Markdown, title, the page's own keywords, and all categories over the whole body.
+    md = html_to_markdown(t.pages, "page_id", "html").withColumnRenamed("page_id", "doc_id")
+    heads = t.pages.select(c("page_id").alias("doc_id"), F.coalesce(F.get(X.tag_text(c("html"), "title"), F.lit(0)), F.lit("")).alias("title"), X.meta_keywords(c("html")).alias("semantic"))
+    docs = heads.join(md, "doc_id").select("doc_id", "title", "semantic", c("markdown").alias("content"), X.summary(c("markdown")).alias("summary"), F.lit("").alias("graph"))
+    return _indexed(keep(docs, "pages"), t.pages.count())
 
 
 @query("flow_process_issue")
 def _(t):
-    md = X.jira_markdown(F.concat(F.lit("h1. OPS-"), "o_orderkey", F.lit("\nh2. Status\n"), "o_orderstatus"))
-    return t.orders.select("o_orderkey", md.alias("markdown"), F.array_distinct(X.words(c("o_orderpriority"))).alias("keywords"))
+    # An issue becomes a document: its markup as Markdown, a summary, and its keywords over title and body.
+    body = X.jira_markdown(F.concat(F.lit("h2. Status\n"), "o_orderstatus", F.lit("\nh3. Priority\nThe priority is "), "o_orderpriority", F.lit(". Ordered by Customer"), "o_custkey"))
+    title = F.concat(F.lit("OPS-"), "o_orderkey", F.lit(": "), "o_orderpriority")
+    docs = t.orders.select(c("o_orderkey").alias("doc_id"), title.alias("title"), body.alias("content"))
+    docs = keep(docs.withColumns({"summary": X.summary(c("content")), "graph": F.lit(""), "semantic": F.array().cast("array<string>")}), "issues")
+    return _indexed(docs, t.orders.count())
 
 
 @query("flow_bfs", "WITH RECURSIVE links AS (SELECT doc_id AS child, doc_id // 3 AS parent FROM documents WHERE doc_id > 0), r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION ALL SELECT child, depth + 1 FROM r JOIN links ON parent = id) SELECT id, depth FROM r")
@@ -367,6 +392,26 @@ def _(t):
     return S.without(meta, meta.where("id % 5 = 0")).where(X.title_relevant(c("title"), F.lit(_Q))).select("id", F.left("title", F.lit(200)).alias("title"), F.left("summary", F.lit(300)).alias("summary"))
 
 
+# ---- calls that are tried again
+_TRIES = "SELECT event_id, event_type, ts, [value > 50, event_id % 3 = 0, event_id % 2 = 0] AS failed FROM events"
+
+
+def _tries(t):
+    return t.events.select("event_id", "event_type", c("ts").cast("timestamp").alias("at"), F.array(c("value") > 50, c("event_id") % 3 == 0, c("event_id") % 2 == 0).alias("failed"))
+
+
+@query("str_retry", f"WITH c AS ({_TRIES}) SELECT event_id, CASE WHEN failed[1] THEN 2 ELSE 1 END AS attempts, CASE WHEN failed[1] THEN 200 ELSE 0 END AS waited_ms, CASE WHEN NOT failed[1] OR NOT failed[2] THEN 'done' ELSE 'recovered' END AS state FROM c")
+def _(t):
+    return T.retried(_tries(t)).select("event_id", "attempts", "waited_ms", "state")
+
+
+@query("str_request_queue", f"""WITH c AS ({_TRIES}), n AS (SELECT event_id, event_type, ts, CASE WHEN NOT failed[1] THEN 1 WHEN NOT failed[2] THEN 2 ELSE 3 END AS attempts, failed[1] AND failed[2] AND failed[3] AS lost FROM c),
+w AS (SELECT *, CASE attempts WHEN 1 THEN 0 WHEN 2 THEN 10 ELSE 30 END AS waited_s FROM n), q AS (SELECT *, epoch_us(ts) AS at_us, sum(waited_s) OVER o AS done, row_number() OVER o AS k FROM w WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id))
+SELECT event_id, attempts, (max(at_us - (done - waited_s) * 1000000) OVER (PARTITION BY event_type ORDER BY k) + done * 1000000)::BIGINT AS done_us, CASE WHEN lost THEN 'failed' ELSE 'done' END AS state FROM q""")
+def _(t):
+    return T.queued(_tries(t), "event_type", "event_id").select("event_id", "attempts", F.col("done_us"), "state")
+
+
 # ---- streams, over stored rows
 def _calls(t):
     return t.events.select(c("event_type").alias("connector"), c("event_id").alias("seq"), c("ts").cast("timestamp").alias("at"), (c("value") > 90).alias("failed"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators import keywords as K
 from lodestone.plans.base import DOC_META_SQL, query
 
 _ISSUE = "[A-Za-z]{2,10}-[0-9]+"
@@ -123,10 +124,10 @@ def _(t):
     return t.documents.select("doc_id", F.array_distinct(F.concat(many, caps)).alias("sequences"))
 
 
-@query("md_identifiers")
+@query("md_identifiers", "SELECT doc_id, " + ", ".join(f"list_sort(list_distinct(regexp_extract_all(text, '{p}'))) AS {n}" for n, p in (("compound", X.COMPOUND), ("camel", "[A-Z]?[a-z0-9]+(?:[A-Z][a-z0-9]+)+"), ("caps", r"\b[A-Z][A-Z0-9_]{2,}\b"), ("snake", "[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+"))) + " FROM documents")
 def _(t):
-    kinds = {"compound": X.COMPOUND, "camel": "[A-Z]?[a-z0-9]+(?:[A-Z][a-z0-9]+)+", "caps": r"\b[A-Z][A-Z0-9_]{2,}\b", "snake": "[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+"}
-    return t.documents.select("doc_id", *[F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(n) for n, p in kinds.items()])
+    kinds = {"compound": X.COMPOUND, "camel": "[A-Z]?[a-z0-9]+(?:[A-Z][a-z0-9]+)+", "caps": r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]{2,}(?![A-Za-z0-9_])", "snake": "[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+"}
+    return t.documents.select("doc_id", *[F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0)))).alias(n) for n, p in kinds.items()])
 
 
 @query("md_keywords")
@@ -154,11 +155,12 @@ def _tag(tag: str) -> str:
     return f"list_transform({inner}, lambda x: trim({_entities("regexp_replace(x, '<[^>]*>', '', 'g')")}))"
 
 
-@query("html_tags", f"SELECT page_id, coalesce({_tag('title')}[1], {_tag('h1')}[1], '') AS title, list_concat(list_concat({_tag('h1')}, {_tag('h2')}), {_tag('h3')}) AS headings FROM pages")
+@query("html_tags", f"WITH p AS (SELECT page_id, replace(html, '<title>', '<meta content=\"Alpha, beta;gamma\" name=\"Keywords\"><title>') AS html FROM pages) SELECT page_id, coalesce({_tag('title')}[1], {_tag('h1')}[1], '') AS title, list_concat(list_concat({_tag('h1')}, {_tag('h2')}), {_tag('h3')}) AS headings, CASE WHEN contains(html, 'name=\"Keywords\"') THEN ['Alpha', 'beta', 'gamma'] ELSE [] END AS keywords FROM p")
 def _(t):
     tag = lambda n: X.tag_text(F.col("html"), n)
     first = lambda n: F.get(tag(n), F.lit(0))
-    return t.pages.select("page_id", F.coalesce(first("title"), first("h1"), F.lit("")).alias("title"), F.concat(tag("h1"), tag("h2"), tag("h3")).alias("headings"))
+    pages = t.pages.withColumn("html", F.replace("html", F.lit("<title>"), F.lit('<meta content="Alpha, beta;gamma" name="Keywords"><title>')))
+    return pages.select("page_id", F.coalesce(first("title"), first("h1"), F.lit("")).alias("title"), F.concat(tag("h1"), tag("h2"), tag("h3")).alias("headings"), X.meta_keywords(F.col("html")).alias("keywords"))
 
 
 @query("src_html_links", r"""SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS href FROM pages""")
@@ -278,7 +280,7 @@ def _(t):
     return t.documents.select("doc_id", X.jira_markdown(F.concat(F.lit("h1. "), "lang", F.lit("\r\nh3.  "), "source", F.lit("\nbody "), "doc_id")).alias("md"))
 
 
-@query("jira_render")
+@query("jira_render", "SELECT o_orderkey, 'OPS-' || o_orderkey || ': ' || coalesce(nullif(o_orderpriority, ''), 'Untitled') AS title, '# ' || o_orderpriority || chr(10) || 'Status: ' || o_orderstatus || chr(10) || 'Key: OPS-' || o_orderkey AS markdown FROM orders")
 def _(t):
     body = F.concat_ws("\n", F.concat(F.lit("# "), "o_orderpriority"), F.concat(F.lit("Status: "), "o_orderstatus"), F.concat(F.lit("Key: OPS-"), "o_orderkey"))
     return t.orders.select("o_orderkey", F.concat(F.lit("OPS-"), "o_orderkey", F.lit(": "), F.coalesce(F.nullif("o_orderpriority", F.lit("")), F.lit("Untitled"))).alias("title"), body.alias("markdown"))
@@ -290,21 +292,25 @@ def _(t):
     return t.events.select("event_id", found.alias("found"), F.get_json_object(found, "$.k").cast("int").alias("k"))
 
 
-@query("json_block")
+@query("json_block", "SELECT event_id, props AS block FROM events")
 def _(t):
     from lodestone.functions.markup import json_block
 
     return json_block(t.events.select("event_id", F.concat(F.lit("text ```json\n"), "props", F.lit("\n``` end")).alias("text")), "event_id", "text")
 
 
-@query("json_normalise_plan")
+@query("json_normalise_plan", "SELECT event_id, 'q' || event_id AS original_query, [event_type] AS proposed_keywords, CASE event_id % 3 WHEN 0 THEN '{\"app\":\"app\",\"oms\":\"oms\"}' WHEN 1 THEN '{\"app\":\"https://l/' || event_id || '\"}' END AS proposed_logs FROM events")
 def _(t):
-    plan = F.to_json(F.struct(F.concat(F.lit("q"), "event_id").alias("query"), F.array("event_type").alias("keywords")))
+    # Logs are named in a list, in a map from name to place, or not at all; a list becomes a map of names to themselves.
+    k = F.col("event_id") % 3
+    logs = F.when(k == 0, F.lit('["app","oms"]')).when(k == 1, F.concat(F.lit('{"app":"https://l/'), "event_id", F.lit('"}')))
+    said = F.to_json(F.struct(F.concat(F.lit("q"), "event_id").alias("query"), F.array("event_type").alias("keywords")))
+    plan = F.when(logs.isNull(), said).otherwise(F.concat(F.regexp_replace(said, r"\}$", ""), F.lit(',"proposed_logs":'), logs, F.lit("}")))
     kw = F.from_json(F.coalesce(F.get_json_object(plan, "$.proposed_keywords"), F.get_json_object(plan, "$.keywords")), "array<string>")
-    return t.events.select("event_id", F.coalesce(F.get_json_object(plan, "$.original_query"), F.get_json_object(plan, "$.query")).alias("original_query"), F.when(F.size(kw) > 0, kw).alias("proposed_keywords"))
+    return t.events.select("event_id", F.coalesce(F.get_json_object(plan, "$.original_query"), F.get_json_object(plan, "$.query")).alias("original_query"), F.when(F.size(kw) > 0, kw).alias("proposed_keywords"), X.log_map(F.get_json_object(plan, "$.proposed_logs")).alias("proposed_logs"))
 
 
-@query("json_parse_eval")
+@query("json_parse_eval", "SELECT event_id, [event_id::VARCHAR] AS relevant_ids, []::VARCHAR[] AS irrelevant_ids, event_id % 2 = 0 AS satisfied, '' AS answer FROM events")
 def _(t):
     said = F.concat(F.lit('{"relevantIds":["'), "event_id", F.lit('"],"satisfied":'), (F.col("event_id") % 2 == 0).cast("string"), F.lit("}"))
     parsed = F.from_json(said, "relevantIds array<string>, irrelevantIds array<string>, satisfied boolean, answer string")
@@ -318,8 +324,7 @@ _GRAPH = 'graph TD\n A["{0}"] --> B[Order Flow]\n B --> Clearing'
 @query("mm_entities")
 def _(t):
     g = F.format_string(_GRAPH.replace("{0}", "%s"), F.col("title"))
-    found = F.concat(F.regexp_extract_all(g, F.lit(r'[\[({]"([^"]+)"'), F.lit(1)), F.regexp_extract_all(g, F.lit(r"[\[({]([A-Za-z][A-Za-z0-9 _-]{1,40})[\])}]"), F.lit(1)), F.regexp_extract_all(g, F.lit(r"\b([A-Z][A-Za-z0-9_]{2,})\b"), F.lit(1)))
-    return t.doc_meta().select("id", F.flatten(F.transform(found, lambda x: X.words(x))).alias("tokens"))
+    return t.doc_meta().select("id", K.entity_tokens(g).alias("tokens"))
 
 
 @query("mm_keywords")
@@ -336,14 +341,20 @@ def _(t):
     return t.doc_meta().select("id", F.trim(F.regexp_replace(graph, r'\["([^"]*)"\]', "[$1]")).alias("graph"))
 
 
-@query("txt_error_map")
+def _escaped(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+@query("txt_error_map", "SELECT event_id, (event_id % 6) * 100 AS status, CASE event_id % 6 WHEN 4 THEN 'The request was not understood' WHEN 5 THEN 'The server failed' WHEN 1 THEN 'ok' WHEN 2 THEN 'ok' WHEN 3 THEN 'Moved' ELSE 'Unknown error' END AS message FROM events")
 def _(t):
     code = (F.col("event_id") % 6) * 100
     said = F.when(code == 400, "The request was not understood").when(code == 500, "The server failed").when(code.between(1, 299), "ok").when(code == 300, "Moved").otherwise("Unknown error")
     return t.events.select("event_id", code.alias("status"), said.alias("message"))
 
 
-@query("txt_feedback_row")
+@query("txt_feedback_row", f"WITH r AS (SELECT conv_id, turn, '<tr><td>' || {_escaped('role')} || '</td><td>' || {_escaped('text')} || '</td></tr>' AS row FROM conversations) SELECT conv_id, turn, row, '<table><tbody>' || row || '</tbody></table>' AS page FROM r")
 def _(t):
     cells = [F.concat(F.lit("<td>"), X.escaped_html(F.col(c)), F.lit("</td>")) for c in ("role", "text")]
     row = F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))

@@ -17,6 +17,12 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "__path", "_bad")
 
 
+def read_metadata_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata of a store kept as one document a line, in files that tasks share; what can't be read is left out."""
+    rows = spark.read.schema(META + ", _bad string").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).json(path)
+    return rows.where("_bad IS NULL AND id IS NOT NULL").drop("_bad")
+
+
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """(id, content): ``<id>/content.md``, else ``<id>.md``, else ``<id>.txt``."""
     rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("p"))
@@ -39,6 +45,12 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", (F.col("pos") + 1).cast("long").alias("line_no"), "line").where("line <> ''")
 
 
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(component, file, line) of logs in folders by component; tasks share large files, so lines have no number."""
+    rows = spark.read.text(path).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1))
+    return rows.select("component", "file", F.col("value").alias("line")).where("line <> ''")
+
+
 def prompt_text(spark: SparkSession, path: str, most: int) -> str:
     """All ``*.md`` files below a folder by path, trimmed, joined, and cut: a prompt's context."""
     rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("p"), F.trim("value").alias("v"))

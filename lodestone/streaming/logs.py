@@ -23,6 +23,32 @@ def retained(rows: DataFrame, at: str, now, days: int = 31) -> DataFrame:
     return rows.where(F.col(at) <= now + F.make_dt_interval(F.lit(days)))
 
 
+def retried(calls: DataFrame, delay_ms: int = 200) -> DataFrame:
+    """``calls`` (failed: whether each attempt fails) after two attempts: done, or given up to the recovery."""
+    again = F.col("failed")[0]
+    state = F.when(again & F.col("failed")[1], "recovered").otherwise("done")
+    return calls.withColumns({"attempts": F.when(again, 2).otherwise(1), "waited_ms": F.when(again, delay_ms).otherwise(0), "state": state})
+
+
+def queued(calls: DataFrame, queue: str, seq: str, delays: tuple[int, ...] = (10, 20)) -> DataFrame:
+    """``calls`` (at, failed) through serial queues: attempts, time of the end in microseconds, and state.
+
+    A request waits for those before it in its queue; it is tried again after each of
+    ``delays`` seconds and fails with the last attempt. A request begins at its own time or at
+    the end of the one before, so with the work before it summed up the ends are a running
+    maximum: no loop over requests.
+    """
+    failed = F.col("failed")
+    tries = F.size(F.filter(F.sequence(F.lit(0), F.lit(len(delays))), lambda i: (i == 0) | F.forall(F.slice(failed, F.lit(1), i), lambda f: f)))
+    waits = F.aggregate(F.slice(F.array(*map(F.lit, delays)), F.lit(1), F.col("attempts") - 1), F.lit(0), lambda a, x: a + x)
+    order = Window.partitionBy(queue).orderBy("at", seq)
+    rows = calls.withColumn("attempts", tries).withColumn("wait", waits.cast("long") * 1_000_000)
+    rows = rows.withColumn("work", F.sum("wait").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = F.max(F.unix_micros("at") - (F.col("work") - F.col("wait"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    state = F.when(F.forall(F.slice(failed, 1, len(delays) + 1), lambda f: f), "failed").otherwise("done")
+    return rows.withColumn("done_us", begun + F.col("work")).withColumn("state", state).drop("wait", "work")
+
+
 def breaker_states(calls: DataFrame) -> DataFrame:
     """(connector, at, state): OPEN at each fifth failure, HALF_OPEN and CLOSED 30 and 60 seconds later.
 

@@ -13,6 +13,7 @@ from lodestone.functions import logs as L
 from lodestone.functions import markup
 from lodestone.functions import text as X
 from lodestone.operators import index as I
+from lodestone.operators import keywords as K
 from lodestone.operators import store as S
 from lodestone import registry
 
@@ -148,6 +149,132 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in files.read_logs(spark, path).collect()] == [("app-20260411141244484.log", 1, "one"), ("app-20260411141244484.log", 2, "two")]
 
 
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "b.md").write_text(" second \n")
+    (tmp_path / "p" / "a.md").write_text("first")
+    assert files.prompt_text(spark, str(tmp_path / "p"), 100) == "first\n\nsecond"
+    (tmp_path / "logs.csv").write_text("environment|type|tags|base_url|summary\nprod|logtail|oms,fx|https://l|all\n")
+    assert [tuple(r) for r in files.read_log_catalogue(spark, str(tmp_path / "logs.csv")).collect()] == [("prod", "logtail", ["oms", "fx"], "https://l", "all")]
+
+
+# ---- keywords and synonyms
+@pytest.mark.parametrize(
+    ("line", "parts"),
+    [
+        ("2026-04-11 14:13:17 warn [main] com.app.Order", ("2026-04-11T14:13:17Z", "WARN", "Order")),
+        ("2026-04-11 14:13:17.645 ERROR [a b] Svc$1 - x", ("2026-04-11T14:13:17Z", "ERROR", "Svc$1")),
+        ("2026-13-40 14:13:17.645 ERROR [a] Svc - x", (None, None, None)),
+        ("  at com.app.Order", (None, None, None)),
+    ],
+)
+def test_entries(spark, line, parts):
+    got = spark.createDataFrame([(line,)], "line string").select(*[x.alias(n) for n, x in L.line_parts(F.col("line")).items()]).first()
+    assert tuple(got) == parts
+
+
+@pytest.mark.parametrize(("text", "pattern"), [("US-0033", r"[A-Za-z]{2}-\d{4}"), ("aB1", r"[A-Za-z][A-Za-z]\d"), ("a..b", r"[A-Za-z]\.{2}[A-Za-z]")])
+def test_structural_pattern(spark, text, pattern):
+    assert one(spark, X.structural_pattern(F.col("t")), t=text) == pattern
+
+
+@pytest.mark.parametrize(("synonym", "slot"), [(r"[A-Z]-\d+", 2), (r"[A-Za-z]{2}-\d{4}-\d", 3), ("123.456788", 1), ("fx-2024-00789", 3), ("risk manager", 2)])
+def test_synonym_slot(spark, synonym, slot):
+    assert one(spark, X.gram_slot_synonym(F.col("t")), t=synonym) == slot
+
+
+@pytest.mark.parametrize(
+    ("keyword", "synonyms"),
+    [
+        ("123.4567", ["123", "123.5", "123.46", "123.457", r"\d{3}\.\d{4}"]),
+        ("TradeFlow", ["trade-flow"]),
+        ("trade_flow", [r"[A-Za-z]{5}_[A-Za-z]{4}", "trade-flow"]),
+        ("01/02/2024", [r"\d{2}/\d{2}/\d{4}", "01-02-2024"]),
+    ],
+)
+def test_pattern_synonyms(spark, keyword, synonyms):
+    got = one(spark, X.pattern_synonyms(F.col("t")), t=keyword)
+    names = {n.lower(): p for n, p in X.PATTERNS}
+    assert [s for s in got if s not in names] == synonyms
+    import re
+
+    assert [s for s in got if s in names] == [n for n, p in names.items() if re.search(p, keyword, re.I)]
+
+
+@pytest.mark.parametrize(
+    ("word", "suffix", "forms"),
+    [("trade", "ing", ["tradeing", "trading"]), ("try", "ing", ["trying"]), ("trade", "ed", ["tradeed", "traded"]), ("happy", "ness", ["happyness", "happiness"]), ("class", "s", []), ("link", "age", ["linkage"]), ("trade", "age", []), ("act", "ion", ["action"]), ("use", "able", ["useable"]), ("value", "able", ["valueable", "valuable"]), ("supply", "tion", ["supplition"])],
+)
+def test_lengthened(spark, word, suffix, forms):
+    assert one(spark, K.lengthened(F.col("t"), suffix), t=word) == forms
+
+
+@pytest.mark.parametrize(
+    ("word", "suffix", "forms"),
+    [("trading", "ing", ["trad", "trade"]), ("sing", "ing", []), ("happily", "ly", ["happi", "happy"]), ("happiness", "ness", ["happi", "happy"]), ("traded", "ed", ["trad"]), ("valuable", "able", ["valu", "value"]), ("condition", "tion", ["condi", "condy"]), ("traders", "s", ["trader"])],
+)
+def test_shortened(spark, word, suffix, forms):
+    assert one(spark, K.shortened(F.col("t"), suffix), t=word) == forms
+
+
+def test_positions_of_keywords(spark):
+    rows = spark.createDataFrame([("d", ["fx", "FX ", "fx", "trade"])], "doc_id string, k array<string>")
+    got = {(r.gram, r.token): r.positions for r in K.categorised(rows, "title", F.col("k")).collect()}
+    assert got == {(1, "fx"): [0.0, 0.25, 0.5], (1, "trade"): [0.75]}
+    odd = spark.createDataFrame([("d", ["the", "x", "a b c d e", "v1.2-3", "ok"]), ("n", None)], "doc_id string, k array<string>")
+    assert {(r.doc_id, r.gram, r.token): r.positions for r in K.categorised(odd, "kg", F.col("k")).collect()} == {("d", 4, "a b c d e"): [0.4], ("d", 3, "v1.2-3"): [0.6], ("d", 1, "ok"): [0.8]}
+
+
+def test_clean_keywords(spark):
+    assert one(spark, K.cleaned(K.given(F.col("t"))), t="Beta, alpha;beta|x\n ALPHA , gamma") == ["Beta", "alpha", "gamma"]
+    assert one(spark, K.cleaned(K.given(F.col("t")), 1), t="b1,a1") == ["b1"] and one(spark, K.cleaned(K.given(F.col("t"))), t="") == []
+
+
+def test_flattened_order(spark):
+    rows = spark.createDataFrame([("d", "semantic", 1, "zeta", [0.0]), ("d", "title", 2, "b c", [0.1]), ("d", "title", 1, "mid", [0.5]), ("d", "title", 1, "2024", [0.9]), ("d", "semantic", 1, "mid", [0.0])], "doc_id string, category string, gram int, token string, positions array<double>")
+    assert K.flattened(rows).first().keywords == ["2024", "mid", "b c", "zeta"]
+
+
+def test_keyword_build(spark):
+    docs = spark.createDataFrame([(7, "Trade Flow", "Traders trade. Fast", "# Risk Manager\n\nUse **Order Book** and `submitOrder`.\n\n```\nFX-2024 call\n```\n", 'graph TD\n A["Risk Desk"]', ["kept one"])], "doc_id long, title string, summary string, content string, graph string, semantic array<string>")
+    dictionary = spark.createDataFrame([("trader",), ("trading",), ("trade",)], "w string")
+    got = {(r.category, r.token): (r.gram, r.positions) for r in K.build(docs, 1, spark.createDataFrame([(7, ["alpha", "Alpha", "beta"])], "doc_id long, keywords array<string>"), dictionary).collect()}
+    assert got["title", "trade flow"] == (2, [0.6667]) and got["title", "trade"] == (1, [0.0])
+    assert got["structural", "risk manager"][0] == 2 and ("structural", "order book") in got and ("structural", "submitorder") in got and got["structural", "fx-2024"][0] == 2
+    assert got["semantic", "kept one"] == (2, [0.0]) and ("semantic", "traders trade") in got
+    assert got["bm25", "alpha"] == (1, [0.0]) and got["bm25", "beta"] == (1, [0.5])
+    assert ("kg", "risk desk") in got
+    # A synonym has the places of the words that it comes from.
+    assert got["synonyms", "trading"] == (1, sorted({*got["title", "trade"][1], *got["semantic", "trade"][1]}))
+    assert K.build(docs.limit(0), 0).count() == 0
+
+
+def test_words_of_markup_are_words(spark):
+    texts = ["trade-1234-20260321 XMLParser a_b 12 x99y é12 don't 3.14", "The QUICK brownFox v1.2.3-beta http://x/y", ""]
+    for t in texts:
+        assert markup.words_of(t) == one(spark, X.words(F.col("t")), t=t)
+
+
+def test_postings_read_by_token(spark, tmp_path):
+    posts = spark.createDataFrame([(i, "bm25", 1, f"t{i % 50}", 1) for i in range(500)], "doc_id long, category string, gram int, token string, tf long")
+    I.store_postings(posts, str(tmp_path / "p"))
+    found = I.stored_postings(spark, str(tmp_path / "p"), ["t7"])
+    assert found.count() == 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1][:60] and "PushedFilters: [In(token" in plan or "EqualTo(token" in plan
+
+
+def test_corpus_counts(spark):
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, None), (3, "beta")], "doc_id long, text string")
+    tf = {(r.doc_id, r.gram): (r.n, r.tf, r.dl) for r in I.frequencies(docs, "doc_id", "text").collect()}
+    assert tf == {(1, "alpha"): (1, 2, 6), (1, "beta"): (1, 1, 6), (1, "alpha beta"): (2, 1, 6), (1, "beta alpha"): (2, 1, 6), (1, "alpha beta alpha"): (3, 1, 6), (3, "beta"): (1, 1, 1)}
+    assert tuple(I.corpus(docs).first()) == (3, pytest.approx(7 / 3)) and tuple(I.corpus(docs.limit(0)).first()) == (0, 1.0)
+
+
+def test_deep_hierarchy(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "parent long, child long")
+    assert S.reached(spark.range(1).select("id"), chain).count() == 61
+
+
 def rows_of(frame_rows, columns):
     def plain(v):
         if isinstance(v, bool) or v is None:
