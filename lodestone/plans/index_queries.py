@@ -21,6 +21,8 @@ grams AS (SELECT doc_id, 1 AS n, pos, w AS gram FROM ng UNION ALL SELECT doc_id,
 _TF = _GRAMS + ", tf AS (SELECT doc_id, gram, min(n) AS n, count(*) AS tf FROM grams GROUP BY doc_id, gram), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id), st AS (SELECT (SELECT count(*) FROM documents) AS n_docs, coalesce(nullif((SELECT sum(tf) FROM tf)::DOUBLE / (SELECT count(*) FROM documents), 0), 1) AS avgdl)"
 _BM = _TF + ", bm AS (SELECT doc_id, gram, n, tf, round(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)), 6) AS score FROM tf JOIN df USING (gram) JOIN dl USING (doc_id), st), top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, gram) AS rank FROM bm QUALIFY rank <= 30)"
 
+BM_SQL = _BM
+
 
 def _grams(t):
     return I.grams(t.documents, "doc_id", "text")

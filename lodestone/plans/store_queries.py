@@ -7,9 +7,12 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
 from lodestone.functions.markup import html_to_markdown
+from lodestone.operators import index as I
 from lodestone.operators import keywords as K
 from lodestone.operators import store as S
 from lodestone.plans.base import DOC_META_SQL, query
+from lodestone.plans.index_queries import BM_SQL
+from lodestone.plans.text_queries import SLUG_SQL
 from lodestone.scratch import keep, new_path
 from lodestone.sources import files
 from lodestone.streaming import logs as T
@@ -137,9 +140,12 @@ def _(t):
     return hits.select("o_orderkey").crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias("total"))))
 
 
-@query("src_prompt_files")
+@query("src_prompt_files", f"{M}, p AS (SELECT type, string_agg(title, chr(10) ORDER BY id) AS v FROM doc_meta GROUP BY type) SELECT left(string_agg(trim(v, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY type), 20000) AS context FROM p")
 def _(t):
-    return t.doc_meta().select("id", F.left(F.concat_ws("\n\n", F.trim("title"), F.trim("summary")), F.lit(200)).alias("context"))
+    # A prompt file for each type, written and read in the order of their paths; a prompt's length has a limit.
+    path = new_path(t.spark, "prompts")
+    t.doc_meta().select("type", "id", "title").repartition("type").sortWithinPartitions("type", "id").select("type", "title").write.partitionBy("type").text(path)
+    return t.spark.createDataFrame([(files.prompt_text(t.spark, path, 20_000, "*.txt"),)], "context string")
 
 
 # The issues that each topic's page names.
@@ -158,12 +164,15 @@ def _card(t):
     return t.doc_meta().select("id", F.concat(X.slug(c("title")), F.lit(".md")).alias("file"), F.concat_ws("\n", F.lit("---"), F.concat(F.lit("description: "), "title"), F.lit("---"), "summary").alias("content"))
 
 
-@query("sink_prompt")
+_CARD = f"{M} SELECT id, {SLUG_SQL.format('title')} AS slug, '---' || chr(10) || 'description: ' || title || chr(10) || '---' || chr(10) || summary AS content FROM doc_meta"
+
+
+@query("sink_prompt", f"SELECT id, slug || '.md' AS file, content FROM ({_CARD})")
 def _(t):
     return _card(t)
 
 
-@query("sink_skill")
+@query("sink_skill", f"SELECT id, 'skills/' || slug || '/SKILL.md' AS file, content FROM ({_CARD})")
 def _(t):
     return _card(t).withColumn("file", F.concat(F.lit("skills/"), F.regexp_replace("file", r"\.md$", ""), F.lit("/SKILL.md")))
 
@@ -331,7 +340,7 @@ def _(t):
     return _feedback(t).groupBy("target", c("event_type").alias("query")).agg(F.max("at").alias("last_asked"))
 
 
-@query("agg_merge_refqueries")
+@query("agg_merge_refqueries", """SELECT doc_id, '{"a":["' || lang || '"],"b":["' || source || '","' || lang || '"],"d":["' || lang || '"]}' AS merged FROM documents""")
 def _(t):
     old = F.create_map(F.lit("a"), F.array("lang"), F.lit("b"), F.array("source"))
     new = F.create_map(F.lit("b"), F.array("source", "lang"), F.lit("d"), F.array("lang"))
@@ -380,10 +389,20 @@ def _(t):
     return S.patched(meta, patch).select("id", "summary", "type", "tags")
 
 
-@query("flow_feedback")
-def _(t):
-    given = _feedback(t).groupBy("target").agg(F.array_sort(F.collect_set("event_type")).alias("queries"))
-    return t.doc_meta().join(given.withColumnRenamed("target", "id"), "id").select("id", "title", "queries")
+@query("flow_feedback", f"""WITH {BM_SQL}, {DOC_META_SQL}, given AS (SELECT (user_id % 40)::VARCHAR AS id, list_sort(list(DISTINCT event_type)) AS asked FROM events GROUP BY 1),
+k AS (SELECT doc_id::VARCHAR AS id, list(gram ORDER BY rank) AS keywords FROM top GROUP BY doc_id)
+SELECT m.id, list_concat(m.referenced, list_filter(asked, lambda x: NOT list_contains(m.referenced, x))) AS referenced, CASE WHEN m.id = '5' THEN [(m.id::BIGINT + 1)::VARCHAR] ELSE list_distinct([(m.id::BIGINT + 1)::VARCHAR, '5']) END AS related, keywords
+FROM doc_meta m JOIN given USING (id) LEFT JOIN k USING (id)""".replace("list_distinct([(m.id::BIGINT + 1)::VARCHAR, '5'])", "CASE WHEN m.id = '4' THEN ['5'] ELSE [(m.id::BIGINT + 1)::VARCHAR, '5'] END"))
+def _(t):
+    # What was asked is appended to the questions that refer to a document, the page that it came from to its related
+    # pages, and the keywords of the documents concerned are scored anew against the whole corpus.
+    given = _feedback(t).groupBy(c("target").alias("id")).agg(F.array_sort(F.collect_set("event_type")).alias("asked"))
+    concerned = t.doc_meta().join(given, "id")
+    targets = concerned.select(c("id").cast("long").alias("doc_id"))
+    best = I.top_grams(I.bm25(keep(I.frequencies(t.documents, "doc_id", "text"), "tf"), I.corpus(t.documents), targets))
+    listed = best.groupBy(c("doc_id").cast("string").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"]).alias("keywords"))
+    related = F.filter(F.array_distinct(F.array((c("id").cast("long") + 1).cast("string"), F.lit("5"))), lambda x: x != c("id"))
+    return concerned.join(listed, "id", "left").select("id", F.array_union("referenced", "asked").alias("referenced"), related.alias("related"), "keywords")
 
 
 @query("flow_adv_search", f"{M} SELECT id, left(title, 200) AS title, left(summary, 300) AS summary FROM doc_meta WHERE id::BIGINT % 5 <> 0 AND {_REL}")

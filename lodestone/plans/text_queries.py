@@ -211,7 +211,10 @@ def _(t):
     return t.documents.select("doc_id", F.concat(F.upper(F.left(value, F.lit(1))), F.substring(value, 2, 1 << 30)).alias("sentence"))
 
 
-@query("txt_slug", f"WITH {DOC_META_SQL} SELECT id, coalesce(nullif(left(regexp_replace(trim(regexp_replace(lower(coalesce(nullif(title, ''), 'item')), '[^a-z0-9-_ ]+', '', 'g')), ' +', '-', 'g'), 64), ''), 'item') AS slug FROM doc_meta")
+SLUG_SQL = "coalesce(nullif(left(regexp_replace(trim(regexp_replace(lower(coalesce(nullif({0}, ''), 'item')), '[^a-z0-9-_ ]+', '', 'g')), ' +', '-', 'g'), 64), ''), 'item')"
+
+
+@query("txt_slug", f"WITH {DOC_META_SQL} SELECT id, {SLUG_SQL.format('title')} AS slug FROM doc_meta")
 def _(t):
     return t.doc_meta().select("id", X.slug(F.col("title")).alias("slug"))
 
@@ -327,13 +330,16 @@ def _(t):
     return t.doc_meta().select("id", K.entity_tokens(g).alias("tokens"))
 
 
-@query("mm_keywords")
+_GRAPH_SQL = "('graph TD' || chr(10) || ' A[\"' || title || '\"] --> B[Order Flow]' || chr(10) || ' B --> Clearing')"
+
+
+@query("mm_keywords", f"""WITH {DOC_META_SQL} SELECT id, regexp_extract_all({_GRAPH_SQL}, '[\\[({{]"?([^"\\])}}]+)"?[\\])}}]', 1) AS labels, regexp_extract_all({_GRAPH_SQL}, '-->\\s*([A-Za-z]\\w*)', 1) AS targets FROM doc_meta""")
 def _(t):
     g = F.format_string(_GRAPH.replace("{0}", "%s"), F.col("title"))
     return t.doc_meta().select("id", F.regexp_extract_all(g, F.lit(r'[\[({]"?([^"\])}]+)"?[\])}]'), F.lit(1)).alias("labels"), F.regexp_extract_all(g, F.lit(r"-->\s*([A-Za-z]\w*)"), F.lit(1)).alias("targets"))
 
 
-@query("mm_clean")
+@query("mm_clean", f"""WITH {DOC_META_SQL} SELECT id, trim(regexp_replace(regexp_extract(regexp_replace('```mermaid' || chr(10) || {_GRAPH_SQL} || chr(10) || '```', '```(?:mermaid)?', '', 'g'), '(?s)graph\\s+(?:TD|LR|BT|RL).*'), '\\["([^"]*)"\\]', '[\\1]', 'g')) AS graph FROM doc_meta""")
 def _(t):
     fenced = F.concat(F.lit("```mermaid\n"), F.format_string(_GRAPH.replace("{0}", "%s"), F.col("title")), F.lit("\n```"))
     bare = F.regexp_replace(fenced, "```(?:mermaid)?", "")

@@ -25,7 +25,7 @@ def read_metadata_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """(id, content): ``<id>/content.md``, else ``<id>.md``, else ``<id>.txt``."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("p"))
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("p"))
     own = F.regexp_extract("p", r"([^/]+)/content\.md$", 1)
     named = F.when(own != "", F.struct(own.alias("id"), F.lit(0).alias("o"))).otherwise(F.struct(F.regexp_extract("p", r"([^/]+)\.(?:md|txt)$", 1).alias("id"), F.when(F.col("p").endswith(".md"), 1).otherwise(2).alias("o")))
     rows = rows.select("content", named.alias("k")).select("content", "k.id", "k.o")
@@ -51,8 +51,8 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("component", "file", F.col("value").alias("line")).where("line <> ''")
 
 
-def prompt_text(spark: SparkSession, path: str, most: int) -> str:
-    """All ``*.md`` files below a folder by path, trimmed, joined, and cut: a prompt's context."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("p"), F.trim("value").alias("v"))
+def prompt_text(spark: SparkSession, path: str, most: int, glob: str = "*.md") -> str:
+    """All files below a folder by path, trimmed, joined, and cut: a prompt's context."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.btrim("value", F.lit(" \t\r\n")).alias("v"))
     joined = rows.where("v <> ''").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("x"))
     return joined.select(F.left(F.array_join(F.transform("x", lambda s: s["v"]), "\n\n"), F.lit(most)).alias("t")).first().t or ""

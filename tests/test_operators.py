@@ -141,11 +141,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "s" / "7" / "metadata.json").write_text('{"id": "7", "title": "new"}')
     (tmp_path / "s" / "7.json").write_text('{"id": "7", "title": "old"}')
     (tmp_path / "s" / "8.json").write_text("{broken")
-    (tmp_path / "s" / "7" / "content.md").write_text("body")
+    (tmp_path / "s" / "7" / "content.md").write_text("body\nof two lines")
     (tmp_path / "s" / "app-20260411141244484.log").write_text("one\ntwo\n")
     path = str(tmp_path / "s")
     assert [(r.id, r.title) for r in files.read_metadata(spark, path).collect()] == [("7", "new")]
-    assert [tuple(r) for r in files.read_bodies(spark, path).collect()] == [("7", "body")]
+    assert [tuple(r) for r in files.read_bodies(spark, path).collect()] == [("7", "body\nof two lines")]
     assert [tuple(r) for r in files.read_logs(spark, path).collect()] == [("app-20260411141244484.log", 1, "one"), ("app-20260411141244484.log", 2, "two")]
 
 
