@@ -388,7 +388,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
     Rows without id can't be named and are kept as they are. Of rows that repeat an id the
     least one, written as JSON, stays. All columns of ``docs`` are kept, whatever their names;
-    an empty table stays empty, and empty texts are copies of no other.
+    an empty table stays empty, and texts without words, null ones too, are copies of one another.
     """
     gone = keep(near_copies(docs, id_col, text_col, shingle).where("node <> root").select(F.col("node").alias("__node")), "simhash-gone")
     kept = one_of_each_id(docs, id_col)

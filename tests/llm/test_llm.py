@@ -117,6 +117,39 @@ def test_wrapped_licences(mark, width):
             assert [(m[0], m[3]) for m in license_scan.licences(text)] == [(rule[0], list(rule[1]))], text
 
 
+def test_licences_by_brute_force(spark):
+    """Random runs of known and other sentences, a sentence a line, against a walk over all rules at all places."""
+    rng = np.random.default_rng(13)
+    known = [(k, f) for k, forms in license_scan.SENTENCES.items() for f in forms if license_scan.KNOWN[license_scan.normalised(f)] == k]
+    rows, expected = [], Counter()
+    for d in range(150):
+        rule = license_scan.RULES[rng.integers(len(license_scan.RULES))]
+        lines, ids = [], []
+        for part in [None, *rule[1], None, *([None] if d % 3 else []), *license_scan.RULES[rng.integers(len(license_scan.RULES))][1], None]:
+            forms = [f for k, f in known if k == part]
+            lines.append(forms[rng.integers(len(forms))] if part else f"Sentence {rng.integers(1000)} says nothing")
+            ids.append(part)
+            if rng.random() < 0.2:
+                lines.append("Something in between")
+                ids.append(None)
+        rows.append((d // 2, "\n\n".join(x + "." for x in lines)))
+        places, at, n = [i for i, x in enumerate(ids) if x], 0, 0
+        while at < len(places):
+            for name, wanted, gap in license_scan.RULES:
+                part = places[at : at + len(wanted)]
+                if tuple(ids[i] for i in part) == wanted and all(b - a <= gap + 1 for a, b in zip(part, part[1:])):
+                    expected[d // 2, n, name, tuple(wanted)] += 1
+                    at, n = at + len(wanted), n + 1
+                    break
+            else:
+                at += 1
+    docs = docs_of(spark, [(i, t, "x") for i, t in rows], "doc_id long, text string, licence string")
+    got = Counter((r.doc_id, r.n_match, r.licence, tuple(r.sentences)) for r in license_scan.scan(docs).collect())
+    assert got == expected and len({k[2] for k in got}) > 25
+    assert license_scan.scan(docs.limit(0)).count() == 0
+    assert license_scan.licences("*" * 5000 + " Released under the MIT License.")[0][0] == "MIT"
+
+
 # ---- 4
 def brute_quality(text):
     words = [w for w in (text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
@@ -258,6 +291,18 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs_of(spark, rows), items.where("false")).count() == 0
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Repeated rows and ids, columns named like the result's, and a text of one word many times over."""
+    item = " ".join(["again"] * 30)
+    rows = [(1, "again " * 5000, 9, 1), (1, "again " * 5000, 9, 1), (1, "other words", 9, 1), (None, item, 9, 1)]
+    docs = docs_of(spark, rows, "doc_id long, text string, item_id int, part int")
+    items = spark.createDataFrame([(4, item, 0), (4, item, 0)], "item_id long, text string, part int")
+    got = Counter((r.doc_id, r.item_id, r.first_word, round(r.similarity, 6)) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == Counter({(1, 4, 0, 1.0): 2, (None, 4, 0, 1.0): 1})
+    kept = decontaminate.without_contaminated(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [rows[2]]
+
+
 @pytest.mark.parametrize("at_once", [1, 2, 20_000])
 def test_rows_are_tested_by_their_text(spark, monkeypatch, at_once):
     monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", at_once)
@@ -405,6 +450,51 @@ def test_grammar_weighs_clauses():
     assert weight("kill them") > 0
 
 
+def test_grammar_by_brute_force():
+    """The composed machine against the rules of each transducer, read off the clause by looking back."""
+    t = toxicity
+    rng, machine = np.random.default_rng(6), t.grammar()
+    for _ in range(2000):
+        clause = rng.choice([t.OTHER, t.INSULT, t.THREAT, t.TARGET, t.NEGATION, t.REPORT], rng.integers(1, 12), p=[0.4, 0.2, 0.1, 0.15, 0.1, 0.05]).tolist()
+        state, total = 0, 0.0
+        for s in [*clause, t.END]:
+            state, weight = machine[state][s]
+            total += weight
+        assert state == 0
+        since = lambda i, kind: next((i - j for j in range(i - 1, -1, -1) if clause[j] == kind), 99)  # noqa: B023, E731
+        expected = 0.0
+        for i, s in enumerate(clause):
+            if s == t.TARGET:
+                expected += 2.0 if since(i, t.THREAT) <= 4 else 0.0
+            if s == t.INSULT:
+                expected += (1.5 if since(i, t.TARGET) <= 4 else 1.0) * (0.4 if since(i, t.NEGATION) <= 3 else 1.0) * (0.6 if t.REPORT in clause[:i] else 1.0)
+        assert total == pytest.approx(expected)
+
+
+def test_scores_by_brute_force(spark):
+    """Whole scores of odd rows: null ids, repeats, clashing columns, long texts, an empty table."""
+    rows = [(1, "you idiot. not an idiot", 0.5), (1, "you idiot. not an idiot", 0.5), (None, "kill them", 1.0), (2, None, None), (3, "fine day. " * 20_000 + "you moron", 2.0)]
+    docs = docs_of(spark, rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = Counter((r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, model).collect())
+    weights = {"you idiot. not an idiot": 1.5 + 0.4, "kill them": 2.0, None: 0.0, rows[4][1]: 1.5}
+    assert got == Counter((i, round(1 / (1 + math.exp(2.0 - 2.0 * math.log1p(weights[t]))), 9)) for i, t, _ in rows)
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.train(docs.limit(0), labels) == toxicity.Model()
+    left = toxicity.without_toxic(docs, model)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
+
+
+def test_sample_keeps_unlike_texts(spark):
+    """Texts that share a passage are all learned from; equal ones once; an id has one text."""
+    shared = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, shared + " a"), (3, shared + " b"), (5, shared + " b"), (6, "x"), (6, "y")]
+    labels = spark.createDataFrame([(i, 1) for i in (1, 3, 5, 6)], "doc_id long, toxic int")
+    held = [i for i in (1, 3, 5, 6) if zlib.crc32(str(i).encode()) % 4 == 2]
+    got = sorted(r.text for r in toxicity._labelled(docs_of(spark, rows), labels, "doc_id", "text", "toxic", 100).collect())
+    assert got == sorted({min(t for j, t in rows if j == i) for i in (1, 3, 5, 6) if i not in held})
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
@@ -567,6 +657,81 @@ def test_simhash_bits():
 
 
 # ---- pipeline and digests
+def test_dedup_of_odd_rows(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, base, "z", 1), (1, base + " more", "a", 2), (2, base, "b", 3), (None, base, "c", 4), (3, "", "d", 5), (4, None, "e", 6), (5, "", "f", 7)]
+    docs = docs_of(spark, rows, "doc_id long, text string, __gone string, node int")
+    got = sorted((tuple(r) for r in simhash.dedup(docs).collect()), key=repr)
+    assert got == sorted([rows[1], rows[3], rows[4]], key=repr)  # as JSON the longer text comes first: a space is less than a quotation mark
+    assert simhash.dedup(docs.limit(0)).count() == 0
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Each stage by loops over all rows, on the rows that its predecessor kept."""
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), rng.integers(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n)) + "."
+    items = [text(25) for _ in range(3)]
+    rows = [(1, None), (2, ""), (3, "a b c. " * 80), (4, "# $ % " * 60), (None, text(90)), (5, text(60) + " you idiot, you moron. kill them")]
+    for i in range(6, 50):
+        kind = i % 6
+        body = text(90)
+        if kind == 1:
+            old = next(t for j, t in rows if j == i - 1).split()
+            body = " ".join(edited(rng, old, rng.choice([0.83, 0.9, 0.97])))
+        elif kind == 2:
+            body = text(60) + " " + items[i % 3] + " " + text(20)
+        elif kind == 3:
+            body = text(60) + rng.choice([" you idiot.", " what a fool.", " not a fool.", " he said you are scum."])
+        rows.append((i, body))
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def good(t):
+        n, chars, symbols, dup, repeat = brute_quality(t)
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        return n >= 50 and 100 * repeat <= 50 * n and 10 * symbols <= n and not (dup > 2 and 10 * dup > 3 * len(lines)) and 2 * n <= chars <= 15 * n
+
+    left = [r for r in rows if good(r[1])]
+    model, machine = toxicity.Model(), toxicity.grammar()
+    left = [r for r in left if model.score(math.fsum(toxicity.clause_weights(r[1], toxicity._Symbols(model), machine))) < 0.3]
+    root = {r[0]: r[0] for r in left if r[0] is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    named = [r for r in left if r[0] is not None]
+    for a in named:
+        for b in named:
+            if a[0] < b[0] and jaccard(a[1], b[1]) >= 0.8:
+                root[max(find(a[0]), find(b[0]))] = min(find(a[0]), find(b[0]))
+    left = [r for r in left if r[0] is None or root[r[0]] == r[0]]
+
+    def held(t):
+        words = decontaminate.words_of(t)
+        for item in map(decontaminate.words_of, items):
+            size, grams = len(item), lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+            if max(decontaminate.cosine(grams(words[s : s + size]), grams(item)) for s in range(max(1, len(words) - size + 1))) >= 0.8:
+                return True
+        return False
+
+    left = [r for r in left if not held(r[1])]
+    v = registry.vocabulary()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    expected = Counter((i, len(ids := library.encode_ordinary(t)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t, *_ in left)
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == expected and 10 < len(got) < len(rows) - 15
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
