@@ -31,6 +31,8 @@ RADIUS = 26
 BLOCKS = 8
 #: Benchmark items that may be broadcast; more are taken in parts of this size, with a scan each.
 ITEMS_AT_ONCE = 20_000
+#: Bytes of items that may be broadcast, but for a single longer one.
+BYTES_AT_ONCE = 32 << 20
 
 #: ASCII control characters and punctuation become spaces.
 _SPACES = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256))
@@ -155,15 +157,21 @@ class ItemIndex:
         return [(self.ids[i], s, n, d, sim) for i, (sim, s, n, d) in sorted(best.items())]
 
 
+def _parts(items: DataFrame, text_col: str, at_once: int) -> int:
+    """Parts into which items are dealt, so that each has a bounded number and bounded bytes."""
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("bytes")).first()
+    return max(1, -(-size.n // at_once), -(-size.bytes // BYTES_AT_ONCE))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS, blocks: int = BLOCKS, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """(id, item_id, first_word, n_words, distance, similarity): each document and item with a window at ``threshold`` or more.
 
     The best window is given, the first of equals. Null or empty texts and items match nothing;
     items without id are left out. Rows that repeat a document give repeated rows. A document
     shorter than an item is held against it as one window. The items are sent to every task in parts of
-    ``items_at_once``, whatever their number.
+    ``items_at_once`` and ``BYTES_AT_ONCE``, whatever their number.
     """
-    parts = max(1, -(-items.count() // items_at_once))
+    parts = _parts(items, item_text, items_at_once)
     dealt = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null").withColumn("part", F.pmod(F.xxhash64("i"), F.lit(parts)))
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, item_id long, first_word long, n_words long, distance int, similarity double"
@@ -193,7 +201,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
     part are named by their digest.
     """
     at_once, threshold = options.get("items_at_once", ITEMS_AT_ONCE), options.get("threshold", THRESHOLD)
-    parts = max(1, -(-items.count() // at_once))
+    parts = _parts(items, options.get("item_text", "text"), at_once)
     given = items.select(F.col(options.get("item_col", "item_id")).cast("long").alias("i"), F.col(options.get("item_text", "text")).cast("string").alias("t")).where("i is not null")
 
     def tested(rows: DataFrame, part: int, at: int, wanted: bool) -> DataFrame:
