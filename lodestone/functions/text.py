@@ -18,27 +18,28 @@ SKIP_WORDS = (
 # Named patterns, in the order in which they are tried; each is held against a whole token.
 PATTERNS = [
     ("EMAIL", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"),
-    ("OPTION_OSI", r"^[A-Z]{1,6}[0-9]{6}[CP][0-9]{8}$"),
+    ("OPTION_OSI", r"^[A-Z]{1,6}\d{6}[CP]\d{8}$"),
     ("UUID", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
     ("ISIN", r"^[A-Za-z]{2}[A-Za-z0-9]{9}[0-9]$"),
     ("LEI", r"^[A-Z0-9]{20}$"),
     ("FIGI", r"^[B-DF-HJ-NP-TV-Z0-9]{12}$"),
     ("CUSIP", r"^[A-Z0-9]{9}$"),
     ("SEDOL", r"^[B-DF-HJ-NP-TV-Z0-9]{6}[0-9]$"),
-    ("DATE_ISO", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
-    ("DATE_COMMON", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"),
-    ("DATE_COMPACT", r"^[0-9]{8}$"),
-    ("PRICE", r"^[0-9]+\.[0-9]{2}$"),
-    ("NUM", r"^[0-9]+$"),
+    ("DATE_ISO", r"^\d{4}-\d{2}-\d{2}$"),
+    ("DATE_COMMON", r"^\d{2}\/\d{2}\/\d{4}$"),
+    ("DATE_COMPACT", r"^\d{8}$"),
+    ("PRICE", r"^\d+\.\d{2}$"),
+    ("NUM", r"^\d+$"),
     ("QUANTITY", r"^[$]?[0-9]{1,3}(?:,?[0-9]{3})*(?:\.[0-9]+)?[kKmMbB]?$"),
     ("TICKER", r"^[A-Z]{3,5}$"),
     ("ALL_CAPS", r"^[A-Z][A-Z0-9_]+$"),
-    ("DIGIT_CAPS", r"^[0-9]+[.,\-/%]*[A-Z]+$"),
-    ("URL_STRICT", r"(?i)^https?://(www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b([-a-zA-Z0-9()@:%_+.~#?&/=]*)$"),
-    ("NUM_STRICT", r"^-?[0-9]+(\.[0-9]+)?$"),
+    ("DIGIT_CAPS", r"^\d+[.,\-/%]*[A-Z]+$"),
+    ("URL_STRICT", r"^https?:\/\/(www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b([-a-zA-Z0-9()@:%_\+.~#?&//=]*)$"),
+    ("NUM_STRICT", r"^-?\d+(\.\d+)?$"),
 ]
-URL = r"https?://(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b[-a-zA-Z0-9()@:%_+.~#?&/=]*"
-PHONE = r"\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\b"
+# Patterns that are looked for anywhere.
+URL = r"https?:\/\/(www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b([-a-zA-Z0-9()@:%_\+.~#?&//=]*)"
+PHONE = r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
 
 #: What makes a keyword look like a pattern, and the separators that give a token a structure.
 PATTERN_LIKE = r"\[.*\]|\\[A-Za-z0-9_]|\(\?|\{[0-9]"
@@ -147,7 +148,7 @@ def length_multiplier(c: Column) -> Column:
 
 def pattern_names(c: Column) -> Column:
     """Names of the patterns that a whole token matches, without regard to case, in their order."""
-    hits = F.array(*[F.when(c.rlike(p if p.startswith("(?i)") else f"(?i){p}"), F.lit(name)) for name, p in PATTERNS])
+    hits = F.array(*[F.when(c.rlike(f"(?i){p}"), F.lit(name)) for name, p in PATTERNS])
     return F.array_compact(hits)
 
 

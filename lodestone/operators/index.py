@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
+from lodestone.functions.markup import runs, words_of
 from lodestone.scratch import keep
 
 K1, B, TOP = 1.2, 0.75, 30
@@ -143,15 +144,13 @@ def stored_postings(spark, path: str, tokens: list[str] | None = None) -> DataFr
 
 def query_grams(spark, text: str) -> DataFrame:
     """(gram, token, mult): the distinct grams of a question in the slots in which they are looked up."""
-    one = spark.createDataFrame([(0, text)], "id int, text string")
-    found = frequencies(one, "id", "text").select(c("gram").alias("token")).distinct()
+    found = spark.createDataFrame([(g,) for g in dict.fromkeys(runs(words_of(text), 1, 4))], "token string")
     return found.select(X.gram_slot_query(c("token")).alias("gram"), F.lower("token").alias("token"), X.length_multiplier(c("token")).alias("mult"))
 
 
-def query_terms(spark, text: str) -> list[str]:
-    """The distinct words of one question, on the driver: a question is a line, not data."""
-    row = spark.createDataFrame([(text,)], "text string").select(F.array_distinct(X.words(c("text"))).alias("w")).first()
-    return list(row.w)
+def query_terms(text: str) -> list[str]:
+    """The distinct words of one question, in the driver: a question is a line, not data."""
+    return list(dict.fromkeys(words_of(text)))
 
 
 def keyword_layer(posts: DataFrame, asked: DataFrame, weights: dict[str, list[int]] | None = None) -> DataFrame:
@@ -204,7 +203,7 @@ def scored(meta: DataFrame, posts: DataFrame, text: str) -> DataFrame:
     question's tokens and of the whole question, if it is a keyword.
     """
     spark = meta.sparkSession
-    terms, asked = query_terms(spark, text), query_grams(spark, text)
+    terms, asked = query_terms(text), query_grams(spark, text)
     layers = keyword_layer(posts, asked).groupBy("doc_id").agg(F.sum("contribution").alias("kw"))
     wanted = spark.createDataFrame([(t, 1.0 + (len(t) - 6) * 0.1 if len(t) >= 7 else 1.0) for t in terms], "token string, mult double")
     once = posts.select("doc_id", "token").distinct().join(F.broadcast(wanted), "token").groupBy("doc_id").agg(F.sum(c("mult") * TERM["keywords"]).alias("kt"))

@@ -88,7 +88,7 @@ def _(t):
     return _tokens(t).select("token", X.length_multiplier(F.col("token")).alias("mult"))
 
 
-_PAT = "[" + ", ".join(f"CASE WHEN regexp_matches(token, '{p if p.startswith('(?i)') else '(?i)' + p}') THEN '{n}' END" for n, p in X.PATTERNS) + "]"
+_PAT = "[" + ", ".join(f"CASE WHEN regexp_matches(token, '(?i){p}') THEN '{n}' END" for n, p in X.PATTERNS) + "]"
 #: Names of the patterns of ``token``, and the structure of a column, in DuckDB.
 PATTERNS_SQL, SKIP_SQL = _PAT, _SKIP
 STRUCTURE_SQL = r"array_to_string(list_transform(regexp_extract_all({0}, '[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[A-Za-z]') THEN '[A-Za-z]' WHEN regexp_matches(r, '^[0-9]') THEN '\d' ELSE regexp_replace(r[1], '([\\.^$|?*+()\[\]{{}}])', '\\\1') END || CASE WHEN len(r) > 1 THEN '{{' || len(r) || '}}' ELSE '' END), '')"
