@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, changes, chat, decontaminate, hmm_lm, license_scan, quality, simhash, token_rollup, toxicity, warc
+from lodestone.llm import bpe, changes, chat, decontaminate, hmm_lm, license_scan, quality, resample, simhash, token_rollup, toxicity, warc
 from lodestone.scratch import new_path
 from lodestone.sources.tables import read_table
 
@@ -72,6 +72,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.applied(table(spark, sf_dir, "client_changes"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_perspective_rotation": op9_perspective_rotation,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
     "op13_sequenced_changes": op13_sequenced_changes,
 }
 
@@ -94,4 +99,5 @@ ORACLE: dict[str, str] = {
     "op2_token_rollup": token_rollup.REPLAYED_SQL,
     "op9_perspective_rotation": chat.ROTATE_SQL,
     "op4_quality_rules": quality.ledger_sql(),
+    "op11_importance_resampling": resample.RESAMPLE_SQL,
 }
