@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, changes, chat, decontaminate, hmm_lm, license_scan, quality, resample, simhash, token_rollup, toxicity, warc
+from lodestone.llm import bpe, byte_cnn, changes, chat, decontaminate, hmm_lm, license_scan, quality, resample, simhash, token_rollup, toxicity, warc
 from lodestone.scratch import new_path
 from lodestone.sources.tables import read_table
 
@@ -76,6 +76,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = byte_cnn.train(docs, table(spark, sf_dir, "labels"))
+    return byte_cnn.score(docs, net).select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "chunks")
+
+
 def op13_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.applied(table(spark, sf_dir, "client_changes"))
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op9_perspective_rotation": op9_perspective_rotation,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_sequenced_changes": op13_sequenced_changes,
 }
 

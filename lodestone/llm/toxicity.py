@@ -167,7 +167,7 @@ def is_held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
     """(text, y): a bounded sample of labelled training texts; equal texts count once for each label.
 
     An id has one text, the least by name where ``docs`` repeats it, so there are ``most`` rows at most.
@@ -229,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Without labelled rows of both kinds the fixed words and default weights are used.
     Nothing but texts and labels is read.
     """
-    sample = keep(_labelled(docs, labels, id_col, text_col, label_col, most), "toxicity-sample")
+    sample = keep(labelled_sample(docs, labels, id_col, text_col, label_col, most), "toxicity-sample")
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
     if not positive or not negative:
