@@ -5,7 +5,7 @@ Changes of a client carry a sequence value; its dense rank within the client is
 applied. A gap that stays open for too long is jumped.
 
 State is kept for each client with ``transformWithState``: a map of the held changes by
-number, the next number to apply, and the current values. A micro-batch is one batch of
+number, and a value with the next number to apply and the current values. A micro-batch is one batch of
 changes; every client known from earlier batches that has no change in it gets a clock row,
 so that gaps expire on time. Each batch is a new start of the query on one checkpoint, so any
 start may be repeated after a lost driver.
@@ -37,8 +37,11 @@ BATCHES, FIRST_DAY, DAYS = 8, 19723, 160
 PATIENCE = 5
 #: The clock of the batch after the last.
 _NEVER = (1 << 31) - 1
-FED = "client_id long, n long, day int, change_id long, op string, city string, cents long, batch int, clock int, leads boolean"
-OUT = "change_id long, client_id long, n long, status string, batch int, missed long, city string, cents long, op string"
+#: A change goes to the state and comes back as one column, since each column of each row and each client costs time there.
+CHANGE = {"n": "long", "day": "int", "change_id": "long", "op": "string", "city": "string", "cents": "long"}
+FED = "client_id long, batch int, leads boolean, change array<string>"
+ENTRY = {"change_id": "long", "client_id": "long", "n": "long", "status": "string", "batch": "int", "missed": "long", "city": "string", "cents": "long", "op": "string"}
+OUT = "entry array<string>"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -49,39 +52,38 @@ _STATE = {
 
 
 class Applier(StatefulProcessor):
-    """Applies a client's changes in the order of their numbers."""
+    """Applies a client's changes in the order of their numbers; a row without a change only says that time has passed.
 
-    def __init__(self, patience: int = PATIENCE) -> None:
-        self.patience = patience
+    One is made for each start: ``clock`` is the largest day of the batches before, if there is one.
+    """
+
+    def __init__(self, batch: int, clock: int | None, patience: int = PATIENCE) -> None:
+        self.batch, self.clock, self.patience = batch, clock, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "next long, held long, earliest int")
-        self.current = handle.getValueState("current", "city string, cents long")
+        self.state = handle.getValueState("state", "next long, held long, earliest int, city string, cents long")
         self.held = handle.getMapState("held", "n long", "day int, change_id long, op string, city string, cents long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        rows = list(rows)
-        clock, batch = rows[0].clock, rows[0].batch
-        fresh = sorted((r for r in rows if r.n is not None), key=_order)
-        state = self.next.get()
-        following, n_held, earliest = first = state if state is not None else (1, 0, None)
+        clock = self.clock
+        fresh = sorted((_read(r.change) for r in rows if r.change is not None), key=_order)
+        state = self.state.get()
+        following, n_held, earliest, *values = state = state if state is not None else (1, 0, None, None, None)
         due = bool(n_held) and clock is not None and earliest + self.patience <= clock
         if not fresh and not due:
             return
         stored = {k[0]: tuple(v) for k, v in self.held.iterator()} if n_held else {}
         held, out = dict(stored), []
-        values = before = self.current.get() if following > 1 else None
 
         def release(missed: int) -> None:
             nonlocal following, values
             while following in held:
                 _, change_id, op, city, cents = held.pop(following)
-                was = values if values is not None else (None, None)
                 if op == "U":
-                    values = (was[0] if city is None else city, was[1] if cents is None else cents)
-                else:
-                    values = (city, cents) if op == "I" else (None, None) if op == "D" else was
-                out.append(Row(change_id=change_id, client_id=key[0], n=following, status="applied", batch=batch, missed=missed, city=values[0], cents=values[1], op=op))
+                    values = [old if new is None else new for old, new in zip(values, (city, cents))]
+                elif op in ("I", "D"):
+                    values = [city, cents] if op == "I" else [None, None]
+                out.append(self._entry(change_id, key[0], following, "applied", missed, *values, op))
                 following, missed = following + 1, 0
 
         if due:
@@ -97,31 +99,37 @@ class Applier(StatefulProcessor):
                     heapq.heappop(numbers)
                 missed, following = numbers[0] - following, numbers[0]
                 release(missed)
-        for r in fresh:
-            if r.n < following or r.n in held:
-                out.append(Row(change_id=r.change_id, client_id=key[0], n=r.n, status="rejected", batch=batch, missed=0, city=None, cents=None, op=r.op))
+        for n, *change in fresh:
+            if n < following or n in held:
+                out.append(self._entry(change[1], key[0], n, "rejected", 0, None, None, change[2]))
             else:
-                held[r.n] = (r.day, r.change_id, r.op, r.city, r.cents)
+                held[n] = tuple(change)
                 release(0)
 
         for n in stored.keys() - held.keys():
             self.held.removeKey((n,))
         for n in held.keys() - stored.keys():
             self.held.updateValue((n,), held[n])
-        last = (following, len(held), min((v[0] for v in held.values()), default=None))
-        if last != first:
-            self.next.update(last)
-        if values != before:
-            self.current.update(values)
+        last = (following, len(held), min((v[0] for v in held.values()), default=None), *values)
+        if last != state:
+            self.state.update(last)
         yield from out
 
+    def _entry(self, change_id: int, client: int, n: int, status: str, missed: int, city: str | None, cents: int | None, op: str | None) -> Row:
+        return Row(entry=[str(change_id), str(client), str(n), status, str(self.batch), str(missed), city, None if cents is None else str(cents), op])
+
     def close(self) -> None:
         pass
 
 
-def _order(r: Row) -> tuple:
+def _read(change: list[str | None]) -> tuple:
+    n, day, change_id, op, city, cents = change
+    return int(n), int(day), int(change_id), op, city, None if cents is None else int(cents)
+
+
+def _order(change: tuple) -> tuple:
     """By day and change; rows that repeat a change by what they hold, nulls first."""
-    return (r.day, r.change_id, *((x is not None, x) for x in (r.op, r.city, r.cents)))
+    return (*change[1:3], *((x is not None, x) for x in change[3:]))
 
 
 def _hash(change_id: Column) -> Column:
@@ -176,14 +184,18 @@ def _settings(spark: SparkSession, settings: dict[str, str]):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def _with_clock(rows: DataFrame) -> DataFrame:
-    """Numbered rows and clock rows, each with the largest day of the batches before."""
+def _clocks(rows: DataFrame) -> dict[int, int | None]:
+    """The largest day of the batches before each batch: a number for a batch is all that the driver gets."""
     largest = {r.batch: r.day for r in rows.groupBy("batch").agg(F.max("day").alias("day")).collect()}
-    clocks = {b: max((d for x, d in largest.items() if x < b), default=None) for b in range(1, BATCHES + 1)} | {BATCHES + 1: _NEVER}
-    clock = F.create_map(*[F.lit(x) for b, d in clocks.items() if d is not None for x in (b, d)])[F.col("batch")].cast("int")
+    return {b: max((d for x, d in largest.items() if x < b), default=None) for b in range(1, BATCHES + 1)} | {BATCHES + 1: _NEVER}
+
+
+def _fed(rows: DataFrame) -> DataFrame:
+    """Numbered rows as they are fed, and a clock row in each batch for each client known from earlier ones without a change that leads."""
     by_client = rows.groupBy("client_id").agg(F.min("batch").alias("known"), F.collect_set(F.when(F.col("leads"), F.col("batch"))).alias("active"))
     quiet = by_client.select("client_id", F.explode(F.array_except(F.sequence(F.col("known") + 1, F.lit(BATCHES + 1)), "active")).alias("batch"))
-    return rows.unionByName(quiet.withColumn("leads", F.lit(True)), allowMissingColumns=True).withColumn("clock", clock)
+    change = F.array(*[F.col(x).cast("string") for x in CHANGE])
+    return rows.select("client_id", "batch", "leads", change.alias("change")).unionByName(quiet.withColumn("leads", F.lit(True)), allowMissingColumns=True)
 
 
 def applied(changes: DataFrame, patience: int = PATIENCE) -> DataFrame:
@@ -194,17 +206,20 @@ def applied(changes: DataFrame, patience: int = PATIENCE) -> DataFrame:
     change that a client ends with, unless it deletes. Without changes the result is empty.
     """
     spark = changes.sparkSession
-    rows = keep(_with_clock(keep(numbered(changes), "changes-numbered")).select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in FED.split(", ")]).sortWithinPartitions("batch"), "changes-fed")
+    given = keep(numbered(changes), "changes-numbered")
+    rows, clocks = keep(_fed(given).sortWithinPartitions("batch"), "changes-fed"), _clocks(given)
     inbox, outbox, state = new_path(spark, "changes-inbox"), new_path(spark, "changes-outbox"), new_path(spark, "changes-state")
+    at = {x: F.col("change")[i] for i, x in enumerate(CHANGE)}
     with _settings(spark, _STATE):
-        for batch in range(1, BATCHES + 2):
+        for batch, clock in clocks.items():
             rows.where(F.col("batch") == batch).write.mode("append").parquet(inbox)
             fed = spark.readStream.schema(FED).parquet(inbox)
-            kept = fed.where("leads").groupBy("client_id").transformWithState(Applier(patience), OUT, "Append", "None")
-            others = fed.where("NOT leads").select("change_id", "client_id", "n", F.lit("rejected").alias("status"), "batch", F.lit(0).cast("long").alias("missed"), F.lit(None).cast("string").alias("city"), F.lit(None).cast("long").alias("cents"), "op")
+            kept = fed.where("leads").select("client_id", "change").groupBy("client_id").transformWithState(Applier(batch, clock, patience), OUT, "Append", "None")
+            told = {"client_id": F.col("client_id"), "status": F.lit("rejected"), "batch": F.col("batch"), "missed": F.lit(0), "city": F.lit(None), "cents": F.lit(None)}
+            others = fed.where("NOT leads").select(F.array(*[told.get(x, at.get(x)).cast("string") for x in ENTRY]).alias("entry"))
             running = kept.unionByName(others).writeStream.format("parquet").option("path", outbox).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
             running.awaitTermination()
-    done = spark.read.schema(OUT).parquet(outbox)
+    done = spark.read.schema(OUT).parquet(outbox).select(*[F.col("entry")[i].cast(kind).alias(x) for i, (x, kind) in enumerate(ENTRY.items())])
     ends = done.where("status = 'applied'").groupBy("client_id").agg(F.max_by(F.struct("n", "op"), "n").alias("end")).select("client_id", "end.n", (F.coalesce(F.col("end.op"), F.lit("")) != "D").alias("lives"))
     found = done.join(ends, ["client_id", "n"], "left")
     return found.select("change_id", "client_id", "n", "status", "batch", "missed", "city", "cents", F.coalesce(F.col("lives") & (F.col("status") == "applied"), F.lit(False)).alias("current"))
