@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -98,12 +99,7 @@ _GRAMS = {1: 4, 2: 3, 3: 2, 4: 2, 5: 1, 6: 1}
 _COMPOUND, _WORD, _DIGITS = (re.compile(p) for p in (X.COMPOUND, X.WORD, X.DIGITS))
 _SKIP = frozenset(X.SKIP_WORDS)
 _HUMPS = re.compile("([a-z0-9])([A-Z])"), re.compile("([A-Z]+)([A-Z][a-z])")
-# What counts as an identifier in running text.
-_CAMEL = re.compile("[A-Za-z][a-z]+(?:[A-Z][a-z]+)+")
-_CAPS = re.compile(r"\b[A-Z][A-Z0-9]{1,}(?:_[A-Z0-9]+)*\b", re.A)
-_SNAKE = re.compile(r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+){1,}\b", re.A)
-_NAMES = re.compile(r"""(?:^|[\s\[({>'"\-])([A-Z][\w]*(?:[\s\-]+[A-Z][\w]*)+)""", re.A)
-_SINGLE = re.compile(r"""(?:^|[\s\[({>'"\-])([A-Z0-9_]{2,})(?=$|[\s\])}<'".,?!\-])""", re.A)
+_CAMEL, _CAPS, _SNAKE, _NAMES, _SINGLE = (re.compile(p, re.A) for p in (X.CAMEL, X.CAPS, X.SNAKE, X.NAMES, X.SINGLE))
 _SPAN = re.compile(r"^[a-zA-Z][a-zA-Z0-9_.-]{1,63}$")
 _FENCE = re.compile(r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\Z)")
 _HEADING = re.compile(r"(?m)^ {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$|^(?! {0,3}#)([^\n]+)\n {0,3}(=+|-+)[ \t]*$")
@@ -114,6 +110,7 @@ def _valid(word: str) -> bool:
     return 2 <= len(word) <= 64 and word not in _SKIP and re.search("[a-z]", word) is not None
 
 
+@lru_cache(1 << 16)
 def _parts(word: str) -> list[str]:
     """A word as tokens: its humps if it has any, else itself."""
     if re.search("[A-Z]", word) and re.search("[a-z]", word):
@@ -210,6 +207,23 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, out_col: str, kind: pa.Da
     return given.mapInArrow(run, f"`{id_col}` long, `{out_col}` {ddl}")
 
 
+def first_places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, words): each text's distinct words (w, first_pos) with the place of the first."""
+
+    def found(text: str | None) -> list[dict]:
+        first: dict[str, int] = {}
+        for i, w in enumerate(words_of(text or "")):
+            first.setdefault(w, i)
+        return [{"w": w, "first_pos": i} for w, i in first.items()]
+
+    return _mapped(df, id_col, text_col, "words", pa.list_(pa.struct([("w", pa.string()), ("first_pos", pa.int32())])), "array<struct<w:string,first_pos:int>>", found)
+
+
+def word_lists(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, words): ``text.words`` on Arrow batches, for whole tables."""
+    return _mapped(df, id_col, text_col, "words", pa.list_(pa.string()), "array<string>", lambda t: words_of(t or ""))
+
+
 def html_to_markdown(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return _mapped(df, id_col, html_col, "markdown", pa.string(), "string", markdown_of)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,13 @@ WORD = r"[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*"
 # Java's word boundary knows other letters than ASCII's; the pattern spells the boundary out.
 DIGITS = r"(?<![A-Za-z0-9_])[0-9]{2,20}(?![A-Za-z0-9_])"
 
+# What counts as an identifier in running text, and sequences of capitalised words.
+CAMEL = "[A-Za-z][a-z]+(?:[A-Z][a-z]+)+"
+CAPS = r"\b[A-Z][A-Z0-9]{1,}(?:_[A-Z0-9]+)*\b"
+SNAKE = r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+){1,}\b"
+NAMES = r"""(?:^|[\s\[({>'"\-])([A-Z][\w]*(?:[\s\-]+[A-Z][\w]*)+)"""
+SINGLE = r"""(?:^|[\s\[({>'"\-])([A-Z0-9_]{2,})(?=$|[\s\])}<'".,?!\-])"""
+
 # Phrases that say that an answer was not found.
 NOT_FOUND = [
     "not found in the provided context", "not present in the provided context", "not enough information in the provided context",
@@ -59,6 +68,11 @@ NOT_FOUND = [
 TITLE_STOP = "the a an is are was how what why when where does do in on of to for and or not".split()
 
 
+def ascii_bounds(pattern: str) -> str:
+    """Java's word boundary knows other letters than ASCII's; a pattern's outer boundaries are spelled out."""
+    return re.sub(r"\\b$", "(?![A-Za-z0-9_])", re.sub(r"^\\b", "(?<![A-Za-z0-9_])", pattern))
+
+
 def text_of(c: Column) -> Column:
     """Null counts as empty."""
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -152,6 +166,21 @@ def pattern_names(c: Column) -> Column:
     return F.array_compact(hits)
 
 
+def pattern_tokens(c: Column) -> Column:
+    """What the named patterns match, in their order, then URLs and phone numbers anywhere; repeats included."""
+    text = text_of(c)
+    named = F.array(*[F.regexp_extract(text, p, 0) for _, p in PATTERNS])
+    anywhere = [F.regexp_extract_all(text, F.lit(ascii_bounds(p)), F.lit(0)) for p in (URL, PHONE)]
+    return F.filter(F.concat(named, *anywhere), lambda x: x != "")
+
+
+def capital_sequences(c: Column) -> Column:
+    """Distinct sequences of capitalised words, then single words in capitals, each without outer blanks."""
+    text = text_of(c)
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (NAMES, SINGLE)])
+    return F.array_distinct(F.transform(found, lambda x: F.btrim(x, F.lit(" \t\r\n"))))
+
+
 def structural_pattern(c: Column) -> Column:
     """Runs of one kind of character as a pattern: upper and lower case are kinds of their own but are written alike."""
     runs = F.regexp_extract_all(text_of(c), F.lit("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0))
@@ -227,6 +256,75 @@ def jira_markdown(c: Column) -> Column:
     return F.regexp_replace(out, "\r?\n", "\n")
 
 
+def _trimmed(c: Column) -> Column:
+    return F.btrim(text_of(c), F.lit(" \t\r\n\x0b\x0c"))
+
+
+def _or(*options: Column) -> Column:
+    """The first option that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(text_of(x), F.lit("")) for x in options])
+
+
+#: The fields of an issue, as columns of text; any may be null. The title of HTML comes from its tags.
+ISSUE_FIELDS = ("id", "key", "summary", "description", "project", "type", "status", "priority", "reporter", "assignee", "updated", "html_title")
+
+
+def issue_title(issue: dict[str, Column]) -> Column:
+    """The title in the HTML, else key and summary, else one of them, else the id."""
+    key, summary = _trimmed(issue["key"]), _trimmed(issue["summary"])
+    both = F.when((key != "") & (summary != ""), F.concat(key, F.lit(": "), summary))
+    return _or(issue.get("html_title", F.lit(None)), both, key, summary, F.btrim(F.concat(F.lit("Issue "), text_of(issue["id"]))))
+
+
+def issue_markdown(issue: dict[str, Column]) -> Column:
+    """The document of an issue: its title, twelve lines of fields, and the description as Markdown."""
+    # Labels, and what stands for a missing value.
+    lines = [
+        ("Issue Key: ", _trimmed(issue["key"]), "-"), ("Issue ID: ", issue["id"], "-"), ("Project: ", issue["project"], "Jira"), ("Type: ", issue["type"], "-"), ("Status: ", issue["status"], "-"),
+        ("Priority: ", issue["priority"], "-"), ("Reporter: ", issue["reporter"], "Unknown"), ("Assignee: ", issue["assignee"], "-"), ("Updated: ", issue["updated"], "-"),
+    ]
+    said = [F.concat(F.lit(label), F.coalesce(_or(value), F.lit(none))) for label, value, none in lines]
+    description = F.coalesce(_or(jira_markdown(issue["description"])), F.lit("No description provided."))
+    return F.concat_ws("\n", F.concat(F.lit("# "), issue_title(issue)), F.lit(""), *said, F.lit(""), F.lit("## Description"), description)
+
+
+def feedback_error(body: Column, message: Column, code: Column, status: Column, status_text: Column) -> Column:
+    """(message, detail) for a failed request: by what the server said, by settings, by the error's code, then by status.
+
+    ``body`` is the answer's text; of an object its message or error is taken, else the whole.
+    """
+    given = _trimmed(body)
+    parsed = F.when(given.startswith("{"), _or(F.get_json_object(given, "$.message"), F.get_json_object(given, "$.error")))
+    said = _trimmed(F.coalesce(parsed, given))
+    failed = "Failed to connect to Confluence server: "
+    # The messages.
+    by_status = {
+        400: "Bad Request (400). Please check your request data.", 401: "Unauthorized (401). Please check your credentials.", 402: "Payment Required (402).",
+        403: "Forbidden (403). You do not have permission to perform this action.", 404: "Page not found (404). Please check the URL and ensure the server is running.",
+        504: "Gateway Timeout (504). The server took too long to respond.",
+    }
+    has = lambda x: F.contains(text_of(message), F.lit(x))
+    known = F.create_map(*[F.lit(x) for k, v in by_status.items() for x in (k, v)])
+    of_status = F.coalesce(
+        F.element_at(known, status.cast("int")),
+        F.when(status >= 500, F.concat(F.lit("Server error ("), status.cast("string"), F.lit("). Please check if the server is running and accessible."))),
+        F.concat(F.lit("HTTP Error "), status.cast("string"), F.lit(".")),
+    )
+    pair = lambda m, detail: F.struct(m.alias("message"), text_of(detail).alias("detail"))
+    told = lambda x: F.lit(failed + x)
+    return (
+        F.when((said != "") & (said != "{}"), pair(F.concat(F.lit(failed), said), said))
+        .when(has("not configured"), pair(F.lit("Confluence base URL not configured. Please set the repoAsk.confluence.url setting."), message))
+        .when((text_of(code) == "ECONNABORTED") | has("timeout"), pair(told("Connection timed out. Please check your network connection and server URL."), message))
+        .when(text_of(code) == "ECONNREFUSED", pair(told("Connection refused. Please check if the server is running and the URL is correct."), _or(message, code)))
+        .when(text_of(code) != "", pair(F.concat(F.lit(failed), code, F.lit(". Please check your network connection and server URL.")), _or(message, code)))
+        .when(status.isNotNull(), pair(F.concat(F.lit(failed), of_status), status_text))
+        .when(has("getaddrinfo"), pair(told("Host not found. Please check the server URL."), message))
+        .when(text_of(message) != "", pair(F.concat(F.lit("Failed to submit feedback: "), message), message))
+        .otherwise(pair(F.lit("Failed to submit feedback. Please try again."), F.lit("")))
+    )
+
+
 def issue_keys(c: Column, patterns: list[str]) -> Column:
     """Distinct upper-cased matches of the configured patterns, in order."""
     every = F.concat(*[F.regexp_extract_all(text_of(c), F.lit(f"(?i){p}"), F.lit(0)) for p in patterns])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,7 +31,6 @@ CUT, MOST = 0.3, 5
 c = F.col
 
 
-
 def gram_arrays(words: Column, most: int = 4) -> Column:
     """(n, pos, gram) for 1 to ``most`` words, by n, then by place; repeats included."""
 
@@ -45,22 +48,54 @@ def grams(docs: DataFrame, id_col: str, text_col: str, most: int = 4) -> DataFra
     return X.each(rows, c("g"), "doc_id").select("doc_id", "x.n", "x.pos", "x.gram")
 
 
-def frequencies(docs: DataFrame, id_col: str, text_col: str, most: int = 4) -> DataFrame:
-    """(doc_id, gram, n, tf, dl): how often each text has each gram, and all its grams.
+def term_rows(docs: DataFrame, id_col: str, text_col: str, most: int = 4) -> DataFrame:
+    """(doc_id, dl, grams, tfs): each text's distinct grams and how often it has them, and all its grams.
 
-    Grams are counted within the row: sorted, equal ones are neighbours. Nothing is shuffled.
+    A row for each document, those without grams too. Grams are counted within the row, in
+    Arrow batches, which is several times as fast as array functions; nothing is shuffled.
     """
-    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    given = docs.select(c(id_col).alias("doc_id"), c(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, ends, terms, tfs = [], [], [0], [], []
+
+        def out() -> pa.RecordBatch:
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind)) for x, kind in ((terms, pa.string()), (tfs, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind_of_id), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "dl", "grams", "tfs"])
+
+        for batch in batches:
+            kind_of_id = batch.schema.field(0).type
+            for i, text in zip(batch.column(0), batch.column(1)):
+                words = words_of(text.as_py() or "")
+                count = Counter(words)
+                columns = words
+                for n in range(2, most + 1):
+                    columns = [f"{a} {b}" for a, b in zip(columns, words[n - 1 :])]
+                    count.update(columns)
+                ids.append(i.as_py())
+                sizes.append(sum(max(0, len(words) - n) for n in range(most)))
+                terms += count.keys()
+                tfs += count.values()
+                ends.append(len(terms))
+                if len(terms) > 200_000:
+                    yield out()
+                    ids, sizes, ends, terms, tfs = [], [], [0], [], []
+            if ids:
+                yield out()
+                ids, sizes, ends, terms, tfs = [], [], [0], [], []
+
+    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, dl long, grams array<string>, tfs array<long>")
+
+
+def each_term(rows: DataFrame) -> DataFrame:
+    """(doc_id, gram, n, tf, dl): a row for each term of ``term_rows``."""
+    each = rows.select("doc_id", "dl", F.inline(F.arrays_zip(c("grams").alias("gram"), c("tfs").alias("tf"))).alias("gram", "tf"))
+    return each.select("doc_id", "gram", (F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) + 1).alias("n"), "tf", "dl")
 
-    def counted(g: Column) -> Column:
-        starts = F.filter(F.transform(g, lambda x, i: F.when((i == 0) | (x != F.get(g, i - 1)), i)), lambda i: i.isNotNull())
-        runs = lambda s: F.transform(s, lambda p, k: F.struct(F.get(g, p).alias("gram"), (F.coalesce(F.get(s, k + 1), F.size(g)) - p).cast("long").alias("tf"), F.size(g).cast("long").alias("dl")))
-        return let(starts, runs)
 
-    sorted_ = F.array_sort(F.transform(gram_arrays(X.words(c(text_col)), most), lambda g: g["gram"]))
-    rows = docs.select(c(id_col).alias("doc_id"), let(sorted_, counted).alias("runs"))
-    each = X.each(rows, c("runs"), "doc_id").select("doc_id", "x.gram", "x.tf", "x.dl")
-    return each.select("doc_id", "gram", (F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) + 1).alias("n"), "tf", "dl")
+def frequencies(docs: DataFrame, id_col: str, text_col: str, most: int = 4) -> DataFrame:
+    """(doc_id, gram, n, tf, dl): how often each text has each gram, and all its grams, without a shuffle."""
+    return each_term(term_rows(docs, id_col, text_col, most))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -68,11 +103,13 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 
 
 def corpus(docs: DataFrame, text_col: str = "text", most: int = 4) -> DataFrame:
-    """One row: documents and average number of grams, 1 if there are none. Read off the numbers of words."""
-    n = F.size(X.words(c(text_col))).cast("long")
-    words = docs.select(n.alias("w"))
-    grams_of = sum((F.greatest(c("w") - k, F.lit(0)) for k in range(most)), F.lit(0))
-    return words.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(grams_of).alias("total")).select("n_docs", F.coalesce(F.nullif(c("total") / c("n_docs"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    """One row: documents and average number of grams, 1 if there are none."""
+    return corpus_of(term_rows(docs.withColumn("__none", F.lit(0)), "__none", text_col, most).select("dl"))
+
+
+def corpus_of(rows: DataFrame) -> DataFrame:
+    """``corpus`` from the rows of ``term_rows``."""
+    return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total")).select("n_docs", F.coalesce(F.nullif(c("total") / c("n_docs"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -83,34 +120,36 @@ def bm25_weight(tf: Column, dl: Column, avgdl: Column, weight: Column, k1: float
     return weight * (tf * F.lit(k1 + 1)) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / avgdl))
 
 
-def bm25(tf: DataFrame, totals: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """(doc_id, gram, n, tf, score) of all grams, or of those of the documents in ``targets`` (doc_id).
+def bm25(tf: DataFrame, totals: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, gram, n, tf, score) of the documents' grams ``tf``, as ``frequencies`` gives them.
 
-    ``tf`` is the written table of ``frequencies``, ``totals`` the row of ``corpus``. Grams in
-    one of ``COMMON`` documents or more are joined by broadcast, all others by gram: there are
-    ``COMMON`` times as many common grams as a document has distinct ones at most, whatever
-    the number of documents, so what is sent has a bound and no common gram fills one task.
+    ``totals`` is the row of ``corpus``, ``known`` the written frequencies (gram, df) of the whole
+    corpus, counted from ``tf`` where it isn't given. Grams in one of ``COMMON`` documents or more
+    are joined by broadcast, all others by gram: there are ``COMMON`` times as many common grams
+    as a document has distinct ones at most, whatever the number of documents, so what is sent
+    has a bound and no common gram fills one task.
     """
-    known = written(document_frequencies(tf), "df")
+    known = written(document_frequencies(tf), "df") if known is None else known
     sized = known.crossJoin(F.broadcast(totals))
     common = sized.where(c("df") * COMMON >= c("n_docs")).select("gram", c("df").alias("common_df"))
-    mine = tf if targets is None else tf.join(targets.select("doc_id").distinct(), "doc_id", "left_semi")
-    marked = mine.join(F.broadcast(common), "gram", "left")
+    marked = tf.join(F.broadcast(common), "gram", "left")
     rare = sized.where(c("df") * COMMON < c("n_docs")).select("gram", "df")
     met = marked.where("common_df IS NOT NULL").withColumnRenamed("common_df", "df").unionByName(marked.where("common_df IS NULL").drop("common_df").join(rare, "gram"))
     score = bm25_weight(c("tf"), c("dl"), c("avgdl"), idf(c("n_docs"), c("df")))
     return met.crossJoin(F.broadcast(totals)).select("doc_id", "gram", "n", "tf", F.round(score, 6).alias("score"))
 
 
-def top_grams(scored: DataFrame, most: int = TOP) -> DataFrame:
-    """The best grams of each document; of equals the first by name."""
+def top_grams(scored: DataFrame, most: int | DataFrame = TOP) -> DataFrame:
+    """The best grams of each document, ``most`` of them (a number, or doc_id and most); of equals the first by name."""
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "gram")
-    return scored.withColumn("rank", F.row_number().over(w)).where(c("rank") <= most)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked.where(c("rank") <= most) if isinstance(most, int) else ranked.join(most.select("doc_id", "most"), "doc_id").where("rank <= most").drop("most")
 
 
 def postings(rows: DataFrame, category: str) -> DataFrame:
-    """(doc_id, category, gram, token, tf) in the slots in which keywords are stored."""
-    return rows.select("doc_id", F.lit(category).alias("category"), X.gram_slot_index(c("gram")).alias("gram"), c("gram").alias("token"), c("tf").cast("long").alias("tf"))
+    """(doc_id, category, gram, token, tf) in the slots in which keywords are stored, and their score if they have one."""
+    score = [c("score")] if "score" in rows.columns else []
+    return rows.select("doc_id", F.lit(category).alias("category"), X.gram_slot_index(c("gram")).alias("gram"), c("gram").alias("token"), c("tf").cast("long").alias("tf"), *score)
 
 
 def title_postings(docs: DataFrame, id_col: str = "doc_id", title_col: str = "title") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.scratch import keep
+from lodestone.scratch import new_path
 
 c = F.col
 # Characters of a partial content, the note after it, and characters of an issue that is quoted.
@@ -107,12 +107,27 @@ def checked(store: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def reached(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, depth) of a hierarchy, breadth first, until nothing new is found; each level is written, so lineage stays short."""
-    seen = front = keep(roots.select("id", F.lit(0).alias("depth")).distinct(), "bfs")
-    depth = 0
-    while not front.isEmpty():
+    """(id, depth) of a hierarchy, breadth first, until nothing new is found.
+
+    Each level is added to one table by depth, so what is written grows with the nodes and not
+    with nodes times depth; cycles end at nodes that have been seen.
+    """
+    spark, path = roots.sparkSession, new_path(roots.sparkSession, "bfs")
+    front = roots.select("id").distinct().withColumn("depth", F.lit(0))
+    schema, depth = front.schema, 0
+    while True:
+        front.write.mode("append").parquet(f"{path}/level={depth}")
+        front = spark.read.schema(schema).parquet(f"{path}/level={depth}")
+        if front.isEmpty():
+            return spark.read.schema(schema).parquet(path).select("id", "depth")
+        seen = spark.read.schema(schema).parquet(path).select("id")
         depth += 1
         found = front.select(c("id").alias("parent")).join(links, "parent").select(c("child").alias("id")).distinct()
-        front = keep(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth")), "bfs")
-        seen = keep(seen.unionByName(front), "bfs")
-    return seen
+        front = found.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"))
+
+
+def refreshed(found: DataFrame, stored: DataFrame, remote: DataFrame) -> DataFrame:
+    """``found`` with ``refreshed``: not where the store has the remote version or a later one."""
+    own, there = stored.select("id", c("version").alias("__own")), remote.select("id", c("version").alias("__there"))
+    met = found.join(own, "id", "left").join(there, "id", "left")
+    return met.withColumn("refreshed", ~F.coalesce(c("__own") >= c("__there"), F.lit(False))).drop("__own", "__there")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
+from lodestone.functions.markup import word_lists
 from lodestone.operators import index as I
 from lodestone.operators import keywords as K
+from lodestone.operators.segments import KeywordIndex
 from lodestone.plans.base import ASKED, DOC_META_SQL, query
 from lodestone.plans.text_queries import PATTERNS_SQL, SKIP_SQL, STRUCTURE_SQL, WORDS_SQL, words_sql
 from lodestone.scratch import keep, new_path
@@ -32,13 +34,14 @@ def _tf(t):
     return I.frequencies(t.documents, "doc_id", "text")
 
 
-def _tf_written(t):
-    """Written once, since documents and grams are both counted from it."""
-    return keep(_tf(t), "tf")
+def _rows_written(t):
+    """Terms by document, written once, since documents and grams are both counted from them."""
+    return keep(I.term_rows(t.documents, "doc_id", "text"), "terms")
 
 
 def _scored_grams(t):
-    return I.bm25(_tf_written(t), I.corpus(t.documents))
+    rows = _rows_written(t)
+    return I.bm25(I.each_term(rows), I.corpus_of(rows))
 
 
 @query("tok_ngrams", f"WITH {_GRAMS} SELECT doc_id, n, pos, gram FROM grams")
@@ -48,9 +51,9 @@ def _(t):
 
 @query("win_ngrams", f"WITH {WORDS_SQL} SELECT doc_id, pos, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)")
 def _(t):
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    words = X.each(t.documents, X.words(c("text")), "doc_id").withColumnRenamed("x", "w")
-    return words.select("doc_id", "pos", "w", F.lead("w").over(w).alias("w2"), F.lead("w", 2).over(w).alias("w3"))
+    w = word_lists(t.documents, "doc_id", "text")
+    placed = F.arrays_zip(F.sequence(F.lit(0), F.size("words") - 1).alias("pos"), c("words").alias("w"), F.slice("words", 2, F.size("words")).alias("w2"), F.slice("words", 3, F.size("words")).alias("w3"))
+    return w.where(F.size("words") > 0).select("doc_id", F.inline(placed).alias("pos", "w", "w2", "w3"))
 
 
 @query("tok_unique_ngrams", f"WITH {_GRAMS} SELECT doc_id, gram, min(n) AS n FROM grams GROUP BY ALL")
@@ -60,7 +63,7 @@ def _(t):
 
 @query("tok_bm25", f"WITH {_GRAMS} SELECT doc_id, n, count(*) AS grams FROM grams GROUP BY ALL")
 def _(t):
-    words = t.documents.select("doc_id", F.size(X.words(c("text"))).cast("long").alias("w"))
+    words = word_lists(t.documents, "doc_id", "text").select("doc_id", F.size("words").cast("long").alias("w"))
     sizes = F.filter(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.struct(n.alias("n"), (c("w") - n + 1).alias("grams"))), lambda x: x["grams"] > 0)
     return words.select("doc_id", F.explode(sizes).alias("x")).select("doc_id", "x.n", "x.grams")
 
@@ -88,7 +91,7 @@ def _(t):
 
 @query("jn_tf_df", f"WITH {_TF} SELECT doc_id, gram, tf, df FROM tf JOIN df USING (gram)")
 def _(t):
-    tf = _tf_written(t)
+    tf = I.each_term(_rows_written(t))
     return tf.join(I.document_frequencies(tf), "gram").select("doc_id", "gram", "tf", "df")
 
 
@@ -102,26 +105,22 @@ def _(t):
     return I.top_grams(_scored_grams(t)).select("doc_id", "gram", "score", "rank")
 
 
-#: Where the index over a folder's tables lies, by application: built by the first question or by a refresh.
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
-def _refreshed(t) -> str:
+def _stored_keywords(t, best) -> str:
     """Best grams and titles of all documents, written as the stored keywords that questions read."""
     path = new_path(t.spark, "postings")
-    best = I.top_grams(_scored_grams(t))
-    grams = I.postings(best, "bm25").select("*", F.lit(None).cast("double").alias("score"))
-    scores = best.select("doc_id", c("gram").alias("token"), "score")
-    grams = grams.drop("score").join(scores, ["doc_id", "token"])
     titles = I.title_postings(t.doc_meta().withColumn("id", c("id").cast("long")), "id").withColumn("score", F.lit(None).cast("double"))
-    I.store_postings(grams.unionByName(titles), path)
-    _INDEXES[t.spark.sparkContext.applicationId, t.sf_dir] = path
+    I.store_postings(I.postings(best, "bm25").unionByName(titles), path)
     return path
 
 
 @query("flow_bm25_refresh", f"WITH {_BM} SELECT doc_id, gram, score FROM top")
 def _(t):
-    stored = I.stored_postings(t.spark, _refreshed(t))
+    # An index over the texts as they were (every tenth shorter by half) is refreshed by those that have changed, and merged.
+    index = KeywordIndex(t.spark, new_path(t.spark, "index"))
+    changed = c("doc_id") % 10 == 3
+    index.refresh(t.documents.withColumn("text", F.when(changed, F.left("text", (F.length("text") / 2).cast("int"))).otherwise(c("text"))))
+    index.refresh(t.documents.where(changed))
+    stored = I.stored_postings(t.spark, _stored_keywords(t, index.best()))
     return stored.where("category = 'bm25'").select("doc_id", c("token").alias("gram"), "score")
 
 
@@ -153,9 +152,8 @@ _KWS = f"WITH {_BM}, {_BPOST}, {_ASK}, {_KWT}, kws AS (SELECT doc_id, category,
 
 def _posts(t):
     """Stored keywords that the question can meet: its grams, read by bucket, and the question itself."""
-    key = t.spark.sparkContext.applicationId, t.sf_dir
-    path = _INDEXES.get(key) or _refreshed(t)
     tokens = [" ".join(TERMS[i : i + n]) for n in range(1, 5) for i in range(len(TERMS) - n + 1)]
+    path = _stored_keywords(t, I.top_grams(_scored_grams(t)))
     return I.stored_postings(t.spark, path, [*tokens, ASKED]).drop("score")
 
 
@@ -350,9 +348,11 @@ def _described(t):
 @query("kw_build")
 def _(t):
     docs = _described(t)
-    best = I.top_grams(_scored_grams(t), 400)
+    n = t.documents.count()
+    limits = docs.select("doc_id", K.bm25_limit(X.text_of(c("content")), F.lit(n)).alias("most"))
+    best = I.top_grams(_scored_grams(t), limits)
     listed = best.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"]).alias("keywords"))
-    return K.build(docs, t.documents.count(), listed)
+    return K.build(docs, n, listed, keep(_dictionary(t), "dictionary"))
 
 
 @query("kw_migrate", "SELECT doc_id, [lang, source] AS keywords FROM documents")
@@ -365,7 +365,7 @@ def _(t):
 # ---- synonyms
 def _dictionary(t):
     """Words that occur in the documents stand in for a dictionary."""
-    return X.each(t.documents, F.array_distinct(X.words(c("text")))).select(c("x").alias("w")).distinct()
+    return word_lists(t.documents, "doc_id", "text").select(F.explode(F.array_distinct("words")).alias("w")).distinct()
 
 
 _DICT = f"WITH {WORDS_SQL}, dict AS (SELECT DISTINCT w FROM words WHERE regexp_full_match(w, '[a-z]+') AND len(w) > 2), suf AS (SELECT unnest(['s', 'ment', 'tion', 'sion', 'ion', 'ant', 'ent', 'ness', 'ity', 'ism', 'ist', 'ship', 'age', 'ery', 'ory', 'able', 'ible', 'ing', 'ed', 'er', 'or', 'ly', 'al', 'ive', 'ous']) AS suffix)"

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
-from lodestone.functions.markup import html_to_markdown
-from lodestone.operators import index as I
-from lodestone.operators import keywords as K
+from lodestone.operators import flows
 from lodestone.operators import store as S
+from lodestone.operators.segments import KeywordIndex
+from lodestone.operators.table_log import TableLog
 from lodestone.plans.base import DOC_META_SQL, query
 from lodestone.plans.index_queries import BM_SQL
-from lodestone.plans.text_queries import SLUG_SQL
+from lodestone.plans.text_queries import SLUG_SQL, issues_of
 from lodestone.scratch import keep, new_path
 from lodestone.sources import files
 from lodestone.streaming import logs as T
@@ -22,6 +22,10 @@ M = f"WITH {DOC_META_SQL}"
 _Q = "what is the thand and onan"
 
 
+def _log(t, schema: str) -> TableLog:
+    return TableLog(t.spark, new_path(t.spark, "log"), schema, parts=16)
+
+
 @query("src_meta_lookup", f"{M} SELECT id, title, type FROM doc_meta WHERE id = '42'")
 def _(t):
     return t.doc_meta().where("id = '42'").select("id", "title", "type")
@@ -45,15 +49,20 @@ def _(t):
 
 @query("sink_doc", f"{M} SELECT id, CASE WHEN id::BIGINT % 4 = 0 THEN 'new ' || title ELSE title END AS title, CASE WHEN id::BIGINT % 4 = 0 THEN version + 1 ELSE version END AS version FROM doc_meta")
 def _(t):
-    meta = t.doc_meta().select("id", "title", "version")
-    changes = meta.where("id % 4 = 0").select("id", F.concat(F.lit("new "), "title").alias("title"), (c("version") + 1).alias("version"))
-    return keep(S.upsert(meta, changes), "store")
+    log = _log(t, "id string, title string, version int")
+    log.commit(t.doc_meta().select("id", "title", "version"))
+    at = log.version()
+    changes = log.read(at).where("id % 4 = 0").select("id", F.concat(F.lit("new "), "title").alias("title"), (c("version") + 1).alias("version"))
+    log.commit(changes, base=at)
+    return log.read()
 
 
 @query("sink_delete", f"{M} SELECT id FROM doc_meta WHERE id::BIGINT % 3 <> 0")
 def _(t):
-    meta = t.doc_meta().select("id")
-    return S.without(meta, meta.where("id % 3 = 0"))
+    log = _log(t, "id string, title string")
+    log.commit(t.doc_meta().select("id", "title"))
+    log.commit(removed=log.read().where("id % 3 = 0").select("id"))
+    return log.read().select("id")
 
 
 @query("sink_reset", f"{M} SELECT id, title FROM doc_meta WHERE type = 'src0'")
@@ -115,7 +124,13 @@ def _(t):
 def _(t):
     stored = _wiki(t).select(c("page_id").alias("id"), "version")
     sent = t.pages.select((c("page_id") + F.when(c("page_id") % 9 == 0, 1_000_000).otherwise(0)).alias("id"), (c("page_id") % 4 + 2).cast("int").alias("version"))
-    return S.put(stored, sent).select("id", "version", "state")
+    log = _log(t, "id long, version int")
+    at = log.commit(stored)
+    states = keep(S.put(log.read(at), sent).select("id", "version", "state"), "states")
+    log.commit(states.where("state = 'accepted'").select("id", "version"), base=at)
+    # What was accepted is what readers see from now on.
+    seen = log.read().select("id", c("version").alias("now"))
+    return states.join(seen, "id", "left").select("id", "version", F.when((c("state") == "accepted") & ~c("now").eqNullSafe(c("version")), "lost").otherwise(c("state")).alias("state"))
 
 
 @query("sink_wiki_post", "SELECT page_id, url, 1 AS version FROM pages UNION ALL SELECT page_id + 1000000, url || '/new', 1 FROM pages WHERE page_id % 50 = 0")
@@ -350,43 +365,48 @@ def _(t):
 
 
 # ---- flows
-def _indexed(docs, documents: int):
-    """(doc_id, title, summary, keywords, places): documents with how many keywords of each category their whole content gave."""
-    stored = K.build(docs, documents)
-    by = stored.groupBy("doc_id").pivot("category", K.CATEGORIES).agg(F.count(F.lit(1)))
-    return docs.select("doc_id", "title", "summary", F.length("content").alias("chars")).join(by.na.fill(0), "doc_id", "left")
+def _stored(t, rows, id_, version):
+    """What a store knows of every third document: a summary, a graph, tags, feedback, a question and a related page."""
+    own = c(id_).cast("long")
+    return rows.where(own % 3 == 0).select(
+        own.alias("id"), version.alias("version"), F.concat(F.lit(" Kept summary of traders "), own).alias("summary"), F.concat(F.lit('graph TD\n A["Risk Desk '), own, F.lit('"]')).alias("knowledge_graph"),
+        F.array(F.lit("kept")).alias("tags"), F.lit(" good ").alias("feedback"), F.create_map(F.lit("how"), F.array(F.lit("2024-01-01"))).alias("referenced"), F.array((own + 1).cast("string")).alias("related"),
+    )
 
 
 @query("flow_process_page")
 def _(t):
-    # A page becomes a document: Markdown, title, the page's own keywords, and all categories over the whole body.
-    md = html_to_markdown(t.pages, "page_id", "html").withColumnRenamed("page_id", "doc_id")
-    heads = t.pages.select(c("page_id").alias("doc_id"), F.coalesce(F.get(X.tag_text(c("html"), "title"), F.lit(0)), F.lit("")).alias("title"), X.meta_keywords(c("html")).alias("semantic"))
-    docs = heads.join(md, "doc_id").select("doc_id", "title", "semantic", c("markdown").alias("content"), X.summary(c("markdown")).alias("summary"), F.lit("").alias("graph"))
-    return _indexed(keep(docs, "pages"), t.pages.count())
+    # Every third page is stored already: a ninth in an older version, the others in the version at hand, which are left out.
+    wiki = _wiki(t).select(c("page_id").alias("id"), F.concat(F.lit("Page "), "page_id").alias("title"), "version", F.lit(None).cast("string").alias("author"), F.lit("2024-01-31").alias("last_updated"), F.lit("OPS").alias("topic"), "url", c("html").alias("body"))
+    stored = _stored(t, wiki, "id", F.when(c("id") % 9 == 0, c("version") - 1).otherwise(c("version")))
+    docs = flows.pages(wiki, stored, ["[A-Za-z]{2,10}-[0-9]+"])
+    return flows.ingested(docs, flows.words_known(wiki.select(F.regexp_replace("body", "<[^>]*>", " ").alias("body")), "body"))
 
 
 @query("flow_process_issue")
 def _(t):
-    # An issue becomes a document: its markup as Markdown, a summary, and its keywords over title and body.
-    body = X.jira_markdown(F.concat(F.lit("h2. Status\n"), "o_orderstatus", F.lit("\nh3. Priority\nThe priority is "), "o_orderpriority", F.lit(". Ordered by Customer"), "o_custkey"))
-    title = F.concat(F.lit("OPS-"), "o_orderkey", F.lit(": "), "o_orderpriority")
-    docs = t.orders.select(c("o_orderkey").alias("doc_id"), title.alias("title"), body.alias("content"))
-    docs = keep(docs.withColumns({"summary": X.summary(c("content")), "graph": F.lit(""), "semantic": F.array().cast("array<string>")}), "issues")
-    return _indexed(docs, t.orders.count())
+    given = issues_of(t).withColumn("url", F.concat(F.lit("https://issues.example.com/browse/OPS-"), "o_orderkey"))
+    docs = flows.issues(given, _stored(t, given, "id", F.lit(None).cast("int")))
+    return flows.ingested(docs, flows.words_known(given.select("description", "priority"), "description", "priority"))
 
 
-@query("flow_bfs", "WITH RECURSIVE links AS (SELECT doc_id AS child, doc_id // 3 AS parent FROM documents WHERE doc_id > 0), r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION ALL SELECT child, depth + 1 FROM r JOIN links ON parent = id) SELECT id, depth FROM r")
+@query("flow_bfs", "WITH RECURSIVE links AS (SELECT doc_id AS child, doc_id // 3 AS parent FROM documents WHERE doc_id > 0), r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION ALL SELECT child, depth + 1 FROM r JOIN links ON parent = id) SELECT id, depth, id % 4 <> 1 OR id % 7 > id % 5 AS refreshed FROM r")
 def _(t):
+    # A page is read again unless the store has it in the same version or a later one; its children are visited either way.
     links = t.documents.where("doc_id > 0").select(c("doc_id").alias("child"), F.floor(c("doc_id") / 3).alias("parent"))
-    return S.reached(t.spark.range(1).select("id"), links)
+    found = S.reached(t.spark.range(1).select("id"), links)
+    stored = t.documents.where("doc_id % 4 = 1").select(c("doc_id").alias("id"), (c("doc_id") % 5).alias("version"))
+    return S.refreshed(found, stored, t.documents.select(c("doc_id").alias("id"), (c("doc_id") % 7).alias("version")))
 
 
 @query("flow_patch_meta", f"{M} SELECT id, CASE WHEN id::BIGINT % 4 = 0 THEN '' ELSE summary END AS summary, type, CASE WHEN id::BIGINT % 4 = 0 THEN ['patched'] ELSE tags END AS tags FROM doc_meta")
 def _(t):
-    meta = t.doc_meta()
+    log = _log(t, "id string, summary string, tags array<string>, type string")
+    at = log.commit(t.doc_meta().select("id", "summary", "tags", "type"))
+    meta = log.read(at)
     patch = meta.where("id % 4 = 0").select("id", F.lit(None).cast("string").alias("summary"), F.array(F.lit("patched")).alias("tags"), F.lit("").alias("type"))
-    return S.patched(meta, patch).select("id", "summary", "type", "tags")
+    log.commit(S.patched(meta.join(patch.select("id"), "id", "left_semi"), patch), base=at)
+    return log.read().select("id", "summary", "type", "tags")
 
 
 @query("flow_feedback", f"""WITH {BM_SQL}, {DOC_META_SQL}, given AS (SELECT (user_id % 40)::VARCHAR AS id, list_sort(list(DISTINCT event_type)) AS asked FROM events GROUP BY 1),
@@ -398,8 +418,9 @@ def _(t):
     # pages, and the keywords of the documents concerned are scored anew against the whole corpus.
     given = _feedback(t).groupBy(c("target").alias("id")).agg(F.array_sort(F.collect_set("event_type")).alias("asked"))
     concerned = t.doc_meta().join(given, "id")
-    targets = concerned.select(c("id").cast("long").alias("doc_id"))
-    best = I.top_grams(I.bm25(keep(I.frequencies(t.documents, "doc_id", "text"), "tf"), I.corpus(t.documents), targets))
+    index = KeywordIndex(t.spark, new_path(t.spark, "index"))
+    index.refresh(t.documents)
+    best = index.best(concerned.select(c("id").cast("long").alias("doc_id")))
     listed = best.groupBy(c("doc_id").cast("string").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"]).alias("keywords"))
     related = F.filter(F.array_distinct(F.array((c("id").cast("long") + 1).cast("string"), F.lit("5"))), lambda x: x != c("id"))
     return concerned.join(listed, "id", "left").select("id", F.array_union("referenced", "asked").alias("referenced"), related.alias("related"), "keywords")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.functions.markup import first_places, html_to_markdown, json_block, markdown_keywords, word_lists
 from lodestone.operators import keywords as K
 from lodestone.plans.base import DOC_META_SQL, query
 
@@ -37,7 +38,7 @@ WORDS_SQL = words_sql()
 
 @query("tok_words", f"WITH {WORDS_SQL} SELECT doc_id, pos, w FROM words")
 def _(t):
-    return X.each(t.documents, X.words(F.col("text")), "doc_id").withColumnRenamed("x", "w")
+    return word_lists(t.documents, "doc_id", "text").select("doc_id", F.posexplode("words").alias("pos", "w"))
 
 
 @query("tok_camel", f"SELECT p_partkey, {_CAMEL.format("replace(p_name, ' ', '')")} AS parts FROM part")
@@ -52,7 +53,7 @@ def _(t):
 
 @query("tok_unique", f"WITH {WORDS_SQL} SELECT doc_id, w, min(pos) AS first_pos FROM words GROUP BY ALL")
 def _(t):
-    return X.each(t.documents, X.words(F.col("text")), "doc_id").groupBy("doc_id", F.col("x").alias("w")).agg(F.min("pos").alias("first_pos"))
+    return first_places(t.documents, "doc_id", "text").select("doc_id", F.inline("words"))
 
 
 @query("tok_skipwords", f"SELECT unnest([{_SKIP}]) AS word")
@@ -107,9 +108,13 @@ def _(t):
     return _made(t).select("token", X.pattern_names(F.col("token")).alias("names"))
 
 
-@query("pat_tokens", f"SELECT page_id, regexp_extract_all(url, '{X.URL}') AS urls, regexp_extract_all(html, '{X.PHONE}') AS phones FROM pages")
+@query("pat_tokens", "WITH s AS (SELECT 'p' || p_partkey AS id, unnest([p_name, p_brand, p_retailprice::DECIMAL(18, 2)::VARCHAR, printf('2024-%02d-11', p_partkey % 12 + 1), 'ABC', 'mail ' || p_partkey || '@example.com', 'see https://example.com/p/' || p_partkey || ' or 555-123-' || printf('%04d', p_partkey % 10000)]) AS text FROM part), "
+    + "m AS (SELECT id, text, list_concat(list_concat([" + ", ".join(f"regexp_extract(text, '{p}')" for _, p in X.PATTERNS) + f"], regexp_extract_all(text, '{X.URL}')), regexp_extract_all(text, '{X.PHONE}')) AS found FROM s) SELECT id, text, list_filter(found, lambda x: x <> '') AS tokens FROM m")
 def _(t):
-    return t.pages.select("page_id", F.regexp_extract_all("url", F.lit(X.URL), F.lit(0)).alias("urls"), F.regexp_extract_all("html", F.lit(X.PHONE), F.lit(0)).alias("phones"))
+    k = F.col("p_partkey")
+    forms = ["p_name", "p_brand", F.col("p_retailprice").cast("decimal(18,2)").cast("string"), F.format_string("2024-%02d-11", k % 12 + 1), F.lit("ABC"), F.format_string("mail %d@example.com", k), F.format_string("see https://example.com/p/%d or 555-123-%04d", k, k % 10000)]
+    texts = t.part.select(F.concat(F.lit("p"), k).alias("id"), F.explode(F.array(*forms)).alias("text"))
+    return texts.select("id", "text", X.pattern_tokens(F.col("text")).alias("tokens"))
 
 
 @query("pat_structural_regex", _MADE + f"SELECT token, {STRUCTURE_SQL.format('token')} AS pattern FROM s")
@@ -119,28 +124,29 @@ def _(t):
 
 @query("md_capital_seq")
 def _(t):
-    many = F.regexp_extract_all("text", F.lit(r"""(?:^|[\s\[({>'"\-])([A-Z]\w*(?:[\s\-]+[A-Z]\w*)+)"""), F.lit(1))
-    caps = F.regexp_extract_all("text", F.lit(r"""(?:^|[\s\[({>'"\-])([A-Z0-9_]{2,})(?=$|[\s\])}<'".,?!\-])"""), F.lit(1))
-    return t.documents.select("doc_id", F.array_distinct(F.concat(many, caps)).alias("sequences"))
+    return t.documents.select("doc_id", X.capital_sequences(F.col("text")).alias("sequences"))
 
 
-@query("md_identifiers", "SELECT doc_id, " + ", ".join(f"list_sort(list_distinct(regexp_extract_all(text, '{p}'))) AS {n}" for n, p in (("compound", X.COMPOUND), ("camel", "[A-Z]?[a-z0-9]+(?:[A-Z][a-z0-9]+)+"), ("caps", r"\b[A-Z][A-Z0-9_]{2,}\b"), ("snake", "[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+"))) + " FROM documents")
+_KINDS = {"compound": X.COMPOUND, "camel": X.CAMEL, "caps": X.CAPS, "snake": X.SNAKE}
+# Documents have few identifiers of their own; each gets a line with some.
+_WITH_NAMES = "text || chr(10) || 'getUser' || upper(lang[1]) || 'x fooBar BUY_LIMIT_' || doc_id % 7 || ' HTTP2 a_b' || doc_id % 5 || '_c v1.' || doc_id || '-beta XMLHttp ABCdef x_Y'"
+
+
+@query("md_identifiers", f"WITH d AS (SELECT doc_id, {_WITH_NAMES} AS text FROM documents) SELECT doc_id, " + ", ".join(f"list_sort(list_distinct(regexp_extract_all(text, '{p}'))) AS {n}" for n, p in _KINDS.items()) + " FROM d")
 def _(t):
-    kinds = {"compound": X.COMPOUND, "camel": "[A-Z]?[a-z0-9]+(?:[A-Z][a-z0-9]+)+", "caps": r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]{2,}(?![A-Za-z0-9_])", "snake": "[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+"}
-    return t.documents.select("doc_id", *[F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0)))).alias(n) for n, p in kinds.items()])
+    i = F.col("doc_id")
+    said = F.concat("text", F.lit("\ngetUser"), F.upper(F.left("lang", F.lit(1))), F.lit("x fooBar BUY_LIMIT_"), i % 7, F.lit(" HTTP2 a_b"), i % 5, F.lit("_c v1."), i, F.lit("-beta XMLHttp ABCdef x_Y"))
+    found = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all("said", F.lit(X.ascii_bounds(p)), F.lit(0))))
+    return t.documents.select("doc_id", said.alias("said")).select("doc_id", *[found(p).alias(n) for n, p in _KINDS.items()])
 
 
 @query("md_keywords")
 def _(t):
-    from lodestone.functions.markup import html_to_markdown, markdown_keywords
-
     return markdown_keywords(html_to_markdown(t.pages, "page_id", "html"), "page_id", "markdown")
 
 
 @query("html_to_md")
 def _(t):
-    from lodestone.functions.markup import html_to_markdown
-
     return html_to_markdown(t.pages, "page_id", "html")
 
 
@@ -283,10 +289,29 @@ def _(t):
     return t.documents.select("doc_id", X.jira_markdown(F.concat(F.lit("h1. "), "lang", F.lit("\r\nh3.  "), "source", F.lit("\nbody "), "doc_id")).alias("md"))
 
 
-@query("jira_render", "SELECT o_orderkey, 'OPS-' || o_orderkey || ': ' || coalesce(nullif(o_orderpriority, ''), 'Untitled') AS title, '# ' || o_orderpriority || chr(10) || 'Status: ' || o_orderstatus || chr(10) || 'Key: OPS-' || o_orderkey AS markdown FROM orders")
+_ISSUE_SQL = """i AS (SELECT o_orderkey, o_orderkey + 10000 AS id, CASE WHEN o_orderkey % 4 <> 0 THEN ' OPS-' || o_orderkey || ' ' END AS key, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN '  ' END AS summary,
+ CASE WHEN o_orderkey % 5 <> 0 THEN 'h2. Status' || chr(13) || chr(10) || 'It is ' || o_orderstatus || '. ' END AS description, CASE WHEN o_orderkey % 6 <> 0 THEN 'OPS' END AS project, CASE WHEN o_orderkey % 7 = 0 THEN 'Bug' END AS type, o_orderstatus AS status, o_orderpriority AS priority,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'Clerk' || o_custkey END AS reporter, CASE WHEN o_orderkey % 11 = 0 THEN 'Titled' END AS html_title, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS updated FROM orders),
+ t AS (SELECT *, trim(coalesce(key, '')) AS k, trim(coalesce(summary, '')) AS s, coalesce(nullif(regexp_replace(trim(coalesce(description, '')), '(?m)^h2\\.[ \t]+', '## '), ''), 'No description provided.') AS d FROM i),
+ u AS (SELECT *, coalesce(html_title, CASE WHEN k <> '' AND s <> '' THEN k || ': ' || s END, nullif(k, ''), nullif(s, ''), 'Issue ' || id) AS title FROM t)"""
+
+
+def issues_of(t):
+    """Orders as issues, with every field missing in some."""
+    k = F.col("o_orderkey")
+    some = lambda by, rest, value: F.when(k % by != rest, value)
+    return t.orders.select(
+        "o_orderkey", (k + 10000).alias("id"), some(4, 0, F.concat(F.lit(" OPS-"), k, F.lit(" "))).alias("key"), F.when(k % 3 == 0, F.col("o_orderpriority")).when(k % 3 == 1, "  ").alias("summary"),
+        some(5, 0, F.concat(F.lit("h2. Status\r\nIt is "), "o_orderstatus", F.lit(". "))).alias("description"), some(6, 0, F.lit("OPS")).alias("project"), F.when(k % 7 == 0, "Bug").alias("type"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("priority"), F.when(k % 2 == 0, F.concat(F.lit("Clerk"), "o_custkey")).alias("reporter"), F.lit(None).cast("string").alias("assignee"), F.when(k % 11 == 0, "Titled").alias("html_title"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("updated"),
+    )
+
+
+@query("jira_render", f"WITH {_ISSUE_SQL} SELECT o_orderkey, title, concat_ws(chr(10), '# ' || title, '', 'Issue Key: ' || coalesce(nullif(k, ''), '-'), 'Issue ID: ' || id, 'Project: ' || coalesce(project, 'Jira'), 'Type: ' || coalesce(type, '-'), 'Status: ' || status, 'Priority: ' || priority, 'Reporter: ' || coalesce(reporter, 'Unknown'), 'Assignee: -', 'Updated: ' || updated, '', '## Description', replace(d, chr(13) || chr(10), chr(10))) AS markdown FROM u")
 def _(t):
-    body = F.concat_ws("\n", F.concat(F.lit("# "), "o_orderpriority"), F.concat(F.lit("Status: "), "o_orderstatus"), F.concat(F.lit("Key: OPS-"), "o_orderkey"))
-    return t.orders.select("o_orderkey", F.concat(F.lit("OPS-"), "o_orderkey", F.lit(": "), F.coalesce(F.nullif("o_orderpriority", F.lit("")), F.lit("Untitled"))).alias("title"), body.alias("markdown"))
+    issue = {n: F.col(n) for n in X.ISSUE_FIELDS}
+    return issues_of(t).select("o_orderkey", X.issue_title(issue).alias("title"), X.issue_markdown(issue).alias("markdown"))
 
 
 @query("json_first_object", "SELECT event_id, regexp_extract('noise ' || props || ' tail', '(?s)\\{.*\\}') AS found, (regexp_extract(props, '\"k\": *([0-9]+)', 1))::INT AS k FROM events")
@@ -297,8 +322,6 @@ def _(t):
 
 @query("json_block", "SELECT event_id, props AS block FROM events")
 def _(t):
-    from lodestone.functions.markup import json_block
-
     return json_block(t.events.select("event_id", F.concat(F.lit("text ```json\n"), "props", F.lit("\n``` end")).alias("text")), "event_id", "text")
 
 
@@ -353,11 +376,26 @@ def _escaped(x: str) -> str:
     return x
 
 
-@query("txt_error_map", "SELECT event_id, (event_id % 6) * 100 AS status, CASE event_id % 6 WHEN 4 THEN 'The request was not understood' WHEN 5 THEN 'The server failed' WHEN 1 THEN 'ok' WHEN 2 THEN 'ok' WHEN 3 THEN 'Moved' ELSE 'Unknown error' END AS message FROM events")
+_FAILED = "'Failed to connect to Confluence server: '"
+
+
+@query("txt_error_map", f"""WITH e AS (SELECT event_id, event_id % 12 AS k, [400, 401, 402, 403, 404, 504, 500, 503, 302][event_id // 12 % 9 + 1] AS s FROM events)
+SELECT event_id, CASE k WHEN 0 THEN {_FAILED} || 'no such space ' || event_id WHEN 1 THEN {_FAILED} || 'denied' WHEN 2 THEN {_FAILED} || 'late' WHEN 3 THEN 'Confluence base URL not configured. Please set the repoAsk.confluence.url setting.'
+ WHEN 4 THEN {_FAILED} || 'Connection timed out. Please check your network connection and server URL.' WHEN 5 THEN {_FAILED} || 'Connection timed out. Please check your network connection and server URL.'
+ WHEN 6 THEN {_FAILED} || 'Connection refused. Please check if the server is running and the URL is correct.' WHEN 7 THEN {_FAILED} || 'EPIPE. Please check your network connection and server URL.'
+ WHEN 8 THEN {_FAILED} || CASE s WHEN 400 THEN 'Bad Request (400). Please check your request data.' WHEN 401 THEN 'Unauthorized (401). Please check your credentials.' WHEN 402 THEN 'Payment Required (402).' WHEN 403 THEN 'Forbidden (403). You do not have permission to perform this action.'
+  WHEN 404 THEN 'Page not found (404). Please check the URL and ensure the server is running.' WHEN 504 THEN 'Gateway Timeout (504). The server took too long to respond.' WHEN 302 THEN 'HTTP Error 302.' ELSE 'Server error (' || s || '). Please check if the server is running and accessible.' END
+ WHEN 9 THEN {_FAILED} || 'Host not found. Please check the server URL.' WHEN 10 THEN 'Failed to submit feedback: odd ' || event_id ELSE 'Failed to submit feedback. Please try again.' END AS message,
+ CASE k WHEN 0 THEN 'no such space ' || event_id WHEN 1 THEN 'denied' WHEN 2 THEN 'late' WHEN 3 THEN 'wiki not configured' WHEN 4 THEN 'timeout of 5000ms' WHEN 5 THEN '' WHEN 6 THEN 'ECONNREFUSED' WHEN 7 THEN 'broken pipe' WHEN 8 THEN 'text ' || s WHEN 9 THEN 'getaddrinfo ENOTFOUND' WHEN 10 THEN 'odd ' || event_id ELSE '' END AS detail FROM e""")
 def _(t):
-    code = (F.col("event_id") % 6) * 100
-    said = F.when(code == 400, "The request was not understood").when(code == 500, "The server failed").when(code.between(1, 299), "ok").when(code == 300, "Moved").otherwise("Unknown error")
-    return t.events.select("event_id", code.alias("status"), said.alias("message"))
+    i = F.col("event_id")
+    k = i % 12
+    case = lambda **by: F.coalesce(*[F.when(k == int(n[1:]), v if not isinstance(v, str) else F.lit(v)) for n, v in by.items()])
+    body = case(_0=F.format_string('{"message": " no such space %d ", "error": "x"}', i), _1='{"message": "", "error": "denied"}', _2="  late ", _3="{}", _4="", _8="{}")
+    message = case(_2="timeout", _3="wiki not configured", _4="timeout of 5000ms", _7="broken pipe", _9="getaddrinfo ENOTFOUND", _10=F.concat(F.lit("odd "), i))
+    code = case(_5="ECONNABORTED", _6="ECONNREFUSED", _7="EPIPE")
+    status = F.when(k == 8, F.get(F.array(*map(F.lit, (400, 401, 402, 403, 404, 504, 500, 503, 302))), F.floor(i / 12).cast("int") % 9))
+    return t.events.select("event_id", F.inline(F.array(X.feedback_error(body, message, code, status, F.concat(F.lit("text "), status.cast("string"))))).alias("message", "detail"))
 
 
 @query("txt_feedback_row", f"WITH r AS (SELECT conv_id, turn, '<tr><td>' || {_escaped('role')} || '</td><td>' || {_escaped('text')} || '</td></tr>' AS row FROM conversations) SELECT conv_id, turn, row, '<table><tbody>' || row || '</tbody></table>' AS page FROM r")

@@ -304,6 +304,7 @@ def tables():
 def test_query_agrees_with_sql(spark, tables, name):
     df = registry.QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
+    assert len({x.lower() for x in columns}) == len(columns)
     got = rows_of(df.select(*[f"`{c}`" for c in columns]).collect(), columns)
     found = tables.execute(registry.ORACLE[name])
     names = [d[0] for d in found.description]
@@ -314,8 +315,11 @@ def test_query_agrees_with_sql(spark, tables, name):
 
 @pytest.mark.skipif(not DATA.exists(), reason="tables are not here")
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
-def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, str(DATA)).collect() is not None
+def test_query_without_sql_is_written(spark, tmp_path, name):
+    df = registry.QUERIES[name](spark, str(DATA))
+    assert len({x.lower() for x in df.columns}) == len(df.columns)
+    df.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
 
 
 def test_entry(spark):
