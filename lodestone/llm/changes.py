@@ -198,6 +198,15 @@ def _fed(rows: DataFrame) -> DataFrame:
     return rows.select("client_id", "batch", "leads", change.alias("change")).unionByName(quiet.withColumn("leads", F.lit(True)), allowMissingColumns=True)
 
 
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    """Put a written batch before the query: a folder is renamed, or an empty one made for a batch without rows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(target).getParent())
+    if not files.rename(path(source), path(target)) if files.exists(path(source)) else not files.mkdirs(path(target)):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
 def applied(changes: DataFrame, patience: int = PATIENCE) -> DataFrame:
     """change_id, client_id, n, status, batch, missed, city, cents and current for each numbered change.
 
@@ -207,12 +216,14 @@ def applied(changes: DataFrame, patience: int = PATIENCE) -> DataFrame:
     """
     spark = changes.sparkSession
     given = keep(numbered(changes), "changes-numbered")
-    rows, clocks = keep(_fed(given).sortWithinPartitions("batch"), "changes-fed"), _clocks(given)
-    inbox, outbox, state = new_path(spark, "changes-inbox"), new_path(spark, "changes-outbox"), new_path(spark, "changes-state")
+    staged, inbox, outbox, state = (new_path(spark, f"changes-{x}") for x in ("staged", "inbox", "outbox", "state"))
+    parts, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    _fed(given).repartition("batch", F.pmod(F.xxhash64("client_id", "change"), F.lit(parts))).write.partitionBy("batch").parquet(staged)
     at = {x: F.col("change")[i] for i, x in enumerate(CHANGE)}
-    with _settings(spark, _STATE):
-        for batch, clock in clocks.items():
-            rows.where(F.col("batch") == batch).write.mode("append").parquet(inbox)
+    # The state is dealt into whole rounds of the cores.
+    with _settings(spark, _STATE | {"spark.sql.shuffle.partitions": str(-(-parts // cores) * cores)}):
+        for batch, clock in _clocks(given).items():
+            _move(spark, f"{staged}/batch={batch}", f"{inbox}/batch={batch}")
             fed = spark.readStream.schema(FED).parquet(inbox)
             kept = fed.where("leads").select("client_id", "change").groupBy("client_id").transformWithState(Applier(batch, clock, patience), OUT, "Append", "None")
             told = {"client_id": F.col("client_id"), "status": F.lit("rejected"), "batch": F.col("batch"), "missed": F.lit(0), "city": F.lit(None), "cents": F.lit(None)}

@@ -103,4 +103,5 @@ def test_dense_ranks_over_parts(spark):
 
 
 def test_no_changes(spark):
-    assert changes.numbered(spark.createDataFrame([], SCHEMA)).count() == 0
+    none = spark.createDataFrame([], SCHEMA)
+    assert changes.numbered(none).count() == 0 and changes.applied(none).count() == 0
