@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import logs as L
 from lodestone.plans.base import LOG_LINES_SQL, query
-from lodestone.scratch import new_path
+from lodestone.scratch import keep, new_path
 from lodestone.sources import files
 
 c = F.col
@@ -190,14 +190,13 @@ def _tasks(t):
 
 @query("jn_task_lines", f"{W}, {_TASKS} SELECT l.file, kw, line_no FROM log_lines l JOIN tasks t ON l.file = t.file AND contains(lower(line), kw)")
 def _(t):
-    met = t.log_lines().join(_tasks(t), "file")
-    return met.where(F.contains(F.lower("line"), c("kw"))).select("file", "kw", "line_no")
+    return L.keyword_hits(t.log_lines(), _tasks(t)).select("file", "kw", "line_no")
 
 
 @query("flow_scan", f"{W}, {_TIMED}, {_TASKS}, hits AS (SELECT l.file, kw, line_no, {_PARTS} FROM timed l JOIN tasks t ON l.file = t.file AND contains(lower(line), kw) AND {_IS_ENTRY}), {_FOLD.format(k='file, kw')} SELECT file, kw, run::BIGINT AS run, {_EVENT} FROM runs GROUP BY file, kw, run")
 def _(t):
     # One scan for all keywords; the message is dropped before anything is grouped.
-    met = L.in_time(t.log_lines(), "8:15", "17:45").join(_tasks(t), "file").where(F.contains(F.lower("line"), c("kw")))
+    met = keep(L.keyword_hits(L.in_time(t.log_lines(), "8:15", "17:45"), _tasks(t)), "hits")
     return L.folded(L.entries(met, "file", "kw", "line_no"), ["file", "kw"], "line_no").select("file", "kw", "run", "event")
 
 
@@ -252,13 +251,13 @@ def _(t):
     return first.select("kw", F.row_number().over(Window.orderBy("pos")).alias("n"))
 
 
-@query("src_log_read", f"{W} SELECT component, count(*) AS lines, count(*) FILTER ({_TS} IS NOT NULL) AS stamped FROM log_lines WHERE line <> '' GROUP BY component")
+@query("src_log_read", f"{W} SELECT component, file, line_no, line FROM log_lines")
 def _(t):
-    # Written as text in one folder for each component and read from there, whatever a file's bytes.
+    # Written as one text file for each log and read in ranges of bytes, with the lines' numbers.
     path = new_path(t.spark, "logs")
-    t.log_lines().select("component", "line").write.partitionBy("component").text(path)
-    lines = files.read_log_lines(t.spark, path)
-    return lines.groupBy("component").agg(F.count(F.lit(1)).alias("lines"), F.count(L.line_time(c("line"))).alias("stamped"))
+    t.log_lines().repartition("file").sortWithinPartitions("file", "line_no").select("component", "file", "line").write.partitionBy("component", "file").text(path)
+    named = lambda x: F.regexp_extract("path", f"{x}=([^/]+)/", 1).alias(x)
+    return files.read_numbered_lines(t.spark, path, 1 << 16).select(named("component"), named("file"), "line_no", "line")
 
 
 @query("src_loki_range", f"{W}, k AS (SELECT file, line_no, line, {_TS} AS tm FROM log_lines WHERE contains(lower(line), 'error')), n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY tm, line_no) AS k FROM k WHERE tm BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00') SELECT file, line_no, line FROM n WHERE k <= 2000")

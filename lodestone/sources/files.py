@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.sources.ranges import RANGE, TextRanges
+
 META = "id string, title string, type string, author string, summary string, tags array<string>, version int, last_updated string, url string"
 
 
@@ -45,6 +47,20 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", (F.col("pos") + 1).cast("long").alias("line_no"), "line").where("line <> ''")
 
 
+def read_numbered_lines(spark: SparkSession, path: str, size: int = RANGE, suffix: str = "") -> DataFrame:
+    """(path, line_no, line) of a file or of all files below a folder, in ranges of ``size`` bytes.
+
+    The lines of each range are counted first; the numbers of those in the ranges before are
+    joined to the lines, a row for each range.
+    """
+    spark.dataSource.register(TextRanges)
+    rows = spark.read.format("text_ranges").options(path=path, range=str(size), suffix=suffix).load()
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("path", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(starts, ["path", "start"]).select("path", (F.col("before") + F.col("pos") + 1).alias("line_no"), "line")
+
+
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(component, file, line) of logs in folders by component; tasks share large files, so lines have no number."""
     rows = spark.read.text(path).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1))
