@@ -154,17 +154,95 @@ RULES = [
     ("CC-BY-3.0", ("cc-by-3",), 0),
 ]
 
+# Names by which a licence is called, with or without the word licence after them.
+NAMES = {
+    "MIT": ["MIT", "MIT/X11", "Expat"], "ISC": ["ISC"], "0BSD": ["0BSD", "Zero-Clause BSD"], "BSD-2-Clause": ["BSD-2-Clause", "BSD 2-Clause", "2-Clause BSD", "Simplified BSD"],
+    "BSD-3-Clause": ["BSD-3-Clause", "BSD 3-Clause", "3-Clause BSD", "New BSD", "Modified BSD"], "Apache-2.0": ["Apache-2.0", "Apache 2.0", "Apache License 2.0", "Apache License, Version 2.0"],
+    "MPL-2.0": ["MPL-2.0", "MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0"], "EPL-2.0": ["EPL-2.0", "Eclipse Public License 2.0"], "BSL-1.0": ["BSL-1.0", "Boost Software License 1.0"],
+    "Zlib": ["zlib"], "Unlicense": ["Unlicense"], "CC0-1.0": ["CC0-1.0", "CC0 1.0"],
+    **{f"{g}GPL-{v}-{only}": [f"{g}GPL-{v}-{only}", *([f"{g}GPL-{v}+", f"{g}GPLv{v[0] if v.endswith('.0') else v}+", f"{g}GPL-{v} or later"] if only == "or-later" else [f"{g}GPL-{v}", f"{g}GPLv{v[0] if v.endswith('.0') else v}"])]
+       for g, versions in (("", ("2.0", "3.0")), ("L", ("2.1", "3.0")), ("A", ("3.0",))) for v in versions for only in ("only", "or-later")},
+}
+_THINGS = "project software library package program module work code source file repository product".split()
+_VERBS = ["Licensed under", "Released under", "Distributed under", "Available under", "Provided under", "Licensed under the terms of", "Released under the terms of", "Distributed under the terms of", "Available under the terms of"]
+
+
+def _called() -> dict[str, str]:
+    """Sentences that name a licence, made of verbs, things and names, by their normal form."""
+    out = {}
+    for licence, names in NAMES.items():
+        calls = [c for n in names for c in (n, *([f"{n} license", f"{n} licence"] if "license" not in n.lower() else []))]
+        verbs = [*_VERBS, *(f"This {x} is {v[0].lower()}{v[1:]}" for x in _THINGS for v in _VERBS)]
+        forms = [f"{start}{c}" for c in calls for start in ("License: ", "Licence: ", *(f"{v} {the}" for v in verbs for the in ("", "the ")))]
+        out |= {normalised(f): f"named-{licence}" for f in forms}
+    return out
+
+
 _END = re.compile(r"(?<=[.!?;])[ \t]+")
 _FIRST = re.compile(r"[^a-z0-9]*(?:(?:rem|dnl)\b[^a-z0-9]*)?([a-z0-9]+)", re.I)
 _OTHER = re.compile(r"[^a-z0-9]+")
+_PLUS = re.compile(r"(?<=[0-9])\+(?![a-z0-9+])")
 
 
 def normalised(sentence: str) -> str:
-    """Lower-cased runs of letters and digits, joined by single spaces."""
-    return _OTHER.sub(" ", sentence.lower()).strip()
+    """Lower-cased runs of letters and digits, joined by single spaces; a plus after a version is a word."""
+    return _OTHER.sub(" ", _PLUS.sub(" plus ", sentence.lower())).strip()
+
+
+#: The sentences in the table, and those that are made; where both say the same, the table holds.
+KNOWN = _called() | {normalised(s): name for name, forms in SENTENCES.items() for s in forms}
+#: The rules in their order, and those of the sentences that are made.
+ALL_RULES = [*RULES, *((name, (f"named-{name}",), 0) for name in NAMES)]
+
+# ---- expressions of licence identifiers
+_SPDX_LINE = re.compile(r"(?i)^[^a-z0-9]*(?:(?:rem|dnl)\b[^a-z0-9]*)?(?:spdx-license-identifier|licen[sc]e)\s*:\s*(.*)$")
+_TOKEN = re.compile(r"[()]|[^\s()]+")
+_TAIL = re.compile(r"[\s*/#<>!;,.\-]+$")
+#: Identifiers by their lower-case form. The names without "only" or "or later" are the former ones of version numbers alone.
+SPDX = {n.lower(): n for n in [*NAMES, *(r[0] for r in RULES if r[0] != "BSD")]}
+SPDX |= {n[:-5].lower(): n for n in NAMES if n.endswith("-only")} | {f"{n[:-9]}+".lower(): n for n in NAMES if n.endswith("-or-later")}
+
+
+def expression(text: str) -> list[str] | None:
+    """The licences of an expression with OR, AND, WITH and brackets, in order; null if the text is none.
+
+    Identifiers that aren't known give no licence. An exception stays with its licence; a plus
+    means that version or a later one.
+    """
+    tokens, depth, out, operand = _TOKEN.findall(_TAIL.sub("", text.strip())), 0, [], True
+    at = 0
+    while at < len(tokens):
+        token = tokens[at]
+        if token in "()":
+            depth += 1 if token == "(" else -1
+            if depth < 0 or operand != (token == "("):
+                return None
+        elif operand:
+            if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.\-]*\+?", token) or token.upper() in ("OR", "AND", "WITH"):
+                return None
+            known = SPDX.get(token.lower()) or (f"{SPDX[token[:-1].lower()]}+" if token.endswith("+") and token[:-1].lower() in SPDX else None)
+            if at + 2 < len(tokens) and tokens[at + 1].upper() == "WITH":
+                known = known and f"{known} WITH {tokens[at + 2]}"
+                at += 2
+            out += [known] if known else []
+            operand = False
+        elif token in ("OR", "AND", "or", "and"):
+            operand = True
+        else:
+            return None
+        at += 1
+    return None if operand or depth else out
+
+
+def _expressed(piece: str) -> list[str]:
+    """The licences that a piece of text names as an expression: after a label, or alone with an operator in it."""
+    labelled = _SPDX_LINE.match(piece)
+    first = _FIRST.match(piece)
+    bare = piece[first.start(1) :] if first else ""
+    body = labelled[1] if labelled else bare if " OR " in bare or " AND " in bare or " WITH " in bare else ""
+    return (expression(body) or []) if body else []
 
 
-KNOWN = {normalised(s): name for name, forms in SENTENCES.items() for s in forms}
 #: What known sentences begin with: their first words, and all runs of words from the first.
 _BEGINS = {k.split()[0] for k in KNOWN}
 _PREFIXES = {" ".join(k.split()[:n]) for k in KNOWN for n in range(1, len(k.split()))}
@@ -212,14 +290,21 @@ def recognised(text: str | None) -> list[tuple[int, int, str]]:
                     break
         if best:
             found.append((given[at][1], given[end][1], best))
+        elif given[at][3]:
+            found += [(given[at][1], given[at][1], f"spdx-{x}") for x in _expressed(given[at][0])]
         at = end + 1
     return found
 
 
-def licences(text: str | None, rules=RULES) -> list[tuple[str, int, int, list[str]]]:
+def licences(text: str | None, rules=ALL_RULES) -> list[tuple[str, int, int, list[str]]]:
     """(licence, first sentence, last sentence, identifiers) of the rules that match, in the order of the text."""
     found, out, at = recognised(text), [], 0
     while at < len(found):
+        if found[at][2].startswith("spdx-"):  # an identifier names its licence
+            first, last, x = found[at]
+            out.append((x.removeprefix("spdx-"), first, last, [x]))
+            at += 1
+            continue
         for name, wanted, gap in rules:
             part = found[at : at + len(wanted)]
             if tuple(x for _, _, x in part) == wanted and all(b[0] - a[1] <= gap + 1 for a, b in zip(part, part[1:])):

@@ -19,6 +19,7 @@ import html
 import itertools
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,28 +73,93 @@ def charset_of(content_type: str, payload: bytes) -> str:
 
 
 def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
-    """The headers and the payload of an HTTP response; without a status line all is payload."""
+    """The headers and the payload of an HTTP response; without a status line all is payload.
+
+    The values of a field that repeats are parted by line ends, in order. A field's value that
+    goes on over lines is put together.
+    """
     if not block.startswith(b"HTTP/"):
         return {}, block
     head, _, payload = block.partition(b"\r\n\r\n")
-    status, *lines = head.decode("latin-1").split("\r\n")
-    pairs = (line.partition(":") for line in lines if ":" in line)
-    return {":status": status} | {k.strip().lower(): v.strip() for k, _, v in pairs}, payload
+    status, *lines = re.sub(r"\r\n[ \t]+", " ", head.decode("latin-1")).split("\r\n")
+    fields: dict[str, list[str]] = {":status": [status]}
+    for k, colon, v in (line.partition(":") for line in lines):
+        if colon:
+            fields.setdefault(k.strip().lower(), []).append(v.strip())
+    return {k: "\n".join(v) for k, v in fields.items()}, payload
+
+
+def unchunked(payload: bytes) -> bytes:
+    """What a chunked transfer holds; from a chunk on that can't be read all is taken as it is."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r\n").match(payload, at):
+        size = int(m[1], 16)
+        out.append(payload[m.end() : m.end() + size])
+        at = m.end() + size + 2
+        if not size:
+            return b"".join(out)
+    return b"".join([*out, payload[at:]])
+
+
+def _inflated(data: bytes, *windows: int) -> bytes | None:
+    """Compressed data, whole or as far as it goes; null if it is none of the formats."""
+    for bits in windows:
+        machine, out, rest = zlib.decompressobj(bits), [], data
+        try:
+            while rest:
+                out.append(machine.decompress(rest))
+                rest = machine.unused_data if machine.eof and bits == 31 else b""
+                machine = zlib.decompressobj(bits) if rest else machine
+            return b"".join(out)
+        except zlib.error:
+            if any(out):
+                return b"".join(out)
+    return None
+
+
+def content_of(http: dict[str, str], payload: bytes) -> tuple[bytes, list[str]]:
+    """The payload without its transfer and content codings, and the codings that were left on.
+
+    Chunked, gzip and deflate are undone, the last applied first; where archives have undone a
+    coding already and only its name was kept, the payload is as it is.
+    """
+    codings = [[x for v in http.get(k, "").lower().split("\n") for y in v.split(",") if (x := y.strip())] for k in ("content-encoding", "transfer-encoding")]
+    left = []
+    for coding in reversed([*codings[0], *codings[1]]):
+        if left:
+            left.append(coding)
+        elif coding == "chunked":
+            payload = unchunked(payload)
+        elif coding in ("gzip", "x-gzip"):
+            payload = (_inflated(payload, 31) if payload.startswith(b"\x1f\x8b") else None) or payload
+        elif coding == "deflate":
+            payload = _inflated(payload, 15, -15) or payload
+        elif coding != "identity":
+            left.append(coding)
+    return payload, left
 
 
 def derived(response: dict) -> list[dict]:
-    """The conversion and the metadata record of a response."""
+    """The conversion and the metadata record of a response.
+
+    The text is that of the payload without its codings; a payload under another coding than
+    chunked, gzip, deflate and identity gives an empty text, and the metadata name the coding.
+    The digests in a record's own fields are those of its own block and payload; those that the
+    response carries, and those worked out here, are among the source's fields.
+    """
     block = response.get("block") or b""
     http, payload = http_parts(block)
-    page = payload.decode(charset_of(http.get("content-type", ""), payload), "replace")
-    source = {f"X-Source-{k}": v for k, v in dict(response.get("headers") or ()).items()} | {f"X-Source-HTTP-{k.lstrip(':')}": v for k, v in http.items()}
-    shared = {"refers_to": response["record_id"], "target_uri": response.get("target_uri"), "date": response.get("date"), "payload_digest": digest(payload)}
-    fields = [*page_metadata(page), *((k.removeprefix("X-").lower(), x) for k, v in sorted(source.items()) for x in v.split("\n")), ("source-block-digest", response.get("block_digest") or digest(block))]
+    content, left = content_of(http, payload)
+    page = "" if left else content.decode(charset_of(http.get("content-type", ""), content), "replace")
+    given = {"Block-Digest": response.get("block_digest"), "Payload-Digest": response.get("payload_digest"), "Block-SHA1": digest(block), "Payload-SHA1": digest(payload), "Content-SHA1": digest(content) if content != payload else None, "Coding": ", ".join(left) or None}
+    source = {f"X-Source-{k}": v for k, v in dict(response.get("headers") or ()).items()} | {f"X-Source-{k}": v for k, v in given.items() if v is not None} | {f"X-Source-HTTP-{k.lstrip(':')}": v for k, v in http.items()}
+    shared = {"refers_to": response["record_id"], "target_uri": response.get("target_uri"), "date": response.get("date")}
+    fields = [*page_metadata(page), *((k.removeprefix("X-").lower(), x) for k, v in sorted(source.items()) for x in v.split("\n"))]
     blocks = {"conversion": ("text/plain; charset=utf-8", plain_text(page)), "metadata": ("application/warc-fields", "".join(f"{k}: {_BLANKS.sub(' ', v.replace(chr(10), ' '))}\r\n" for k, v in fields))}
     out = []
     for kind, (content_type, text) in blocks.items():
         data = text.encode("utf-8", "replace")
-        out.append({"warc_type": kind, "record_id": record_id(kind, response["record_id"]), "content_type": content_type, "block": data, "block_digest": digest(data), "headers": source} | shared)
+        out.append({"warc_type": kind, "record_id": record_id(kind, response["record_id"]), "content_type": content_type, "block": data, "block_digest": digest(data), "payload_digest": digest(data), "headers": source} | shared)
     return out
 
 

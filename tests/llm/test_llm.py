@@ -102,6 +102,20 @@ def test_licences(spark):
     assert license_scan.scan(docs_of(spark, ODD)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("line", "found"),
+    [
+        ("SPDX-License-Identifier: GPL-2.0+", ["GPL-2.0-or-later"]), ("SPDX-License-Identifier: GPL-2.0", ["GPL-2.0-only"]), ("Apache-2.0 OR MIT", ["Apache-2.0", "MIT"]), ("License: MIT", ["MIT"]), ("Licensed under MIT.", ["MIT"]),
+        ("This library is licensed under the MIT license.", ["MIT"]), ("Distributed under the terms of the BSD 3-Clause License.", ["BSD-3-Clause"]), ("Licensed under LGPL-2.1+", ["LGPL-2.1-or-later"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR Apache-2.0) AND ISC */", ["GPL-2.0-only WITH Classpath-exception-2.0", "Apache-2.0", "ISC"]),
+        ("# SPDX-License-Identifier: MIT OR LicenseRef-own", ["MIT"]), ("SPDX-License-Identifier: (ISC AND MIT", []), ("SPDX-License-Identifier: MIT OR", []), ("SPDX-License-Identifier: MPL-2.0+", ["MPL-2.0+"]),
+        ("You may choose A OR B.", []), ("MIT AND other words follow here", []), ("We use C++ and GPL-2.0+ code", []), ("License: none", []), ("The licence is free", []),
+    ],
+)
+def test_licence_expressions(line, found):
+    assert [m[0] for m in license_scan.licences(f"int x;\n\n{line}\n\nOther words.")] == found
+
+
 @pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", ";; ", "REM "])
 @pytest.mark.parametrize("width", [40, 72, 10_000])
 def test_wrapped_licences(mark, width):
@@ -201,7 +215,8 @@ def test_warc(spark, tmp_path):
     fields = bytes(first["metadata"].block).decode()
     assert "title: T & t" in fields and "outlink: /l?a=1&b" in fields and "source-http-content-type: text/html" in fields
     for r in first.values():
-        assert r.refers_to == source.record_id and r.payload_digest == source.payload_digest == warc.digest(page.encode())
+        assert r.refers_to == source.record_id and r.headers["X-Source-Payload-Digest"] == source.payload_digest == warc.digest(page.encode())
+        assert r.headers["X-Source-Block-Digest"] == source.block_digest and r.payload_digest == r.block_digest
         assert r.block_digest == warc.digest(bytes(r.block))
     warc.write_warc(made.repartition(2), str(tmp_path / "made"))
     again = warc.read_warc(spark, str(tmp_path / "made"))
@@ -236,6 +251,40 @@ def test_foreign_warc(spark, tmp_path):
     assert {(r.record_id, bytes(r.block)) for r in warc.read_warc(spark, str(tmp_path / "out")).collect()} == {(r.record_id, bytes(r.block)) for r in got.values()}
 
 
+def test_nothing_of_a_response_is_lost(spark):
+    """Repeated and folded fields, the response's own digests, chunks, gzip in several members, both kinds of deflate, unknown codings, broken ones."""
+    import gzip
+    import zlib
+
+    page = "<p>héllo wörld</p>" * 20
+    data = page.encode()
+    raw = zlib.compressobj(wbits=-15)
+    deflated = raw.compress(data) + raw.flush()
+    chunked = lambda b, n: b"".join(b"%x;x=y\r\n" % len(b[i : i + n]) + b[i : i + n] + b"\r\n" for i in range(0, len(b), n)) + b"0\r\n\r\n"
+    cases = {
+        "plain": ("", data, page), "gzip": ("Content-Encoding: gzip", gzip.compress(data[:50]) + gzip.compress(data[50:]), page), "x-gzip": ("content-encoding: X-GZIP", gzip.compress(data), page),
+        "zlib": ("Content-Encoding: deflate", zlib.compress(data), page), "deflate": ("Content-Encoding: deflate", deflated, page), "chunked": ("Transfer-Encoding: chunked", chunked(data, 7), page),
+        "both": ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunked(gzip.compress(data), 11), page), "undone": ("Content-Encoding: gzip", data, page), "not chunked": ("Transfer-Encoding: chunked", data, page),
+        "cut": ("Content-Encoding: gzip", gzip.compress(data)[:-4], page), "twice": ("Content-Encoding: deflate, gzip", gzip.compress(zlib.compress(data)), page), "other": ("Content-Encoding: br", b"\x8b\x02", ""),
+    }
+    rows = []
+    for name, (field, payload, _) in cases.items():
+        head = "HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nX-Long: one\r\n\ttwo\r\nContent-Type: text/html; charset=utf-8" + (f"\r\n{field}" if field else "")
+        rows.append(("response", f"<urn:{name}>", None, "http://a", "d", "application/http", "sha256:ABC", "sha256:DEF", {"WARC-IP-Address": "192.0.2.1"}, head.encode() + b"\r\n\r\n" + payload))
+    got = {(r.warc_type, r.refers_to[5:-1]): r for r in warc.derivatives(spark.createDataFrame(rows, warc.RECORD), None).collect()}
+    assert len(got) == 2 * len(cases)
+    for name, (_, payload, text) in cases.items():
+        for kind in ("conversion", "metadata"):
+            r = got[kind, name]
+            assert r.headers["X-Source-HTTP-set-cookie"] == "a=1\nb=2" and r.headers["X-Source-HTTP-x-long"] == "one two"
+            assert r.headers["X-Source-Payload-Digest"] == "sha256:ABC" and r.headers["X-Source-Block-Digest"] == "sha256:DEF" and r.headers["X-Source-Payload-SHA1"] == warc.digest(payload)
+            assert r.payload_digest == r.block_digest == warc.digest(bytes(r.block)) and r.headers["X-Source-WARC-IP-Address"] == "192.0.2.1"
+        assert bytes(got["conversion", name].block).decode() == warc.plain_text(text), name
+        fields = bytes(got["metadata", name].block).decode()
+        assert "source-http-set-cookie: a=1\r\n" in fields and "source-http-set-cookie: b=2\r\n" in fields and "source-payload-digest: sha256:ABC" in fields
+    assert got["conversion", "other"].headers["X-Source-Coding"] == "br" and "X-Source-Coding" not in got["conversion", "both"].headers
+
+
 def test_derivatives_by_brute_force(spark):
     """Text and links of stored pages, by a parser of its own."""
     from html.parser import HTMLParser
