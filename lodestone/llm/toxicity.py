@@ -5,8 +5,9 @@ clause ends. Five small transducers read the symbols of a clause and weigh what
 an insult counts more near a target, less in the scope of a negation or in reported speech;
 a threat counts when a target follows it. They are composed once into a single machine, which
 scores whole matched clauses. The lexicon of insults has fixed common words and stems learned
-from labelled texts (a stem is itself a two-state machine: its letters, then any ending). The
-clause weights of a text are turned into a probability by a logistic fit.
+from labelled texts (a stem is itself a two-state machine: its letters, then any ending): likelier
+in the toxic texts of both halves of the sample, with several words that begin so, none of them
+a word of the lexicon. The clause weights of a text are turned into a probability by a logistic fit.
 
 The fit and the stems come from a bounded sample of labelled rows (``MOST_LABELLED``), taken
 by hash; equal texts with equal labels count once in it. All texts are scored whole.
@@ -30,8 +31,12 @@ from lodestone.scratch import keep
 #: Labelled training rows used for the stems and the fit, at most; by the order of a hash of the id.
 MOST_LABELLED = 20_000
 THRESHOLD = 0.3
-#: Lengths of the stems tried, besides whole words.
-STEM = range(3, 9)
+#: Lengths of the stems tried, besides whole words: shorter ones begin ordinary words too.
+STEM = range(4, 9)
+#: A stem stands for words that begin so only if toxic texts have so many different ones.
+FORMS = 3
+#: How much likelier (as a logarithm) a stem must be in toxic texts of each half of the sample, so that chance in one doesn't count.
+LEAST_IN_HALF = 1.0
 #: A stem is used if it is this many times likelier (as a logarithm) in toxic texts.
 LEAST_LOG_ODDS = 2.5
 #: The log odds that count as a full insult; weaker stems count in proportion.
@@ -50,6 +55,7 @@ NEGATIONS = "not no never neither nor isn't aren't wasn't don't nicht kein keine
 REPORTS = "said says say told wrote called quoted claimed reported sagte schrieb behauptete dit écrit déclaré dijo escribió llamó".split()
 
 _TOKENS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]+")
+_APOSTROPHES = str.maketrans("\u2019\u02bc\u2018", "'''")
 
 
 @dataclass
@@ -140,9 +146,14 @@ class _Symbols(dict):
         return out
 
 
+def tokens(text: str | None) -> list[str]:
+    """Lower-cased words and clause ends; apostrophes of all kinds are one."""
+    return _TOKENS.findall((text or "").lower().translate(_APOSTROPHES))
+
+
 def clause_weights(text: str | None, symbols: _Symbols, machine: list[list[tuple[int, float]]]) -> list[float]:
     """The weights of the clauses of a text that the grammar matches."""
-    words = _TOKENS.findall((text or "").lower())
+    words = tokens(text)
     found = [symbols[w] for w in words]
     if INSULT not in found and THREAT not in found:
         return []
@@ -157,8 +168,8 @@ def clause_weights(text: str | None, symbols: _Symbols, machine: list[list[tuple
 
 
 def features(text: str) -> set[str]:
-    """The stems and whole words of a text."""
-    words = {w for w in _TOKENS.findall(text.lower()) if w[0] not in ".!?;\n"}
+    """The stems and whole words of a text, without the words that the lexicon has: their beginnings say nothing."""
+    words = {w for w in tokens(text) if w[0] not in ".!?;\n" and w not in _FIXED}
     return {w + "$" for w in words} | {w[:n] for w in words for n in STEM if n <= len(w)}
 
 
@@ -236,9 +247,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model()
     least = max(3, positive // 300)
     toxic, clean = sample.where("y = 1"), sample.where("y = 0")
+    log_odds = lambda n, m, p, q: math.log((n + 0.5) / (p + 1)) - math.log((m + 0.5) / (q + 1))
     seen = {r.feature: r.n for r in _counted(toxic, None).where(F.col("n") >= least).collect()}
     against = {r.feature: r.n for r in _counted(clean, set(seen)).collect()}
-    odds = {f: o for f, n in seen.items() if (o := math.log((n + 0.5) / (positive + 1)) - math.log((against.get(f, 0) + 0.5) / (negative + 1))) >= LEAST_LOG_ODDS}
+    odds = {f: o for f, n in seen.items() if (o := log_odds(n, against.get(f, 0), positive, negative)) >= LEAST_LOG_ODDS}
+    for half in (0, 1):
+        part = F.pmod(F.xxhash64("text"), F.lit(2)) == half
+        in_toxic, in_clean = ({r.feature: r.n for r in _counted(x.where(part), set(odds)).collect()} for x in (toxic, clean))
+        p, q = toxic.where(part).count(), clean.where(part).count()
+        odds = {f: o for f, o in odds.items() if in_toxic.get(f, 0) and log_odds(in_toxic[f], in_clean.get(f, 0), p, q) >= LEAST_IN_HALF}
+    forms: dict[str, int] = defaultdict(int)
+    for f in seen:
+        if f.endswith("$"):
+            for n in STEM:
+                forms[f[:n]] += n < len(f)
+    odds = {f: o for f, o in odds.items() if f.endswith("$") or forms[f] >= FORMS}
     strong = set(odds)
     sent = docs.sparkSession.sparkContext.broadcast(strong)
 

@@ -564,6 +564,26 @@ def test_toxicity_held_out(spark):
     assert toxicity.train(docs, marked.where("false")) == toxicity.Model()
 
 
+def test_stems_leave_ordinary_words_alone(spark):
+    """Toxic texts hold words of the lexicon and words of one stem; neither the beginnings of the former nor chance words are learned."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("aeioulmnrst"), 6))
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = [word() for _ in range(30)] + ([["trash", "pathetic", "disgusting"][i % 3], "zorkel" + word()[:3]] if bad else [])
+        rows.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, int(bad)))
+    model = toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.stems and all("zorkel".startswith(s.rstrip("$")[:6]) or s.startswith("zorkel") for s in model.stems)
+    assert all(len(s.rstrip("$")) >= 4 for s in model.stems)
+    symbols, machine = toxicity._Symbols(model), toxicity.grammar()
+    for text in ("Please close the door.", "We travel in May.", "the path", "distance traffic disc trap pathway", "a zork"):
+        assert toxicity.clause_weights(text, symbols, machine) == []
+    weights = [sum(toxicity.clause_weights(f"you aren{x}t an idiot", symbols, machine)) for x in ("'", "\u2019", "\u02bc")]
+    assert weights[0] == weights[1] == weights[2] < sum(toxicity.clause_weights("you are an idiot", symbols, machine))
+
+
 # ---- 9
 def test_rotation(spark):
     turns = spark.createDataFrame([(1, 0, "system", "be"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "x"), (1, 300, "ann", "x"), (2, 0, "system", "alone"), (None, 5, None, "lost")], "conv_id long, turn long, role string, text string")
