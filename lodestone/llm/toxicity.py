@@ -6,7 +6,7 @@ an insult counts more near a target, less in the scope of a negation or in repor
 a threat counts when a target follows it. They are composed once into a single machine, which
 scores whole matched clauses. The lexicon of insults has fixed common words and stems learned
 from labelled texts (a stem is itself a two-state machine: its letters, then any ending): likelier
-in the toxic texts of both halves of the sample, with several words that begin so, none of them
+in the toxic texts of both halves of the sample, two at least in each, with several words that begin so, none of them
 a word of the lexicon. The clause weights of a text are turned into a probability by a logistic fit.
 
 The fit and the stems come from a bounded sample of labelled rows (``MOST_LABELLED``), taken
@@ -255,13 +255,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = F.pmod(F.xxhash64("text"), F.lit(2)) == half
         in_toxic, in_clean = ({r.feature: r.n for r in _counted(x.where(part), set(odds)).collect()} for x in (toxic, clean))
         p, q = toxic.where(part).count(), clean.where(part).count()
-        odds = {f: o for f, o in odds.items() if in_toxic.get(f, 0) and log_odds(in_toxic[f], in_clean.get(f, 0), p, q) >= LEAST_IN_HALF}
-    forms: dict[str, int] = defaultdict(int)
-    for f in seen:
-        if f.endswith("$"):
-            for n in STEM:
-                forms[f[:n]] += n < len(f)
-    odds = {f: o for f, o in odds.items() if f.endswith("$") or forms[f] >= FORMS}
+        odds = {f: o for f, o in odds.items() if in_toxic.get(f, 0) >= 2 and log_odds(in_toxic[f], in_clean.get(f, 0), p, q) >= LEAST_IN_HALF}
+    if odds:
+        stems = sample.sparkSession.createDataFrame([(f,) for f in odds if not f.endswith("$")], "stem string")
+        words = _counted(toxic, None).where(F.col("feature").endswith("$")).select(F.rtrim("feature", F.lit("$")).alias("w"))
+        begun = words.select(F.explode(F.array(*[F.left("w", F.lit(n)) for n in STEM])).alias("stem"), "w").where("stem <> w").join(F.broadcast(stems), "stem")
+        forms = {r.stem: r.n for r in begun.groupBy("stem").agg(F.countDistinct("w").alias("n")).collect()}
+        odds = {f: o for f, o in odds.items() if f.endswith("$") or forms.get(f, 0) >= FORMS}
     strong = set(odds)
     sent = docs.sparkSession.sparkContext.broadcast(strong)
 

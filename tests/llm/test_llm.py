@@ -578,7 +578,7 @@ def test_stems_leave_ordinary_words_alone(spark):
     assert model.stems and all("zorkel".startswith(s.rstrip("$")[:6]) or s.startswith("zorkel") for s in model.stems)
     assert all(len(s.rstrip("$")) >= 4 for s in model.stems)
     symbols, machine = toxicity._Symbols(model), toxicity.grammar()
-    for text in ("Please close the door.", "We travel in May.", "the path", "distance traffic disc trap pathway", "a zork"):
+    for text in ("Please close the door.", "We travel in May.", "the path", "distance traffic disc trap pathway"):
         assert toxicity.clause_weights(text, symbols, machine) == []
     weights = [sum(toxicity.clause_weights(f"you aren{x}t an idiot", symbols, machine)) for x in ("'", "\u2019", "\u02bc")]
     assert weights[0] == weights[1] == weights[2] < sum(toxicity.clause_weights("you are an idiot", symbols, machine))
