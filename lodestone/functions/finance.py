@@ -133,3 +133,13 @@ def settlement_state(isin: Column, amount: Column) -> dict[str, Column]:
         "utilisation": F.when(short, need / (d(AVAILABLE_CASH) + need) * d(100)),
         "fee": F.when(valid & ~short, amount * d(FEE_RATE)),
     }
+
+
+def open_price(close: Column, change: Column) -> Column:
+    return close - change
+
+
+def daily_return(close: Column, change: Column) -> Column:
+    """The close against the price that the day's change gives for its beginning."""
+    start = open_price(close, change)
+    return (close - start) / start

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions import text as X
 from lodestone.scratch import new_path
 
 c = F.col
@@ -84,6 +85,59 @@ def resolved(asked: DataFrame, store: DataFrame) -> DataFrame:
     return met.select("doc_id", F.coalesce("by_name", "by_link").alias("found"))
 
 
+def feedback_target(asked: DataFrame, store: DataFrame) -> DataFrame:
+    """``asked`` with ``found``: the document whose id the ``target`` is, else that of the page id in it, else that of its address.
+
+    Three joins by equality. Addresses are the same with and without a last slash; of several
+    documents at one the least id is taken.
+    """
+    text = F.btrim(F.coalesce(c("target"), F.lit("")))
+    by = asked.withColumns({"__text": text, "__page": F.nullif(X.link_page_id(text), F.lit("")), "__url": F.when(text.rlike("(?i)^https?://"), F.regexp_replace(text, "/$", ""))})
+    ids = store.select("id").where("id <> ''").distinct()
+    urls = store.select(F.regexp_replace(F.btrim("url"), "/$", "").alias("__url"), "id").where("__url <> ''").groupBy("__url").agg(F.min("id").alias("__by_url"))
+    met = by.join(ids.select(c("id").alias("__by_id")), c("__text") == c("__by_id"), "left").join(ids.select(c("id").alias("__by_page")), c("__page") == c("__by_page"), "left").join(urls, "__url", "left")
+    return met.select(*asked.columns, F.coalesce("__by_id", "__by_page", "__by_url").alias("found"))
+
+
+def asked_of(feedback: DataFrame) -> DataFrame:
+    """(kind, target, query, last_asked) of feedback rows (page_id, issue_id, link, secondary, query, at).
+
+    The primary target of a row is its page, else its issue, else its link; each secondary one
+    only gets the question. Rows without question or target name nothing.
+    """
+    trimmed = lambda x: F.nullif(F.btrim(F.coalesce(x, F.lit(""))), F.lit(""))
+    first = F.coalesce(*[trimmed(c(n)) for n in ("page_id", "issue_id", "link")])
+    kinds = F.array(F.struct(F.lit("primary").alias("kind"), F.array(first).alias("targets")), F.struct(F.lit("secondary").alias("kind"), F.transform(F.coalesce("secondary", F.array().cast("array<string>")), lambda x: trimmed(x)).alias("targets")))
+    each = feedback.select("query", "at", F.inline(kinds)).select("kind", F.explode("targets").alias("target"), trimmed(c("query")).alias("query"), "at")
+    return each.where("target IS NOT NULL AND query IS NOT NULL").groupBy("kind", "target", "query").agg(F.max("at").alias("last_asked"))
+
+
+def modernised(raw: DataFrame) -> DataFrame:
+    """Stored metadata (doc_id, metadata as JSON) of any age in the shape of today.
+
+    Questions that refer to a document are a map of their times; they were a list, or one text
+    parted by commas. Keywords are an object or nothing; tags and related pages are lists or
+    empty; what is no text is the empty one. Metadata that are no object are as good as empty.
+    """
+    v = F.try_parse_json("metadata")
+    at = lambda path, kind: F.try_variant_get(v, f"$.{path}", kind)
+    kind_of = lambda path: F.coalesce(F.schema_of_variant(at(path, "variant")), F.lit(""))
+    none = F.array().cast("array<string>")
+    text = lambda name: F.when(kind_of(name) == "STRING", at(name, "string")).otherwise("")
+    strings = lambda name: F.when(kind_of(name).startswith("ARRAY"), F.coalesce(at(name, "array<string>"), none)).otherwise(none)
+    full = lambda xs: F.filter(F.array_distinct(F.transform(xs, lambda x: F.btrim(F.coalesce(x, F.lit("")), F.lit(" \t\r\n")))), lambda x: x != "")
+    q = "referencedQueries"
+    listed = F.when(kind_of(q).startswith("ARRAY"), full(at(q, "array<string>"))).when(kind_of(q) == "STRING", full(F.split(at(q, "string"), ",")))
+    times = lambda x: F.filter(F.coalesce(F.try_variant_get(x, "$", "array<string>"), none), lambda s: s.isNotNull() & (s != ""))
+    given = F.transform(F.map_entries(at(q, "map<string,variant>")), lambda e: F.struct(F.btrim(e["key"]).alias("key"), times(e["value"]).alias("value")))
+    named = F.filter(given, lambda e: e["key"] != "")
+    mapped = F.when(kind_of(q).startswith("OBJECT"), F.map_from_entries(named)).when(listed.isNotNull(), F.map_from_arrays(listed, F.transform(listed, lambda x: none))).otherwise(F.create_map().cast("map<string,array<string>>"))
+    return raw.select(
+        F.coalesce(at("id", "string"), c("doc_id").cast("string")).alias("id"), F.when(kind_of("keywords").startswith("OBJECT"), F.to_json(at("keywords", "variant"))).alias("keywords"), strings("tags").alias("tags"), mapped.alias("referenced"),
+        text("summary").alias("summary"), text("feedback").alias("feedback"), text("knowledgeGraph").alias("knowledge_graph"), strings("relatedPages").alias("related"),
+    )
+
+
 def checked(store: DataFrame, ids: DataFrame) -> DataFrame:
     """(mode, id, part): what each of the five modes of a document check says of the documents asked for.
 

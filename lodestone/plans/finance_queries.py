@@ -214,11 +214,13 @@ def _(t):
     return _settlements(t).where(c("isin").rlike(N.ISIN) & (c("amount") > 0)).select("o_orderkey")
 
 
-@query("agg_settle_batch", f"WITH s AS ({_SETTLE}), n AS (SELECT *, regexp_full_match(isin, '[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]') AS ok FROM s) SELECT day, count(*) AS n, round(sum(amount), 4) AS total, count(*) FILTER (ok) AS n_valid, count(*) FILTER (NOT ok) AS n_invalid, round(count(*) FILTER (NOT ok) * 100.0::DOUBLE / nullif(count(*), 0), 4) AS rejection_pct, round(sum(amount) FILTER (ok AND ccy = 'USD'), 4) AS usd, round(sum(amount * 0.71::DOUBLE) FILTER (ok AND ccy = 'CAD'), 6) AS cad, round(sum(amount * 0.59::DOUBLE) FILTER (ok AND ccy = 'AUD'), 6) AS aud, round(sum(amount) FILTER (ok) * 0.0001::DOUBLE, 8) AS fee FROM n GROUP BY day")
+@query("agg_settle_batch", f"WITH s AS ({_SETTLE}), n AS (SELECT *, regexp_full_match(isin, '[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]') AS ok FROM s) SELECT day, count(*) AS n, round(sum(amount), 4) AS total, count(*) FILTER (ok) AS n_valid, count(*) FILTER (NOT ok) AS n_invalid, round(count(*) FILTER (NOT ok) * 100.0::DOUBLE / nullif(count(*), 0), 4) AS rejection_pct, round(sum(amount) FILTER (ok AND ccy = 'USD'), 4) AS usd, round(sum(amount * 0.71::DOUBLE) FILTER (ok AND ccy = 'CAD'), 6) AS cad, round(sum(amount * 0.59::DOUBLE) FILTER (ok AND ccy = 'AUD'), 6) AS aud, round(sum(amount) FILTER (ok) * 0.0001::DOUBLE, 8) AS fee, NULL::BIGINT AS rejected FROM n GROUP BY day UNION ALL SELECT day, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, o_orderkey FROM n WHERE NOT ok")
 def _(t):
     s = _settlements(t).withColumn("ok", c("isin").rlike(N.ISIN))
     cash = lambda name, rate: F.round(F.sum(F.when(c("ok") & (c("ccy") == name), c("amount") * d(rate))), 4 if rate == 1 else 6)
-    return s.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 4).alias("total"), F.count_if("ok").alias("n_valid"), F.count_if(~c("ok")).alias("n_invalid"), F.round(F.count_if(~c("ok")) * d(100) / F.count(F.lit(1)), 4).alias("rejection_pct"), cash("USD", 1.0).alias("usd"), cash("CAD", 0.71).alias("cad"), cash("AUD", 0.59).alias("aud"), F.round(F.sum(F.when(c("ok"), c("amount"))) * d(N.FEE_RATE), 8).alias("fee"))
+    totals = s.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 4).alias("total"), F.count_if("ok").alias("n_valid"), F.count_if(~c("ok")).alias("n_invalid"), F.round(F.count_if(~c("ok")) * d(100) / F.count(F.lit(1)), 4).alias("rejection_pct"), cash("USD", 1.0).alias("usd"), cash("CAD", 0.71).alias("cad"), cash("AUD", 0.59).alias("aud"), F.round(F.sum(F.when(c("ok"), c("amount"))) * d(N.FEE_RATE), 8).alias("fee"))
+    # The ids that were rejected are rows of their own: a day may have any number of them.
+    return totals.withColumn("rejected", F.lit(None).cast("long")).unionByName(s.where(~c("ok")).select("day", c("o_orderkey").alias("rejected")), allowMissingColumns=True)
 
 
 @query("fin_journal_balance", "SELECT l_orderkey, l_linenumber, round(l_extendedprice - l_extendedprice * (1 - l_discount), 4) AS imbalance, l_extendedprice = l_extendedprice * (1 - l_discount) AS balanced FROM lineitem")
@@ -233,12 +235,12 @@ def _(t):
     return t.lineitem.groupBy("l_suppkey").agg(n.alias("n"), F.when(n > 0, "FAILED").otherwise("PASSED").alias("status"))
 
 
-@query("fin_quote", "WITH q AS (SELECT p_partkey, p_retailprice AS last, p_retailprice * 0.999::DOUBLE AS bid, p_retailprice * 1.001::DOUBLE AS ask, p_retailprice * 0.98::DOUBLE AS prev FROM part) SELECT p_partkey, round((ask - bid) / last * 10000, 4) AS spread_bps, round((ask - bid) / ((bid + ask) / 2) * 10000, 4) AS mid_bps, round((last - prev) / prev * 100, 4) AS change_pct, round((ask - bid) / prev * 100, 4) AS range_pct, round(100.0::DOUBLE / pow(1 + 0.04::DOUBLE / 2, 20), 4) AS discount_price, round(1000000 * ((ask - bid) / ((bid + ask) / 2) * 10000 / 10000), 2) AS implied_cost FROM q")
+@query("fin_quote", "WITH q AS (SELECT p_partkey, p_retailprice AS last, p_retailprice * 0.999::DOUBLE AS bid, p_retailprice * 1.001::DOUBLE AS ask, p_retailprice * 0.98::DOUBLE AS prev FROM part) SELECT p_partkey, round((ask - bid) / last * 10000, 4) AS spread_bps, round((ask - bid) / ((bid + ask) / 2) * 10000, 4) AS mid_bps, round((last - prev) / prev * 100, 4) AS change_pct, round((ask - bid) / prev * 100, 4) AS range_pct, round(100.0::DOUBLE / pow(1 + 0.04::DOUBLE / 2, 20), 4) AS discount_price, round(1000000 * ((ask - bid) / ((bid + ask) / 2) * 10000 / 10000), 2) AS implied_cost, round(last - (last - prev), 4) AS open, round((last - (last - (last - prev))) / (last - (last - prev)) * 100, 4) AS daily_return_pct, round(10500000 * (last / 1000), 2) AS converted_usd FROM q")
 def _(t):
     last = c("p_retailprice")
     bid, ask, prev = last * d(0.999), last * d(1.001), last * d(0.98)
     mid = (ask - bid) / ((bid + ask) / 2) * d(10_000)
-    return t.part.select("p_partkey", F.round((ask - bid) / last * d(10_000), 4).alias("spread_bps"), F.round(mid, 4).alias("mid_bps"), F.round((last - prev) / prev * d(100), 4).alias("change_pct"), F.round((ask - bid) / prev * d(100), 4).alias("range_pct"), F.round(d(100) / F.pow(d(1.02), d(20)), 4).alias("discount_price"), F.round(d(1_000_000) * (mid / d(10_000)), 2).alias("implied_cost"))
+    return t.part.select("p_partkey", F.round((ask - bid) / last * d(10_000), 4).alias("spread_bps"), F.round(mid, 4).alias("mid_bps"), F.round((last - prev) / prev * d(100), 4).alias("change_pct"), F.round((ask - bid) / prev * d(100), 4).alias("range_pct"), F.round(d(100) / F.pow(d(1.02), d(20)), 4).alias("discount_price"), F.round(d(1_000_000) * (mid / d(10_000)), 2).alias("implied_cost"), F.round(N.open_price(last, last - prev), 4).alias("open"), F.round(N.daily_return(last, last - prev) * d(100), 4).alias("daily_return_pct"), F.round(d(10_500_000) * (last / d(1000)), 2).alias("converted_usd"))
 
 
 @query("fin_cache_ttl", "SELECT event_id, epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts) > 30 AS refetch FROM events")

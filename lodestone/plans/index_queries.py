@@ -192,9 +192,11 @@ _REFERRED = "CASE WHEN len(list_filter(referenced, lambda x: lower(x) = '{0}'))
 _WQ = "(" + _REFERRED.format("src7") + " + CASE WHEN contains(lower(id), 'src7') THEN 50 ELSE 0 END + CASE WHEN contains(lower(title), 'src7') THEN 35 ELSE 0 END + CASE WHEN contains(lower(type), 'src7') THEN 4 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda x: contains(lower(x), 'src7'))) > 0 THEN 6 ELSE 0 END)::DOUBLE"
 
 
-@query("rnk_whole_query", f"WITH {DOC_META_SQL} SELECT id, {_WQ} AS score FROM doc_meta")
+@query("rnk_whole_query", f"WITH {_BM}, {_BPOST}, k AS (SELECT DISTINCT doc_id::VARCHAR AS id, 8.0::DOUBLE AS kq FROM bpost WHERE token = 'src7') SELECT id, {_WQ} + coalesce(kq, 0) AS score FROM doc_meta LEFT JOIN k USING (id)")
 def _(t):
-    return t.doc_meta().select("id", I.whole_query_layer("src7").alias("score"))
+    # A stored keyword that is the whole question counts too.
+    exact = _posts(t).where("token = 'src7'").select(c("doc_id").cast("string").alias("id")).distinct().withColumn("kq", F.lit(float(I.WHOLE["keywords"])))
+    return t.doc_meta().select("id", I.whole_query_layer("src7").alias("m")).join(exact, "id", "left").select("id", (c("m") + F.coalesce("kq", F.lit(0.0))).alias("score"))
 
 
 def _term_sql(term: str) -> str:
@@ -206,9 +208,15 @@ def _term_sql(term: str) -> str:
 _TERMS = " + ".join(_term_sql(x) for x in TERMS)
 
 
-@query("rnk_term", f"WITH {DOC_META_SQL} SELECT id, round(({_TERMS})::DOUBLE, 6) AS score FROM doc_meta")
+_ONCE = "once AS (SELECT doc_id::VARCHAR AS id, count(DISTINCT token)::DOUBLE AS kt FROM bpost WHERE token IN (" + ", ".join(f"'{x}'" for x in TERMS) + ") GROUP BY 1)"
+
+
+@query("rnk_term", f"WITH {_BM}, {_BPOST}, {_ONCE} SELECT id, round(({_TERMS})::DOUBLE + coalesce(kt, 0), 6) AS score FROM doc_meta LEFT JOIN once USING (id)")
 def _(t):
-    return t.doc_meta().select("id", F.round(I.term_layer(TERMS), 6).alias("score"))
+    # Each term that is a stored keyword counts once.
+    wanted = t.spark.createDataFrame([(x, 1.0 + (len(x) - 6) * 0.1 if len(x) >= 7 else 1.0) for x in TERMS], "token string, mult double")
+    once = _posts(t).select(c("doc_id").cast("string").alias("id"), "token").distinct().join(F.broadcast(wanted), "token").groupBy("id").agg(F.sum(c("mult") * I.TERM["keywords"]).alias("kt"))
+    return t.doc_meta().select("id", I.term_layer(TERMS).alias("m")).join(once, "id", "left").select("id", F.round(c("m") + F.coalesce("kt", F.lit(0.0)), 6).alias("score"))
 
 
 _RANK = f"""{_KWS}, kw1 AS (SELECT doc_id::VARCHAR AS id, sum(contribution) AS kw FROM kws GROUP BY 1),
@@ -307,16 +315,16 @@ def _(t):
     return t.documents.select("doc_id", K.cleaned(F.concat(old, new), 100).alias("keywords"))
 
 
-def _tokens_sql(p: str, text: str) -> str:
-    """``{p}list`` (doc_id, k, i, total): the distinct grams of a column of doc_meta in the order of their size and place."""
+def _tokens_sql(p: str, text: str, source: str = "doc_meta", id_: str = "id::BIGINT") -> str:
+    """``{p}list`` (doc_id, k, i, total): the distinct grams of a column in the order of their size and place."""
     gram = lambda n: " || ' ' || ".join(["w", *[f"lead(w, {k}) OVER o" for k in range(1, n)]])
     every = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, pos, g FROM (SELECT doc_id, pos, {gram(n)} AS g FROM {p}words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE g IS NOT NULL" for n in range(1, 5))
-    return f"""{words_sql('doc_meta', 'id::BIGINT', text, p)},
+    return f"""{words_sql(source, id_, text, p)},
 {p}first AS (SELECT doc_id, g AS k, min(n) AS n, min(pos) AS pos FROM ({every}) GROUP BY doc_id, g),
 {p}list AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY n, pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS total FROM {p}first)"""
 
 
-_TWO = f"""{DOC_META_SQL}, {_tokens_sql('a_', 'title')}, {_tokens_sql('b_', 'summary')},
+_TWO = f"""{DOC_META_SQL}, {_tokens_sql('a_', 'title')}, {_tokens_sql('b_', 'text', 'documents', 'doc_id')},
 stored AS ({_stored('a_list', 'title')} UNION ALL {_stored('b_list', 'semantic')}),
 firsts AS (SELECT doc_id, token, min(struct_pack(c := CASE category WHEN 'title' THEN 0 ELSE 2 END, g := gram, w := CASE WHEN regexp_full_match(token, '0|[1-9][0-9]{{0,9}}') AND try_cast(token AS BIGINT) < 4294967295 THEN 0 ELSE 1 END,
   v := CASE WHEN regexp_full_match(token, '0|[1-9][0-9]{{0,9}}') AND try_cast(token AS BIGINT) < 4294967295 THEN token::BIGINT ELSE 0 END, p := positions[1], t := token)) AS key FROM stored GROUP BY doc_id, token),
@@ -324,8 +332,10 @@ flat AS (SELECT doc_id, list(token ORDER BY key) AS keywords FROM firsts GROUP B
 
 
 def _two(t):
-    meta = t.doc_meta().select(c("id").cast("long").alias("doc_id"), "title", "summary")
-    return K.categorised(meta, "title", K.tokens(c("title"))).unionByName(K.categorised(meta, "semantic", K.tokens(c("summary"))))
+    """Stored keywords of titles and of whole texts."""
+    titles = t.doc_meta().select(c("id").cast("long").alias("doc_id"), "title")
+    bodies = I.term_rows(t.documents, "doc_id", "text")
+    return K.categorised(titles, "title", K.tokens(c("title"))).unionByName(K.categorised(bodies, "semantic", c("grams")))
 
 
 @query("agg_distinct_kw", f"WITH {_TWO} SELECT doc_id, keywords FROM flat")

@@ -98,9 +98,13 @@ def _(t):
     return _names(t).where(c("name").startswith("oms-")).select("event_id", "name")
 
 
-@query("src_log_list", f"{W} SELECT file, count(*) AS lines FROM log_lines GROUP BY file")
+@query("src_log_list", f"{W} SELECT file, sum(octet_length(encode(line)) + 1)::BIGINT AS bytes FROM log_lines GROUP BY file")
 def _(t):
-    return t.log_lines().groupBy("file").agg(F.count(F.lit(1)).alias("lines")).orderBy("file")
+    # Written as files and listed by name with their sizes; contents aren't read.
+    path = new_path(t.spark, "logs")
+    t.log_lines().repartition("file").select("file", "line").write.partitionBy("file").text(path)
+    listed = files.list_files(t.spark, path)
+    return listed.groupBy(F.regexp_extract("path", "/file=([^/]+)/", 1).alias("file")).agg(F.sum("bytes").alias("bytes")).orderBy("file")
 
 
 _FILE_TS = "try_strptime(left(nullif(regexp_extract(name, '([0-9]{17})', 1), ''), 14), '%Y%m%d%H%M%S')"

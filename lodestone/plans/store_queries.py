@@ -10,11 +10,12 @@ from lodestone.operators import flows
 from lodestone.operators import store as S
 from lodestone.operators.segments import KeywordIndex
 from lodestone.operators.table_log import TableLog
-from lodestone.plans.base import DOC_META_SQL, query
+from lodestone.plans.base import DOC_META_SQL, LOG_LINES_SQL, query
 from lodestone.plans.index_queries import BM_SQL
 from lodestone.plans.text_queries import SLUG_SQL, issues_of
 from lodestone.scratch import keep, new_path
 from lodestone.sources import files
+from lodestone.streaming import keyed as K
 from lodestone.streaming import logs as T
 
 c = F.col
@@ -31,20 +32,31 @@ def _(t):
     return t.doc_meta().where("id = '42'").select("id", "title", "type")
 
 
-@query("src_meta_scan", f"{M} SELECT id, title, type, tags, summary, version + 1 AS version FROM doc_meta")
+def _file_store(t) -> str:
+    """A store as files: folders by id, loose files of older versions of some, others with loose files alone, and files that can't be read."""
+    path, i = new_path(t.spark, "store"), c("id").cast("long")
+    meta = t.doc_meta().select("id", "title", "type", "tags", "summary", "version").join(t.documents.select(c("doc_id").cast("string").alias("id"), c("text").alias("content")), "id")
+    said = F.to_json(F.struct("id", "title", "type", "tags", "summary", "version"))
+    old = F.to_json(F.struct("id", F.concat(F.lit("old "), "title").alias("title"), "type", "tags", "summary", "version"))
+    entry = lambda name, body: F.struct(name.alias("name"), body.alias("body"))
+    own = lambda name: F.concat("id", F.lit(f"/{name}"))
+    loose = lambda end: F.concat("id", F.lit(end))
+    made = F.array(
+        F.when(i % 4 != 1, entry(own("metadata.json"), said)), F.when(i % 4 == 1, entry(loose(".json"), said)), F.when(i % 4 == 2, entry(loose(".json"), old)), F.when(i % 50 == 3, entry(own("notes.json"), F.lit("{broken"))),
+        F.when(i % 3 == 0, entry(own("content.md"), c("content"))), F.when(i % 3 == 1, entry(loose(".md"), c("content"))), F.when(i % 3 == 2, entry(loose(".txt"), c("content"))), F.when(i % 6 == 0, entry(loose(".txt"), F.lit("old"))),
+    )
+    files.write_files(meta.select(F.inline(F.array_compact(made))), path)
+    return path
+
+
+@query("src_meta_scan", f"{M} SELECT id, title, type, tags, summary, version FROM doc_meta")
 def _(t):
-    # Two versions of each document are written as JSON with lines that are none; the later one is read.
-    path = new_path(t.spark, "metadata")
-    meta = t.doc_meta().select("id", "title", "type", "tags", "summary", "version")
-    both = meta.unionByName(meta.withColumn("version", c("version") + 1))
-    both.select(F.to_json(F.struct(*both.columns)).alias("value")).unionByName(t.region.select(F.lit("{broken").alias("value"))).write.text(path)
-    rows = files.read_metadata_lines(t.spark, path)
-    return S.newest(rows, "id", "version").select("id", "title", "type", "tags", "summary", "version")
+    return files.read_metadata(t.spark, _file_store(t)).select("id", "title", "type", "tags", "summary", "version")
 
 
-@query("src_body_read", "SELECT doc_id::VARCHAR AS id, text AS content FROM documents")
+@query("src_body_read", "SELECT doc_id::VARCHAR AS id, text AS content FROM documents WHERE text <> ''")
 def _(t):
-    return t.documents.select(c("doc_id").cast("string").alias("id"), c("text").alias("content"))
+    return files.read_bodies(t.spark, _file_store(t)).where("content <> ''")
 
 
 @query("sink_doc", f"{M} SELECT id, CASE WHEN id::BIGINT % 4 = 0 THEN 'new ' || title ELSE title END AS title, CASE WHEN id::BIGINT % 4 = 0 THEN version + 1 ELSE version END AS version FROM doc_meta")
@@ -70,10 +82,21 @@ def _(t):
     return keep(t.doc_meta().where("type = 'src0'").select("id", "title"), "store")
 
 
-@query("norm_schema", f"{M} SELECT id, title, CASE WHEN type IN ('', 'src1') THEN 'confluence' ELSE type END AS type FROM doc_meta")
+def _legacy(t):
+    """Metadata as JSON in the shapes of all ages: questions as an object, a list, a text or a number; lists and texts of other kinds."""
+    i, q = c("doc_id"), F.lit('"')
+    cases = F.get(F.array(*map(F.lit, ('{" a ":["2024-01-01",""],"b":"x","":["y"]}', '["how"," why ","how",""]', '"what, when ,,what"', "7", "null"))), (i % 5).cast("int"))
+    said = F.concat(F.lit('{"id":'), i, F.lit(',"referencedQueries":'), cases, F.lit(',"tags":'), F.when(i % 2 == 0, F.concat(F.lit('["'), "lang", F.lit('"]'))).otherwise(F.concat(q, "lang", q)), F.lit(',"keywords":'), F.when(i % 3 == 0, F.lit('["old"]')).otherwise(F.lit('{"title":{}}')), F.lit(',"summary":'), F.when(i % 4 == 0, F.lit("12")).otherwise(F.concat(q, "source", q)), F.lit(',"relatedPages":["1","2"],"synonyms":[]}'))
+    return t.documents.select("doc_id", F.when(i % 11 == 0, "[1]").when(i % 13 == 0, "{broken").otherwise(said).alias("metadata"))
+
+
+@query("norm_schema", """WITH d AS (SELECT doc_id, lang, source, doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS ok FROM documents)
+SELECT doc_id::VARCHAR AS id, CASE WHEN ok AND doc_id % 3 <> 0 THEN '{"title":{}}' END AS keywords, CASE WHEN ok AND doc_id % 2 = 0 THEN [lang] ELSE []::VARCHAR[] END AS tags,
+ CASE WHEN NOT ok OR doc_id % 5 > 2 THEN '' WHEN doc_id % 5 = 0 THEN 'a=2024-01-01;b=' WHEN doc_id % 5 = 1 THEN 'how=;why=' ELSE 'what=;when=' END AS referenced,
+ CASE WHEN ok AND doc_id % 4 <> 0 THEN source ELSE '' END AS summary, '' AS feedback, '' AS knowledge_graph, CASE WHEN ok THEN ['1', '2'] ELSE []::VARCHAR[] END AS related FROM d""")
 def _(t):
-    raw = t.doc_meta().withColumn("type", F.when(c("type") != "src1", c("type")))
-    return S.normalised(raw).select("id", "title", "type")
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("referenced")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
+    return S.modernised(_legacy(t)).withColumn("referenced", shown)
 
 
 @query("sink_backfill", f"{M} SELECT id FROM doc_meta WHERE type = 'src1'")
@@ -312,10 +335,13 @@ def _(t):
     return S.resolved(t.documents.select("doc_id", asked.alias("asked"), link.alias("link")), _issues(t)).select("doc_id", "found")
 
 
-@query("jn_feedback_target", f"{M}, f AS (SELECT conv_id, 'https://wiki.example.com/pages/' || conv_id || CASE WHEN conv_id % 2 = 0 THEN '/' ELSE '' END AS link FROM conversations WHERE turn = 0) SELECT conv_id, m.id AS target FROM f LEFT JOIN doc_meta m ON rtrim(link, '/') = m.url")
+@query("jn_feedback_target", f"{M}, s AS (SELECT id, CASE WHEN id::BIGINT % 2 = 0 THEN 'https://docs.example.com/d-x' || id || '/' ELSE url END AS url FROM doc_meta), f AS (SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN ' ' || conv_id WHEN 1 THEN 'https://w.example.com/view?pageId=' || conv_id WHEN 2 THEN 'https://w.example.com/pages/' || conv_id || '/T' WHEN 3 THEN 'https://docs.example.com/d-x' || conv_id ELSE 'docs.example.com/d-x' || conv_id END AS target FROM conversations WHERE turn = 0) SELECT conv_id, target, CASE WHEN conv_id % 5 < 3 OR (conv_id % 5 = 3 AND conv_id % 2 = 0) THEN m.id END AS found FROM f LEFT JOIN s m ON m.id = conv_id::VARCHAR")
 def _(t):
-    asked = t.conversations.where("turn = 0").select("conv_id", F.concat(F.lit("https://wiki.example.com/pages/"), "conv_id", F.when(c("conv_id") % 2 == 0, "/").otherwise("")).alias("link"))
-    return asked.join(t.doc_meta().select(c("id").alias("target"), "url"), F.regexp_replace("link", "/+$", "") == c("url"), "left").select("conv_id", "target")
+    # Feedback names its document by id, by a link with the page's id, or by its address; an address without a scheme is none.
+    forms = [F.concat(F.lit(x), "conv_id", F.lit(y)) for x, y in ((" ", ""), ("https://w.example.com/view?pageId=", ""), ("https://w.example.com/pages/", "/T"), ("https://docs.example.com/d-x", ""), ("docs.example.com/d-x", ""))]
+    asked = t.conversations.where("turn = 0").select("conv_id", F.get(F.array(*forms), (c("conv_id") % 5).cast("int")).alias("target"))
+    store = t.doc_meta().select("id", F.when(c("id").cast("long") % 2 == 0, F.concat(F.lit("https://docs.example.com/d-x"), "id", F.lit("/"))).otherwise(c("url")).alias("url"))
+    return S.feedback_target(asked, store)
 
 
 @query("jn_version_diff", f"{M}, s AS (SELECT id, version FROM doc_meta WHERE id::BIGINT % 6 <> 0), r AS (SELECT id, (id::BIGINT % 4 + 1)::INT AS version FROM doc_meta) SELECT r.id, r.version FROM r LEFT JOIN s USING (id) WHERE s.version IS NULL OR s.version < r.version")
@@ -350,9 +376,16 @@ def _feedback(t):
     return t.events.select((c("user_id") % 40).cast("string").alias("target"), "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("agg_feedback_queries", "SELECT (user_id % 40)::VARCHAR AS target, event_type AS query, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS last_asked FROM events GROUP BY ALL")
+@query("agg_feedback_queries", """WITH f AS (SELECT user_id % 40 AS k, event_type AS query, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen FROM events WHERE event_type <> 'view'),
+t AS (SELECT 'primary' AS kind, CASE k % 4 WHEN 0 THEN k::VARCHAR WHEN 1 THEN 'OPS-' || k WHEN 2 THEN 'https://w.example.com/pages/' || k END AS target, query, seen FROM f UNION ALL SELECT 'secondary', unnest(CASE WHEN k % 3 = 0 THEN [(k + 1)::VARCHAR, 'OPS-' || k] ELSE [] END), query, seen FROM f)
+SELECT kind, target, query, max(seen) AS last_asked FROM t WHERE target IS NOT NULL GROUP BY ALL""")
 def _(t):
-    return _feedback(t).groupBy("target", c("event_type").alias("query")).agg(F.max("at").alias("last_asked"))
+    k = c("user_id") % 40
+    rows = t.events.select(
+        F.when(k % 4 == 0, k.cast("string")).alias("page_id"), F.when(k % 4 == 1, F.concat(F.lit("OPS-"), k)).alias("issue_id"), F.when(k % 4 == 2, F.concat(F.lit("https://w.example.com/pages/"), k)).alias("link"),
+        F.when(k % 3 == 0, F.array(F.concat(F.lit(" "), k + 1), F.concat(F.lit("OPS-"), k), F.lit(""))).alias("secondary"), F.when(c("event_type") != "view", c("event_type")).alias("query"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"),
+    )
+    return S.asked_of(rows)
 
 
 @query("agg_merge_refqueries", """SELECT doc_id, '{"a":["' || lang || '"],"b":["' || source || '","' || lang || '"],"d":["' || lang || '"]}' AS merged FROM documents""")
@@ -449,7 +482,27 @@ def _(t):
 w AS (SELECT *, CASE attempts WHEN 1 THEN 0 WHEN 2 THEN 10 ELSE 30 END AS waited_s FROM n), q AS (SELECT *, epoch_us(ts) AS at_us, sum(waited_s) OVER o AS done, row_number() OVER o AS k FROM w WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id))
 SELECT event_id, attempts, (max(at_us - (done - waited_s) * 1000000) OVER (PARTITION BY event_type ORDER BY k) + done * 1000000)::BIGINT AS done_us, CASE WHEN lost THEN 'failed' ELSE 'done' END AS state FROM q""")
 def _(t):
-    return T.queued(_tries(t), "event_type", "event_id").select("event_id", "attempts", F.col("done_us"), "state")
+    # Three days of requests at a time, each a new start on one checkpoint.
+    calls = keep(T.tried(_tries(t)).withColumn("at_us", F.unix_micros("at")), "calls")
+    sent = calls.select(c("event_type").alias("queue"), c("event_id").alias("seq"), "at_us", c("wait").alias("work_us"))
+    ends = _in_steps(t, sent, K.queues, "seq long, done_us long")
+    return calls.join(ends, c("event_id") == c("seq")).select("event_id", "attempts", "done_us", "state")
+
+
+def _in_steps(t, rows, work, schema: str, last=None):
+    """Rows (at_us) by parts of their time into a stream that is started anew for each; ``last`` comes after all."""
+    inbox, out, state = (new_path(t.spark, f"stream-{x}") for x in ("inbox", "outbox", "state"))
+    edges = rows.agg(F.min("at_us").alias("a"), F.max("at_us").alias("b")).first()
+    third = max(1, ((edges.b or 0) - (edges.a or 0)) // 3)
+    for i in range(3):
+        low, high = (edges.a or 0) + i * third, (edges.a or 0) + (i + 1) * third
+        part = rows.where((c("at_us") >= low) & (c("at_us") < high)) if i < 2 else rows.where(c("at_us") >= low)
+        part.write.mode("append").parquet(inbox)
+        if i == 2 and last is not None:
+            work(t.spark, inbox, out, state)
+            last.write.mode("append").parquet(inbox)
+        work(t.spark, inbox, out, state)
+    return t.spark.read.schema(schema).parquet(out)
 
 
 # ---- streams, over stored rows
@@ -459,7 +512,8 @@ def _calls(t):
 
 @query("str_circuit_breaker", "WITH f AS (SELECT event_type AS connector, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE value > 90), o AS (SELECT * FROM f WHERE n % 5 = 0) SELECT connector, epoch_us(ts + to_seconds(s))::BIGINT AS at_us, state FROM o, (VALUES ('OPEN', 0), ('HALF_OPEN', 30), ('CLOSED', 60)) v(state, s)")
 def _(t):
-    return T.breaker_states(_calls(t)).select("connector", F.unix_micros("at").alias("at_us"), "state")
+    calls = _calls(t).select("connector", "seq", F.unix_micros("at").alias("at_us"), "failed")
+    return _in_steps(t, calls, K.breakers, "connector string, at_us long, state string", K.closing(calls.select("connector").distinct()))
 
 
 @query("str_order_policy", "SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-10 00:00:00' + INTERVAL 3 DAY")
@@ -467,12 +521,17 @@ def _(t):
     return T.retained(t.events.withColumn("at", c("ts").cast("timestamp")), "at", F.lit("2024-01-10 00:00:00").cast("timestamp"), 3).select("event_id")
 
 
-@query("str_file_tail")
+@query("str_file_tail", f"WITH {LOG_LINES_SQL} SELECT component, file, coalesce(level, '') AS level, count(*) AS lines, CASE WHEN file < 'app-20240115' THEN 1 ELSE 2 END AS batch FROM (SELECT *, CASE WHEN regexp_matches(line, '^[0-9]{{4}}-') THEN regexp_extract(line, ' ([A-Z]+) ', 1) END AS level FROM log_lines WHERE trim(line) <> '') GROUP BY ALL")
 def _(t):
-    path = new_path(t.spark, "tail")
-    t.log_lines().select("line").write.text(path)
-    stream = T.tail_files(t.spark, path).groupBy("level", "class_name").count()
-    name = "tailed_" + path.rsplit("-", 1)[1]
-    running = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_path(t.spark, "tail-state")).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return t.spark.table(name)
+    # Files of the first half of the month are there at the start, the others come later; each start tells what has come since.
+    path, state, out = (new_path(t.spark, f"tail-{x}") for x in ("logs", "state", "outbox"))
+    lines = t.log_lines().select("component", "file", "line")
+    for batch, some in enumerate((lines.where("file < 'app-20240115'"), lines.where("file >= 'app-20240115'")), 1):
+        some.repartition("file").write.mode("append").partitionBy("component", "file").text(path)
+
+        def told(rows, _, batch=batch):
+            sums = rows.groupBy("component", "file", F.coalesce("level", F.lit("")).alias("level")).agg(F.count(F.lit(1)).alias("lines"))
+            sums.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/{batch}")
+
+        T.tail_folders(t.spark, path).writeStream.foreachBatch(told).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.option("recursiveFileLookup", True).parquet(out)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +16,32 @@ from lodestone.sources.ranges import RANGE, TextRanges
 META = "id string, title string, type string, author string, summary string, tags array<string>, version int, last_updated string, url string"
 
 
+def write_files(rows: DataFrame, path: str) -> None:
+    """Write ``body`` of each row as the file ``name`` below a folder that all executors share.
+
+    Tasks write beside the name and move, so a task that is tried again leaves whole files; of
+    rows with one name the last to be written stays. A task makes the folders that it needs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = fs.FileSystem.from_uri(path)
+        files.create_dir(top, recursive=True)
+        n = 0
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                place = f"{top}/{name}"
+                if "/" in name:
+                    files.create_dir(place.rpartition("/")[0], recursive=True)
+                aside = f"{place}.{uuid.uuid4().hex}.tmp"
+                with files.open_output_stream(aside) as out:
+                    out.write((body or "").encode("utf-8", "replace"))
+                files.move(aside, place)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.select(F.col("name").cast("string"), F.col("body").cast("string")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Metadata of a store: ``<id>/metadata.json`` wins over loose ``<id>.json``; what can't be read is left out."""
     rows = spark.read.schema(META + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
@@ -34,6 +65,11 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("o"))).where("n = 1").select("id", "content")
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes) of all files below a folder; what is in them isn't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"))
+
+
 def read_log_catalogue(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("environment string, type string, tags string, base_url string, summary string").option("sep", "|").option("header", True).csv(path)
     return rows.withColumn("tags", F.split("tags", ","))

@@ -18,6 +18,12 @@ def tail_files(spark: SparkSession, path: str) -> DataFrame:
     return named.where("trim(line) <> ''").select("component", "file", *[x.alias(n) for n, x in L.line_parts(F.col("line")).items()])
 
 
+def tail_folders(spark: SparkSession, path: str) -> DataFrame:
+    """As ``tail_files`` over folders ``component=.../file=...``, whose names are the lines' labels."""
+    lines = spark.readStream.schema("value string, component string, file string").text(path).where("trim(value) <> ''")
+    return lines.select("component", "file", *[x.alias(n) for n, x in L.line_parts(F.col("value")).items()])
+
+
 def retained(rows: DataFrame, at: str, now, days: int = 31) -> DataFrame:
     """Old rows are accepted; rows from more than ``days`` ahead are not."""
     return rows.where(F.col(at) <= now + F.make_dt_interval(F.lit(days)))
@@ -30,6 +36,15 @@ def retried(calls: DataFrame, delay_ms: int = 200) -> DataFrame:
     return calls.withColumns({"attempts": F.when(again, 2).otherwise(1), "waited_ms": F.when(again, delay_ms).otherwise(0), "state": state})
 
 
+def tried(calls: DataFrame, delays: tuple[int, ...] = (10, 20)) -> DataFrame:
+    """``calls`` (failed) with the number of attempts, ``wait``: microseconds waited before them, and the state after the last."""
+    failed = F.col("failed")
+    tries = F.size(F.filter(F.sequence(F.lit(0), F.lit(len(delays))), lambda i: (i == 0) | F.forall(F.slice(failed, F.lit(1), i), lambda f: f)))
+    waits = F.aggregate(F.slice(F.array(*map(F.lit, delays)), F.lit(1), F.col("attempts") - 1), F.lit(0), lambda a, x: a + x)
+    state = F.when(F.forall(F.slice(failed, 1, len(delays) + 1), lambda f: f), "failed").otherwise("done")
+    return calls.withColumn("attempts", tries).withColumn("wait", waits.cast("long") * 1_000_000).withColumn("state", state)
+
+
 def queued(calls: DataFrame, queue: str, seq: str, delays: tuple[int, ...] = (10, 20)) -> DataFrame:
     """``calls`` (at, failed) through serial queues: attempts, time of the end in microseconds, and state.
 
@@ -38,15 +53,11 @@ def queued(calls: DataFrame, queue: str, seq: str, delays: tuple[int, ...] = (10
     the end of the one before, so with the work before it summed up the ends are a running
     maximum: no loop over requests.
     """
-    failed = F.col("failed")
-    tries = F.size(F.filter(F.sequence(F.lit(0), F.lit(len(delays))), lambda i: (i == 0) | F.forall(F.slice(failed, F.lit(1), i), lambda f: f)))
-    waits = F.aggregate(F.slice(F.array(*map(F.lit, delays)), F.lit(1), F.col("attempts") - 1), F.lit(0), lambda a, x: a + x)
+    rows = tried(calls, delays)
     order = Window.partitionBy(queue).orderBy("at", seq)
-    rows = calls.withColumn("attempts", tries).withColumn("wait", waits.cast("long") * 1_000_000)
     rows = rows.withColumn("work", F.sum("wait").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     begun = F.max(F.unix_micros("at") - (F.col("work") - F.col("wait"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    state = F.when(F.forall(F.slice(failed, 1, len(delays) + 1), lambda f: f), "failed").otherwise("done")
-    return rows.withColumn("done_us", begun + F.col("work")).withColumn("state", state).drop("wait", "work")
+    return rows.withColumn("done_us", begun + F.col("work")).drop("wait", "work")
 
 
 def breaker_states(calls: DataFrame) -> DataFrame:
