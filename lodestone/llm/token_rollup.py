@@ -6,6 +6,10 @@ tokenizer version, writes that to a folder of its own and then enters the folder
 manifest, by one rename that fails if the batch is there already. Only folders in the
 manifest are read, so a lost attempt leaves nothing behind that counts, and a batch committed
 again changes nothing. Totals are sums over the committed folders, whatever their order.
+
+Totals are maintained: a snapshot holds the sums of all batches up to it, and the manifest
+only those since. Reading totals opens one snapshot and ``COMPACT_AT`` batches or few more,
+however many have ever been committed. A batch that a snapshot covers stays known by name.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe
 from lodestone.scratch import keep
 
+#: Batches in the manifest at which a commit makes a snapshot of them.
+COMPACT_AT = 50
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_chars"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
@@ -87,12 +93,16 @@ class Ledger:
             stream.close()
 
     def _enter(self, batch: str, entry: dict) -> bool:
-        """The manifest's file is written aside and renamed; false if another writer was first."""
+        """Name a batch in the manifest; false if another writer was first."""
+        return self._entered(self._entry(batch), entry)
+
+    def _entered(self, name: str, entry: dict) -> bool:
+        """A file written aside and renamed; false if the name is taken."""
         aside = f"{self.path}/aside/{uuid.uuid4().hex}"
         stream = self._files(aside).create(self._at(aside), True)
         stream.write(bytearray(json.dumps(entry).encode()))
         stream.close()
-        place = self._at(self._entry(batch))
+        place = self._at(name)
         self._files(aside).mkdirs(place.getParent())
         names = self._jvm.org.apache.hadoop.fs
         none = self.spark.sparkContext._gateway.new_array(names.Options.Rename, 1)
@@ -100,13 +110,18 @@ class Ledger:
         try:
             names.FileContext.getFileContext(self._at(aside).toUri(), self._conf).rename(self._at(aside), place, none)
         except Exception:
-            if not self.committed(batch):
+            if not self._files(name).exists(place):
                 raise
             return False
         return True
 
     def committed(self, batch: str) -> bool:
-        return self._files(self.path).exists(self._at(self._entry(batch)))
+        return self._place_of(batch) is not None
+
+    def _place_of(self, batch: str) -> str | None:
+        """The file that names a batch: in the manifest, or among those that a snapshot covers."""
+        places = self._entry(batch), f"{self.path}/covered/{batch}.json", self._entry(batch)  # it may move meanwhile
+        return next((p for p in places if self._files(self.path).exists(self._at(p))), None)
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
         """Write a batch unless it was committed before.
@@ -122,19 +137,80 @@ class Ledger:
         fresh = not self.committed(batch) and self._enter(batch, {"folder": place, "digest": digest})
         if not fresh:
             self._files(place).delete(self._at(place), True)
-            if self._read(self._entry(batch))["digest"] != digest:
+            if self._read(self._place_of(batch))["digest"] != digest:
                 raise ValueError(f"batch {batch} was committed with other sums")
+        elif len(self._names("manifest")) >= COMPACT_AT:
+            self.compact()
         return fresh
 
-    def folders(self) -> list[str]:
-        """The data folders of all committed batches, by name: one line of a manifest each, no data."""
-        top = f"{self.path}/manifest"
+    def _names(self, kind: str) -> list[str]:
+        top = f"{self.path}/{kind}"
         files = self._files(top)
-        if not files.exists(self._at(top)):
-            return []
-        return [self._read(p)["folder"] for p in sorted(str(x.getPath()) for x in files.listStatus(self._at(top)))]
+        return sorted(x.getPath().getName().removesuffix(".json") for x in files.listStatus(self._at(top))) if files.exists(self._at(top)) else []
+
+    def _snapshot(self) -> tuple[int, dict]:
+        """The newest snapshot: its number, the folder of its sums, and the batches that it was the first to cover."""
+        names = self._names("snapshots")
+        return (int(names[-1]), self._read(f"{self.path}/snapshots/{names[-1]}.json")) if names else (0, {"folder": None, "covers": []})
+
+    def _live(self) -> tuple[int, dict, list[str]]:
+        """The newest snapshot and the batches since, as of one moment."""
+        while True:
+            number, snapshot = self._snapshot()
+            since = sorted(set(self._names("manifest")) - set(snapshot["covers"]))
+            if self._snapshot()[0] == number:  # else batches may have moved between the two looks
+                return number, snapshot, since
+
+    def folders(self) -> list[str]:
+        """The folders whose sums are the totals: the snapshot's, and those of the batches since."""
+        while True:
+            number, snapshot, since = self._live()
+            try:
+                found = [self._read(self._entry(b))["folder"] for b in since]
+            except Exception:
+                if self._snapshot()[0] == number:
+                    raise
+                continue
+            return [f for f in [snapshot["folder"]] if f] + found
+
+    def compact(self) -> bool:
+        """Make a snapshot of the totals; false if there is nothing new or another writer was first.
+
+        The snapshot is entered before the covered batches leave the manifest, and names them, so
+        that no reader counts one twice or not at all; a writer lost in between leaves moves that
+        the next one makes.
+        """
+        number, snapshot, since = self._live()
+        self._move(snapshot["covers"])
+        if not since:
+            return False
+        found = [snapshot["folder"]] if snapshot["folder"] else []
+        place = f"{self.path}/data/snapshot-{uuid.uuid4().hex}"
+        rolled_up(self.spark.read.schema(SCHEMA).parquet(*found, *[self._read(self._entry(b))["folder"] for b in since])).write.parquet(place)
+        if not self._entered(f"{self.path}/snapshots/{number + 1:09d}.json", {"folder": place, "covers": since}):
+            self._files(place).delete(self._at(place), True)
+            return False
+        self._move(since)
+        return True
+
+    def _move(self, batches: list[str]) -> None:
+        files = self._files(self.path)
+        files.mkdirs(self._at(f"{self.path}/covered"))
+        for b in batches:
+            if files.exists(self._at(self._entry(b))):
+                files.rename(self._at(self._entry(b)), self._at(f"{self.path}/covered/{b}.json"))
+
+    def vacuum(self, hours: float = 24.0) -> int:
+        """Remove data folders older than ``hours`` that nothing names: those of lost writers and of covered batches."""
+        import time
+
+        live, files = {f.rpartition("/")[2] for f in self.folders()}, self._files(self.path)
+        top = self._at(f"{self.path}/data")
+        old = [x.getPath() for x in files.listStatus(top) if x.getPath().getName() not in live and x.getModificationTime() <= (time.time() - 3600 * hours) * 1000] if files.exists(top) else []
+        return sum(bool(files.delete(x, True)) for x in old)
 
     def batches(self) -> DataFrame:
+        """The sums of the snapshot and of the batches since, a delta each."""
         found = self.folders()
         return self.spark.read.schema(SCHEMA).parquet(*found) if found else self.spark.createDataFrame([], SCHEMA)
 
@@ -152,7 +228,7 @@ def replayed(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
     All documents are inserted under the first tokenizer; those whose id leaves 3 by 7 are
     deleted; those left whose id leaves 1 by 5 are counted anew under the second tokenizer in
-    place of the first; then the deletion is sent again.
+    place of the first; then the deletion is sent again. A snapshot is made after the second.
     """
     ledger = Ledger(docs.sparkSession, path)
     first = counts(docs, "words-1")
@@ -161,6 +237,7 @@ def replayed(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     deletion = signed(counts(docs.where(gone), "words-1"), -1)
     ledger.commit("insert-1", first)
     ledger.commit("delete-1", deletion)
+    ledger.compact()
     ledger.commit("revise-1", revised(counts(moved, "words-1"), counts(moved, "words-2")))
     ledger.commit("delete-1", deletion)
     return ledger.totals()
