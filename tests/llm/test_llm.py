@@ -589,7 +589,7 @@ def test_sample_keeps_unlike_texts(spark):
     rows = [(1, shared + " a"), (3, shared + " b"), (5, shared + " b"), (6, "x"), (6, "y")]
     labels = spark.createDataFrame([(i, 1) for i in (1, 3, 5, 6)], "doc_id long, toxic int")
     held = [i for i in (1, 3, 5, 6) if zlib.crc32(str(i).encode()) % 4 == 2]
-    got = sorted(r.text for r in toxicity._labelled(docs_of(spark, rows), labels, "doc_id", "text", "toxic", 100).collect())
+    got = sorted(r.text for r in toxicity.labelled_sample(docs_of(spark, rows), labels, "doc_id", "text", "toxic", 100).collect())
     assert got == sorted({min(t for j, t in rows if j == i) for i in (1, 3, 5, 6) if i not in held})
 
 
