@@ -181,6 +181,35 @@ def capital_sequences(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.btrim(x, F.lit(" \t\r\n"))))
 
 
+# Labels of nodes, names of nodes and both kinds of labels of edges in a Mermaid flow chart; words of its syntax.
+MERMAID_LABEL = r"""\w+\s*[\[\({"]\s*"?([^"\]\)}"]+)"?\s*[\]\)}"]"""
+MERMAID_NAME = r"\b([A-Z][a-zA-Z0-9]+)\b"
+MERMAID_EDGES = [r"--+>?\|([^|]+)\|", r"""--\s*"([^"]+)"\s*-->"""]
+MERMAID_NOISE = ["graph", "td", "lr", "bt", "rl", "subgraph", "end", "style", "class", "click"]
+
+
+def mermaid_keywords(c: Column) -> Column:
+    """Distinct keywords of a flow chart, line by line: labels whole and by word, parts and wholes of names, labels of edges."""
+    blank = " \t\r\n"
+    none = F.array().cast("array<string>")
+    long = lambda ws: F.filter(ws, lambda w: F.length(w) >= 2)
+
+    def phrases(found: Column) -> Column:
+        kept = long(F.transform(found, lambda x: F.btrim(x, F.lit(blank))))
+        return F.transform(F.flatten(F.transform(kept, lambda x: F.concat(F.array(x), long(F.split(x, r"\s+"))))), F.lower)
+
+    def names(found: Column) -> Column:
+        parts = lambda x: long(F.split(F.lower(F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1 $2")), r"\s+"))
+        return F.flatten(F.transform(found, lambda x: F.concat(parts(x), F.array(F.lower(x)))))
+
+    def of_line(line: Column) -> Column:
+        every = lambda p: F.regexp_extract_all(line, F.lit(ascii_bounds(p)), F.lit(1))
+        return F.concat(phrases(every(MERMAID_LABEL)), names(every(MERMAID_NAME)), *[phrases(every(p)) for p in MERMAID_EDGES])
+
+    lines = F.filter(F.transform(F.split(_trimmed(c), "\n"), lambda x: F.btrim(x, F.lit(blank))), lambda x: (x != "") & ~x.rlike(r"(?i)^graph\s+(TD|LR|BT|RL)"))
+    return F.filter(F.array_distinct(F.coalesce(F.flatten(F.transform(lines, of_line)), none)), lambda k: ~k.isin(MERMAID_NOISE))
+
+
 def structural_pattern(c: Column) -> Column:
     """Runs of one kind of character as a pattern: upper and lower case are kinds of their own but are written alike."""
     runs = F.regexp_extract_all(text_of(c), F.lit("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0))

@@ -356,10 +356,22 @@ def _(t):
 _GRAPH_SQL = "('graph TD' || chr(10) || ' A[\"' || title || '\"] --> B[Order Flow]' || chr(10) || ' B --> Clearing')"
 
 
-@query("mm_keywords", f"""WITH {DOC_META_SQL} SELECT id, regexp_extract_all({_GRAPH_SQL}, '[\\[({{]"?([^"\\])}}]+)"?[\\])}}]', 1) AS labels, regexp_extract_all({_GRAPH_SQL}, '-->\\s*([A-Za-z]\\w*)', 1) AS targets FROM doc_meta""")
+_CHART_SQL = "('graph TD' || chr(10) || ' A[\"' || title || '\"] --> B[Order Flow]' || chr(10) || ' B -->|sends it ' || type || '| ClearingHouse' || chr(10) || ' ClearingHouse -- \"by night\" --> RiskDesk2(Final x)' || chr(10) || 'end')"
+_LONG = "list_filter({0}, lambda w: len(w) >= 2)"
+_PHRASES = f"flatten(list_transform({_LONG.format('list_transform({0}, lambda x: trim(x))')}, lambda x: list_concat([lower(x)], list_transform({_LONG.format("string_split_regex(x, '[ ]+')")}, lambda w: lower(w)))))"
+
+
+def _found(pattern: str) -> str:
+    return f"regexp_extract_all(l, '{pattern}', 1)"
+
+
+_OF_LINE = f"list_concat(list_concat({_PHRASES.format(_found(X.MERMAID_LABEL))}, flatten(list_transform({_found(X.MERMAID_NAME)}, lambda x: list_concat({_LONG.format("string_split(lower(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), ' ')")}, [lower(x)])))), list_concat({_PHRASES.format(_found(X.MERMAID_EDGES[0]))}, {_PHRASES.format(_found(X.MERMAID_EDGES[1]))}))"
+
+
+@query("mm_keywords", f"WITH {DOC_META_SQL}, g AS (SELECT id, unnest(string_split({_CHART_SQL}, chr(10))[2:]) AS l FROM doc_meta), k AS (SELECT id, unnest({_OF_LINE}) AS k FROM g) SELECT id, list_sort(list(DISTINCT k)) AS keywords FROM k WHERE k NOT IN ({', '.join(repr(x) for x in X.MERMAID_NOISE)}) GROUP BY id")
 def _(t):
-    g = F.format_string(_GRAPH.replace("{0}", "%s"), F.col("title"))
-    return t.doc_meta().select("id", F.regexp_extract_all(g, F.lit(r'[\[({]"?([^"\])}]+)"?[\])}]'), F.lit(1)).alias("labels"), F.regexp_extract_all(g, F.lit(r"-->\s*([A-Za-z]\w*)"), F.lit(1)).alias("targets"))
+    chart = F.concat(F.lit('graph TD\n A["'), "title", F.lit('"] --> B[Order Flow]\n B -->|sends it '), "type", F.lit('| ClearingHouse\n ClearingHouse -- "by night" --> RiskDesk2(Final x)\nend'))
+    return t.doc_meta().select("id", F.array_sort(X.mermaid_keywords(chart)).alias("keywords"))
 
 
 @query("mm_clean", f"""WITH {DOC_META_SQL} SELECT id, trim(regexp_replace(regexp_extract(regexp_replace('```mermaid' || chr(10) || {_GRAPH_SQL} || chr(10) || '```', '```(?:mermaid)?', '', 'g'), '(?s)graph\\s+(?:TD|LR|BT|RL).*'), '\\["([^"]*)"\\]', '[\\1]', 'g')) AS graph FROM doc_meta""")
