@@ -189,3 +189,25 @@ def incident_window(incident: Column, now: Column) -> dict[str, Column]:
 def file_kept(at: Column, start: Column, end: Column) -> Column:
     """Files whose time can't be read are kept."""
     return at.isNull() | ((at <= end) & (at >= start - F.expr("INTERVAL 3 HOURS")))
+
+
+def first_servers(catalog: DataFrame) -> DataFrame:
+    """(environment, type, tag, base_url): the first server (by pos) of each tag in a catalogue (environment, type, tags, base_url, pos)."""
+    tagged = catalog.select("environment", "type", F.explode(F.split("tags", ",")).alias("tag"), "base_url", "pos")
+    return tagged.groupBy("environment", "type", "tag").agg(F.min_by("base_url", "pos").alias("base_url"))
+
+
+def planned(sources: DataFrame, catalog: DataFrame, now: Column, hours: int = 6) -> DataFrame:
+    """``sources`` (plan, environment, type, tags, start, stop, ...) with the servers that hold their logs, a row for each.
+
+    A source without start or end has its plan's, the earliest and the latest of all its sources;
+    a plan without any begins ``hours`` before now and ends an hour more after its beginning.
+    A tagged log server is looked up for each tag, a Loki server once for the environment.
+    Sources without tags, of another type or without a server give no row.
+    """
+    spans = sources.groupBy("plan").agg(F.min("start").alias("__a"), F.max("stop").alias("__b"))
+    begin = F.coalesce("__a", now - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    met = sources.join(spans, "plan").withColumns({"start": F.coalesce("start", begin), "stop": F.coalesce("stop", "__b", begin + F.make_dt_interval(F.lit(0), F.lit(hours + 1)))}).drop("__a", "__b").where(F.size("tags") > 0)
+    tailed = met.where("type = 'logtail'").select("*", F.explode("tags").alias("tag")).join(first_servers(catalog), ["environment", "type", "tag"]).drop("tag")
+    servers = catalog.where("type = 'loki'").groupBy("environment").agg(F.min_by("base_url", "pos").alias("base_url"))
+    return tailed.unionByName(met.where("type = 'loki'").join(servers, "environment").select(tailed.columns))

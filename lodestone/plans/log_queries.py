@@ -204,12 +204,15 @@ def _(t):
     return L.folded(L.entries(met, "file", "kw", "line_no"), ["file", "kw"], "line_no").select("file", "kw", "run", "event")
 
 
-_CATALOG = [("prod", "logtail", "oms,fx", "https://logs/oms", 1), ("prod", "loki", "risk", "https://loki/risk", 2), ("uat", "logtail", "oms", "https://uat/oms", 3), ("prod", "logtail", "fx,bond", "https://logs/bond", 4)]
-_CAT_SQL = "cat AS (SELECT * FROM (VALUES " + ", ".join(map(str, _CATALOG)) + ") v(environment, type, tags, base_url, pos))"
+_CAT_SQL = "cat AS (SELECT ['prod', 'prod', 'uat', 'local'][s_suppkey % 4 + 1] AS environment, CASE WHEN s_suppkey % 3 = 0 THEN 'loki' ELSE 'logtail' END AS type, ['oms,fx', 'risk', 'oms', 'fx,bond', 'oms,risk'][s_suppkey % 5 + 1] AS tags, 'https://logs/' || s_suppkey AS base_url, s_suppkey AS pos FROM supplier)"
+_FIRST_SQL = f"{_CAT_SQL}, firsts AS (SELECT environment, type, tag, min_by(base_url, pos) AS base_url FROM (SELECT environment, type, unnest(string_split(tags, ',')) AS tag, base_url, pos FROM cat) GROUP BY ALL)"
 
 
 def _catalog(t):
-    return t.spark.createDataFrame(_CATALOG, "environment string, type string, tags string, base_url string, pos int")
+    """A log server for each supplier."""
+    k = c("s_suppkey")
+    of = lambda by, *xs: F.get(F.array(*map(F.lit, xs)), (k % by).cast("int"))
+    return t.supplier.select(of(4, "prod", "prod", "uat", "local").alias("environment"), F.when(k % 3 == 0, "loki").otherwise("logtail").alias("type"), of(5, "oms,fx", "risk", "oms", "fx,bond", "oms,risk").alias("tags"), F.concat(F.lit("https://logs/"), k).alias("base_url"), k.alias("pos"))
 
 
 @query("src_log_catalog", f"WITH {_CAT_SQL} SELECT environment, type, string_split(tags, ',') AS tags, base_url, 'logs ' || pos AS summary FROM cat")
@@ -228,25 +231,45 @@ def _(t):
 @query("flow_discover_logs", f"WITH {_CAT_SQL}, tagged AS (SELECT base_url, unnest(string_split(tags, ',')) AS prefix FROM cat WHERE environment = 'prod' AND type = 'logtail'), n AS ({_NAMES}) SELECT base_url, prefix, count(*) AS files FROM tagged JOIN n ON starts_with(name, prefix || '-') GROUP BY ALL")
 def _(t):
     tagged = _catalog(t).where("environment = 'prod' AND type = 'logtail'").select("base_url", F.explode(F.split("tags", ",")).alias("prefix"))
-    # A file belongs to a tag if its first part, up to a dash, is the tag: an equality, no comparison of all pairs.
-    files = _names(t).select("name", F.substring_index("name", "-", 1).alias("prefix")).where(F.contains("name", F.lit("-")))
-    return files.join(tagged, "prefix").groupBy("base_url", "prefix").agg(F.count(F.lit(1)).alias("files"))
+    # A file belongs to a tag if its first part, up to a dash, is the tag; files are counted by it before servers are joined.
+    named = _names(t).where(F.contains("name", F.lit("-"))).groupBy(F.substring_index("name", "-", 1).alias("prefix")).agg(F.count(F.lit(1)).alias("files"))
+    return named.join(tagged, "prefix").select("base_url", "prefix", "files")
 
 
-@query("jn_plan_sources", f"WITH {_CAT_SQL}, p AS (SELECT * FROM (VALUES ('prod', 'logtail', 'oms'), ('prod', 'loki', 'risk'), ('uat', 'logtail', 'fx')) v(environment, type, tag)) SELECT p.environment, p.tag, c.base_url FROM p LEFT JOIN (SELECT environment, type, unnest(string_split(tags, ',')) AS tag, base_url FROM cat) c USING (environment, type, tag)")
+_PLAN_SQL = "p AS (SELECT DISTINCT ['prod', 'uat', 'local'][user_id % 3 + 1] AS environment, CASE WHEN event_id % 2 = 0 THEN 'loki' ELSE 'logtail' END AS type, ['oms', 'fx', 'none'][event_id % 3 + 1] AS tag FROM events)"
+
+
+@query("jn_plan_sources", f"WITH {_FIRST_SQL}, {_PLAN_SQL} SELECT environment, type, tag, base_url FROM p LEFT JOIN firsts USING (environment, type, tag)")
 def _(t):
-    plan = t.spark.createDataFrame([("prod", "logtail", "oms"), ("prod", "loki", "risk"), ("uat", "logtail", "fx")], "environment string, type string, tag string")
-    tagged = _catalog(t).select("environment", "type", F.explode(F.split("tags", ",")).alias("tag"), "base_url")
-    return plan.join(tagged, ["environment", "type", "tag"], "left").select("environment", "tag", "base_url")
+    of = lambda x, *xs: F.get(F.array(*map(F.lit, xs)), (x % len(xs)).cast("int"))
+    plan = t.events.select(of(c("user_id"), "prod", "uat", "local").alias("environment"), F.when(c("event_id") % 2 == 0, "loki").otherwise("logtail").alias("type"), of(c("event_id"), "oms", "fx", "none").alias("tag")).distinct()
+    return plan.join(L.first_servers(_catalog(t)), ["environment", "type", "tag"], "left")
+
+
+_BY_LISTING = f"SELECT 'listing' AS variant, event_id, name, kw, '2024-01-10 09:00:00.000' AS start, '2024-01-10 13:00:00.999' AS stop FROM k, (VALUES ('timeout'), ('reject')) v(kw)"
+_SOURCES_SQL = """s AS (SELECT user_id AS plan, event_id, ['loki', 'logtail', 'odd'][event_id % 3 + 1] AS type, CASE WHEN event_id % 7 = 0 THEN [] ELSE [['oms', 'fx', 'none'][event_id % 5 % 3 + 1], 'risk'] END AS tags, CASE WHEN event_id % 4 > 0 AND user_id % 10 > 0 THEN ts END AS a, CASE WHEN event_id % 5 > 0 AND user_id % 10 > 1 THEN ts + INTERVAL 1 HOUR END AS b, [event_type, 'kw' || event_id % 3] AS kws FROM events),
+g AS (SELECT plan, coalesce(min(a), TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 6 HOUR) AS ga, max(b) AS gb FROM s GROUP BY plan),
+w AS (SELECT s.*, coalesce(a, ga) AS wa, coalesce(b, gb, ga + INTERVAL 7 HOUR) AS wb FROM s JOIN g USING (plan) WHERE len(tags) > 0),
+lk AS (SELECT min_by(base_url, pos) AS base_url FROM cat WHERE environment = 'prod' AND type = 'loki'),
+r AS (SELECT event_id, base_url, kws, wa, wb FROM (SELECT *, unnest(tags) AS tag FROM w WHERE type = 'logtail') x JOIN firsts f ON f.environment = 'prod' AND f.type = 'logtail' AND f.tag = x.tag UNION ALL SELECT event_id, base_url, kws, wa, wb FROM w, lk WHERE type = 'loki' AND base_url IS NOT NULL)"""
 
 
-@query("flow_plan", f"WITH n AS ({_NAMES}), f AS (SELECT event_id, name, {_FILE_TS} AS tm FROM n), k AS (SELECT * FROM f WHERE starts_with(name, 'oms-') AND (tm IS NULL OR (tm <= TIMESTAMP '2024-01-10 13:00:00' AND tm >= TIMESTAMP '2024-01-10 06:00:00'))) SELECT event_id, name, kw, '2024-01-10 09:00:00.000' AS start, '2024-01-10 13:00:00.999' AS stop FROM k, (VALUES ('timeout'), ('reject')) v(kw)")
+@query("flow_plan", f"WITH {_FIRST_SQL}, n AS ({_NAMES}), f AS (SELECT event_id, name, {_FILE_TS} AS tm FROM n), k AS (SELECT * FROM f WHERE starts_with(name, 'oms-') AND (tm IS NULL OR (tm <= TIMESTAMP '2024-01-10 13:00:00' AND tm >= TIMESTAMP '2024-01-10 06:00:00'))), {_SOURCES_SQL} {_BY_LISTING} UNION ALL SELECT 'catalogue', event_id, base_url, unnest(kws), strftime(wa, '%Y-%m-%d %H:%M:%S') || '.000', strftime(wb, '%Y-%m-%d %H:%M:%S') || '.999' FROM r")
 def _(t):
+    # By the files that were listed, with the window around an incident; and by the servers in the catalogue, with each source's window or its plan's.
     incident = F.lit("2024-01-10 12:00:00").cast("timestamp")
     w = L.incident_window(incident, incident)
     kept = _names(t).where(c("name").startswith("oms-")).where(L.file_kept(L.file_time(c("name")), w["start"], w["end"]))
     stamp = lambda x, ms: F.concat(F.date_format(x, "yyyy-MM-dd HH:mm:ss"), F.lit(ms))
-    return kept.select("event_id", "name", F.explode(F.array(F.lit("timeout"), F.lit("reject"))).alias("kw"), stamp(w["start"], ".000").alias("start"), stamp(w["end"], ".999").alias("stop"))
+    listed = kept.select(F.lit("listing").alias("variant"), "event_id", "name", F.explode(F.array(F.lit("timeout"), F.lit("reject"))).alias("kw"), stamp(w["start"], ".000").alias("start"), stamp(w["end"], ".999").alias("stop"))
+    i, u, ts = c("event_id"), c("user_id"), c("ts").cast("timestamp")
+    of = lambda x, *xs: F.get(F.array(*map(F.lit, xs)), (x % len(xs)).cast("int"))
+    sources = t.events.select(
+        u.alias("plan"), "event_id", F.lit("prod").alias("environment"), of(i, "loki", "logtail", "odd").alias("type"), F.when(i % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(of(i % 5, "oms", "fx", "none"), F.lit("risk"))).alias("tags"),
+        F.when((i % 4 > 0) & (u % 10 > 0), ts).alias("start"), F.when((i % 5 > 0) & (u % 10 > 1), ts + F.expr("INTERVAL 1 HOUR")).alias("stop"), F.array("event_type", F.concat(F.lit("kw"), i % 3)).alias("keywords"),
+    )
+    planned = L.planned(sources, _catalog(t), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    return listed.unionByName(planned.select(F.lit("catalogue").alias("variant"), "event_id", c("base_url").alias("name"), F.explode("keywords").alias("kw"), stamp(c("start"), ".000").alias("start"), stamp(c("stop"), ".999").alias("stop")))
 
 
 @query("agg_kw_union", "WITH k AS (SELECT lower(event_type) AS kw, min(event_id) AS pos FROM events GROUP BY 1) SELECT kw, row_number() OVER (ORDER BY pos) AS n FROM k")

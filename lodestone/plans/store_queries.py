@@ -162,9 +162,11 @@ def _(t):
     return t.pages.select("page_id", "url").unionByName(made).withColumn("version", F.lit(1))
 
 
-@query("src_wiki_children", "SELECT page_id, url FROM pages WHERE false")
+@query("src_wiki_children", "SELECT page_id, []::VARCHAR[] AS children, 0 AS size FROM pages")
 def _(t):
-    return t.spark.createDataFrame([], "page_id long, url string")
+    # The server knows no hierarchy: each page has an empty list of children.
+    none = F.array().cast("array<string>")
+    return t.pages.select("page_id", none.alias("children"), F.size(none).alias("size"))
 
 
 @query("src_issue_get", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 33")
@@ -186,16 +188,12 @@ def _(t):
     return t.spark.createDataFrame([(files.prompt_text(t.spark, path, 20_000, "*.txt"),)], "context string")
 
 
-# The issues that each topic's page names.
-_NAMED_ISSUES = [[1, 2], [5, 9], [7], [5], [4], [3, 11], [4, 8], [10, 12], [12], [10], [11], [12]]
-
-
-@query("src_fixture_gen", "WITH m(topic, issues) AS (VALUES (0, [1, 2]), (1, [5, 9]), (2, [7]), (3, [5]), (4, [4]), (5, [3, 11]), (6, [4, 8]), (7, [10, 12]), (8, [12]), (9, [10]), (10, [11]), (11, [12])) SELECT 'page' AS kind, (77778882 + topic)::VARCHAR AS id, 'Topic ' || topic AS title, '<h1>Topic ' || topic || '</h1><p>See ' || array_to_string(list_transform(issues, lambda x: 'PROJ-' || x), ', ') || '</p>' AS body FROM m UNION ALL SELECT 'page', '77778881', 'PROJ: Project Documentation', '<div><h1>PROJ Project Documentation</h1></div>' UNION ALL SELECT 'page', '77778800', 'Feedback Logs', '<div><h1>Feedback Logs</h1></div>' UNION ALL SELECT 'issue', (10000 + i)::VARCHAR, 'PROJ-' || i || ': Issue ' || i, '{\"summary\":\"Issue ' || i || '\"}' FROM range(1, 13) r(i)")
+@query("src_fixture_gen", "SELECT 'page' AS kind, (77778882 + p_partkey)::VARCHAR AS id, p_name AS title, '<h1>' || p_name || '</h1><p>See ' || array_to_string(CASE WHEN p_partkey % 3 = 0 THEN ['PROJ-' || p_size] ELSE ['PROJ-' || p_size, 'PROJ-' || (p_partkey % 12 + 1)] END, ', ') || '</p>' AS body FROM part UNION ALL SELECT 'issue', (10000 + o_orderkey)::VARCHAR, 'PROJ-' || o_orderkey || ': ' || o_orderpriority, '{\"summary\":\"' || o_orderpriority || '\"}' FROM orders")
 def _(t):
-    pages = [("page", str(77778882 + i), f"Topic {i}", f"<h1>Topic {i}</h1><p>See {', '.join(f'PROJ-{n}' for n in named)}</p>") for i, named in enumerate(_NAMED_ISSUES)]
-    pages += [("page", "77778881", "PROJ: Project Documentation", "<div><h1>PROJ Project Documentation</h1></div>"), ("page", "77778800", "Feedback Logs", "<div><h1>Feedback Logs</h1></div>")]
-    issues = [("issue", str(10000 + i), f"PROJ-{i}: Issue {i}", f'{{"summary":"Issue {i}"}}') for i in range(1, 13)]
-    return t.spark.createDataFrame(pages + issues, "kind string, id string, title string, body string")
+    # Pages of topics that name issues, and issues, as the servers' fixtures have them.
+    named = F.array(F.concat(F.lit("PROJ-"), "p_size"), F.when(c("p_partkey") % 3 != 0, F.concat(F.lit("PROJ-"), c("p_partkey") % 12 + 1)))
+    topics = t.part.select(F.lit("page").alias("kind"), (c("p_partkey") + 77778882).cast("string").alias("id"), c("p_name").alias("title"), F.concat(F.lit("<h1>"), "p_name", F.lit("</h1><p>See "), F.array_join(F.array_compact(named), ", "), F.lit("</p>")).alias("body"))
+    return topics.unionByName(t.orders.select(F.lit("issue").alias("kind"), (c("o_orderkey") + 10000).cast("string").alias("id"), F.concat(F.lit("PROJ-"), "o_orderkey", F.lit(": "), "o_orderpriority").alias("title"), F.to_json(F.struct(c("o_orderpriority").alias("summary"))).alias("body")))
 
 
 def _card(t):

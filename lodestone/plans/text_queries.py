@@ -56,9 +56,12 @@ def _(t):
     return first_places(t.documents, "doc_id", "text").select("doc_id", F.inline("words"))
 
 
-@query("tok_skipwords", f"SELECT unnest([{_SKIP}]) AS word")
+@query("tok_skipwords", f"WITH s AS (SELECT unnest([{_SKIP}]) AS word), w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) SELECT word, count(doc_id) AS documents FROM s LEFT JOIN w USING (word) GROUP BY word")
 def _(t):
-    return t.spark.createDataFrame([(w,) for w in X.SKIP_WORDS], "word string")
+    # The list, with the number of documents that hold each word.
+    words = t.documents.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word")).where(F.col("word").isin(X.SKIP_WORDS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    listed = t.spark.createDataFrame([(w,) for w in X.SKIP_WORDS], "word string").distinct()
+    return listed.join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("documents"))
 
 
 _SLOTS = "WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-_. ][A-Za-z0-9]+){0,5}')) AS token FROM documents) "
