@@ -104,7 +104,27 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prompt_text(spark: SparkSession, path: str, most: int, glob: str = "*.md") -> str:
-    """All files below a folder by path, trimmed, joined, and cut: a prompt's context."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.btrim("value", F.lit(" \t\r\n")).alias("v"))
-    joined = rows.where("v <> ''").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("x"))
-    return joined.select(F.left(F.array_join(F.transform("x", lambda s: s["v"]), "\n\n"), F.lit(most)).alias("t")).first().t or ""
+    """All files below a folder by path, trimmed, joined, and cut to ``most`` characters: a prompt's context.
+
+    Only the first files are opened: as many, by their sizes, as may fill the context, and twice
+    as many again if blanks have left it short.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length").where("length > 0")
+    wanted = most
+    while True:
+        # A character has four bytes at most and each file one at least, so a bounded number of names is looked at.
+        first = listed.orderBy("path").limit(wanted).collect()
+        taken, size = [], 0
+        for r in first:
+            if size >= 4 * wanted:
+                break
+            taken.append(r.path)
+            size += r.length
+        if not taken:
+            return ""
+        rows = spark.read.text(taken, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.left(F.btrim("value", F.lit(" \t\r\n")), F.lit(most)).alias("v")).where("v <> ''")
+        parts = [v for _, v in sorted((r.p, r.v) for r in rows.collect())]
+        text = "\n\n".join(parts)[:most]
+        if len(text) >= most or (len(taken) == len(first) and len(first) < wanted):
+            return text
+        wanted *= 2
