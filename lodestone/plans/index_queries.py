@@ -153,7 +153,11 @@ _KWS = f"WITH {_BM}, {_BPOST}, {_ASK}, {_KWT}, kws AS (SELECT doc_id, category,
 def _posts(t):
     """Stored keywords that the question can meet: its grams, read by bucket, and the question itself."""
     tokens = [" ".join(TERMS[i : i + n]) for n in range(1, 5) for i in range(len(TERMS) - n + 1)]
-    path = _stored_keywords(t, I.top_grams(_scored_grams(t)))
+    # Only documents that have a gram of the question can have it among their best; frequencies are those of all documents.
+    rows = _rows_written(t)
+    known = keep(I.document_frequencies(I.each_term(rows)), "df")
+    met = rows.where(F.arrays_overlap("grams", F.array(*map(F.lit, [*tokens, ASKED]))))
+    path = _stored_keywords(t, I.top_grams(I.bm25(I.each_term(met), I.corpus_of(rows), known)))
     return I.stored_postings(t.spark, path, [*tokens, ASKED]).drop("score")
 
 
