@@ -341,3 +341,11 @@ def test_entry_without_the_training_data_package(tmp_path):
     shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache"))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=copy, capture_output=True, text=True, check=True)
     assert said.stdout.split() == [str(len(registry.QUERIES)), str(len(registry.ORACLE))]
+
+
+def test_first_letter_in_upper_case(spark):
+    # Letters whose upper case is spelled with several: the single capital, or the letter itself.
+    given = ["ßen on", "ŉ a", "ᾀb", "ᾈb", "ﬁn", "épée", "1a", "", "x"]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, text string")
+    got = [r.x for r in rows.orderBy("i").select(X.capitalised(F.col("text")).alias("x")).collect()]
+    assert got == ["ẞen on", "ŉ a", "ᾈb", "ᾈb", "ﬁn", "Épée", "1a", "", "X"]
