@@ -349,3 +349,13 @@ def test_first_letter_in_upper_case(spark):
     rows = spark.createDataFrame(list(enumerate(given)), "i int, text string")
     got = [r.x for r in rows.orderBy("i").select(X.capitalised(F.col("text")).alias("x")).collect()]
     assert got == ["ẞen on", "ŉ a", "ᾈb", "ᾈb", "ﬁn", "Épée", "1a", "", "X"]
+
+
+def test_keywords_within_the_row(spark):
+    docs = spark.createDataFrame([(1, "Order Flow", "order flow 12 7 12 a-b_c and 4294967296"), (2, None, ""), (3, "x", "Trade trade")], "doc_id long, title string, text string")
+    parts = [K.categorised(docs, k, K.tokens(F.col(x))) for k, x in (("title", "title"), ("semantic", "text"))]
+    stored, rows = parts[0].unionByName(parts[1]), K.of_texts(docs, {"title": "title", "semantic": "text"}).where(F.size("keywords") > 0)
+    every = lambda df: sorted(map(tuple, df.select("doc_id", "category", "gram", "token", "positions").collect()))
+    assert every(rows.select("doc_id", F.inline("stored"))) == every(stored) != []
+    assert sorted(map(tuple, rows.select("doc_id", "keywords").collect())) == sorted(map(tuple, K.flattened(stored).collect()))
+    assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (stored, rows))
