@@ -105,3 +105,12 @@ def test_dense_ranks_over_parts(spark):
 def test_no_changes(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert changes.numbered(none).count() == 0 and changes.applied(none).count() == 0
+
+
+def test_clock_rows_of_clients_that_hold_something(spark, tmp_path):
+    # Client 1 has been told all, 2 and 3 hold something, and 3 has a change in the batch.
+    sizes = spark.createDataFrame([(1, 1, 2, True), (2, 1, 2, True), (3, 2, 1, True), (3, 3, 1, True), (4, 3, 1, True)], "client_id long, batch int, n long, active boolean")
+    told = [(["7", "1", "1", "applied", "1", "0", None, None, "I"],), (["8", "1", "2", "applied", "1", "0", None, None, "U"],), (["9", "2", "1", "rejected", "1", "0", None, None, "U"],)]
+    outbox = str(tmp_path / "told")
+    spark.createDataFrame(told, changes.OUT).write.parquet(outbox)
+    assert [tuple(r) for r in changes._waiting(spark, sizes, outbox, 3).collect()] == [(2, True, None)]
