@@ -359,3 +359,27 @@ def test_keywords_within_the_row(spark):
     assert every(rows.select("doc_id", F.inline("stored"))) == every(stored) != []
     assert sorted(map(tuple, rows.select("doc_id", "keywords").collect())) == sorted(map(tuple, K.flattened(stored).collect()))
     assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (stored, rows))
+
+
+def test_layers_of_one_kind_count_their_own_tokens_only(spark, monkeypatch):
+    from lodestone import registry
+    from lodestone.operators import index as I
+
+    asked, real = [], I.best_among
+    monkeypatch.setattr(I, "best_among", lambda docs, tokens, *rest: asked.append(tokens) or real(docs, tokens, *rest))
+    assert registry.QUERIES["rnk_whole_query"](spark, "/root/testdata/sf0.001").count() == 200
+    registry.QUERIES["rnk_term"](spark, "/root/testdata/sf0.001")
+    assert asked == [["src7"], "ci der die und les src7".split()]
+
+
+def test_marks_grow_with_the_wanted_grams(spark, monkeypatch):
+    """With a bitmap that is full, every gram of every text would be sent to the join; counts are right with any."""
+    from lodestone.operators import index as I
+
+    docs = spark.createDataFrame([(i, f"alpha beta word{'abcdefghij'[i]}") for i in range(10)], "doc_id long, text string")
+    wanted = spark.createDataFrame([("alpha beta",), ("beta",), ("worda",), ("none",)], "gram string")
+    sent, real = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(len(x)) or real(self, x))
+    counted = {r.gram: r.df for r in I.frequencies_of(docs, wanted).collect()}
+    assert counted == {"alpha beta": 10, "beta": 10, "worda": 1}
+    assert sent == [(1 << 20) // 8]
