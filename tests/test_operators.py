@@ -383,3 +383,19 @@ def test_marks_grow_with_the_wanted_grams(spark, monkeypatch):
     counted = {r.gram: r.df for r in I.frequencies_of(docs, wanted).collect()}
     assert counted == {"alpha beta": 10, "beta": 10, "worda": 1}
     assert sent == [(1 << 20) // 8]
+
+
+def test_long_texts_leave_the_workers_in_small_batches(spark):
+    """A batch has 10,000 rows; what is made of them all at once would fill a worker."""
+    import pyarrow as pa
+
+    from lodestone.functions import markup
+    from lodestone.operators import index as I
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["ab", None, "abcdef", "a" * 50, "", "abc", "b"])], names=["i", "t"])
+    assert [p.column(0).to_pylist() for p in markup.slices(batch, 1, 8)] == [[0, 1, 2], [3], [4, 5, 6]]
+    assert [p.num_rows for p in markup.slices(batch.slice(0, 0), 1)] == []
+    docs = spark.createDataFrame([(1, "red blue red blue red"), (2, None), (3, "blue red x"), (4, "blue red")], "doc_id long, text string")
+    rows = {tuple(r) for r in I.frequencies(docs, "doc_id", "text").where("doc_id = 1").collect()}
+    assert (1, "red", 1, 3, 14) in rows and (1, "red blue", 2, 2, 14) in rows and (1, "red blue red blue", 4, 1, 14) in rows and len(rows) == 8
+    assert I.grams(docs, "doc_id", "text").where("doc_id = 3").orderBy("n", "pos").select("n", "pos", "gram").collect()[:2] == [(1, 0, "blue"), (1, 1, "red")]
