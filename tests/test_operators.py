@@ -248,6 +248,22 @@ def test_keyword_build(spark):
     assert K.build(docs.limit(0), 0).count() == 0
 
 
+def test_synonyms_within_the_row_are_those_of_columns(spark):
+    odd = ["555-123.4567", "01/02/2024", "2024-01-02", "TradeFlow", "trade_flow", "9.995", "0.0050", "12345678901234567890123.25", "US1234567890", "a@b.co", "123K", "https://a.bc/x", "[a-z]{3}-x", "\u0663\u0663\u0663", "\u00e9555-123-4567", "a  b", " ", "\u017fix"]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select("t", X.pattern_synonyms(F.col("t")), X.gram_slot_synonym(F.col("t")), X.structural_pattern(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(t, list(markup.pattern_forms(t)), markup.synonym_slot(t), markup.structure_of(t)) for t in odd]
+
+    docs = spark.createDataFrame([(i, f"Trade Flow {i}", "Traders of 2024-01-02", f"# Risk\n\n**Order Book** `submitOrder` trading FX-{i}", None, ["Kept one", "kept_one"]) for i in range(20)] + [(99, None, None, None, None, None)], "doc_id long, title string, summary string, content string, graph string, semantic array<string>")
+    dictionary = spark.createDataFrame([("trader",), ("trading",), ("trade",)], "w string")
+    stored = K.base_categories(docs, 21)
+    base = stored.select("doc_id", F.inline("stored"))
+    made = K.synonym_positions(K.synonyms(K.flattened(base), dictionary), base)
+    row = lambda df: sorted((r.doc_id, r.category, r.gram, r.token, tuple(r.positions)) for r in df.collect())
+    assert row(K.build(docs, 21, None, dictionary)) == row(base.unionByName(made))
+    # Nothing is sent to be put together.
+    assert "Exchange" not in K.build(docs, 21)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_words_of_markup_are_words(spark):
     texts = ["trade-1234-20260321 XMLParser a_b 12 x99y é12 don't 3.14", "The QUICK brownFox v1.2.3-beta http://x/y", ""]
     for t in texts:
