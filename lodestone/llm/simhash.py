@@ -238,16 +238,30 @@ def band_keys(members: np.ndarray, bands: int, rows: int) -> list[int]:
 
 
 def set_keys(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, d, keys): the digest of each whole text's shingle set and its band keys."""
+    """(id, d, fp, keys): the digest of each whole text's shingle set, its SimHash and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
-            digests = pa.array(map(set_digest, sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array([band_keys(s, bands, rows) for s in sets], pa.list_(pa.int64()))], names=["id", "d", "keys"])
+            digests, fps, keys = [], np.zeros(batch.num_rows, np.uint64), []
+            for i, t in enumerate(batch.column(1)):
+                hashes = shingle_hashes((t.as_py() or b"").lower().split(), shingle)
+                members = np.unique(hashes)
+                digests.append(set_digest(members))
+                fps[i] = simhash(hashes)
+                keys.append(band_keys(members, bands, rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "d", "fp", "keys"])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return given.mapInArrow(run, "id long, d binary, keys array<long>")
+    return given.mapInArrow(run, "id long, d binary, fp long, keys array<long>")
+
+
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(u, v) ids of (rep, fp) that ``links`` joins by their fingerprints, and those that share one."""
+    heads = keep(classes.groupBy("fp").agg(F.min("rep").alias("head")), "near-fps")
+    side = lambda n: heads.select(F.col("fp").alias(n), F.col("head").alias(f"h{n}"))
+    apart = links(heads.select("fp")).join(side("u"), "u").join(side("v"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+    alike = classes.join(heads, "fp").where("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v"))
+    return apart.unionByName(alike).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def _similar_pairs(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -343,16 +357,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(node, root): ids of texts with near copies, and the smallest id that each reaches.
 
     Near copies are texts whose sets of shingles have the similarity (size of the
-    intersection over that of the union), always computed on the whole sets. Texts that
-    agree in the minima of one band are candidates. Each is first held against the head of
-    each key; keys that then still hold members without a chain of verified links between
+    intersection over that of the union), always computed on the whole sets. Texts whose
+    fingerprints ``links`` joins are candidates, and so that none is lost to more than
+    ``RADIUS`` bits, also those that agree in the minima of one band. Each of these is first
+    held against the head of each key; keys that then still hold members without a chain of verified links between
     them are gone through member by member, so no link is left out for one that fails.
     Texts with the same id count as one document; rows without id are left out.
     """
     named = docs.where(F.col(id_col).isNotNull())
     written = keep(set_keys(named, id_col, text_col, shingle, bands, rows), "near-keys")
     # A class is one set of shingles; it goes by its smallest id, which may have other texts too.
-    classes = keep(written.groupBy("d").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "near-classes")
+    classes = keep(written.groupBy("d").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "near-classes")
     copies = written.join(classes.select("d", "rep"), "d").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     entries = classes.select("rep", F.explode("keys").alias("key")).distinct()
     # Keys with the same members count once: near copies mostly share many.
@@ -360,9 +375,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = keep(met.groupBy("head", "n", "sum").agg(F.min("key").alias("key")).select("key", "head"), "near-groups")
     shared = keep(entries.join(groups, "key").select("key", "head", F.col("rep").alias("id")), "near-entries")
     given = named.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    texts = keep(given.join(shared.select("id").distinct(), "id", "left_semi").distinct(), "near-texts")
+    close = fingerprint_pairs(classes.select("rep", "fp"))
+    pairs = keep(close.unionByName(shared.where("head <> id").select(F.col("head").alias("u"), F.col("id").alias("v"))).distinct(), "near-pairs")
+    met = shared.select("id").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("id"))).distinct()
+    texts = keep(given.join(met, "id", "left_semi").distinct(), "near-texts")
     side = lambda n: texts.select(F.col("id").alias(n), F.col("text").alias(f"t{n}"))
-    pairs = shared.where("head <> id").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
     near = _similar_pairs(pairs.join(side("v"), "v").join(side("u"), "u"), shingle, similarity)
     sure = keep(near.unionByName(copies).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-links")
     roots = components(sure)

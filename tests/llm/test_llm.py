@@ -763,6 +763,19 @@ def test_near_copies_at_the_similarity(spark):
     assert [got.get(2 * i + 1) == 2 * i for i in range(len(pairs))] == alike
 
 
+def test_near_copies_come_from_fingerprints(spark):
+    """Without any band, the texts that fingerprints bring together are found, and only if their sets are alike."""
+    rng = np.random.default_rng(13)
+    texts = [[f"w{x}" for x in rng.integers(0, 1 << 40, 600)] for _ in range(20)]
+    rows = [(2 * i + k, " ".join(w[: 600 - k])) for i, w in enumerate(texts) for k in (0, 1)]
+    rows += [(100, "a b a b a b a b a b"), (101, "b a b a b a b a b a b a"), (102, "x y"), (103, "x  Y"), (104, "")]
+    docs = docs_of(spark, rows)
+    fps = {r.doc_id: r.fp for r in simhash.fingerprints(docs, shingle=5).collect()}
+    near = {i for i in range(20) if ((fps[2 * i] ^ fps[2 * i + 1]) & (1 << 64) - 1).bit_count() <= 3}
+    got = {r.node: r.root for r in simhash.near_copies(docs, bands=0).where("node <> root").collect()}
+    assert len(near) > 5 and got == {2 * i + 1: 2 * i for i in near} | {101: 100, 103: 102}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "u long, v long")
     got = dict(map(tuple, simhash.components(edges).collect()))
