@@ -284,7 +284,7 @@ def _(t):
     path = new_path(t.spark, "logs")
     t.log_lines().repartition("file").sortWithinPartitions("file", "line_no").select("component", "file", "line").write.partitionBy("component", "file").text(path)
     named = lambda x: F.regexp_extract("path", f"{x}=([^/]+)/", 1).alias(x)
-    return files.read_numbered_lines(t.spark, path, 1 << 16).select(named("component"), named("file"), "line_no", "line")
+    return files.read_numbered_lines(t.spark, path, 4 << 20).select(named("component"), named("file"), "line_no", "line")
 
 
 @query("src_loki_range", f"{W}, k AS (SELECT file, line_no, line, {_TS} AS tm FROM log_lines WHERE contains(lower(line), 'error')), n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY tm, line_no) AS k FROM k WHERE tm BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00') SELECT file, line_no, line FROM n WHERE k <= 2000")
