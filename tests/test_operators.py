@@ -415,3 +415,10 @@ def test_long_texts_leave_the_workers_in_small_batches(spark):
     rows = {tuple(r) for r in I.frequencies(docs, "doc_id", "text").where("doc_id = 1").collect()}
     assert (1, "red", 1, 3, 14) in rows and (1, "red blue", 2, 2, 14) in rows and (1, "red blue red blue", 4, 1, 14) in rows and len(rows) == 8
     assert I.grams(docs, "doc_id", "text").where("doc_id = 3").orderBy("n", "pos").select("n", "pos", "gram").collect()[:2] == [(1, 0, "blue"), (1, 1, "red")]
+
+
+def test_customers_are_dealt_over_the_cores(spark, tmp_path):
+    from lodestone.plans.base import Tables
+
+    spark.range(8).selectExpr("id AS c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert Tables(spark, str(tmp_path)).customer.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
