@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -422,3 +423,18 @@ def test_customers_are_dealt_over_the_cores(spark, tmp_path):
 
     spark.range(8).selectExpr("id AS c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     assert Tables(spark, str(tmp_path)).customer.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_grams_of_lists_are_counted_in_pieces(spark, monkeypatch):
+    """Grams are counted as numbers, and only the columns asked for leave the workers."""
+    monkeypatch.setattr(I, "PIECE", 3)
+    lists = [["a", "b", "a", "b", "a"], [], ["é", "a"], ["b"], ["x", "x", "x", "x", "x"]]
+    pieces = list(I.counted_grams(lists))
+    want = Counter((i, n, " ".join(w[j : j + n])) for i, w in enumerate(lists) for n in range(1, 5) for j in range(len(w) - n + 1))
+    found = [((i, n, g), k) for n, rows, tfs, grams in pieces for i, k, g in zip(rows.tolist(), tfs.tolist(), grams.to_pylist())]
+    assert len(found) == len(want) and dict(found) == want and max(len(g) for *_, g in pieces) == 3
+    assert list(I.counted_grams([[], []])) == [] == list(I.counted_grams([]))
+    docs = spark.createDataFrame([("p", "red blue red blue"), ("q", None), ("q", "red")], "doc_id string, text string")
+    assert I.frequencies(docs, "doc_id", "text", columns=[]).columns == ["doc_id", "gram"]
+    rows = I.frequencies(docs, "doc_id", "text", columns=["tf", "n"]).collect()
+    assert sorted(map(tuple, rows)) == sorted([("p", "red", 2, 1), ("p", "blue", 2, 1), ("p", "red blue", 2, 2), ("p", "blue red", 1, 2), ("p", "red blue red", 1, 3), ("p", "blue red blue", 1, 3), ("p", "red blue red blue", 1, 4), ("q", "red", 1, 1)])
