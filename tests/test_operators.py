@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -438,3 +439,13 @@ def test_grams_of_lists_are_counted_in_pieces(spark, monkeypatch):
     assert I.frequencies(docs, "doc_id", "text", columns=[]).columns == ["doc_id", "gram"]
     rows = I.frequencies(docs, "doc_id", "text", columns=["tf", "n"]).collect()
     assert sorted(map(tuple, rows)) == sorted([("p", "red", 2, 1), ("p", "blue", 2, 1), ("p", "red blue", 2, 2), ("p", "blue red", 1, 2), ("p", "red blue red", 1, 3), ("p", "blue red blue", 1, 3), ("p", "red blue red blue", 1, 4), ("q", "red", 1, 1)])
+
+
+def test_long_runs_of_letters_are_gone_through_once():
+    """A run without a separator was tried from each of its places, in time as its square; words without humps don't fill the cache."""
+    began = time.process_time()
+    assert markup.words_of(f"{'ab' * 60_000} {'a' * 60_000}-b cd") == [f"{'a' * 60_000}-b", "cd"]
+    assert time.process_time() - began < 5
+    markup._parts.cache_clear()
+    assert markup.words_of("The Quick brown oneTwo a_bc USA x1 And " + "x" * 65) == ["a_bc", "bc", "quick", "brown", "one", "two", "bc", "usa", "x1"]
+    assert markup._parts.cache_info().currsize <= 6
